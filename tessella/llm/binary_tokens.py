@@ -18,6 +18,7 @@ equal ids follows the text); an empty table gives no rows and no files.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import materialize, narrow_batches, scratch
 
 MAGIC = b"TWM1"
 BLOCK = 64  # bytes of a plane per rank-directory entry
@@ -164,8 +165,19 @@ def load(blob: bytes) -> tuple[WaveletMatrix, list[int | None], list[int]]:
 
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-#: Space characters and separators other than blank, tab, LF and CR: such texts are encoded in one piece.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+#: White space and separators other than blank, tab, LF and CR: such texts are encoded in one piece.
+_ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+_ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]")
+_ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
+
+
+def worker_encoder(path: str, cache: int = 300_000) -> "ChunkEncoder":
+    """The encoder of this Python worker: its chunk cache outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    key = (path, cache)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(path, cache)
+    return _ENCODERS[key]
 
 
 class ChunkEncoder:
@@ -185,23 +197,35 @@ class ChunkEncoder:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         state = json.loads(self.tok.to_str())
         pre = state.get("pre_tokenizer") or {}
-        self.chunked = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.mark_id = self.tok.token_to_id(self.added[0]) if self.added else -1
+        self.chunked = bool(self.added) and state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks in one call, parted by an added token, which the library always sets apart."""
+        mark = self.added[0]
+        ids = np.asarray(self.tok.encode_batch_fast([mark.join(chunks)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        raw, width, at = ids.tobytes(), ids.itemsize, 0
+        for c, e in zip(chunks, ends.tolist(), strict=True):
+            self.known[c] = raw[at * width : e * width]
+            at = e + 1
 
     def encode(self, text: str) -> bytes:
         """Ids of text as packed little-endian integers."""
         if not self.chunked or _ODD.search(text) or any(a in text for a in self.added):
-            return self.whole([text])[0]
+            return self.whole(text)
         chunks, known = _CHUNK.findall(text), self.known
         new = [c for c in set(chunks) if c not in known]
         if new:
             if len(known) + len(new) > self.cache:
                 known.clear()
                 new = list(set(chunks))
-            known.update(zip(new, self.whole(new), strict=True))
-        return b"".join([known[c] for c in chunks])
+            for i in range(0, len(new), 10_000):
+                self._learn(new[i : i + 10_000])
+        return b"".join(map(known.__getitem__, chunks))
 
 
 def write_file(folder: str, name: str, blob: bytes) -> str:
@@ -286,6 +310,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
 
 def token_files(documents: DataFrame, tokenizer: str, folder: str | None = None, **params) -> DataFrame:
     """Encodes, writes and reads back: doc_id, start, n_tokens, ids_crc32."""
+    narrow_batches(documents.sparkSession)
     folder = folder or scratch(documents.sparkSession, "tokens")
-    files = write_tokens(documents, folder, lambda: ChunkEncoder(tokenizer), **params)
+    files = write_tokens(documents, folder, lambda: worker_encoder(tokenizer), **params)
     return read_tokens(files, folder)

@@ -55,6 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps Arrow batches of whole texts small unless the session asks for another size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def wide(df: DataFrame, partitions: int | None = None) -> int:
     """A partition count for a stage: the session's shuffle partitions unless given."""
     return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
