@@ -87,7 +87,7 @@ class WaveletMatrix:
         """Packed bit-planes, most significant first."""
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            one = ((x >> level) & 1).astype(bool)
+            one = (x & (1 << level)) != 0
             yield np.packbits(one)
             if level:
                 x = np.concatenate([x[~one], x[one]])
@@ -171,7 +171,7 @@ _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]")
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
-def worker_encoder(path: str, cache: int = 300_000) -> "ChunkEncoder":
+def worker_encoder(path: str, cache: int = 600_000) -> "ChunkEncoder":
     """The encoder of this Python worker: its chunk cache outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (path, cache)
@@ -184,11 +184,13 @@ class ChunkEncoder:
     """Encodes with the tokenizers library, once for each distinct white-space-led chunk.
 
     The byte-level pre-tokeniser always breaks between a non-space character and
-    the blank that follows, so a text's ids are its chunks' ids in a row.  Texts
-    with added-token strings or unusual spaces are encoded whole.
+    the blank that follows, so a text's ids are its chunks' ids in a row, and
+    chunks put in a row can be encoded in one call and parted by byte lengths.
+    The first `cache` chunk types seen stay known; others are encoded for their
+    batch.  Texts with added-token strings or unusual spaces are encoded whole.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.known = Tokenizer.from_file(path), cache, {}
@@ -197,35 +199,53 @@ class ChunkEncoder:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         state = json.loads(self.tok.to_str())
         pre = state.get("pre_tokenizer") or {}
-        self.mark_id = self.tok.token_to_id(self.added[0]) if self.added else -1
-        self.chunked = bool(self.added) and state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.chunked = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.width = np.zeros(self.size, np.int64)  # bytes of each id: a byte-level piece has a character for each
+        for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.width[i] = len(piece)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks in one call, parted by an added token, which the library always sets apart."""
-        mark = self.added[0]
-        ids = np.asarray(self.tok.encode_batch_fast([mark.join(chunks)], add_special_tokens=False)[0].ids, self.kind)
-        ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-        raw, width, at = ids.tobytes(), ids.itemsize, 0
-        for c, e in zip(chunks, ends.tolist(), strict=True):
-            self.known[c] = raw[at * width : e * width]
-            at = e + 1
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks."""
+        led = [c for c in chunks if c[0] in " \t\n\r" and c[-1] not in " \t\n\r"]
+        out = {c: self.whole(c) for c in set(chunks) - set(led)} if len(led) < len(chunks) else {}
+        for i in range(0, len(led), 4000):
+            part = led[i : i + 4000]
+            text = "".join(part)
+            ids = np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            size = np.fromiter(map(len, part if text.isascii() else [c.encode() for c in part]), np.int64, len(part))
+            ends = (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(size)) + 1) * ids.itemsize
+            raw, ends = ids.tobytes(), ends.tolist()
+            out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed little-endian integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        rows, new, get = [], set(), self.known.get
+        for i, text in enumerate(texts):
+            if not self.chunked or _ODD.search(text) or any(a in text for a in self.added):
+                out[i] = self.whole(text)
+                continue
+            chunks = _CHUNK.findall(text)
+            got = list(map(get, chunks))
+            if None in got:
+                rows.append((i, chunks, got))
+                new.update([c for c, g in zip(chunks, got, strict=True) if g is None])
+            else:
+                out[i] = b"".join(got)
+        if rows:
+            fresh = self._chunks(list(new))
+            for i, chunks, got in rows:
+                out[i] = b"".join([fresh[c] if g is None else g for c, g in zip(chunks, got, strict=True)])
+            if len(self.known) < self.cache:
+                self.known.update(fresh)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Ids of text as packed little-endian integers."""
-        if not self.chunked or _ODD.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        chunks, known = _CHUNK.findall(text), self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(chunks))
-            for i in range(0, len(new), 10_000):
-                self._learn(new[i : i + 10_000])
-        return b"".join(map(known.__getitem__, chunks))
+        return self.encode_many([text])[0]
 
 
 def write_file(folder: str, name: str, blob: bytes) -> str:
@@ -267,8 +287,10 @@ def write_tokens(documents: DataFrame, folder: str, encoder: Callable[[], ChunkE
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blob = enc.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            blobs = (b for i in range(0, len(texts), 100) for b in enc.encode_many(texts[i : i + 100]))
+            for doc, blob in zip(batch.column(0).to_pylist(), blobs, strict=True):
+                blob += end
                 ids.append(doc)
                 lengths.append(len(blob) // width)
                 out.append(blob)
@@ -278,7 +300,7 @@ def write_tokens(documents: DataFrame, folder: str, encoder: Callable[[], ChunkE
         if ids:
             yield pa.RecordBatch.from_pydict(flush(), _FILES)
 
-    ranged = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ranged = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return materialize(ranged.mapInArrow(run, "part int, seq int, file string, n_docs long, n_tokens long"), "token-files")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, sharding
+from . import ann, decontaminate, preference, sharding
 from . import binary_tokens as tokens_
 from . import toxicity as toxicity_
 from .common import table
@@ -25,11 +25,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("_pair", F.expr("conv_id div 2"))
+    pairs = preference.preference_pairs(turns, "_pair", F.col("conv_id") % 2 == 0)
+    shown = {f"{s}_mask": preference.span_text(f"{s}_spans") for s in ("chosen", "rejected")}
+    return pairs.withColumns(shown).select("pair_id", "chosen_id", "rejected_id", "prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "status")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokens_.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_cross_polytope, op4_sharding, op9_token_output)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_cross_polytope, op4_sharding, op7_preference, op8_decontamination, op9_token_output)}
+ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}
