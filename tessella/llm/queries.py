@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, preference, sharding
+from . import ann, decontaminate, jaccard, preference, sharding
 from . import binary_tokens as tokens_
 from . import toxicity as toxicity_
 from .common import table
@@ -25,6 +25,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("_pair", F.expr("conv_id div 2"))
     pairs = preference.preference_pairs(turns, "_pair", F.col("conv_id") % 2 == 0)
@@ -42,5 +46,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_cross_polytope, op4_sharding, op7_preference, op8_decontamination, op9_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_cross_polytope, op4_sharding, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output)}
 ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}
