@@ -24,7 +24,7 @@ from .common import materialize
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Rows up to which a side is broadcast: words, windows or candidate documents, all narrow. Beyond it the joins shuffle.
+#: Rows up to which the benchmark's words or windows are broadcast; beyond it their joins shuffle. Documents are always joined by shuffling.
 BROADCAST_ROWS = 100_000
 
 
@@ -69,11 +69,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = WI
     starts = at.join(_small(anchors, n_wins), "word").where((start >= 0) & (start + F.col("len") <= F.col("n_words"))).select("doc_id", "h", start.alias("start"), "wid")
     cand = materialize(starts.distinct(), "bench-starts")
     full = cand.join(_small(wins, n_wins), "wid").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "len", "win", "items")).alias("cand"))
-    n_docs = cand.select("doc_id", "h").distinct().count()
-    small = n_docs <= BROADCAST_ROWS and cand.count() <= 10 * BROADCAST_ROWS
     keys = materialize(full, "bench-candidates")
-    side = F.broadcast(keys) if small else keys
-    near = docs.alias("d").join(side.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h"))).select("d.doc_id", "d.h", "text", "cand")
+    near = docs.alias("d").join(keys.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.h") == F.col("k.h"))).select("d.doc_id", "d.h", "text", "cand")
     exact = with_words(near, "doc_id", "h", "cand")
     hits = exact.select("doc_id", "h", F.explode(F.array(F.expr("filter(cand, c -> slice(w, c.start + 1, c.len) = c.win)"))).alias("hit")).where(F.size("hit") > 0)
     found = hits.select(
@@ -84,7 +81,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = WI
     ).dropDuplicates(["doc_id", "h"])
     base = docs.select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     found = materialize(found, "bench-hits")
-    joined = base.alias("d").join(_small(found, n_docs).alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
+    joined = base.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
