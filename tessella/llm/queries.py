@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, preference, sharding
+from . import ann, decontaminate, jaccard, pieces, preference, sharding
 from . import binary_tokens as tokens_
 from . import toxicity as toxicity_
 from .common import table
@@ -17,6 +17,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -46,5 +52,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_cross_polytope, op4_sharding, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output)}
 ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}
