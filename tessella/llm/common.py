@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 U64 = np.uint64
 SLAB_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -56,7 +58,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small unless the session asks for another size."""
+    """Readies a session: ships this package and keeps Arrow batches of whole texts small unless it asks for another size."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, str(rows))

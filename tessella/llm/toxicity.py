@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, crc_bucket, slabs, word_hashes
+from .common import U64, crc_bucket, narrow_batches, slabs, word_hashes
 
 #: Letters, digits and every non-ASCII byte make up a word; case is folded for A-Z.
 WORD = np.zeros(256, bool)
@@ -144,6 +144,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 4000,
     at most max_positive labelled toxic rows, unlabelled rows at most
     max_unlabelled texts of any kind, both chosen by a hash of the id.
     """
+    narrow_batches(documents.sparkSession)
     mod, out = holdout
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y is not null").where(crc_bucket(F.col("_id"), mod) != out).groupBy("_id").agg(F.max("_y").alias("_y"))
     n_lab, n_pos = known.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
@@ -165,6 +166,7 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 4000,
 
 def score(documents: DataFrame, model: ToxicModel, out: str = "score") -> DataFrame:
     """documents with a double column `out`: 0 to 1, higher is likelier toxic."""
+    narrow_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias, model.prior))
     names = [f.name for f in documents.schema if f.name != out]
     where = names.index("text")
