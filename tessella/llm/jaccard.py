@@ -12,9 +12,9 @@ Cost-based allocation: a segment key that more than ``hot`` sets share is left o
 (allotment 0).  A set whose remaining non-empty segments still exceed H needs
 nothing else.  The others ("short" sets) are indexed again with the one-deletion
 neighbourhoods of all their segments; a set that even this leaves short is indexed
-on a finer cut.  Members of hot keys are compared with one hub first; what stays in
-different components is then compared across components, so no link is lost and
-no group is expanded into all its pairs.  Every candidate is verified on the sets.
+on a finer cut.  The members of a key are compared with one hub first; members that
+stay in different components are then compared across components, so no component
+is lost and no group is expanded into all its pairs.  Every candidate is verified on the sets.
 
 Keys travel packed in binary blocks per (band, slice), so the index shuffles about
 seven bytes a key.  Equal sets are one node throughout.
@@ -187,11 +187,17 @@ def _index_short(slices: dict[int, int]):
 
 
 _FOUND = "kind int, x long, y long, z long, w long"
-PAIR, HOT_COUNT, HOT_MEMBER, SHORT = range(4)
+PAIR, HOT_COUNT, HOT_MEMBER, SHORT, MEMBER = range(5)
+
+
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 def _meet(hot: int):
-    """Sets that share a key of a block group: pairs of rare keys, hubs and members of hot ones."""
+    """Sets that share a key of a block group: each with the key's hub, and the members of keys of three sets or more."""
 
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -219,23 +225,23 @@ def _meet(hot: int):
             key, doc, room = key[new], doc[new], room[new]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
-            pairs = []
-            rare = first[(size > 1) & (size <= hot)], size[(size > 1) & (size <= hot)]
-            for k in np.unique(rare[1]):
-                at = rare[0][rare[1] == k]
-                i, j = np.triu_indices(int(k), 1)
-                pairs.append(np.stack([doc[at[:, None] + i].ravel(), doc[at[:, None] + j].ravel()], 1))
+            at = np.repeat(first, size)
+            star = np.arange(len(key)) != at
+            pairs = [np.stack([doc[at[star]], doc[star]], 1)]
+            # Keys with the same members say the same: one list of members stands for them.
+            tag = np.add.reduceat(mix(doc.astype(U64)), first) + size.astype(U64)
             big = size > hot
+            for kind, some in ((HOT_MEMBER, big), (MEMBER, ~big & (size > 2))):
+                _, pick = np.unique(tag[some], return_index=True)
+                a, n = first[some][pick], size[some][pick]
+                mem = gather(a, n)
+                out.append((kind, np.repeat(as_long(tag[some][pick]), n), doc[mem], np.full(len(mem), band), np.zeros(len(mem))))
             if big.any():
-                at = np.repeat(first[big], size[big])
-                mem = at + np.arange(len(at)) - np.repeat(np.cumsum(size[big]) - size[big], size[big])
-                star = mem != at
-                pairs.append(np.stack([doc[at[star]], doc[mem[star]]], 1))
+                mem = gather(first[big], size[big])
                 who, inv, cnt = np.unique(doc[mem], return_inverse=True, return_counts=True)
                 room_of = np.zeros(len(who), np.int64)
                 room_of[inv] = room[mem]
                 out.append((HOT_COUNT, who, np.full(len(who), band), cnt, room_of))
-                out.append((HOT_MEMBER, as_long(mix(key[mem] + U64(band << 44))), doc[mem], np.full(len(mem), band), np.zeros(len(mem))))
             if pairs:
                 p = np.unique(np.concatenate(pairs), axis=0) if sum(map(len, pairs)) else np.zeros((0, 2), np.int64)
                 out.append((PAIR, p[:, 0], p[:, 1], np.zeros(len(p)), np.zeros(len(p))))
@@ -340,9 +346,10 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 6
     links = verify(tried, texts)
     label = components(links)
 
-    # What hot keys still hold in different components is compared across them.
+    # What a key of three sets or more still holds in different components is compared across them.
     member = met.where(F.col("kind") == HOT_MEMBER).join(short.select(F.col("sh").alias("y"), F.col("band").alias("z")), ["y", "z"], "left_semi").select(F.col("x").alias("key"), F.col("y").alias("sh"))
-    member = member.unionByName(met2.where(F.col("kind") == HOT_MEMBER).select(F.col("x").alias("key"), F.col("y").alias("sh")))
+    others = met.where(F.col("kind") == MEMBER).unionByName(met2.where(F.col("kind").isin(MEMBER, HOT_MEMBER)))
+    member = member.unionByName(others.select(F.col("x").alias("key"), F.col("y").alias("sh"))).distinct()
     at = member.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
     open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     at = materialize(at.join(open_, "key", "left_semi"), "jaccard-open")
