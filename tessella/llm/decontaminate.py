@@ -50,9 +50,13 @@ def windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return each.groupBy("win", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+def keyed(documents: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and the text's hash h, which together name a row (repeated rows have equal results)."""
+    return documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("h", F.xxhash64("text"))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) -> DataFrame:
+    """(doc_id, h, n_hit, items) of the documents (as from keyed) that contain a window."""
     wins = materialize(windows(benchmark, width), "bench-windows").withColumn("wid", F.xxhash64("win"))
     vocab = materialize(wins.select(F.explode("win").alias("word")).distinct(), "bench-words")
     n_vocab, n_wins = vocab.count(), wins.count()
@@ -79,8 +83,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = WI
         F.size(F.array_distinct(F.flatten(F.expr("transform(hit, c -> sequence(c.start, c.start + c.len - 1))")))).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.expr("transform(hit, c -> c.items)")))).alias("items"),
     ).dropDuplicates(["doc_id", "h"])
+    return materialize(found, "bench-hits")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """documents without those that contain a window."""
+    names = documents.columns
+    docs = documents.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = find_hits(keyed(documents), benchmark, **params).select(F.col("doc_id").alias("_id"), F.col("h").alias("_th"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(*names)
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    docs = keyed(documents)
+    found = find_hits(docs, benchmark, **params)
     base = docs.select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    found = materialize(found, "bench-hits")
     joined = base.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("d.doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -307,11 +307,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 600_000) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every document."""
+    """doc_id, th (hash of the text), n_shingles, component_id of every document, and whether it is its component's first."""
     narrow_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     info = materialize(docs.select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(_sets, "doc_id long, n long, sh long, th long"), "jaccard-sets")
-    nodes = materialize(info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n").alias("n")), "jaccard-nodes")
+    nodes = materialize(info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("n").alias("n")), "jaccard-nodes")
     # Slices of a band follow the number of its keys: one row a band.
     width = {int(r["n"]): int(r["c"]) for r in nodes.groupBy(F.floor(F.log(DEN / NUM, F.col("n"))).alias("n")).agg(F.sum("n").alias("c")).collect()}
     per_band: dict[int, int] = {}
@@ -359,7 +359,17 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 6
         links = links.unionByName(verify(materialize(sized(cross.join(tried, ["x", "y"], "left_anti")), "jaccard-cross"), texts))
         label = components(links)
 
-    named = nodes.select("sh", "low").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
-    ids = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    comp = materialize(named.join(ids, "label").select("sh", "component_id"), "jaccard-components")
-    return info.join(comp, "sh", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.select("sh", "low", "rep").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
+    ids = named.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("first"))
+    comp = materialize(named.select("sh", "label").join(ids, "label").select("sh", "component_id", "first"), "jaccard-components")
+    is_first = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    return info.join(comp, "sh", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), is_first.alias("is_first"))
+
+
+def keep_first(documents: DataFrame, **params) -> DataFrame:
+    """documents with one row of each component; rows with an empty set all stay, repeated rows collapse."""
+    first = near_duplicates(documents, **params).where("is_first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    first = materialize(first, "jaccard-first")
+    names = documents.columns
+    hashed = documents.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return hashed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))).dropDuplicates(["_id", "_th"]).select(*names)

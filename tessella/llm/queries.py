@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, pieces, preference, sharding, suffix_dedup
+from . import ann, decontaminate, jaccard, lm, pieces, preference, sharding, suffix_dedup
 from . import binary_tokens as tokens_
 from . import toxicity as toxicity_
 from .common import table
@@ -32,7 +32,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("rid")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output, op10_lm_scoring)}
 ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}

@@ -280,7 +280,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(pos, pa.int32()), pa.array(ids, pa.int64())], ["rid", "p", "ctx"])
 
 
-_CUT = "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "rid long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _cut(keep_text: bool):
@@ -302,9 +302,9 @@ def _cut(keep_text: bool):
                         gone += b - at
                         at = b
                 rest = b"".join([*kept, raw[at:]])
-                for c, v in zip(cols, (gone, runs, hashlib.sha256(rest).hexdigest(), rest if keep_text else None), strict=True):
+                for c, v in zip(cols, (gone, runs, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep_text else None), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], [x.split()[0] for x in _CUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], [x.split()[0] for x in _CUT.split(", ")])
 
     return run
 
@@ -325,16 +325,17 @@ def repeats(documents: DataFrame, rid: str, *, shard_bytes: int = 4 << 20, often
     return spans.select("rid", (F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo") + WIDTH).alias("b"))
 
 
-def remove_repeats(documents: DataFrame, *, keep_text: bool = False, **params) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document (and kept, the remaining bytes)."""
+def remove_repeats(documents: DataFrame, *, keep_text: bool = False, carry: tuple[str, ...] = (), **params) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document (and kept: what remains as text, without bytes of characters cut through)."""
     narrow_batches(documents.sparkSession)
     # Row numbers are fixed by writing them once: (doc_id, text hash, copy) would tie for repeated rows.
-    base = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    kept = [F.col(c) for c in carry]
+    base = documents.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
     base = materialize(base, "dedup-base")
     spans = repeats(base, "rid", **params)
     per_doc = materialize(spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "dedup-spans")
     touched = base.select("rid", "text").join(per_doc, "rid").mapInArrow(_cut(keep_text), _CUT)
     touched = materialize(touched, "dedup-cut")
-    joined = base.select("rid", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"), *["text"] * keep_text).join(touched, "rid", "left")
-    out = joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "rid", *[F.coalesce("kept", F.col("text").cast("binary")).alias("kept")] * keep_text)
+    joined = base.select("rid", "doc_id", *kept, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"), *["text"] * keep_text).join(touched, "rid", "left")
+    out = joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *carry, *[F.coalesce("kept", "text").alias("kept")] * keep_text)
     return out
