@@ -139,7 +139,7 @@ def _index(slices: dict[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slab in slabs(batch.column(0), 4 << 20):
+            for slab in slabs(batch.column(0), 2 << 20):
                 entries, short, seen = {}, {}, set()
                 for s in shingle_sets(slab):
                     sh = set_hash(s)
@@ -211,6 +211,7 @@ def _meet(hot: int):
             slack.append(np.frombuffer(s, np.int32)[r])
             short.append(np.frombuffer(f, np.int64))
         key, doc, room = np.concatenate(keys), np.concatenate(docs), np.concatenate(slack)
+        del keys, docs, slack
         o = np.argsort(key)
         key = key[o]
         again = np.zeros(len(key) + 1, bool)
@@ -306,7 +307,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 600_000) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 300_000) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id of every document, and whether it is its component's first."""
     narrow_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
