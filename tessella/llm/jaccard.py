@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slab, as_long, materialize, mix, narrow_batches, slabs, word_hashes
+from .common import U64, Slab, as_long, discard, materialize, mix, narrow_batches, slabs, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity of at least 3/4
@@ -287,7 +287,9 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 500) -> DataFrame
     ask = dealt.select(F.col("x").alias("hub"), "part", F.lit(1).alias("role"), F.col("y").alias("sh"))
     hubs = dealt.select(F.col("x").alias("hub"), "part").distinct().select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("sh"))
     rows = ask.unionByName(hubs).join(texts, "sh")
-    return materialize(rows.groupBy("hub", "part").applyInArrow(_verify, "x long, y long"), "jaccard-links")
+    links = materialize(rows.groupBy("hub", "part").applyInArrow(_verify, "x long, y long"), "jaccard-links")
+    discard(dealt)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,6 +303,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         after = materialize(small, "cc")
         same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        discard(edges)
         edges = after
         if same:
             break
@@ -334,7 +337,7 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
     texts = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("sh", "text").dropDuplicates(["sh"])
     texts = materialize(texts, "jaccard-texts")
 
-    again = texts.join(short.groupBy("sh").agg(F.collect_set("band").alias("bands")), "sh").select("text", "bands")
+    again = materialize(texts.join(short.groupBy("sh").agg(F.collect_set("band").alias("bands")), "sh").select("text", "bands"), "jaccard-short-texts")
     met2 = meet(again.mapInArrow(_index_short(slices), _BLOCK), "jaccard-met-short")
     size = nodes.select("sh", "n")
     fits = F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM
@@ -344,6 +347,7 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
 
     first = pairs.unionByName(met2.where(F.col("kind") == PAIR).select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     tried = materialize(sized(first), "jaccard-tried")
+    discard(again)
     links = verify(tried, texts)
     label = components(links)
 

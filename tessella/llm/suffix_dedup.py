@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Slab, as_long, materialize, mix, narrow_batches, powers, prefix_hash, slabs, span_hash
+from .common import BASE, U64, Slab, as_long, discard, materialize, mix, narrow_batches, powers, prefix_hash, slabs, span_hash
 
 WIDTH, GRAM = 200, 32
 _POS = (1 << 23) - 1  # positions inside a slab piece
@@ -315,9 +315,11 @@ def repeats(documents: DataFrame, rid: str, *, shard_bytes: int = 4 << 20, often
     marks = materialize(texts.mapInArrow(_anchors, "rid long, h long, p int, most short, least short"), "dedup-anchors")
     number = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > often).alias("often"))
     twice = materialize(marks.join(number, "h"), "dedup-marks")
+    discard(marks)
+    shards = max(1, -(-twice.count() * 300 // shard_bytes))
     per_doc = twice.groupBy("rid").agg(F.collect_list(F.struct("h", "p", "most", "least", "often")).alias("marks"))
     docs = materialize(texts.join(per_doc, "rid"), "dedup-texts")
-    shards = max(1, -(-twice.count() * 300 // shard_bytes))
+    discard(twice)
     met = docs.select("text", "marks").mapInArrow(_contexts(shards), _CONTEXT)
     hits = materialize(met.groupBy("shard").applyInArrow(_shard, _REPEATS), "dedup-repeats")
     at = docs.mapInArrow(_marks, "rid long, p int, ctx long")
