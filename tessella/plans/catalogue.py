@@ -1,10 +1,263 @@
-"""Named queries and their SQL counterparts."""
+"""Named queries and their independent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import constants as K
+from ..functions import html as H
+from ..functions import names, recover, scores
+from ..functions import text as T
+from ..functions import url as U
+from ..operators import dedupe, linkage, navigation, windows
+from ..session import ship
+from . import marts
+from .marts import read
+from .oracles import ORACLES  # noqa: F401 - part of this module's surface
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "pages")
+
+
+def _url(**cols) -> Query:
+    """A query that adds url features to page_id."""
+    return lambda s, d: _pages(s, d).select("page_id", *[f(F.col("url")).alias(n) for n, f in cols.items()])
+
+
+def url_parts(s: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return _pages(s, d).select("page_id", U.scheme(u).alias("scheme"), U.host(u).alias("host"), U.path(u).alias("path"), U.query(u).alias("query"))
+
+
+def same_site_pairs(s: SparkSession, d: str) -> DataFrame:
+    sites = _pages(s, d).groupBy(U.registrable(F.col("url")).alias("site")).agg(F.count("*").alias("n"))
+    return sites.select("site", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+
+
+def years_in_text(s: SparkSession, d: str) -> DataFrame:
+    y = T.years(F.concat_ws(" ", "url", F.lit("2019 x 1985 2024")))
+    return _pages(s, d).select("page_id", F.array_join(y.cast("array<string>"), ",").alias("years"))
+
+
+def _joined(f, table: str, key: str, col: str) -> Query:
+    return lambda s, d: read(s, d, table).select(key, F.array_join(F.array_sort(F.array_distinct(f(F.col(col)))), ",").alias("tokens"))
+
+
+def top_focus_tokens(s: SparkSession, d: str) -> DataFrame:
+    t = read(s, d, "documents").select("lang", F.explode(F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: (F.length(x) >= 3) & ~x.isin(K.STOPWORDS))).alias("token"))
+    counts = t.groupBy("lang", "token").agg(F.count("*").alias("n"))
+    return dedupe.first_by(counts, ["lang"], [F.desc("n"), F.col("token")], 50)
+
+
+def segments_overlap(s: SparkSession, d: str) -> DataFrame:
+    w = read(s, d, "documents").select("doc_id", F.explode(T.windows(F.col("text"))).alias("w"))
+    return w.select("doc_id", F.col("w.start").alias("start"), F.length("w.text").alias("n"), F.md5(F.col("w.text").cast("binary")).alias("md5"))
+
+
+def paragraph_blocks(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n{2,}"), lambda p: F.length(p) >= 30)).alias("blocks"))
+
+
+def page_fingerprint_seen(s: SparkSession, d: str) -> DataFrame:
+    x = read(s, d, "documents").select("doc_id", "source", F.sha2(F.substring("text", 1, 12000), 256).alias("fp"))
+    return dedupe.seen_before(x, F.col("fp"), [F.col("doc_id")]).select("doc_id", "fp", "seen")
+
+
+def candidate_first_seen(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.first_by(read(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.col("event_id")])
+
+
+def best_score_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.first_by(read(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], [F.desc("value"), F.col("event_id")])
+
+
+def longest_text_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.first_by(read(s, d, "documents").select("source", "lang", "doc_id", "n_chars"), ["source", "lang"], [F.desc("n_chars"), F.col("doc_id")])
+
+
+def last_value_dedupe(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.last_value(read(s, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+def name_keys(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("Dr. "), F.translate("c_name", "#", " "), F.lit(", MD, PhD"))
+    key = names.name_key_ascii(name)
+    return read(s, d, "customer").select("c_custkey", key.alias("name_key"), names.variant_key(key, F.lit("MD"), F.col("c_mktsegment"), F.lit(None).cast("string")).alias("variant"))
+
+
+def _people(s: SparkSession, d: str) -> DataFrame:
+    """Synthetic names (first and last name from two small lists, some with a letter doubled) on customer rows."""
+    c = read(s, d, "customer")
+    first = F.element_at(F.array(*[F.lit(x) for x in ("Anna", "Bruno", "Carla", "David", "Elena", "Felix", "Greta")]), (F.col("c_custkey") % 7 + 1).cast("int"))
+    last = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Berg", "Castell", "Dorn", "Ebner", "Falk", "Grau", "Hart", "Imhof", "Jung", "Kern", "Lang")]), (F.col("c_custkey") % 11 + 1).cast("int")), F.lpad((F.floor(F.col("c_custkey") / 154) % 90).cast("string"), 2, "0"))
+    odd = F.when(F.col("c_custkey") % 154 >= 77, F.concat(last, F.lit("x"))).otherwise(last)
+    return c.select(F.col("c_custkey").alias("id"), F.concat_ws(" ", first, odd).alias("full_name"), F.lower(F.concat_ws(" ", first, odd)).alias("name_key"), F.lit("MD").alias("designation"), F.col("c_mktsegment").alias("affiliation"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("location"), F.col("c_mktsegment").alias("specialty"), F.lit("https://example.org/x").alias("profile_url"))
+
+
+def fuzzy_pairs(s: SparkSession, d: str) -> DataFrame:
+    return linkage.candidate_pairs(_people(s, d)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def merge_people(s: SparkSession, d: str) -> DataFrame:
+    return linkage.merge_close(_people(s, d)).where("id != target")
+
+
+def name_canonical(s: SparkSession, d: str) -> DataFrame:
+    ship(s)
+    p = _people(s, d).select("id", names.canonical_person_udf(F.concat(F.lit("HIV treatment "), "full_name", F.lit(", MD")), F.lit(None).cast("string"), F.lit("chair")).alias("p"))
+    return p.select("id", "p.full_name", "p.designation", F.array_join("p.aliases", "|").alias("aliases"), "p.is_valid")
+
+
+def page_intent(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", T.page_intent(F.concat(F.lit("https://x.org/"), "source"), F.lit(""), F.substring("text", 1, 400), F.when(F.col("doc_id") % 50 == 0, "pdf").otherwise("html")).alias("intent"))
+
+
+def link_keyword_score(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "part").select("p_partkey", U.contains_any(F.lower("p_type"), ["promo", "standard"]).alias("hit"), scores.keyword_score(F.lower(F.concat_ws(" ", "p_name", F.lit("program speakers"))), K.LINK_WEIGHTS).alias("score"))
+
+
+def template_diverse_topk(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d).select("page_id", U.registrable(F.col("url")).alias("site"), U.prefix(F.col("url"), 1).alias("template"), (F.length("html") % 97).cast("int").alias("score"))
+    return navigation.diverse_top(p, "site", "template", [F.desc("score"), F.col("page_id")], 5)
+
+
+def branch_yield(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").groupBy("user_id").agg(*[F.count_if(F.col("event_type") == t).alias(t) for t in ("view", "click", "signup", "purchase", "error")])
+    return e.select("user_id", F.round(scores.branch_yield(F.col("view"), F.col("click"), F.col("signup"), F.col("purchase"), F.col("error"), F.col("purchase")), 9).alias("yield"))
+
+
+def memory_score(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("v"), F.count_if(F.col("event_type") == "click").alias("sh"), F.count_if(F.col("event_type") == "purchase").alias("ah"), F.max("event_id").alias("last"))
+    age = (F.lit(20000) - F.col("last")) / 100.0
+    return e.select("user_id", F.round(scores.memory(F.col("v"), F.col("sh"), F.col("ah"), F.col("v") % 5, age), 9).alias("score"))
+
+
+def enqueue_priority(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", (F.col("value") % 1.0).alias("llm"), (F.col("user_id") % 10 / 10.0).alias("mem"), scores.novelty(F.col("event_id") % 7 == 0, F.col("event_id") % 9).alias("nov"), (F.col("user_id") % 4 / 4.0).alias("yld"), (F.col("event_id") % 5).alias("depth"))
+    delta = scores.year_delta(F.array((F.lit(2010) + F.col("depth") * 4).cast("int")), 2022)
+    return e.select("event_id", F.round(scores.enqueue_priority(F.col("llm"), F.col("mem"), F.col("nov"), F.col("yld"), F.col("depth"), delta), 9).alias("priority"))
+
+
+def rolling_yield_budget(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", "user_id", (F.col("event_type") == "click").cast("int").alias("cand"), (F.col("event_type") == "purchase").cast("int").alias("app"))
+    return windows.budget(e, "cand", "app", ["user_id"], "event_id").select("event_id", "expands", "budget")
+
+
+def novelty_zero_windows(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", "user_id", "event_type")
+    return windows.zero_windows(e, (F.col("event_type") == "signup").cast("int"), ["user_id"], "event_id").select("event_id", "novel", "zero_windows", "stops")
+
+
+def zero_streaks(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", "user_id", "event_type")
+    return windows.streak(e, F.col("event_type") == "click", ["user_id"], "event_id", "streak").select("event_id", "streak")
+
+
+def minute_rate(s: SparkSession, d: str) -> DataFrame:
+    return windows.minute_rate(read(s, d, "events"), ["event_type"], "ts", 2).select("event_id", "in_minute", "over_limit")
+
+
+def template_cluster_growth(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d).select("page_id", U.host(F.col("url")).alias("host"), U.template_full(F.col("url")).alias("template"))
+    return windows.distinct_so_far(p, F.col("host"), ["template"], "page_id", "cluster").select("page_id", "cluster")
+
+
+def branch_running_totals(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", "user_id", (F.col("event_type") == "click").cast("int").alias("c"))
+    return windows.rolling_sum(e, F.col("c"), ["user_id"], "event_id", 1 << 30, "clicks").select("event_id", "clicks")
+
+
+def heading_carry_forward(s: SparkSession, d: str) -> DataFrame:
+    c = read(s, d, "conversations").select("conv_id", "turn", "role")
+    return windows.carry_forward(c, F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], "turn", "heading").select("conv_id", "turn", "heading")
+
+
+def stall_ticks(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", "user_id", "event_type").withColumn("was", F.lag("event_type").over(_w("user_id", "event_id")))
+    return windows.streak(e, ~F.col("event_type").eqNullSafe(F.col("was")), ["user_id"], "event_id", "ticks").select("event_id", "ticks")
+
+
+def _w(key: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy(order)
+
+
+def attribution_year_ladder(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d).select("page_id", T.years(F.col("url")).alias("in_url"), T.years(H.title(F.col("html"))).alias("in_title"), (F.col("page_id") % 3 + 2020).cast("int").alias("known"))
+    return p.select("page_id", F.coalesce(F.try_element_at("in_url", F.lit(-1)), F.try_element_at("in_title", F.lit(-1)), "known").alias("year"), F.round(scores.confidence_min(F.col("page_id") % 10 / 10.0, F.lit(None).cast("double")), 6).alias("confidence"))
+
+
+def unique_links_union(s: SparkSession, d: str) -> DataFrame:
+    p = _pages(s, d).select(U.registrable(F.col("url")).alias("site"), F.explode(H.links(F.col("html"))).alias("l"))
+    return p.groupBy("site").agg(F.count_distinct(F.trim("l.href")).alias("links"))
+
+
+def internal_links(s: SparkSession, d: str) -> DataFrame:
+    return navigation.internal_links(_pages(s, d).select("page_id", "url", "html"), 60)
+
+
+def nav_scores(s: SparkSession, d: str) -> DataFrame:
+    return navigation.scored_links(_pages(s, d).select("page_id", "url", "html"), 8)
+
+
+def heuristic_speakers(s: SparkSession, d: str) -> DataFrame:
+    rows = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("Our guest Anna Berg"), F.element_at(F.array(F.lit("man"), F.lit("ström"), F.lit("er")), (F.col("c_custkey") % 3 + 1).cast("int")), F.lit(", M.D. speaks with Dr. Carl Dorn in "), F.col("c_mktsegment")).alias("text"))
+    return navigation.heuristic_people(rows)
+
+
+def llm_json_recovery(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, "Here: ```json\n").when(F.col("event_id") % 3 == 1, "").otherwise("note "), F.col("props"), F.when(F.col("event_id") % 3 == 0, "\n```").otherwise("")).alias("reply"))
+    return e.select("event_id", F.get_json_object(recover.json_object(F.col("reply")), "$.k").cast("int").alias("k"))
+
+
+def frontier_crawl(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import frontier
+
+    return frontier.crawl(frontier.link_graph(_pages(s, d)), depth=4, pages=60, batch=20)
+
+
+def stream_heartbeat(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming import events
+
+    return events.heartbeat_batch(read(s, d, "events"))
+
+
+def stream_template_memory(s: SparkSession, d: str) -> DataFrame:
+    from ..streaming import events
+
+    return events.template_memory_batch(read(s, d, "events"))
+
+
+_TEXT_SHA = lambda f: lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(f(F.col("text")), 256).alias("sha"))
+
+QUERIES: dict[str, Query] = {
+    **{f.__name__: f for f in (marts.overview_by_grain, marts.overview_totals, marts.speaker_sums_json, marts.event_stage_counts, marts.link_events_by_year, marts.filtered_event_counts, marts.conference_totals, marts.year_group_cards, marts.person_cards, marts.nested_people_list, marts.people_filtered, marts.token_or_search, marts.run_list_newest, marts.event_cursor_page, marts.latest_snapshot, marts.run_summary, marts.run_status, marts.latest_artifact, marts.backfill_join, marts.backup_closure, marts.insert_if_absent, marts.completion_anti_join, marts.artifact_unpivot, marts.kpi_sort)},
+    "url_parts": url_parts,
+    "url_canonical": _url(canonical=U.canonical),
+    "url_canonical_interaction": _url(canonical=U.canonical_interaction),
+    "url_canonical_reasoner": _url(canonical=U.canonical_reasoner),
+    "url_registrable": _url(domain=U.registrable),
+    "url_template": _url(full=U.template_full, hint=U.template_hint, key=U.template_key),
+    "url_branch": _url(branch=U.branch, prefix=U.prefix, section=U.primary_section),
+    "url_category": _url(category=U.source_category, method=U.fetch_method, pdf=U.is_pdf_like, valid=U.is_valid),
+    "url_event_name": _url(event=U.event_name),
+    "content_type": lambda s, d: _pages(s, d).select("page_id", U.content_type(F.when(F.col("page_id") % 4 == 0, "Application/PDF").when(F.col("page_id") % 4 == 1, "text/json").when(F.col("page_id") % 4 == 2, "image/png"), F.col("url")).alias("kind")),
+    "nav_tokens": _joined(T.nav_tokens, "pages", "page_id", "url"),
+    "stem_tokens": _joined(T.stem_tokens, "part", "p_partkey", "p_name"),
+    "clean_text": _TEXT_SHA(lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
+    "keep_lines": _TEXT_SHA(T.keep_lines),
+    "sanitize_lines": _TEXT_SHA(T.sanitize_lines),
+    "page_title": lambda s, d: _pages(s, d).select("page_id", H.title(F.col("html")).alias("title")),
+    "headings": lambda s, d: _pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
+    "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
+    "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
+    "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+}
