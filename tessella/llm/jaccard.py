@@ -14,7 +14,8 @@ nothing else.  The others ("short" sets) are indexed again with the one-deletion
 neighbourhoods of all their segments; a set that even this leaves short is indexed
 on a finer cut.  The members of a key are compared with one hub first; members that
 stay in different components are then compared across components, so no component
-is lost and no group is expanded into all its pairs.  Every candidate is verified on the sets.
+is lost and no group is expanded into all its pairs.  Pairs whose parity sketches differ in more
+bits than a link allows differences are dropped; all others are verified on the sets.
 
 Keys travel packed in binary blocks per (band, slice), so the index shuffles about
 seven bytes a key.  Equal sets are one node throughout.
@@ -253,14 +254,83 @@ def _meet(hot: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the set's elements in at least two buckets an element: differing bits never outnumber |X ^ Y|."""
+    m = 1 << min(16, max(8, int(2 * len(s)).bit_length()))
+    return np.packbits(np.bincount((s & U64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def close(a: list[bytes], b: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Whether the sketches of each pair leave room for a link; n: the sum of the two sizes."""
+    out = np.zeros(len(n), bool)
+    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for wa, wb in np.unique(size, axis=0):
+        rows = np.flatnonzero((size[:, 0] == wa) & (size[:, 1] == wb))
+        w = min(wa, wb)
+        for i in range(0, len(rows), max(1, (1 << 24) // max(wa, wb))):
+            at = rows[i : i + max(1, (1 << 24) // max(wa, wb))]
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(s[j] for j in at), np.uint8).reshape(len(at), -1, w), axis=1) for s in (a, b))
+            out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n[at] * (DEN - NUM) // (DEN + NUM)
+    return out
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, sizes, sketches): the pairs that sizes and sketches leave."""
+    for batch in batches:
+        nx, ny = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+        fits = np.flatnonzero(np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM)
+        some = batch.take(pa.array(fits))
+        ok = close(some.column(4).to_pylist(), some.column(5).to_pylist(), (nx + ny)[fits]) if len(fits) else np.zeros(0, bool)
+        yield some.select([0, 1]).filter(pa.array(ok))
+
+
+def _cross(group: pa.Table) -> pa.Table:
+    """Members of keys (sketch null) and sketches of a part: close pairs of different components."""
+    is_node = np.asarray(group["sketch"].is_valid())
+    nodes = group.filter(pa.array(is_node))
+    who, n, marks = np.asarray(nodes["sh"]), np.asarray(nodes["n"]), nodes["sketch"].to_pylist()
+    o = np.argsort(who)
+    rows = group.filter(pa.array(~is_node))
+    key, label = np.asarray(rows["key"]), np.asarray(rows["n"])
+    at = o[np.searchsorted(who[o], np.asarray(rows["sh"]))]
+    o = np.lexsort((at, key))
+    key, label, at = key[o], label[o], at[o]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    found, held, count = [], [], 0
+
+    def flush() -> None:
+        nonlocal held, count
+        if held:
+            p = np.unique(np.concatenate(held), axis=0)
+            fits = np.minimum(n[p[:, 0]], n[p[:, 1]]) * DEN >= np.maximum(n[p[:, 0]], n[p[:, 1]]) * NUM
+            p = p[fits]
+            found.append(p[close([marks[i] for i in p[:, 0]], [marks[i] for i in p[:, 1]], n[p[:, 0]] + n[p[:, 1]])] if len(p) else p)
+        held, count = [], 0
+
+    for a, b in zip(first, [*first[1:], len(key)], strict=True):
+        for i in range(a, b, 512):  # a long list meets itself block by block
+            for j in range(i, b, 512):
+                x, y = np.nonzero(label[i : min(i + 512, b), None] != label[None, j : min(j + 512, b)])
+                pair = np.sort(np.stack([at[i + x], at[j + y]], 1), axis=1)
+                held.append(pair)
+                count += len(pair)
+                if count > 200_000:
+                    flush()
+    flush()
+    p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    x, y = who[p[:, 0]], who[p[:, 1]]
+    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, sh = [], []
+        n, sh, marks = [], [], []
         for slab in slabs(batch.column(1)):
             for s in shingle_sets(slab):
                 n.append(len(s))
                 sh.append(set_hash(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sh, pa.int64()), batch.column(2)], ["doc_id", "n", "sh", "th"])
+                marks.append(sketch(s))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sh, pa.int64()), batch.column(2), pa.array(marks, pa.binary())], ["doc_id", "n", "sh", "th", "sketch"])
 
 
 def _verify(group: pa.Table) -> pa.Table:
@@ -314,8 +384,8 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
     """doc_id, th (hash of the text), n_shingles, component_id of every document, and whether it is its component's first."""
     narrow_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    info = materialize(docs.select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(_sets, "doc_id long, n long, sh long, th long"), "jaccard-sets")
-    nodes = materialize(info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("n").alias("n")), "jaccard-nodes")
+    info = materialize(docs.select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(_sets, "doc_id long, n long, sh long, th long, sketch binary"), "jaccard-sets")
+    nodes = materialize(info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "jaccard-nodes")
     # Slices of a band follow the number of its keys: one row a band.
     width = {int(r["n"]): int(r["c"]) for r in nodes.groupBy(F.floor(F.log(DEN / NUM, F.col("n"))).alias("n")).agg(F.sum("n").alias("c")).collect()}
     per_band: dict[int, int] = {}
@@ -339,14 +409,14 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
 
     again = materialize(texts.join(short.groupBy("sh").agg(F.collect_set("band").alias("bands")), "sh").select("text", "bands"), "jaccard-short-texts")
     met2 = meet(again.mapInArrow(_index_short(slices), _BLOCK), "jaccard-met-short")
-    size = nodes.select("sh", "n")
-    fits = F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM
+    size = nodes.select("sh", "n", "sketch")
 
-    def sized(p: DataFrame) -> DataFrame:
-        return p.join(size.select(F.col("sh").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("sh").alias("y"), F.col("n").alias("ny")), "y").where(fits).select("x", "y")
+    def screened(p: DataFrame) -> DataFrame:
+        both = p.join(size.select(F.col("sh").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x").join(size.select(F.col("sh").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
+        return both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_screen, "x long, y long")
 
     first = pairs.unionByName(met2.where(F.col("kind") == PAIR).select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = materialize(sized(first), "jaccard-tried")
+    tried = materialize(screened(first), "jaccard-tried")
     discard(again)
     links = verify(tried, texts)
     label = components(links)
@@ -358,10 +428,14 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
     at = member.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
     open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
     at = materialize(at.join(open_, "key", "left_semi"), "jaccard-open")
-    if not at.isEmpty():
-        a, b = at.select("key", F.col("sh").alias("p"), F.col("label").alias("lp")), at.select("key", F.col("sh").alias("q"), F.col("label").alias("lq"))
-        cross = a.join(b, "key").where("lp < lq").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-        links = links.unionByName(verify(materialize(sized(cross.join(tried, ["x", "y"], "left_anti")), "jaccard-cross"), texts))
+    rows = at.count()
+    if rows:
+        # Each part of the keys gets every sketch it needs once; pairs that sketches rule out never leave it.
+        part = F.pmod(F.xxhash64("key"), F.lit(-(-rows // 150_000)))
+        lists = at.select(part.alias("part"), "key", "sh", F.col("label").alias("n"), F.lit(None).cast("binary").alias("sketch"))
+        marks = lists.select("part", "sh").distinct().join(size, "sh").select("part", F.lit(0).cast("long").alias("key"), "sh", "n", "sketch")
+        cross = lists.unionByName(marks).groupBy("part").applyInArrow(_cross, "x long, y long").distinct()
+        links = links.unionByName(verify(materialize(cross.join(tried, ["x", "y"], "left_anti"), "jaccard-cross"), texts))
         label = components(links)
 
     named = nodes.select("sh", "low", "rep").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
