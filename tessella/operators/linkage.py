@@ -72,7 +72,7 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 def merge_close(people: DataFrame) -> DataFrame:
     """(id, target) of every record that takes part in a candidate pair."""
     grp = groups(candidate_pairs(people))
-    return people.select("id", "name_key", *FIELDS).join(grp, "id").groupBy("grp").applyInPandas(lambda g: _fold(g), "id long, target long")
+    return people.select("id", "name_key", *FIELDS).join(grp, "id").groupBy("grp").applyInPandas(_fold, "id long, target long")
 
 
 def rekey(rows: DataFrame, column: str, mapping: DataFrame, unique: list[str]) -> DataFrame:
