@@ -108,6 +108,30 @@ def merge_people(s: SparkSession, d: str) -> DataFrame:
     return linkage.merge_close(_people(s, d)).where("id != target")
 
 
+def resolve_people(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import resolve
+
+    return resolve.resolve(_people(s, d))
+
+
+def best_name_match(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import resolve
+
+    p = _people(s, d)
+    return resolve.best_match(p.where("id % 2 = 1"), p.where("id % 2 = 0")).select("id", "match", F.round("score", 6).alias("score"))
+
+
+def gatekeeper_split(s: SparkSession, d: str) -> DataFrame:
+    """Links with a gatekeeper word and enough confidence; the first link where a site has none."""
+    from pyspark.sql import Window
+
+    p = _pages(s, d).select("page_id", U.registrable(F.col("url")).alias("site"), T.loose_tokens(F.col("url"), F.when(F.col("page_id") % 9 == 0, "program")).alias("t"), (F.col("page_id") % 10 / 10.0).alias("c"))
+    marked = p.withColumn("g", T.is_gatekeeper(F.col("t"), F.col("c")))
+    w = Window.partitionBy("site")
+    first = F.row_number().over(w.orderBy("page_id")) == 1
+    return marked.select("page_id", (F.col("g") | (~F.max("g").over(w) & first)).alias("gatekeeper"))
+
+
 def name_canonical(s: SparkSession, d: str) -> DataFrame:
     ship(s)
     p = _people(s, d).select("id", names.canonical_person_udf(F.concat(F.lit("HIV treatment "), "full_name", F.lit(", MD")), F.lit(None).cast("string"), F.lit("chair")).alias("p"))
@@ -259,5 +283,5 @@ QUERIES: dict[str, Query] = {
     "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }
