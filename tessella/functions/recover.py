@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _first(candidates: list[Column], shape: str) -> Column:
-    tries = [F.when(F.try_parse_json(c).isNotNull() & F.trim(c).startswith(shape[0]), F.trim(c)) for c in candidates]
+    bare = [F.regexp_replace(c, r"^\s+|\s+$", "") for c in candidates]
+    tries = [F.when(F.try_parse_json(c).isNotNull() & c.startswith(shape[0]), c) for c in bare]
     return F.coalesce(*tries)
 
 
