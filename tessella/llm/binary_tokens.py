@@ -313,6 +313,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     `files` has one row a shard; the running sum over it is the only ordered step.
     """
     spark = files.sparkSession
+    if files.isEmpty():
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     before = files.select("file", (F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")).alias("before"))
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.twm").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 

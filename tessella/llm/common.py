@@ -43,13 +43,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cut lineage, measured size, recoverable."""
+def materialize(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cut lineage, measured size, recoverable.
+
+    small: its shuffles are not worth a garbage collection on the driver right away.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    release(spark)
+    if not small:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
@@ -63,6 +67,18 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Column names that are not taken."""
+    low = {n.lower() for n in names}
+    out = []
+    for w in wanted:
+        while w.lower() in low:
+            w += "_"
+        low.add(w.lower())
+        out.append(w)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -89,9 +89,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW) ->
 def clean(documents: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """documents without those that contain a window."""
     names = documents.columns
-    docs = documents.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = find_hits(keyed(documents), benchmark, **params).select(F.col("doc_id").alias("_id"), F.col("h").alias("_th"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(*names)
+    h, i, th = fresh(names, "_h", "_id", "_th")
+    docs = documents.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = find_hits(keyed(documents), benchmark, **params).select(F.col("doc_id").alias(i), F.col("h").alias(th))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(th)), "left_anti").select(*names)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, **params) -> DataFrame:

@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slab, as_long, discard, materialize, mix, narrow_batches, slabs, word_hashes
+from .common import U64, Slab, as_long, discard, fresh, materialize, mix, narrow_batches, slabs, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity of at least 3/4
 HOT = 24
-SLACK = 1.12
+LONG = 48  # longer member lists are compared as one set of members
+SLACK = 1.35
 BANDS = [1]
 while BANDS[-1] < 1 << 40:
     BANDS.append(BANDS[-1] * DEN // NUM + 1)
@@ -71,10 +72,10 @@ def shingle_sets(slab: Slab) -> list[np.ndarray]:
         if b - a >= SHINGLE:
             out.append(np.unique(full[a : b - SHINGLE + 1]))
         elif b > a:
-            v = U64(b - a)
+            v = np.array([b - a], U64)
             for w in h[a:b]:
-                v = mix(np.array([v * step + w], U64))[0]
-            out.append(np.array([v], U64))
+                v = mix(v * step + w)
+            out.append(v)
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -260,18 +261,32 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & U64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
 
 
-def close(a: list[bytes], b: list[bytes], n: np.ndarray) -> np.ndarray:
-    """Whether the sketches of each pair leave room for a link; n: the sum of the two sizes."""
-    out = np.zeros(len(n), bool)
-    size = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
-    for wa, wb in np.unique(size, axis=0):
-        rows = np.flatnonzero((size[:, 0] == wa) & (size[:, 1] == wb))
-        w = min(wa, wb)
-        for i in range(0, len(rows), max(1, (1 << 24) // max(wa, wb))):
-            at = rows[i : i + max(1, (1 << 24) // max(wa, wb))]
-            x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(s[j] for j in at), np.uint8).reshape(len(at), -1, w), axis=1) for s in (a, b))
-            out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n[at] * (DEN - NUM) // (DEN + NUM)
-    return out
+class Sketches:
+    """Sketches by width, compared in blocks."""
+
+    def __init__(self, marks: list[bytes]) -> None:
+        self.width = np.array([len(m) for m in marks], np.int64)
+        self.row = np.zeros(len(marks), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width):
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.rows[int(w)] = np.frombuffer(b"".join(marks[k] for k in at), U64).reshape(len(at), -1)
+
+    def close(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the sketches of pairs (a, b) leave room for a link; n: the sum of the two sizes."""
+        out = np.zeros(len(n), bool)
+        kind = self.width[a] << 20 | self.width[b]
+        for k in np.unique(kind):
+            wa, wb = int(k >> 20), int(k & ((1 << 20) - 1))
+            rows, w = np.flatnonzero(kind == k), min(wa, wb) // 8
+            step = max(1, (1 << 21) // max(wa, wb) * 8)
+            for i in range(0, len(rows), step):
+                at = rows[i : i + step]
+                x, y = (m[r].reshape(len(at), -1, w) for m, r in ((self.rows[wa], self.row[a[at]]), (self.rows[wb], self.row[b[at]])))
+                x, y = (np.bitwise_xor.reduce(v, axis=1) if v.shape[1] > 1 else v[:, 0] for v in (x, y))
+                out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n[at] * (DEN - NUM) // (DEN + NUM)
+        return out
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +295,8 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nx, ny = np.asarray(batch.column(2)), np.asarray(batch.column(3))
         fits = np.flatnonzero(np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM)
         some = batch.take(pa.array(fits))
-        ok = close(some.column(4).to_pylist(), some.column(5).to_pylist(), (nx + ny)[fits]) if len(fits) else np.zeros(0, bool)
+        k = np.arange(len(fits))
+        ok = Sketches(some.column(4).to_pylist() + some.column(5).to_pylist()).close(k, k + len(fits), (nx + ny)[fits]) if len(fits) else np.zeros(0, bool)
         yield some.select([0, 1]).filter(pa.array(ok))
 
 
@@ -296,29 +312,43 @@ def _cross(group: pa.Table) -> pa.Table:
     o = np.lexsort((at, key))
     key, label, at = key[o], label[o], at[o]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    found, held, count = [], [], 0
-
-    def flush() -> None:
-        nonlocal held, count
-        if held:
-            p = np.unique(np.concatenate(held), axis=0)
-            fits = np.minimum(n[p[:, 0]], n[p[:, 1]]) * DEN >= np.maximum(n[p[:, 0]], n[p[:, 1]]) * NUM
-            p = p[fits]
-            found.append(p[close([marks[i] for i in p[:, 0]], [marks[i] for i in p[:, 1]], n[p[:, 0]] + n[p[:, 1]])] if len(p) else p)
-        held, count = [], 0
-
-    for a, b in zip(first, [*first[1:], len(key)], strict=True):
-        for i in range(a, b, 512):  # a long list meets itself block by block
-            for j in range(i, b, 512):
-                x, y = np.nonzero(label[i : min(i + 512, b), None] != label[None, j : min(j + 512, b)])
-                pair = np.sort(np.stack([at[i + x], at[j + y]], 1), axis=1)
-                held.append(pair)
-                count += len(pair)
-                if count > 200_000:
-                    flush()
-    flush()
-    p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    x, y = who[p[:, 0]], who[p[:, 1]]
+    size = np.diff(np.append(first, len(key)))
+    book, base = Sketches(marks), len(who)
+    done = np.zeros(0, np.int64)  # pairs looked at, as smaller * base + larger
+    found = []
+
+    def look(x: np.ndarray, y: np.ndarray) -> None:
+        """Pairs of places in the lists: those of different components and fitting sizes, once each."""
+        nonlocal done
+        x, y = x[label[x] != label[y]], y[label[x] != label[y]]
+        a, b = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+        fits = np.minimum(n[a], n[b]) * DEN >= np.maximum(n[a], n[b]) * NUM
+        new = np.setdiff1d(np.unique(a[fits] * base + b[fits]), done, assume_unique=True)
+        done = np.union1d(done, new) if len(done) < 5_000_000 else new
+        a, b = new // base, new % base
+        ok = book.close(a, b, n[a] + n[b])
+        found.append(new[ok])
+
+    for k in np.unique(size[size <= LONG]):
+        i, j = np.triu_indices(int(k), 1)
+        lists = first[size == k]
+        step = max(1, 1_000_000 // max(1, len(i)))
+        for c in range(0, len(lists) if len(i) else 0, step):
+            look((lists[c : c + step, None] + i).ravel(), (lists[c : c + step, None] + j).ravel())
+    # Long lists overlap: their members meet once each, in order of size, as far as sizes allow links.
+    long = gather(first[size > LONG], size[size > LONG])
+    if len(long):
+        _, one = np.unique(at[long], return_index=True)
+        one = long[one]
+        one = one[np.argsort(n[at[one]], kind="stable")]
+        sizes = n[at[one]]
+        for i in range(0, len(one), 500):
+            last = int(np.searchsorted(sizes, sizes[min(i + 500, len(one)) - 1] * DEN // NUM, side="right"))
+            for j in range(i, last, 2000):
+                x, y = np.meshgrid(one[i : i + 500], one[j : min(j + 2000, last)], indexing="ij")
+                look(x.ravel(), y.ravel())
+    p = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    x, y = who[p // base], who[p % base]
     return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
 
@@ -353,7 +383,7 @@ def _verify(group: pa.Table) -> pa.Table:
 def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 500) -> DataFrame:
     """Links among pairs (x, y) of set hashes; texts: (sh, text). A hub's partners are dealt out in parts of about per_task."""
     fan = pairs.groupBy("x").agg(F.count("*").alias("_n"))
-    dealt = materialize(pairs.join(fan, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("_n") / per_task)).alias("part")), "jaccard-pairs")
+    dealt = materialize(pairs.join(fan, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.ceil(F.col("_n") / per_task)).alias("part")), "jaccard-pairs", small=True)
     ask = dealt.select(F.col("x").alias("hub"), "part", F.lit(1).alias("role"), F.col("y").alias("sh"))
     hubs = dealt.select(F.col("x").alias("hub"), "part").distinct().select("hub", "part", F.lit(0).alias("role"), F.col("hub").alias("sh"))
     rows = ask.unionByName(hubs).join(texts, "sh")
@@ -364,19 +394,24 @@ def verify(pairs: DataFrame, texts: DataFrame, per_task: int = 500) -> DataFrame
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of every linked node, label the component's smallest node: alternating large-star and small-star."""
-    edges = materialize(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a != b").distinct(), "cc")
-    while True:
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    edges = materialize(links.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a != b").distinct(), "cc", small=True)
+    was = state(edges)
+    while was[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        after = materialize(small, "cc")
-        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        after = materialize(small, "cc", small=True)
+        now = state(after)
         discard(edges)
         edges = after
-        if same:
+        if now == was:
             break
+        was = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -400,7 +435,7 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
 
     met = meet(docs.select("text").mapInArrow(_index(slices), _BLOCK), "jaccard-met")
     counts = met.where(F.col("kind") == HOT_COUNT).groupBy("x", "y").agg(F.sum("z").alias("z"), F.min("w").alias("w")).where("z > w").select("x", "y")
-    short = materialize(counts.unionByName(met.where(F.col("kind") == SHORT).select("x", "y")).distinct().select(F.col("x").alias("sh"), F.col("y").alias("band")), "jaccard-short")
+    short = materialize(counts.unionByName(met.where(F.col("kind") == SHORT).select("x", "y")).distinct().select(F.col("x").alias("sh"), F.col("y").alias("band")), "jaccard-short", small=True)
     pairs = met.where(F.col("kind") == PAIR).select("x", "y")
     needed = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).union(short.select("sh")).distinct()
     reps = nodes.join(needed, "sh", "left_semi").select("sh", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
@@ -416,7 +451,7 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
         return both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_screen, "x long, y long")
 
     first = pairs.unionByName(met2.where(F.col("kind") == PAIR).select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = materialize(screened(first), "jaccard-tried")
+    tried = materialize(screened(first), "jaccard-tried", small=True)
     discard(again)
     links = verify(tried, texts)
     label = components(links)
@@ -427,7 +462,7 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
     member = member.unionByName(others.select(F.col("x").alias("key"), F.col("y").alias("sh"))).distinct()
     at = member.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
     open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    at = materialize(at.join(open_, "key", "left_semi"), "jaccard-open")
+    at = materialize(at.join(open_, "key", "left_semi"), "jaccard-open", small=True)
     rows = at.count()
     if rows:
         # Each part of the keys gets every sketch it needs once; pairs that sketches rule out never leave it.
@@ -435,8 +470,14 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 3
         lists = at.select(part.alias("part"), "key", "sh", F.col("label").alias("n"), F.lit(None).cast("binary").alias("sketch"))
         marks = lists.select("part", "sh").distinct().join(size, "sh").select("part", F.lit(0).cast("long").alias("key"), "sh", "n", "sketch")
         cross = lists.unionByName(marks).groupBy("part").applyInArrow(_cross, "x long, y long").distinct()
-        links = links.unionByName(verify(materialize(cross.join(tried, ["x", "y"], "left_anti"), "jaccard-cross"), texts))
-        label = components(links)
+        late = verify(materialize(cross.join(tried, ["x", "y"], "left_anti"), "jaccard-cross", small=True), texts)
+        if not late.isEmpty():
+            # Only components are joined now: edges between the labels so far.
+            l = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+            ends = late.join(l("x"), "x", "left").join(l("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+            more = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
+            alone = late.select(F.col("x").alias("node")).union(late.select("y")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
+            label = materialize(label.unionByName(alone).join(more, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "jaccard-labels", small=True)
 
     named = nodes.select("sh", "low", "rep").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
     ids = named.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("first"))
@@ -450,5 +491,7 @@ def keep_first(documents: DataFrame, **params) -> DataFrame:
     first = near_duplicates(documents, **params).where("is_first").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
     first = materialize(first, "jaccard-first")
     names = documents.columns
-    hashed = documents.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))).dropDuplicates(["_id", "_th"]).select(*names)
+    h, i, th = fresh(names, "_h", "_id", "_th")
+    hashed = documents.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = first.select(F.col("_id").alias(i), F.col("_th").alias(th))
+    return hashed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(h) == F.col(th))).dropDuplicates([i, th]).select(*names)
