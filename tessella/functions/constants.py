@@ -35,3 +35,11 @@ NON_PERSON = ["conference program", "general guidelines", "eastern standard", "c
 CREDENTIAL_NAME = r"\b([A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,3}),\s*(MD|M\.D\.?|DO|D\.O\.?|OD|O\.D\.?|PhD|Ph\.D\.?|MBBS|NP|PA-C|PA|RN|DNP|PharmD|MPH)\b"
 DOCTOR_NAME = r"\bDr\.?\s+([A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,3})\b"
 CONTEXT_NOISE = ["privacy policy", "terms and conditions", "all rights reserved", "copyright", "cookie policy", "advertisement", "sponsor", "sponsorship", "exhibitor", "exhibit hall", "housing", "hotel", "travel", "venue", "register now", "book your room", "newsletter", "donate", "press release"]
+
+# Sessions and speakers in page text.
+NON_NAME = ["session", "program", "agenda", "abstract", "workshop", "symposium", "moderator", "panel", "prevention", "treatment", "care", "landscape", "services", "service", "delivery", "strategies", "options", "discussion", "join", "login", "log", "membership", "education", "research", "practice", "privacy", "policy", "contact", "home", "event", "events", "resource", "resources", "programming", "explore", "learn", "connect", "guidelines", "compensation", "commercial", "interest", "entity", "bureau", "safety", "time", "central"]
+NON_SESSION = ["join", "login", "log", "membership", "education", "research", "practice", "contact", "home", "search", "events", "event", "resources", "resource", "chat", "guidelines", "compensation", "commercial", "interest", "deadline", "submission", "upload", "instructions"]
+NAME_SHAPE = r"(?:[A-Z]\.\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
+SESSION_WORD = r"(?i)\b(session|keynote|plenary|symposium|workshop|lecture|panel|remarks|address)\b"
+SIGNAL_KEYS = ["speakers", "presenters", "faculty", "sessions", "agenda", "bio", "abstract", "session", "speaker", "presenter"]
+PERSON_KEYS = ["name", "fullName", "full_name", "speaker", "presenter", "speakerName"]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import extract, names, recover, scores
 from ..functions import html as H
-from ..functions import names, recover, scores
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import dedupe, linkage, navigation, windows
@@ -132,6 +132,23 @@ def gatekeeper_split(s: SparkSession, d: str) -> DataFrame:
     return marked.select("page_id", (F.col("g") | (~F.max("g").over(w) & first)).alias("gatekeeper"))
 
 
+def session_pairs(s: SparkSession, d: str) -> DataFrame:
+    first = F.element_at(F.array(F.lit("Anna Berg"), F.lit("Bruno Kern"), F.lit("Carla Dorn")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    text = F.concat(F.lit("Opening session on "), F.lower("c_mktsegment"), F.lit(" for all\n"), first, F.lit(" (City Hospital)\nMenu home login\n"))
+    return extract.pairs_table(read(s, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")))
+
+
+def network_json(s: SparkSession, d: str) -> DataFrame:
+    text = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("speaker"), F.struct(F.col("c_mktsegment").alias("bio")).alias("more"))).alias("sessions")))
+    return extract.nodes_table(read(s, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")))
+
+
+def domain_guard(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a run after its second error are held back."""
+    e = read(s, d, "events").select("event_id", "user_id", (F.col("event_type") == "error").cast("int").alias("bad"))
+    return windows.rolling_sum(e, F.col("bad"), ["user_id"], "event_id", 1 << 30, "errors", inclusive=False).select("event_id", (F.col("errors") >= 2).alias("held_back"))
+
+
 def name_canonical(s: SparkSession, d: str) -> DataFrame:
     ship(s)
     p = _people(s, d).select("id", names.canonical_person_udf(F.concat(F.lit("HIV treatment "), "full_name", F.lit(", MD")), F.lit(None).cast("string"), F.lit("chair")).alias("p"))
@@ -283,5 +300,5 @@ QUERIES: dict[str, Query] = {
     "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

@@ -117,3 +117,15 @@ def test_lcs(a, b):
         for j, y in enumerate(b):
             t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
     assert names.lcs(a, b) == t[-1][-1]
+
+
+def test_session_pairs():
+    from tessella.functions import extract as X
+
+    text = "## Opening plenary session on eyes\n* Anna Berg (City Hospital)\n[Great advances in corneal care](https://x.org/1) Bruno Kern"
+    assert X.session_pairs(text) == [("Great advances in corneal care", "Bruno Kern"), ("Opening plenary session on eyes", "Anna Berg")]
+    assert X.session_pairs("<li><a href='x'>A keynote lecture on light</a> Carla Dorn (Bonn)</li>") == [("A keynote lecture on light", "Carla Dorn")]
+    assert X.session_pairs("Home Login Join\nMembership Policy") == []
+    assert len(X.json_nodes('{"a": [{"speaker": "A", "bio": "b"}, {"speaker": "A", "bio": "b"}], "x": {"name": "B"}}')) == 2
+    assert X.json_nodes("{bad") == []
+    assert X.context_spans("aa bb cc bb dd", "bb", 3, 5) == ["aa bb cc", "cc bb dd"]
