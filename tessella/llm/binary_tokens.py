@@ -164,7 +164,10 @@ def load(blob: bytes) -> tuple[WaveletMatrix, list[int | None], list[int]]:
     return WaveletMatrix(planes, head["n"]), head["doc_ids"], head["lengths"]
 
 
-_CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Letters up to U+024F and ASCII signs: between one of the former and one of the latter the pre-tokeniser always breaks.
+_LETTER, _SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~"
+#: A chunk: white space and letters up to a sign or white space, or white space and all up to the next, or white space.
+_CHUNK = re.compile(rf"[ \t\n\r]*+[{_LETTER}]++(?=[{_SIGN} \t\n\r]|\Z)|[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]++")
 #: White space and separators other than blank, tab, LF and CR: such texts are encoded in one piece.
 _ODD_POINTS = [0x0B, 0x0C, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
 _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]")
@@ -184,8 +187,9 @@ class ChunkEncoder:
     """Encodes with the tokenizers library, once for each distinct white-space-led chunk.
 
     The byte-level pre-tokeniser always breaks between a non-space character and
-    the blank that follows, so a text's ids are its chunks' ids in a row, and
-    chunks put in a row can be encoded in one call and parted by byte lengths.
+    the blank that follows, and between a letter and a sign, so a text's ids are
+    its chunks' ids in a row, and chunks that begin with white space can be put in
+    a row, encoded in one call and parted by byte lengths.
     The first `cache` chunk types seen stay known; others are encoded for their
     batch.  Texts with added-token strings or unusual spaces are encoded whole.
     """
