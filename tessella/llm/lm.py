@@ -10,15 +10,20 @@ Estimates: absolute discounting, interpolated, so that for every history h
     p(w | h) = max(c(hw) - D, 0) / c(h) + bow(h) p(w | h')
     bow(h)   = (c(h) - sum over kept w of (c(hw) - D)) / c(h)
 and the probabilities of a state sum to one whatever is pruned.  An n-gram is kept
-if its count reaches ``min_count``, which is raised (doubled) until at most
-``max_ngrams`` n-grams are left; with that bound the automaton is broadcast.  Its
-words are those with a count of at least ``word_count``, raised alike until at
-most ``max_words`` are left.  All other words are never dropped: they back off to
-the unigram state, and their exact counts are joined by word.
-
-Scoring is one left-to-right pass: texts are cut into pieces that start from the
-state their last two tokens lead to, all pieces advance together, and states are
-numpy arrays carried from token to token.
+if its count reaches ``min_count`` and all its words have a count of at least
+``word_count``; both floors are the same at every size.  No word is dropped: the
+others back off to the unigram state.
+
+The automaton is kept as tables, partitioned by n-gram, not as one object, so its size
+is not bounded by an executor.  A path's log-probability is a sum of one value for
+each word, kept bigram and kept trigram of a text:
+    word w         unigram(w) + bow(w)
+    bigram ab      p(b | a) over what its backoff gives, + bow(ab)
+    trigram abc    p(c | ab) over what its backoff gives
+which is what `traverse` adds up arc by arc (see the tests).  Scoring looks up the
+n-grams of a text in a broadcast part that holds the values of frequent ones, at most
+``hot_words`` and ``hot_ngrams``; all the rest are joined with the tables.  A bitmap of
+fixed size spares n-grams that are surely not kept the way; it has no say in results.
 
 Defined results: null text is the empty text and has the end token only; null
 doc_id counts as the empty id for the folds; repeated rows count and score each;
@@ -62,6 +67,12 @@ def _counted(h: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np
     return u, np.bincount(inv, c, len(u)).astype(np.int64)
 
 
+def _sliced(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Small batches: the JVM holds each one outside its heap."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, combined over the task as far as memory is bounded."""
     parts, held = [], 0
@@ -72,14 +83,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(c)], names)
 
     for batch in batches:
-        for slab in slabs(batch.column(0), 4 << 20):
+        for slab in slabs(batch.column(0), 1 << 20):
             parts.append(_counted(tokens(slab)[0]))
             held += len(parts[-1][0])
-            if held > 3_000_000:
-                yield flush()
+            if held > 1_000_000:
+                yield from _sliced(flush())
                 parts, held = [], 0
     if parts:
-        yield flush()
+        yield from _sliced(flush())
 
 
 @dataclass
@@ -239,130 +250,244 @@ def traverse(auto: Automaton, word: np.ndarray, before: np.ndarray) -> tuple[np.
     return gain, root
 
 
+def triple_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return pair_hash(pair_hash(a, b), c)
+
+
+BITS = 1 << 27  # of a bitmap; more keys than that make it useless, not wrong
+CHUNK = 1 << 19
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of every key g set."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        on = np.zeros(CHUNK, np.uint8)
+        on[group.column("p").to_numpy() & (CHUNK - 1)] = 1
+        return pa.table({"k": pa.array(group.column("k").to_numpy()[:1]), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    at = keys.select(F.pmod("g", F.lit(BITS)).alias("p")).distinct().select(F.shiftright("p", 19).alias("k"), "p")
+    out = np.zeros(BITS // 8, np.uint8)
+    for row in at.groupBy("k").applyInArrow(pack, "k long, bits binary").toLocalIterator():
+        out[row["k"] * (CHUNK // 8) : (row["k"] + 1) * (CHUNK // 8)] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _maybe(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """False only for hashes that are no keys of the bitmap."""
+    at = (g & U64(BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def _ngrams(shared, order: int):
-    """Counts of n-grams of known words inside texts (the end token may be last), combined over the task."""
+    """Counts of n-grams inside texts (the end token may be last), combined over the task.
+
+    Only n-grams whose words (bigrams) or bigrams (trigrams) may be kept are sent.
+    """
+    names = [*"xyz"[:order], "c"]
+
+    def merged(cols: list[np.ndarray], c: np.ndarray | None) -> list[np.ndarray]:
+        key = pair_hash(*cols) if order == 2 else triple_hash(*cols)
+        _, first, inv = np.unique(key, return_index=True, return_inverse=True)
+        return [*[x[first] for x in cols], np.bincount(inv, c, len(first)).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs = shared.value
-        table, big = Table.of(known), None if pairs is None else Table.of(pairs)
+        bits = shared.value
         parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
-            u, c = _counted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            return pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(c)], ["g", "c"])
+            *cols, c = merged([np.concatenate([p[i] for p in parts]) for i in range(order)], np.concatenate([p[-1] for p in parts]))
+            return pa.RecordBatch.from_arrays([*[pa.array(as_long(x)) for x in cols], pa.array(c)], names)
 
         for batch in batches:
-            for slab in slabs(batch.column(0), 4 << 20):
+            for slab in slabs(batch.column(0), 1 << 20):
                 h, before = tokens(slab)
-                w = table.find(h)
                 doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
-                ok = (w[:-1] >= 0) & (w[1:] >= 0) & (doc[:-1] == doc[1:])
-                i = np.flatnonzero(ok)
+                ok = doc[:-1] == doc[1:]
                 if order == 2:
-                    g = w[i].astype(U64) << U64(32) | w[i + 1].astype(U64)
+                    one = _maybe(bits, h)
+                    i = np.flatnonzero(ok & one[:-1] & one[1:])
                 else:
                     # A trigram's count is at most its bigrams': only those of kept bigrams are looked at.
-                    num = np.full(len(h), -1, np.int64)
-                    num[i] = big.find(mix(w[i].astype(U64) << U64(32) | w[i + 1].astype(U64)))
-                    j = np.flatnonzero((num[:-1] >= 0) & (num[1:] >= 0))
-                    g = num[j].astype(U64) << U64(32) | w[j + 2].astype(U64)
-                parts.append(_counted(g))
+                    ok &= _maybe(bits, pair_hash(h[:-1], h[1:]))
+                    i = np.flatnonzero(ok[:-1] & ok[1:])
+                parts.append(merged([h[i + k] for k in range(order)], None))
                 held += len(parts[-1][0])
-                if held > 2_000_000:
-                    yield flush()
+                if held > 600_000:
+                    yield from _sliced(flush())
                     parts, held = [], 0
         if parts:
-            yield flush()
+            yield from _sliced(flush())
 
     return run
 
 
-def _kept(counts: DataFrame, least: int, most: int) -> tuple[DataFrame, int]:
-    """Rows with a count of at least `least`, raised by doubling until at most `most` are left."""
+def _with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the hashes of an n-gram (g) and, of a trigram, of its bigrams (xy, yz)."""
+    for batch in batches:
+        cols = {n: batch.column(n) for n in batch.schema.names}
+        x, y, z = (cols[n].to_numpy().view(U64) if n in cols else None for n in "xyz")
+        more = {"g": pair_hash(x, y)} if z is None else {"xy": pair_hash(x, y), "yz": pair_hash(y, z), "g": triple_hash(x, y, z)}
+        cols |= {n: pa.array(as_long(v)) for n, v in more.items()}
+        yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+def _kept(counts: DataFrame, least: int, most: int) -> DataFrame:
+    """The most frequent rows: those with a count of at least `least`, raised by doubling until at most `most` are left."""
     while counts.where(F.col("c") >= least).count() > most:
         least *= 2
-    return counts.where(F.col("c") >= least), least
+    return counts.where(F.col("c") >= least)
+
+
+@dataclass
+class Model:
+    """n, v and the value tables: words (g, c, base, v), and n-grams (g, c, v) of both orders."""
 
+    n: int
+    v: int
+    words: DataFrame
+    ngrams: list[DataFrame]
 
-def train(documents: DataFrame, in_fold, *, word_count: int = 5, min_count: int = 3, max_words: int = 100_000, max_ngrams: int = 400_000, discount: float = 0.75) -> tuple[Automaton, int, int, DataFrame]:
-    """The automaton, N, V and all word counts (w, c), from the rows where in_fold holds."""
+
+def train(documents: DataFrame, in_fold, *, word_count: int = 5, min_count: int = 3, discount: float = 0.75) -> Model:
+    """The model from the rows where in_fold holds."""
     sc = documents.sparkSession.sparkContext
     texts = documents.where(in_fold).select("text")
     counts = materialize(texts.mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = counts.where(F.col("c") >= word_count)
+
+    def counted(order: int, bits: np.ndarray) -> DataFrame:
+        """n-grams that reach min_count, summed over all documents."""
+        keys = "xyz"[:order]
+        shared = sc.broadcast(bits)
+        long = ", ".join(f"{k} long" for k in (*keys, "c"))
+        found = texts.mapInArrow(_ngrams(shared, order), long).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
+        out = materialize(found.mapInArrow(_with_hashes, f"{long}, {'' if order == 2 else 'xy long, yz long, '}g long"), f"lm-found-{order}")
+        shared.destroy()
+        return out
+
+    unigram = lambda c: (F.col(c) + 1) / F.lit(float(n + v + 1))
+    left = lambda whole: F.greatest(F.col(whole) - F.col("taken"), F.lit(1e-9)) / F.col(whole)
+    taken = F.sum(F.col("c") - discount).alias("taken")
+    # The bitmap lets some other words through: the joins drop their bigrams.
+    pairs = counted(2, _bitmap(known.select(F.col("w").alias("g"))))
+    pairs = pairs.join(known.select(F.col("w").alias("x"), F.col("c").alias("cx")), "x").join(known.select(F.col("w").alias("y"), F.col("c").alias("cy")), "y")
+    pairs = materialize(pairs, "lm-pairs")
+    heads = pairs.groupBy("x").agg(taken, F.first("cx").alias("cx")).select("x", left("cx").alias("bow"))
+    heads = materialize(heads, "lm-heads", small=True)
+    p2 = (F.col("c") - discount) / F.col("cx") + F.col("bow") * unigram("cy")
+    pairs = pairs.join(heads, "x").select("g", "c", p2.alias("p"), (F.log10(p2) - F.log10(F.col("bow") * unigram("cy"))).alias("v"))
+    pairs = materialize(pairs, "lm-bigrams")
+    words = counts.join(heads.withColumnRenamed("x", "w"), "w", "left").select(F.col("w").alias("g"), "c", F.log10(unigram("c")).alias("base"), (F.log10(unigram("c")) + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v"))
+    words = materialize(words, "lm-values-1")
+
+    triples = counted(3, _bitmap(pairs))
+    triples = triples.join(pairs.select(F.col("g").alias("xy"), F.col("c").alias("cxy")), "xy").join(pairs.select(F.col("g").alias("yz"), F.col("p").alias("low")), "yz")
+    triples = materialize(triples.select("g", "xy", "c", "cxy", "low"), "lm-triples")
+    heads = materialize(triples.groupBy("xy").agg(taken, F.first("cxy").alias("cxy")).select("xy", left("cxy").alias("bow")), "lm-heads", small=True)
+    p3 = (F.col("c") - discount) / F.col("cxy") + F.col("bow") * F.col("low")
+    triples = materialize(triples.join(heads, "xy").select("g", "c", (F.log10(p3) - F.log10(F.col("bow") * F.col("low"))).alias("v")), "lm-values-3")
+    pairs = materialize(pairs.join(heads.withColumnRenamed("xy", "g"), "g", "left").select("g", "c", (F.col("v") + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v")), "lm-values-2")
+    return Model(int(n), int(v), words, [pairs, triples])
+
+
+@dataclass
+class Hot:
+    """Values of frequent words and n-grams, and a bitmap of all n-grams of each order."""
+
+    words: Table
+    base: np.ndarray
+    value: np.ndarray
+    ngrams: list[tuple[Table, np.ndarray, np.ndarray]]
+
+
+def _hot(model: Model, hot_words: int, hot_ngrams: int) -> Hot:
+    def pull(df: DataFrame, most: int, *cols: str) -> list[np.ndarray]:
+        """Columns of the most frequent rows, at most `most`."""
+        rows = _kept(df, 1, most).select("g", *cols).toArrow()
+        return [rows["g"].to_numpy().astype(np.int64).view(U64), *[rows[c].to_numpy().astype(np.float64) for c in cols]]
+
+    g, base, value = pull(model.words, hot_words, "base", "v")
+    ngrams = []
+    for df in model.ngrams:
+        k, v = pull(df, hot_ngrams, "v")
+        ngrams.append((Table.of(k), v, _bitmap(df)))
+    return Hot(Table.of(g), base, value, ngrams)
+
 
-    def pull(df: DataFrame, *cols: str) -> list[np.ndarray]:
-        """Columns of a table whose size has been bounded by _kept."""
-        rows = df.select(*cols).toPandas()
-        return [rows[c].to_numpy() for c in cols]
-
-    some, _ = _kept(counts, word_count, max_words)
-    word, count = pull(some.orderBy("w"), "w", "c")
-    word = word.astype(np.int64).view(U64)
-    found = texts.mapInArrow(_ngrams(sc.broadcast((word, None)), 2), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    # Counts below min_count can't be kept; the floor is applied after summing over all documents.
-    pairs, _ = _kept(materialize(found.where(F.col("c") >= min_count), "lm-bigrams"), min_count, max_ngrams)
-    g, c2 = pull(pairs.orderBy("g"), "g", "c")
-    g = g.astype(np.int64).view(U64)
-    a, b = (g >> U64(32)).astype(np.int64), (g & U64(0xFFFFFFFF)).astype(np.int64)
-    found = texts.mapInArrow(_ngrams(sc.broadcast((word, mix(g))), 3), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-    triples, _ = _kept(materialize(found.where(F.col("c") >= min_count), "lm-trigrams"), min_count, max_ngrams)
-    t, c3 = pull(triples.orderBy("g"), "g", "c")
-    t = t.astype(np.int64).view(U64)
-    i = (t >> U64(32)).astype(np.int64)
-    auto = build(word, count.astype(np.int64), (a, b, c2.astype(np.int64)), (a[i], b[i], (t & U64(0xFFFFFFFF)).astype(np.int64), c3.astype(np.int64)), n, v, discount)
-    return auto, int(n), int(v), counts
-
-
-def _score(shared, rare: bool):
-    """Scores without the unigram parts of words that the automaton doesn't know; or those words, with their places."""
+def _score(shared, rest: bool):
+    """Scores by the broadcast values alone; or the words and n-grams of each text that need the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
+        hot = shared.value
         for batch in batches:
             rid = batch.column(0)
-            for slab in slabs(batch.column(1), 4 << 20):
+            for slab in slabs(batch.column(1), 1 << 20):
                 h, before = tokens(slab)
                 n = slab.hi - slab.lo
-                w = auto.words.find(h)
                 doc = np.repeat(np.arange(n), np.diff(before))
                 own = rid.slice(slab.lo, n)
-                if rare:
-                    # One row for each unknown word of a text, with how often it stands there.
-                    at = np.flatnonzero(w < 0)
-                    o = np.lexsort((h[at], doc[at]))
-                    d, x = doc[at[o]], h[at[o]]
+                w = hot.words.find(h)
+                in_hot = w >= 0
+                base, score = np.zeros(n), np.zeros(n)
+                if in_hot.any():
+                    base = np.bincount(doc[in_hot], hot.base[w[in_hot]], n)
+                    score = np.bincount(doc[in_hot], hot.value[w[in_hot]], n)
+                sent = [(doc[~in_hot], h[~in_hot], np.ones(int((~in_hot).sum()), bool))]
+                same = doc[:-1] == doc[1:]
+                two = pair_hash(h[:-1], h[1:])
+                for order, (table, value, bits) in zip((2, 3), hot.ngrams):
+                    if order == 2:
+                        i = np.flatnonzero(same)
+                        g = two[i]
+                    else:
+                        i = np.flatnonzero(same[:-1] & same[1:])
+                        g = pair_hash(two[i], h[i + 2])
+                    may = _maybe(bits, g)
+                    i, g = i[may], g[may]
+                    at = table.find(g)
+                    hit = at >= 0
+                    score = score + np.bincount(doc[i[hit]], value[at[hit]], n)
+                    sent.append((doc[i[~hit]], g[~hit], np.zeros(int((~hit).sum()), bool)))
+                d, x, word = (np.concatenate(c) for c in zip(*sent))
+                if rest:
+                    # One row for each such word or n-gram of a text, with how often it stands there.
+                    o = np.lexsort((x, d))
+                    d, x, word = d[o], x[o], word[o]
                     first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])) if len(d) else np.zeros(0, np.int64)
                     k = np.diff(np.append(first, len(d)))
-                    yield pa.RecordBatch.from_arrays([own.take(pa.array(d[first])), pa.array(as_long(x[first])), pa.array(k)], ["rid", "w", "k"])
+                    yield from _sliced(pa.RecordBatch.from_arrays([own.take(pa.array(d[first])), pa.array(as_long(x[first])), pa.array(word[first]), pa.array(k)], ["rid", "g", "word", "k"]))
                     continue
-                base = np.where(w >= 0, auto.word_logp[np.maximum(w, 0)] if len(auto.word_logp) else 0.0, 0.0)
-                gain, root = traverse(auto, w, before)
-                score = gain + np.where(root, base, 0.0)
-                each = [np.bincount(doc, x, n) for x in (w >= 0, base, score)]
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(before)), pa.array(each[0].astype(np.int64)), pa.array(each[1]), pa.array(each[2])], ["rid", "n_tokens", "n_known", "base_score", "score"])
+                each = [np.bincount(doc[in_hot], minlength=n), np.bincount(d, minlength=n)]
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(before)), *[pa.array(x.astype(np.int64)) for x in each], pa.array(base), pa.array(score)], ["rid", "n_tokens", "n_known", "n_sent", "base_score", "score"])
 
     return run
 
 
-def lm_scores(documents: DataFrame, *, holdout: tuple[int, int] = (7, 2), **params) -> DataFrame:
+def lm_scores(documents: DataFrame, *, holdout: tuple[int, int] = (7, 2), hot_words: int = 100_000, hot_ngrams: int = 400_000, **params) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     narrow_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     held = crc_bucket(F.col("doc_id"), holdout[0]) == holdout[1]
-    auto, n, v, counts = train(docs, ~held, **params)
-    shared = documents.sparkSession.sparkContext.broadcast(auto)
+    model = train(docs, ~held, **params)
+    shared = documents.sparkSession.sparkContext.broadcast(_hot(model, hot_words, hot_ngrams))
     # A row's key: its id and its text's hash; repeated rows have equal results.
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("rid"), "text")
     kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},h:bigint>"
-    scored = keyed.mapInArrow(_score(shared, False), f"rid {kind}, n_tokens long, n_known long, base_score double, score double").select("rid.doc_id", "rid.h", "n_tokens", "n_known", "base_score", "score")
-    words = keyed.mapInArrow(_score(shared, True), f"rid {kind}, w long, k long").select("rid.doc_id", "rid.h", "w", "k")
-    logp = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-    tail = words.join(counts, "w", "left").groupBy("doc_id", "h").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"), F.sum(F.col("k") * logp).alias("part"), F.sum("k").alias("k"))
-    tail = materialize(tail, "lm-rare")
+    scored = keyed.mapInArrow(_score(shared, False), f"rid {kind}, n_tokens long, n_known long, n_sent long, base_score double, score double").select("rid.doc_id", "rid.h", "n_tokens", "n_known", "n_sent", "base_score", "score")
+    sent = keyed.mapInArrow(_score(shared, True), f"rid {kind}, g long, word boolean, k long").select("rid.doc_id", "rid.h", "g", "word", "k")
+    values = model.words.select("g", "base", "v")
+    for df in model.ngrams:
+        values = values.unionByName(df.select("g", F.lit(0.0).alias("base"), "v"))
+    # A word without a value was never seen; an n-gram without one is not kept.
+    unseen = F.when(F.col("word"), F.log10(F.lit(1 / float(model.n + model.v + 1)))).otherwise(0.0)
+    known = F.when(F.col("word") & F.col("v").isNotNull(), F.col("k")).otherwise(0)
+    tail = sent.join(values, "g", "left").groupBy("doc_id", "h").agg(F.sum(known).alias("known"), F.sum(F.col("k") * F.coalesce("base", unseen)).alias("base"), F.sum(F.col("k") * F.coalesce("v", unseen)).alias("part"), F.sum("k").alias("k"))
+    tail = materialize(tail, "lm-rest")
     s, t = scored.alias("s"), tail.alias("t")
     both = s.join(t, F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.h") == F.col("t.h")), "left")
-    # Repeated rows each sent their words: a row's share is its own number of such tokens.
-    share = (F.col("n_tokens") - F.col("n_known")) / F.col("k")
-    part, known = F.coalesce(F.col("part") * share, F.lit(0.0)), F.coalesce(F.round(F.col("known") * share).cast("long"), F.lit(0))
-    return both.select("s.doc_id", (crc_bucket(F.col("s.doc_id"), holdout[0]) == holdout[1]).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + part).alias("base_score"), (F.col("score") + part).alias("score"))
+    # Repeated rows each sent theirs: a row's share is its own number of them.
+    share = F.col("n_sent") / F.col("k")
+    more = lambda c: F.coalesce(F.col(c) * share, F.lit(0.0))
+    return both.select("s.doc_id", (crc_bucket(F.col("s.doc_id"), holdout[0]) == holdout[1]).alias("held_out"), "n_tokens", (F.col("n_known") + F.round(more("known")).cast("long")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + more("base")).alias("base_score"), (F.col("score") + more("part")).alias("score"))

@@ -389,3 +389,35 @@ def test_automaton_states_sum_to_one_and_pieces_do_not_matter(monkeypatch):
 def test_lm_of_nothing(spark):
     assert lm.lm_scores(none(spark)).count() == 0
     assert lm.lm_scores(docs(spark, [(1, None), (2, "a b")])).count() == 2
+
+
+def test_lm_model_is_whole_whatever_is_broadcast(spark, df, corpus):
+    """Scores by a plain model with every n-gram, and no change when the broadcast part holds little or nothing."""
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")), None]
+    one, two, three = Counter(), Counter(), Counter()
+    for d, t in corpus:
+        if zlib.crc32(str(d).encode()) % 7 != 2:
+            w = split(t)
+            one.update(w)
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    n, v, disc = sum(one.values()), len(one), 0.75
+    two = {k: c for k, c in two.items() if c >= 2 and min(one[k[0]], one[k[1]]) >= 2}
+    three = {k: c for k, c in three.items() if c >= 2 and k[:2] in two and k[1:] in two}
+    took = Counter()
+    for k, c in [*two.items(), *three.items()]:
+        took[k[:-1]] += c - disc
+    bow1 = {a: max(one[a] - took[a,], 1e-9) / one[a] for a, _ in two}
+    bow2 = {k[:2]: max(two[k[:2]] - took[k[:2]], 1e-9) / two[k[:2]] for k in three}
+
+    def p(x, y, z):
+        u = (one[z] + 1) / (n + v + 1)
+        low = (max(two.get((y, z), 0) - disc, 0) / one[y] if (y, z) in two else 0) + bow1.get(y, 1) * u
+        return ((three[x, y, z] - disc) / two[x, y] if (x, y, z) in three else 0) + bow2.get((x, y), 1) * low
+
+    by = dict(corpus)
+    for hot in ({}, {"hot_words": 20, "hot_ngrams": 10}, {"hot_words": 0, "hot_ngrams": 0}):
+        for r in lm.lm_scores(df, word_count=2, min_count=2, **hot).collect():
+            w = [0, 0, *split(by[r["doc_id"]])]
+            assert r["score"] == pytest.approx(sum(math.log10(p(*w[i - 2 : i + 1])) for i in range(2, len(w))))
+            assert r["n_known"] == sum(one[x] > 0 for x in w[2:])
