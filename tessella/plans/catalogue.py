@@ -300,5 +300,6 @@ QUERIES: dict[str, Query] = {
     "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
+    "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
     **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

@@ -82,6 +82,7 @@ array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: co
     "clean_text": rf"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS sha FROM documents",
     "page_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "person_like": f"SELECT doc_id, {_ANY('lower(substr(text, 1, 200))', K.PERSON_HINTS)} AS hit FROM documents",
+    "person_like_whole": f"SELECT doc_id, {_ANY('lower(text)', K.PERSON_HINTS)} AS hit FROM documents",
     "link_keyword_score": "SELECT p_partkey, contains(lower(p_type), 'promo') OR contains(lower(p_type), 'standard') AS hit, CAST(" + " + ".join(f"CASE WHEN contains(lower(p_name || ' program speakers'), '{w}') THEN {v} ELSE 0 END" for w, v in K.LINK_WEIGHTS.items()) + " AS INTEGER) AS score FROM part",
     "template_diverse_topk": f"WITH p AS (SELECT page_id, {_SITE} AS site, '/' || array_to_string(list_transform(({_SEGS})[1:1], lambda s: lower(s)), '/') AS template, CAST(length(html) % 97 AS INTEGER) AS score FROM pages), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site, template ORDER BY score DESC, page_id) > 1 THEN 1 ELSE 0 END AS again FROM p) SELECT page_id, site, template, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY again, score DESC, page_id) AS INTEGER) AS place FROM r) WHERE place <= 5",
     "branch_yield": "SELECT user_id, round(CASE WHEN v <= 0 THEN 0.0 ELSE " + _CLAMP("0.30 * least(1.0, c / greatest(v * 10, 1)::DOUBLE) + 0.25 * least(1.0, s / greatest(v * 3, 1)::DOUBLE) + 0.20 * least(1.0, p / greatest(v * 2, 1)::DOUBLE) + 0.15 * least(1.0, e / greatest(v * 8, 1)::DOUBLE) + 0.10 * least(1.0, p / greatest(v * 2, 1)::DOUBLE)") + " END, 9)::DOUBLE AS yield FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id)",
