@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -156,7 +156,15 @@ def name_canonical(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_intent(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", T.page_intent(F.concat(F.lit("https://x.org/"), "source"), F.lit(""), F.substring("text", 1, 400), F.when(F.col("doc_id") % 50 == 0, "pdf").otherwise("html")).alias("intent"))
+    return _intents(s, d, F.substring("text", 1, 400))
+
+
+def page_intent_whole(s: SparkSession, d: str) -> DataFrame:
+    return _intents(s, d, F.col("text"))
+
+
+def _intents(s: SparkSession, d: str, summary: Column) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", T.page_intent(F.concat(F.lit("https://x.org/"), "source"), F.lit(""), summary, F.when(F.col("doc_id") % 50 == 0, "pdf").otherwise("html")).alias("intent"))
 
 
 def link_keyword_score(s: SparkSession, d: str) -> DataFrame:
@@ -301,5 +309,5 @@ QUERIES: dict[str, Query] = {
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
     "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

@@ -98,6 +98,7 @@ array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: co
     "heading_carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations",
     "domain_guard": "SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 2 AS held_back FROM events",
     "page_intent": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'pdf' WHEN list_has_any(t, {a}) THEN 'archive' WHEN list_has_any(t, {g}) THEN CASE WHEN list_has_any(t, ['session', 'plenary']) THEN 'session_detail' ELSE 'gatekeeper' END WHEN list_has_any(t, {u}) THEN 'non_content' ELSE 'listing' END AS intent FROM (SELECT doc_id, {t} AS t FROM documents)".format(a=_LIST(K.ARCHIVE), g=_LIST(K.GATEKEEPER), u=_LIST(K.UTILITY), t=_LOOSE.format(x="'https://x.org/' || source || ' ' || substr(text, 1, 400)", ws=_WS)),
+    "page_intent_whole": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'pdf' WHEN list_has_any(t, {a}) THEN 'archive' WHEN list_has_any(t, {g}) THEN CASE WHEN list_has_any(t, ['session', 'plenary']) THEN 'session_detail' ELSE 'gatekeeper' END WHEN list_has_any(t, {u}) THEN 'non_content' ELSE 'listing' END AS intent FROM (SELECT doc_id, {t} AS t FROM documents)".format(a=_LIST(K.ARCHIVE), g=_LIST(K.GATEKEEPER), u=_LIST(K.UTILITY), t=_LOOSE.format(x="'https://x.org/' || source || ' ' || text", ws=_WS)),
     "llm_json_recovery": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "stream_heartbeat": "SELECT user_id, count(*) AS events, max(event_id) AS last_id, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id",
     "stream_template_memory": "WITH l AS (SELECT user_id, max(event_id) FILTER (event_type IN ('click', 'purchase')) AS last FROM events GROUP BY user_id) SELECT e.user_id, count(*) AS visits, count(*) FILTER (event_type = 'click') AS speaker_hits, count(*) FILTER (event_type = 'purchase') AS appearance_hits, count(*) FILTER (last IS NULL OR event_id > last) AS streak FROM events e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id",
