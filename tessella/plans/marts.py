@@ -6,7 +6,7 @@ orders: appearances (session: priority, role: status); events: run events.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -158,8 +158,16 @@ def completion_anti_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def artifact_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    return _artifacts(spark, d, "text_head", F.substring("text", 1, 20))
+
+
+def artifact_unpivot_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _artifacts(spark, d, "clean_text", F.col("text"))
+
+
+def _artifacts(spark: SparkSession, d: str, name: str, text: Column) -> DataFrame:
     docs = read(spark, d, "documents")
-    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("artifact"), v.alias("data")) for k, v in (("text_head", F.substring("text", 1, 20)), ("lang", F.col("lang")), ("source", F.col("source")))])).alias("a"))
+    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("artifact"), v.alias("data")) for k, v in ((name, text), ("lang", F.col("lang")), ("source", F.col("source")))])).alias("a"))
     return rows.select("doc_id", "a.artifact", "a.data").where("data != ''").dropDuplicates(["doc_id", "artifact"])
 
 

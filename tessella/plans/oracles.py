@@ -56,6 +56,7 @@ SELECT 'people' AS table_name, count(*) AS rows FROM people UNION ALL SELECT 'ap
     "insert_if_absent": "WITH o AS (SELECT o_custkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS session, year(o_orderdate) AS year FROM orders) SELECT DISTINCT i.o_custkey, i.session FROM o i WHERE i.year >= 1996 AND NOT EXISTS (SELECT 1 FROM o e WHERE e.year < 1996 AND e.o_custkey IS NOT DISTINCT FROM i.o_custkey AND e.session IS NOT DISTINCT FROM i.session)",
     "completion_anti_join": "WITH o AS (SELECT o_custkey, lower(o_orderpriority) AS session, o_orderstatus FROM orders) SELECT session, count(*) AS missing FROM o WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM o f WHERE f.o_orderstatus = 'F' AND f.o_custkey = o.o_custkey AND f.session = o.session) GROUP BY session",
     "artifact_unpivot": "SELECT doc_id, 'text_head' AS artifact, substr(text, 1, 20) AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
+    "artifact_unpivot_whole": "SELECT doc_id, 'clean_text' AS artifact, text AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
     "kpi_sort": f"SELECT *, CAST(row_number() OVER (ORDER BY people DESC, appearances DESC, lower(n_name)) AS INTEGER) AS place FROM (SELECT n_name, count(DISTINCT o_custkey) AS people, count(*) AS appearances FROM {_APP} GROUP BY n_name)",
     "url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages",
     "url_canonical": f"""SELECT page_id, base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS base,
