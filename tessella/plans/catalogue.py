@@ -45,6 +45,15 @@ def years_in_text(s: SparkSession, d: str) -> DataFrame:
     return _pages(s, d).select("page_id", F.array_join(y.cast("array<string>"), ",").alias("years"))
 
 
+def years_in_documents(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "documents").select("doc_id", F.array_join(T.years(F.col("text")).cast("array<string>"), ",").alias("years"))
+
+
+def years_in_pages(s: SparkSession, d: str) -> DataFrame:
+    y = T.years(F.concat_ws(" ", "url", H.visible_text(F.col("html"))))
+    return _pages(s, d).select("page_id", F.array_join(y.cast("array<string>"), ",").alias("years"))
+
+
 def _joined(f, table: str, key: str, col: str) -> Query:
     return lambda s, d: read(s, d, table).select(key, F.array_join(F.array_sort(F.array_distinct(f(F.col(col)))), ",").alias("tokens"))
 
@@ -309,5 +318,5 @@ QUERIES: dict[str, Query] = {
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
     "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

@@ -71,6 +71,7 @@ array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: co
     "nav_tokens": f"SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(t, list_transform(list_filter(t, lambda x: x LIKE '%s' AND length(x) > 4), lambda x: substr(x, 1, length(x) - 1))))), ',') AS tokens FROM (SELECT page_id, {_NAV} AS t FROM pages)",
     "same_site_pairs": f"SELECT site, CAST(n * (n - 1) // 2 AS BIGINT) AS pairs FROM (SELECT {_SITE} AS site, count(*) AS n FROM pages GROUP BY 1)",
     "years_in_text": r"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(url || ' 2019 x 1985 2024', '\b(19\d{2}|20\d{2}|21\d{2})\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1990 AND 2100))), ',') AS years FROM pages",
+    "years_in_documents": r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b(19\d{2}|20\d{2}|21\d{2})\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1990 AND 2100))), ',') AS years FROM documents",
     "top_focus_tokens": f"SELECT lang, token, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rn FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE length(token) >= 3 AND token NOT IN {_IN(K.STOPWORDS)} GROUP BY ALL)) WHERE rn <= 50",
     "segments_overlap": "WITH d AS (SELECT doc_id, text, least(60, CASE WHEN length(text) <= 2400 THEN 1 ELSE CAST(ceil((length(text) - 2400) / 2150.0) AS BIGINT) + 1 END) AS c FROM documents) SELECT doc_id, CAST(i * 2150 AS INTEGER) AS start, CAST(length(substr(text, i * 2150 + 1, 2400)) AS INTEGER) AS n, md5(substr(text, i * 2150 + 1, 2400)) AS md5 FROM d, unnest(range(0, c)) u(i)",
     "paragraph_blocks": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\n{2,}'), lambda p: length(p) >= 30)) AS INTEGER) AS blocks FROM documents",
