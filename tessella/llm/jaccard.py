@@ -12,13 +12,21 @@ Cost-based allocation: a segment key that more than ``hot`` sets share is left o
 (allotment 0).  A set whose remaining non-empty segments still exceed H needs
 nothing else.  The others ("short" sets) are indexed again with the one-deletion
 neighbourhoods of all their segments; a set that even this leaves short is indexed
-on a finer cut.  The members of a key are compared with one hub first; members that
-stay in different components are then compared across components, so no component
-is lost and no group is expanded into all its pairs.  Pairs whose parity sketches differ in more
-bits than a link allows differences are dropped; all others are verified on the sets.
-
-Keys travel packed in binary blocks per (band, slice), so the index shuffles about
-seven bytes a key.  Equal sets are one node throughout.
+on a finer cut.
+
+A key's members meet its head, the member of the smallest hash.  All keys of one head
+are one list, so a group that shares hundreds of keys is listed once, not once a key.
+Pairs of head and member come first.  A list whose members then lie in different
+components is compared across these in rounds: each component offers its closest
+few pairs by sketch, links merge components, and the next round looks at what is left;
+the last round leaves nothing out.  So no component is lost and no group is expanded
+into all its pairs.  Large lists are dealt over tasks in blocks of members.  Pairs
+whose parity sketches differ in more bits than a link allows differences are dropped;
+all others are verified on the sets.  ``similar_pairs`` skips the components and
+gives every link between different sets.
+
+Keys travel packed in binary blocks per (band, slice): four bytes a key, and twelve
+for a set in a slice.  Equal sets are one node throughout.
 
 Defined results: texts without words (null and empty ones too) have an empty set,
 0 shingles, no links and their own doc_id as component; null doc_id rows link like
@@ -35,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slab, as_long, discard, fresh, materialize, mix, narrow_batches, slabs, word_hashes
+from .common import U64, Slab, discard, fresh, materialize, mix, narrow_batches, slabs, word_hashes
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # similarity of at least 3/4
 HOT = 24
-LONG = 48  # longer member lists are compared as one set of members
+LONG = 48  # longer lists are compared one by one
+BLOCK = 1000  # members of a block of a large list
+ROUNDS = (16, 256, None)  # closest pairs that a component offers in a round
 SLACK = 1.35
 BANDS = [1]
 while BANDS[-1] < 1 << 40:
@@ -111,28 +121,27 @@ def roles(n: int) -> list[tuple[int, int]]:
     return [(b, need) for b, need in out if _H_TOP[b] > 0]
 
 
-_BLOCK = "band int, slice int, docs binary, slack binary, short binary, hi binary, lo binary, ref binary"
+_BLOCK = "band int, slice int, docs binary, slack binary, size binary, short binary, keys binary"
 
 
 def _pack(entries: dict[int, list], slices: dict[int, int], short: dict[int, set]) -> Iterator[pa.RecordBatch]:
-    """Blocks of one slab; entries: band -> [(set hash, slack, keys)]."""
-    cols: list[list] = [[] for _ in range(8)]
+    """Blocks of one slab; entries: band -> [(set hash, slack, keys)]. A block's keys stand set by set, size has their numbers."""
+    cols: list[list] = [[] for _ in range(7)]
     for band, rows in entries.items():
         keys = np.concatenate([k for _, _, k in rows])
         ref = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(k) for _, _, k in rows])
         part = (keys % U64(slices.get(band, 1))).astype(np.int64)
         o = np.argsort(part, kind="stable")
-        keys, ref, part = keys[o], ref[o], part[o]
+        keys, ref, part = (keys[o] >> U64(32)).astype(np.uint32), ref[o], part[o]
         docs, slack = np.array([d for d, _, _ in rows], np.int64), np.array([s for _, s, _ in rows], np.int32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         for k, (i, j) in enumerate(zip(at, [*at[1:], len(part)], strict=True)):
-            used, r = np.unique(ref[i:j], return_inverse=True)
-            top = keys[i:j] >> U64(24)
-            row = (band, int(part[i]), docs[used].tobytes(), slack[used].tobytes(), np.array(sorted(short.get(band, ())) if k == 0 else [], np.int64).tobytes(), (top >> U64(8)).astype(np.uint32).tobytes(), (top & U64(255)).astype(np.uint8).tobytes(), r.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
+            used, size = np.unique(ref[i:j], return_counts=True)
+            row = (band, int(part[i]), docs[used].tobytes(), np.clip(slack[used], -32768, 32767).astype(np.int16).tobytes(), size.astype(np.uint16 if size.max() < 1 << 16 else np.uint32).tobytes(), np.array(sorted(short.get(band, ())) if k == 0 else [], np.int64).tobytes(), keys[i:j].tobytes())
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
     if cols[0]:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _BLOCK.split(", ")])
 
 
@@ -189,28 +198,22 @@ def _index_short(slices: dict[int, int]):
 
 
 _FOUND = "kind int, x long, y long, z long, w long"
-PAIR, HOT_COUNT, HOT_MEMBER, SHORT, MEMBER = range(5)
-
-
-def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each run, one run after the other."""
-    end = np.cumsum(size)
-    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+PAIR, HOT_COUNT, SHORT = range(3)
 
 
-def _meet(hot: int):
-    """Sets that share a key of a block group: each with the key's hub, and the members of keys of three sets or more."""
+def _meet(hot: int | None):
+    """Each set that shares a key of a block group, with the key's head; keys of more than ``hot`` sets are counted instead."""
 
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         band = group["band"][0].as_py()
         keys, docs, slack, short = [], [], [], []
-        for d, s, f, hi, lo, ref in zip(*[group[c].to_pylist() for c in ("docs", "slack", "short", "hi", "lo", "ref")], strict=True):
-            h = np.frombuffer(hi, np.uint32)
-            r = np.frombuffer(ref, np.uint16 if len(ref) == 2 * len(h) else np.uint32)
-            keys.append(h.astype(U64) << U64(8) | np.frombuffer(lo, np.uint8))
-            docs.append(np.frombuffer(d, np.int64)[r])
-            slack.append(np.frombuffer(s, np.int32)[r])
+        for d, s, n, f, k in zip(*[group[c].to_pylist() for c in ("docs", "slack", "size", "short", "keys")], strict=True):
+            d = np.frombuffer(d, np.int64)
+            n = np.frombuffer(n, np.uint16 if len(n) == 2 * len(d) else np.uint32)
+            keys.append(np.frombuffer(k, np.uint32))
+            docs.append(np.repeat(d, n))
+            slack.append(np.repeat(np.frombuffer(s, np.int16), n))
             short.append(np.frombuffer(f, np.int64))
         key, doc, room = np.concatenate(keys), np.concatenate(docs), np.concatenate(slack)
         del keys, docs, slack
@@ -228,26 +231,20 @@ def _meet(hot: int):
             key, doc, room = key[new], doc[new], room[new]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
-            at = np.repeat(first, size)
-            star = np.arange(len(key)) != at
-            pairs = [np.stack([doc[at[star]], doc[star]], 1)]
-            # Keys with the same members say the same: one list of members stands for them.
-            tag = np.add.reduceat(mix(doc.astype(U64)), first) + size.astype(U64)
-            big = size > hot
-            for kind, some in ((HOT_MEMBER, big), (MEMBER, ~big & (size > 2))):
-                _, pick = np.unique(tag[some], return_index=True)
-                a, n = first[some][pick], size[some][pick]
-                mem = gather(a, n)
-                out.append((kind, np.repeat(as_long(tag[some][pick]), n), doc[mem], np.full(len(mem), band), np.zeros(len(mem))))
+            big = size > (len(key) if hot is None else hot)
+            who, inv = np.unique(doc, return_inverse=True)
+            star = np.arange(len(key)) != np.repeat(first, size)
+            star &= ~np.repeat(big, size)
+            p = np.unique(np.repeat(inv[first], size)[star] * len(who) + inv[star])
+            none = np.zeros(len(p))
+            out.append((PAIR, who[p // len(who)], who[p % len(who)], none, none))
             if big.any():
-                mem = gather(first[big], size[big])
-                who, inv, cnt = np.unique(doc[mem], return_inverse=True, return_counts=True)
+                mem = np.repeat(big, size)
+                cnt = np.bincount(inv[mem], minlength=len(who))
                 room_of = np.zeros(len(who), np.int64)
-                room_of[inv] = room[mem]
-                out.append((HOT_COUNT, who, np.full(len(who), band), cnt, room_of))
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0) if sum(map(len, pairs)) else np.zeros((0, 2), np.int64)
-                out.append((PAIR, p[:, 0], p[:, 1], np.zeros(len(p)), np.zeros(len(p))))
+                room_of[inv] = room
+                many = np.flatnonzero(cnt)
+                out.append((HOT_COUNT, who[many], np.full(len(many), band), cnt[many], room_of[many]))
         lone = np.unique(np.concatenate(short))
         out.append((SHORT, lone, np.full(len(lone), band), np.zeros(len(lone)), np.zeros(len(lone))))
         return pa.table({"kind": np.concatenate([np.full(len(t[1]), t[0], np.int32) for t in out]), **{c: np.concatenate([np.asarray(t[i + 1], np.int64) for t in out]) for i, c in enumerate("xyzw")}})
@@ -273,9 +270,12 @@ class Sketches:
             self.row[at] = np.arange(len(at))
             self.rows[int(w)] = np.frombuffer(b"".join(marks[k] for k in at), U64).reshape(len(at), -1)
 
-    def close(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Whether the sketches of pairs (a, b) leave room for a link; n: the sum of the two sizes."""
-        out = np.zeros(len(n), bool)
+    def distance(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Differing bits of the sketches of pairs (a, b) over the differences that a link allows; n: the sum of the two sizes.
+
+        Above 1 a link is ruled out.
+        """
+        out = np.zeros(len(n))
         kind = self.width[a] << 20 | self.width[b]
         for k in np.unique(kind):
             wa, wb = int(k >> 20), int(k & ((1 << 20) - 1))
@@ -285,7 +285,9 @@ class Sketches:
                 at = rows[i : i + step]
                 x, y = (m[r].reshape(len(at), -1, w) for m, r in ((self.rows[wa], self.row[a[at]]), (self.rows[wb], self.row[b[at]])))
                 x, y = (np.bitwise_xor.reduce(v, axis=1) if v.shape[1] > 1 else v[:, 0] for v in (x, y))
-                out[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n[at] * (DEN - NUM) // (DEN + NUM)
+                allowed = n[at] * (DEN - NUM) // (DEN + NUM)
+                differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                out[at] = np.where(differ <= allowed, differ / np.maximum(allowed, 1), 2.0)
         return out
 
 
@@ -296,60 +298,77 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = np.flatnonzero(np.minimum(nx, ny) * DEN >= np.maximum(nx, ny) * NUM)
         some = batch.take(pa.array(fits))
         k = np.arange(len(fits))
-        ok = Sketches(some.column(4).to_pylist() + some.column(5).to_pylist()).close(k, k + len(fits), (nx + ny)[fits]) if len(fits) else np.zeros(0, bool)
+        ok = Sketches(some.column(4).to_pylist() + some.column(5).to_pylist()).distance(k, k + len(fits), (nx + ny)[fits]) <= 1 if len(fits) else np.zeros(0, bool)
         yield some.select([0, 1]).filter(pa.array(ok))
 
 
-def _cross(group: pa.Table) -> pa.Table:
-    """Members of keys (sketch null) and sketches of a part: close pairs of different components."""
-    is_node = np.asarray(group["sketch"].is_valid())
-    nodes = group.filter(pa.array(is_node))
-    who, n, marks = np.asarray(nodes["sh"]), np.asarray(nodes["n"]), nodes["sketch"].to_pylist()
-    o = np.argsort(who)
-    rows = group.filter(pa.array(~is_node))
-    key, label = np.asarray(rows["key"]), np.asarray(rows["n"])
-    at = o[np.searchsorted(who[o], np.asarray(rows["sh"]))]
-    o = np.lexsort((at, key))
-    key, label, at = key[o], label[o], at[o]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(key)))
-    book, base = Sketches(marks), len(who)
-    done = np.zeros(0, np.int64)  # pairs looked at, as smaller * base + larger
-    found = []
-
-    def look(x: np.ndarray, y: np.ndarray) -> None:
-        """Pairs of places in the lists: those of different components and fitting sizes, once each."""
-        nonlocal done
-        x, y = x[label[x] != label[y]], y[label[x] != label[y]]
-        a, b = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
-        fits = np.minimum(n[a], n[b]) * DEN >= np.maximum(n[a], n[b]) * NUM
-        new = np.setdiff1d(np.unique(a[fits] * base + b[fits]), done, assume_unique=True)
-        done = np.union1d(done, new) if len(done) < 5_000_000 else new
-        a, b = new // base, new % base
-        ok = book.close(a, b, n[a] + n[b])
-        found.append(new[ok])
-
-    for k in np.unique(size[size <= LONG]):
-        i, j = np.triu_indices(int(k), 1)
-        lists = first[size == k]
-        step = max(1, 1_000_000 // max(1, len(i)))
-        for c in range(0, len(lists) if len(i) else 0, step):
-            look((lists[c : c + step, None] + i).ravel(), (lists[c : c + step, None] + j).ravel())
-    # Long lists overlap: their members meet once each, in order of size, as far as sizes allow links.
-    long = gather(first[size > LONG], size[size > LONG])
-    if len(long):
-        _, one = np.unique(at[long], return_index=True)
-        one = long[one]
-        one = one[np.argsort(n[at[one]], kind="stable")]
-        sizes = n[at[one]]
-        for i in range(0, len(one), 500):
-            last = int(np.searchsorted(sizes, sizes[min(i + 500, len(one)) - 1] * DEN // NUM, side="right"))
-            for j in range(i, last, 2000):
-                x, y = np.meshgrid(one[i : i + 500], one[j : min(j + 2000, last)], indexing="ij")
-                look(x.ravel(), y.ravel())
-    p = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    x, y = who[p // base], who[p % base]
-    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+_CLOSE = "x long, y long, head long"
+
+
+def _cross(most: int | None):
+    """Rows (key, head, sh, label) of lists and (sh, n, sketch) of sets: close pairs of different components.
+
+    A component offers its ``most`` closest pairs; a list that has more left gives a row with its head only.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        is_node = np.asarray(group["sketch"].is_valid())
+        nodes = group.filter(pa.array(is_node))
+        who, n = np.asarray(nodes["sh"]), np.asarray(nodes["n"])
+        book, base = Sketches(nodes["sketch"].to_pylist()), len(who)
+        o = np.argsort(who)
+        rows = group.filter(pa.array(~is_node))
+        key, head, label = (np.asarray(rows[c]) for c in ("key", "head", "label"))
+        at = o[np.searchsorted(who[o], np.asarray(rows["sh"]))]
+        o = np.lexsort((n[at], key))
+        key, head, label, at = key[o], head[o], label[o], at[o]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        found: list[np.ndarray] = [np.zeros((4, 0))]
+
+        def look(x: np.ndarray, y: np.ndarray) -> None:
+            """Pairs of places in the lists: those of different components and fitting sizes."""
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            fits = np.minimum(n[at[x]], n[at[y]]) * DEN >= np.maximum(n[at[x]], n[at[y]]) * NUM
+            x, y = x[fits], y[fits]
+            far = book.distance(at[x], at[y], n[at[x]] + n[at[y]])
+            ok = far <= 1
+            found.append(np.stack([np.minimum(at[x], at[y])[ok] * base + np.maximum(at[x], at[y])[ok], x[ok], y[ok], far[ok] * 1e9]).astype(np.int64))
+
+        for k in np.unique(size[size <= LONG]):
+            i, j = np.triu_indices(int(k), 1)
+            lists = first[size == k]
+            step = max(1, 1_000_000 // max(1, len(i)))
+            for c in range(0, len(lists) if len(i) else 0, step):
+                look((lists[c : c + step, None] + i).ravel(), (lists[c : c + step, None] + j).ravel())
+        # The members of a long list stand in order of size: each meets those that sizes allow.
+        for a, k in zip(first[size > LONG].tolist(), size[size > LONG].tolist(), strict=True):
+            sizes = n[at[a : a + k]]
+            for i in range(0, k, 500):
+                end = min(i + 500, k)
+                last = int(np.searchsorted(sizes, sizes[end - 1] * DEN // NUM, side="right"))
+                for j in range(i, last, 2000):
+                    x, y = np.meshgrid(np.arange(a + i, a + end), np.arange(a + j, a + min(j + 2000, last)), indexing="ij")
+                    once = x < y
+                    look(x[once], y[once])
+        code, x, y, far = np.concatenate(found, axis=1).astype(np.int64)
+        _, one = np.unique(code, return_index=True)
+        x, y, far = x[one], y[one], far[one]
+        keep = np.ones(len(x), bool)
+        if most is not None and len(x):
+            side, pair = np.concatenate([label[x], label[y]]), np.tile(np.arange(len(x)), 2)
+            o = np.lexsort((far[pair], side))
+            start = np.flatnonzero(np.concatenate([[True], side[o][1:] != side[o][:-1]]))
+            place = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
+            keep[:] = False
+            keep[pair[o[place < most]]] = True
+        left = np.unique(head[x[~keep]])
+        x, y = who[at[x[keep]]], who[at[y[keep]]]
+        gone = np.zeros(len(left), bool)
+        return pa.table({"x": np.concatenate([np.minimum(x, y), left]), "y": pa.array(np.concatenate([np.maximum(x, y), left])), "head": pa.array(np.concatenate([np.zeros(len(x), np.int64), left]), mask=np.concatenate([np.ones(len(x), bool), gone]))})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,13 +420,15 @@ def components(links: DataFrame) -> DataFrame:
     was = state(edges)
     while was[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written first, the minima are joined by an exchange of their own, which adaptive execution can split at a hub.
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-low", small=True)
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large, "cc-large", small=True)
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least", small=True)
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         after = materialize(small, "cc", small=True)
         now = state(after)
-        discard(edges)
+        discard(edges, low, large, least)
         edges = after
         if now == was:
             break
@@ -415,75 +436,136 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 300_000) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every document, and whether it is its component's first."""
-    narrow_batches(documents.sparkSession)
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    info = materialize(docs.select(F.col("doc_id").cast("long"), "text", "th").mapInArrow(_sets, "doc_id long, n long, sh long, th long, sketch binary"), "jaccard-sets")
-    nodes = materialize(info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "jaccard-nodes")
-    # Slices of a band follow the number of its keys: one row a band.
-    width = {int(r["n"]): int(r["c"]) for r in nodes.groupBy(F.floor(F.log(DEN / NUM, F.col("n"))).alias("n")).agg(F.sum("n").alias("c")).collect()}
-    per_band: dict[int, int] = {}
-    for level, c in width.items():
-        for b, _ in roles(int((4 / 3) ** level) + 1):
-            per_band[b] = per_band.get(b, 0) + c // 2
-    top = max(per_band, default=0)
-    slices = {b: -(-sum(per_band.get(b + d, 0) for d in (-1, 0, 1)) // slice_keys) or 1 for b in range(top + 3)}
-
-    def meet(blocks: DataFrame, name: str) -> DataFrame:
-        return materialize(blocks.groupBy("band", "slice").applyInArrow(_meet(hot), _FOUND), name)
-
-    met = meet(docs.select("text").mapInArrow(_index(slices), _BLOCK), "jaccard-met")
-    counts = met.where(F.col("kind") == HOT_COUNT).groupBy("x", "y").agg(F.sum("z").alias("z"), F.min("w").alias("w")).where("z > w").select("x", "y")
-    short = materialize(counts.unionByName(met.where(F.col("kind") == SHORT).select("x", "y")).distinct().select(F.col("x").alias("sh"), F.col("y").alias("band")), "jaccard-short", small=True)
-    pairs = met.where(F.col("kind") == PAIR).select("x", "y")
-    needed = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).union(short.select("sh")).distinct()
-    reps = nodes.join(needed, "sh", "left_semi").select("sh", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th"))
-    texts = docs.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("sh", "text").dropDuplicates(["sh"])
-    texts = materialize(texts, "jaccard-texts")
-
-    again = materialize(texts.join(short.groupBy("sh").agg(F.collect_set("band").alias("bands")), "sh").select("text", "bands"), "jaccard-short-texts")
-    met2 = meet(again.mapInArrow(_index_short(slices), _BLOCK), "jaccard-met-short")
-    size = nodes.select("sh", "n", "sketch")
-
-    def screened(p: DataFrame) -> DataFrame:
-        both = p.join(size.select(F.col("sh").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x").join(size.select(F.col("sh").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
+FILTER = 1 << 24  # bits of the filter of texts: at most FILTER / 64 rows are broadcast
+
+
+class _Candidates:
+    """Distinct sets of the documents and the lists of those that may be linked."""
+
+    def __init__(self, documents: DataFrame, hot: int, slice_keys: int) -> None:
+        narrow_batches(documents.sparkSession)
+        self.docs = docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+        self.info = materialize(docs.select("doc_id", "text", "th").mapInArrow(_sets, "doc_id long, n long, sh long, th long, sketch binary"), "jaccard-sets")
+        self.nodes = nodes = materialize(self.info.where("n > 0").groupBy("sh").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "jaccard-nodes")
+        # Slices of a band follow the number of its keys: one row a band.
+        width = {int(r["n"]): int(r["c"]) for r in nodes.groupBy(F.floor(F.log(DEN / NUM, F.col("n"))).alias("n")).agg(F.sum("n").alias("c")).collect()}
+        per_band: dict[int, int] = {}
+        for level, c in width.items():
+            for b, _ in roles(int((4 / 3) ** level) + 1):
+                per_band[b] = per_band.get(b, 0) + c // 2
+        top = max(per_band, default=0)
+        slices = {b: -(-sum(per_band.get(b + d, 0) for d in (-1, 0, 1)) // slice_keys) or 1 for b in range(top + 3)}
+
+        def meet(blocks: DataFrame, hot: int | None, name: str) -> DataFrame:
+            return materialize(blocks.groupBy("band", "slice").applyInArrow(_meet(hot), _FOUND), name)
+
+        met = meet(docs.select("text").mapInArrow(_index(slices), _BLOCK), hot, "jaccard-met")
+        counts = met.where(F.col("kind") == HOT_COUNT).groupBy("x", "y").agg(F.sum("z").alias("z"), F.min("w").alias("w")).where("z > w").select("x", "y")
+        short = materialize(counts.unionByName(met.where(F.col("kind") == SHORT).select("x", "y")).distinct().select(F.col("x").alias("sh"), F.col("y").alias("band")), "jaccard-short", small=True)
+        texts = self.texts(short.select("sh"))
+        again = materialize(texts.join(short.groupBy("sh").agg(F.collect_set("band").alias("bands")), "sh").select("text", "bands"), "jaccard-short-texts", small=True)
+        met2 = meet(again.mapInArrow(_index_short(slices), _BLOCK), None, "jaccard-met-short")
+        #: (head, sh): a head and the sets that share a key with it.
+        self.lists = materialize(met.where(F.col("kind") == PAIR).unionByName(met2.where(F.col("kind") == PAIR)).select(F.col("x").alias("head"), F.col("y").alias("sh")).distinct(), "jaccard-lists")
+        self.size = nodes.select("sh", "n", "sketch")
+        discard(met, met2, short, texts, again)
+
+    def texts(self, need: DataFrame) -> DataFrame:
+        """(sh, text) of one document of each set in need. A bitmap of fixed size spares most other texts the shuffle."""
+        reps = materialize(self.nodes.join(need.distinct(), "sh", "left_semi").select("sh", F.col("rep.doc_id").alias("_id"), F.col("rep.th").alias("_th")), "jaccard-reps", small=True)
+        bit = lambda h: F.pmod(h, F.lit(FILTER))
+        words = reps.select(bit("_th").alias("p")).groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+        some = self.docs.withColumn("p", bit("th")).withColumn("k", F.shiftright("p", 6)).join(F.broadcast(words), "k").where("bit_get(bits, cast(p & 63 as int)) = 1")
+        found = some.join(reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+        out = materialize(found.select("sh", "text").dropDuplicates(["sh"]), "jaccard-texts")
+        discard(reps)
+        return out
+
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (x, y) those that sizes and sketches leave."""
+        size = self.size
+        both = pairs.join(size.select(F.col("sh").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx")), "x").join(size.select(F.col("sh").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy")), "y")
         return both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(_screen, "x long, y long")
 
-    first = pairs.unionByName(met2.where(F.col("kind") == PAIR).select("x", "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    tried = materialize(screened(first), "jaccard-tried", small=True)
-    discard(again)
-    links = verify(tried, texts)
-    label = components(links)
-
-    # What a key of three sets or more still holds in different components is compared across them.
-    member = met.where(F.col("kind") == HOT_MEMBER).join(short.select(F.col("sh").alias("y"), F.col("band").alias("z")), ["y", "z"], "left_semi").select(F.col("x").alias("key"), F.col("y").alias("sh"))
-    others = met.where(F.col("kind") == MEMBER).unionByName(met2.where(F.col("kind").isin(MEMBER, HOT_MEMBER)))
-    member = member.unionByName(others.select(F.col("x").alias("key"), F.col("y").alias("sh"))).distinct()
-    at = member.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
-    open_ = at.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key")
-    at = materialize(at.join(open_, "key", "left_semi"), "jaccard-open", small=True)
-    rows = at.count()
-    if rows:
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (x, y) that are links."""
+        texts = self.texts(pairs.select(F.col("x").alias("sh")).unionByName(pairs.select(F.col("y").alias("sh"))))
+        out = verify(pairs, texts)
+        discard(texts)
+        return out
+
+    def across(self, label: DataFrame | None, heads: DataFrame | None, most: int | None) -> DataFrame:
+        """Close pairs of sets that share a list and have different labels (without labels: all), and heads of lists with more left."""
+        lists = self.lists if heads is None else self.lists.join(heads, "head", "left_semi")
+        at = lists.unionByName(lists.select("head", F.col("head").alias("sh")).distinct())
+        at = at.withColumn("label", F.col("sh")) if label is None else at.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
+        # A list's largest component and its other members are cut into blocks; each block of these meets every block.
+        each = at.groupBy("head", "label").agg(F.count("*").alias("c"))
+        whole = each.groupBy("head").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
+        whole = materialize(whole.select("head", F.col("main.label").alias("main"), F.ceil(F.when(F.col("c") > 2 * BLOCK, (F.col("c") - F.col("main.c")) / BLOCK).otherwise(1)).alias("rest"), F.ceil(F.when(F.col("c") > 2 * BLOCK, F.col("main.c") / BLOCK).otherwise(1)).alias("own")), "jaccard-open", small=True)
+        at = at.join(whole, "head")
+        is_main = F.col("label") == F.col("main")
+        own = F.pmod(F.xxhash64("sh"), F.when(is_main, F.col("own")).otherwise(F.col("rest")))
+        # Block numbers: the rest's, then the largest component's. A task is (a, b), a of the rest and a <= b.
+        mine = F.when(is_main & (F.col("own") + F.col("rest") > 2), F.col("rest") + own).otherwise(own)
+        fellow = F.when(is_main & (F.col("own") + F.col("rest") > 2), F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).when(F.col("own") + F.col("rest") > 2, F.sequence(F.lit(0).cast("long"), F.col("rest") + F.col("own") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+        dealt = at.select("head", "sh", "label", mine.alias("mine"), F.explode(fellow).alias("fellow"))
+        dealt = materialize(dealt.select(F.xxhash64("head", F.least("mine", "fellow"), F.greatest("mine", "fellow")).alias("key"), "head", "sh", "label"), "jaccard-dealt", small=True)
         # Each part of the keys gets every sketch it needs once; pairs that sketches rule out never leave it.
-        part = F.pmod(F.xxhash64("key"), F.lit(-(-rows // 150_000)))
-        lists = at.select(part.alias("part"), "key", "sh", F.col("label").alias("n"), F.lit(None).cast("binary").alias("sketch"))
-        marks = lists.select("part", "sh").distinct().join(size, "sh").select("part", F.lit(0).cast("long").alias("key"), "sh", "n", "sketch")
-        cross = lists.unionByName(marks).groupBy("part").applyInArrow(_cross, "x long, y long").distinct()
-        late = verify(materialize(cross.join(tried, ["x", "y"], "left_anti"), "jaccard-cross", small=True), texts)
-        if not late.isEmpty():
-            # Only components are joined now: edges between the labels so far.
-            l = lambda side: label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-            ends = late.join(l("x"), "x", "left").join(l("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
-            more = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
-            alone = late.select(F.col("x").alias("node")).union(late.select("y")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
-            label = materialize(label.unionByName(alone).join(more, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "jaccard-labels", small=True)
-
-    named = nodes.select("sh", "low", "rep").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
-    ids = named.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("first"))
-    comp = materialize(named.select("sh", "label").join(ids, "label").select("sh", "component_id", "first"), "jaccard-components")
+        part = F.pmod(F.xxhash64("key"), F.lit(-(-dealt.count() // 50_000) or 1))
+        rows = dealt.select(part.alias("part"), "key", "head", "sh", "label", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"))
+        none = F.lit(None).cast("long")
+        marks = rows.select("part", "sh").distinct().join(self.size, "sh").select("part", none.alias("key"), none.alias("head"), "sh", none.alias("label"), "n", "sketch")
+        out = materialize(rows.unionByName(marks).groupBy("part").applyInArrow(_cross(most), _CLOSE), "jaccard-cross", small=True)
+        discard(whole, dealt)
+        return out
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only components are joined."""
+    side = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(side("x"), "x", "left").join(side("y"), "y", "left").select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y"))
+    more = components(ends).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    alone = links.select(F.col("x").alias("node")).union(links.select("y")).distinct().join(label, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return materialize(label.unionByName(alone).join(more, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "jaccard-labels", small=True)
+
+
+def near_duplicates(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 1_000_000) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id, set_id (the smallest doc_id with an equal set) of every document, and whether it is its component's first."""
+    c = _Candidates(documents, hot, slice_keys)
+    star = c.lists.select(F.least("head", "sh").alias("x"), F.greatest("head", "sh").alias("y")).distinct()
+    tried = materialize(c.screened(star), "jaccard-tried", small=True)
+    label, heads = materialize(components(c.links(tried)), "jaccard-labels", small=True), None
+    for most in ROUNDS:
+        found = c.across(label, heads, most)
+        new = materialize(found.where("head is null").select("x", "y").distinct().hint("merge").join(tried, ["x", "y"], "left_anti"), "jaccard-new", small=True)
+        if not new.isEmpty():
+            links = c.links(new)
+            if not links.isEmpty():
+                label = _merged(label, links)
+            tried = tried.unionByName(new)
+        heads = found.where("head is not null").select("head").distinct()
+        if heads.isEmpty():
+            break
+
+    named = materialize(c.nodes.select("sh", "low", "rep").join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh")), "jaccard-named")
+    ids = materialize(named.groupBy("label").agg(F.min("low").alias("component_id"), F.min("rep").alias("first")), "jaccard-ids", small=True)
+    comp = materialize(named.select("sh", "low", "label").join(ids, "label").select("sh", "low", "component_id", "first"), "jaccard-components")
+    discard(c.nodes, c.lists, named, ids)
     is_first = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
-    return info.join(comp, "sh", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), is_first.alias("is_first"))
+    return c.info.join(comp, "sh", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("low", "doc_id").alias("set_id"), is_first.alias("is_first"))
+
+
+def similar_pairs(documents: DataFrame, *, hot: int = HOT, slice_keys: int = 1_000_000) -> DataFrame:
+    """set_a, set_b: every link between two different sets, named by the smallest doc_id of each (see set_id of near_duplicates).
+
+    The result is as large as the number of links, which a group of near copies makes quadratic; near_duplicates does not need them all.
+    """
+    c = _Candidates(documents, hot, slice_keys)
+    links = c.links(materialize(c.across(None, None, None).select("x", "y").distinct(), "jaccard-all", small=True))
+    low = lambda side, name: c.nodes.select(F.col("sh").alias(side), F.col("low").alias(name))
+    both = links.join(low("x", "a"), "x").join(low("y", "b"), "y")
+    return both.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
 
 
 def keep_first(documents: DataFrame, **params) -> DataFrame:
