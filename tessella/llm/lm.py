@@ -22,8 +22,10 @@ each word, kept bigram and kept trigram of a text:
     trigram abc    p(c | ab) over what its backoff gives
 which is what `traverse` adds up arc by arc (see the tests).  Scoring looks up the
 n-grams of a text in a broadcast part that holds the values of frequent ones, at most
-``hot_words`` and ``hot_ngrams``; all the rest are joined with the tables.  A bitmap of
-fixed size spares n-grams that are surely not kept the way; it has no say in results.
+``hot_words`` and ``hot_ngrams``; all the rest travel to the tables in packed blocks of
+a slice of the keys, and sums by document travel back to the slab they came from.  A
+bitmap of fixed size spares n-grams that are surely not kept the way.  Neither it nor
+the broadcast part has a say in results.
 
 Defined results: null text is the empty text and has the end token only; null
 doc_id counts as the empty id for the folds; repeated rows count and score each;
@@ -33,15 +35,17 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slab, as_long, crc_bucket, materialize, mix, narrow_batches, slabs, word_hashes
+from .common import U64, Slab, as_long, crc_bucket, discard, materialize, mix, narrow_batches, slabs, word_hashes
 
 END = U64(0xE4D0)  # the end token; word hashes are never this small in practice
 PIECE = 96
@@ -371,24 +375,31 @@ def train(documents: DataFrame, in_fold, *, word_count: int = 5, min_count: int
     left = lambda whole: F.greatest(F.col(whole) - F.col("taken"), F.lit(1e-9)) / F.col(whole)
     taken = F.sum(F.col("c") - discount).alias("taken")
     # The bitmap lets some other words through: the joins drop their bigrams.
-    pairs = counted(2, _bitmap(known.select(F.col("w").alias("g"))))
-    pairs = pairs.join(known.select(F.col("w").alias("x"), F.col("c").alias("cx")), "x").join(known.select(F.col("w").alias("y"), F.col("c").alias("cy")), "y")
+    found = counted(2, _bitmap(known.select(F.col("w").alias("g"))))
+    pairs = found.join(known.select(F.col("w").alias("x"), F.col("c").alias("cx")), "x").join(known.select(F.col("w").alias("y"), F.col("c").alias("cy")), "y")
     pairs = materialize(pairs, "lm-pairs")
+    discard(found)
     heads = pairs.groupBy("x").agg(taken, F.first("cx").alias("cx")).select("x", left("cx").alias("bow"))
     heads = materialize(heads, "lm-heads", small=True)
     p2 = (F.col("c") - discount) / F.col("cx") + F.col("bow") * unigram("cy")
+    joined = pairs
     pairs = pairs.join(heads, "x").select("g", "c", p2.alias("p"), (F.log10(p2) - F.log10(F.col("bow") * unigram("cy"))).alias("v"))
     pairs = materialize(pairs, "lm-bigrams")
+    discard(joined)
     words = counts.join(heads.withColumnRenamed("x", "w"), "w", "left").select(F.col("w").alias("g"), "c", F.log10(unigram("c")).alias("base"), (F.log10(unigram("c")) + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v"))
     words = materialize(words, "lm-values-1")
+    discard(counts, heads)
 
-    triples = counted(3, _bitmap(pairs))
-    triples = triples.join(pairs.select(F.col("g").alias("xy"), F.col("c").alias("cxy")), "xy").join(pairs.select(F.col("g").alias("yz"), F.col("p").alias("low")), "yz")
+    found = counted(3, _bitmap(pairs))
+    triples = found.join(pairs.select(F.col("g").alias("xy"), F.col("c").alias("cxy")), "xy").join(pairs.select(F.col("g").alias("yz"), F.col("p").alias("low")), "yz")
     triples = materialize(triples.select("g", "xy", "c", "cxy", "low"), "lm-triples")
+    discard(found)
     heads = materialize(triples.groupBy("xy").agg(taken, F.first("cxy").alias("cxy")).select("xy", left("cxy").alias("bow")), "lm-heads", small=True)
     p3 = (F.col("c") - discount) / F.col("cxy") + F.col("bow") * F.col("low")
+    joined, bigrams = triples, pairs
     triples = materialize(triples.join(heads, "xy").select("g", "c", (F.log10(p3) - F.log10(F.col("bow") * F.col("low"))).alias("v")), "lm-values-3")
     pairs = materialize(pairs.join(heads.withColumnRenamed("xy", "g"), "g", "left").select("g", "c", (F.col("v") + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v")), "lm-values-2")
+    discard(joined, bigrams, heads)
     return Model(int(n), int(v), words, [pairs, triples])
 
 
@@ -416,28 +427,36 @@ def _hot(model: Model, hot_words: int, hot_ngrams: int) -> Hot:
     return Hot(Table.of(g), base, value, ngrams)
 
 
-def _score(shared, rest: bool):
-    """Scores by the broadcast values alone; or the words and n-grams of each text that need the tables."""
+SLICE_KEYS = 3_000_000  # n-grams looked up in one group
+SLICE_VALUES = 500_000  # rows of the value tables in one group
+
+
+def _score(shared, slices: int):
+    """Each slab's scores by the broadcast values, and blocks of the words and n-grams that need the tables.
+
+    A slab is named by its task and place in it, both fixed by the scan. A block (slab, slice) keeps
+    its keys document by document, 48 bits each; the slice holds the lowest bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        hot, task, number = shared.value, TaskContext.get().partitionId(), 0
         for batch in batches:
             rid = batch.column(0)
             for slab in slabs(batch.column(1), 1 << 20):
                 h, before = tokens(slab)
                 n = slab.hi - slab.lo
                 doc = np.repeat(np.arange(n), np.diff(before))
-                own = rid.slice(slab.lo, n)
                 w = hot.words.find(h)
                 in_hot = w >= 0
                 base, score = np.zeros(n), np.zeros(n)
                 if in_hot.any():
                     base = np.bincount(doc[in_hot], hot.base[w[in_hot]], n)
                     score = np.bincount(doc[in_hot], hot.value[w[in_hot]], n)
-                sent = [(doc[~in_hot], h[~in_hot], np.ones(int((~in_hot).sum()), bool))]
+                known = np.bincount(doc[in_hot], minlength=n)
+                sent = [(doc[~in_hot], h[~in_hot])]
                 same = doc[:-1] == doc[1:]
                 two = pair_hash(h[:-1], h[1:])
-                for order, (table, value, bits) in zip((2, 3), hot.ngrams):
+                for order, (table, value, bits) in zip((2, 3), hot.ngrams, strict=True):
                     if order == 2:
                         i = np.flatnonzero(same)
                         g = two[i]
@@ -449,45 +468,112 @@ def _score(shared, rest: bool):
                     at = table.find(g)
                     hit = at >= 0
                     score = score + np.bincount(doc[i[hit]], value[at[hit]], n)
-                    sent.append((doc[i[~hit]], g[~hit], np.zeros(int((~hit).sum()), bool)))
-                d, x, word = (np.concatenate(c) for c in zip(*sent))
-                if rest:
-                    # One row for each such word or n-gram of a text, with how often it stands there.
-                    o = np.lexsort((x, d))
-                    d, x, word = d[o], x[o], word[o]
-                    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])])) if len(d) else np.zeros(0, np.int64)
-                    k = np.diff(np.append(first, len(d)))
-                    yield from _sliced(pa.RecordBatch.from_arrays([own.take(pa.array(d[first])), pa.array(as_long(x[first])), pa.array(word[first]), pa.array(k)], ["rid", "g", "word", "k"]))
-                    continue
-                each = [np.bincount(doc[in_hot], minlength=n), np.bincount(d, minlength=n)]
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(before)), *[pa.array(x.astype(np.int64)) for x in each], pa.array(base), pa.array(score)], ["rid", "n_tokens", "n_known", "n_sent", "base_score", "score"])
+                    sent.append((doc[i[~hit]], g[~hit]))
+                name = (task << 32) + number
+                number += 1
+                rows = [(number % slices, 0, _bytes(np.diff(before).astype(np.int64), known.astype(np.int64), base, score), *[b""] * 5)]
+                for kind, part in ((1, sent[:1]), (2, sent[1:])):
+                    rows += _blocks(np.concatenate([d for d, _ in part]), np.concatenate([g for _, g in part]), kind, slices)
+                head = pa.ListArray.from_arrays(pa.array([0, n, *[n] * (len(rows) - 1)], pa.int32()), rid.slice(slab.lo, n))
+                cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 6))]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), head, *cols], _NAMES)
+
+    return run
+
+
+_NAMES = ["slab", "ids", "slice", "kind", "head", "docs", "size", "hi", "lo", "k"]  # kind 0: a slab's own row, 1: words, 2: n-grams
+
+
+def _bytes(*columns: np.ndarray) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _blocks(doc: np.ndarray, g: np.ndarray, kind: int, slices: int) -> list[tuple]:
+    """Blocks by slice of the distinct (document, key) pairs and how often each stands there."""
+    part = (g & U64(slices - 1)).astype(np.int64)
+    o = np.lexsort((g, doc, part))
+    part, doc, g = part[o], doc[o], g[o]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.zeros(0, np.int64)
+    k = np.diff(np.append(first, len(g)))
+    part, doc, g = part[first], doc[first], g[first] >> U64(16)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(g) else np.zeros(0, np.int64)
+    out = []
+    for i, j in zip(at, [*at[1:], len(g)], strict=False):
+        docs, size = np.unique(doc[i:j], return_counts=True)
+        wide = np.uint32 if max(docs[-1], size.max(), k[i:j].max()) >= 1 << 16 else np.uint16
+        out.append((int(part[i]), kind, b"", *[x.astype(t).tobytes() for x, t in ((docs, wide), (size, wide), (g[i:j] >> U64(16), np.uint32), (g[i:j], np.uint16), (k[i:j], wide))]))
+    return out
+
+
+_PARTS = "slab long, ids {}, slice int, kind int, head binary, wide boolean, docs binary, known binary, base binary, part binary"
+
+
+def _look_up(unseen: float):
+    """Of a slice: sums of the values of each block's keys, document by document; slabs' own rows pass."""
+
+    def run(sent: pa.Table, values: pa.Table) -> pa.Table:
+        key = values["g"].to_numpy().view(U64) >> U64(16)
+        o = np.argsort(key)
+        key, base, v = key[o], values["base"].to_numpy()[o], values["v"].to_numpy()[o]
+        kind = sent["kind"].to_numpy()
+        out: list[list] = [[] for _ in range(5)]
+        for m, docs, size, hi, lo, k in zip(kind.tolist(), *[sent[c].to_pylist() for c in ("docs", "size", "hi", "lo", "k")], strict=True):
+            row = (False, b"", b"", b"", b"")
+            if m:
+                h = np.frombuffer(hi, np.uint32)
+                wide = len(k) == 4 * len(h)
+                docs, size, k = (np.frombuffer(x, np.uint32 if wide else np.uint16) for x in (docs, size, k))
+                g = h.astype(U64) << U64(16) | np.frombuffer(lo, np.uint16)
+                at = np.minimum(np.searchsorted(key, g), max(len(key) - 1, 0))
+                hit = key[at] == g if len(key) else np.zeros(len(g), bool)
+                start = np.cumsum(size, dtype=np.int64) - size
+                # A word without a value was never seen; an n-gram without one is not kept.
+                miss = unseen if m == 1 else 0.0
+                total = lambda x: np.add.reduceat(np.where(hit, x[at] if len(x) else 0.0, miss) * k, start).tobytes()  # noqa: B023, E731
+                row = (wide, docs.tobytes(), *((np.add.reduceat(hit * k.astype(np.int64), start).tobytes(), total(base)) if m == 1 else (b"", b"")), total(v))
+            for c, x in zip(out, row, strict=True):
+                c.append(x)
+        cols = [pa.array(out[0], pa.bool_()), *[pa.array(c, pa.binary()) for c in out[1:]]]
+        return pa.Table.from_arrays([*[sent[c] for c in ("slab", "ids", "slice", "kind", "head")], *cols], ["slab", "ids", "slice", "kind", "head", "wide", "docs", "known", "base", "part"])
 
     return run
 
 
-def lm_scores(documents: DataFrame, *, holdout: tuple[int, int] = (7, 2), hot_words: int = 100_000, hot_ngrams: int = 400_000, **params) -> DataFrame:
+def _total(group: pa.Table) -> pa.Table:
+    """The documents of a slab: its own row and the sums of its blocks, in the order of slices."""
+    group = group.sort_by([("kind", "ascending"), ("slice", "ascending")])
+    ids = group["ids"].combine_chunks()
+    ids = ids.slice(0, 1).flatten()
+    head = np.frombuffer(group["head"][0].as_py(), np.int64).reshape(4, len(ids))
+    count, known = head[0], head[1].copy()
+    base, score = (head[i].view(np.float64).copy() for i in (2, 3))
+    for m, wide, docs, n, b, v in zip(*[group[c].to_pylist() for c in ("kind", "wide", "docs", "known", "base", "part")], strict=True):
+        if m:
+            d = np.frombuffer(docs, np.uint32 if wide else np.uint16)
+            score[d] += np.frombuffer(v)
+            if m == 1:
+                known[d] += np.frombuffer(n, np.int64)
+                base[d] += np.frombuffer(b)
+    return pa.table({"doc_id": ids, "n_tokens": count, "n_known": known, "base_score": base, "score": score})
+
+
+def lm_scores(documents: DataFrame, *, holdout: tuple[int, int] = (7, 2), hot_words: int = 100_000, hot_ngrams: int = 400_000, slice_keys: int = SLICE_KEYS, **params) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     narrow_batches(documents.sparkSession)
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     held = crc_bucket(F.col("doc_id"), holdout[0]) == holdout[1]
     model = train(docs, ~held, **params)
     shared = documents.sparkSession.sparkContext.broadcast(_hot(model, hot_words, hot_ngrams))
-    # A row's key: its id and its text's hash; repeated rows have equal results.
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("rid"), "text")
-    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},h:bigint>"
-    scored = keyed.mapInArrow(_score(shared, False), f"rid {kind}, n_tokens long, n_known long, n_sent long, base_score double, score double").select("rid.doc_id", "rid.h", "n_tokens", "n_known", "n_sent", "base_score", "score")
-    sent = keyed.mapInArrow(_score(shared, True), f"rid {kind}, g long, word boolean, k long").select("rid.doc_id", "rid.h", "g", "word", "k")
     values = model.words.select("g", "base", "v")
     for df in model.ngrams:
         values = values.unionByName(df.select("g", F.lit(0.0).alias("base"), "v"))
-    # A word without a value was never seen; an n-gram without one is not kept.
-    unseen = F.when(F.col("word"), F.log10(F.lit(1 / float(model.n + model.v + 1)))).otherwise(0.0)
-    known = F.when(F.col("word") & F.col("v").isNotNull(), F.col("k")).otherwise(0)
-    tail = sent.join(values, "g", "left").groupBy("doc_id", "h").agg(F.sum(known).alias("known"), F.sum(F.col("k") * F.coalesce("base", unseen)).alias("base"), F.sum(F.col("k") * F.coalesce("v", unseen)).alias("part"), F.sum("k").alias("k"))
-    tail = materialize(tail, "lm-rest")
-    s, t = scored.alias("s"), tail.alias("t")
-    both = s.join(t, F.col("s.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("s.h") == F.col("t.h")), "left")
-    # Repeated rows each sent theirs: a row's share is its own number of them.
-    share = F.col("n_sent") / F.col("k")
-    more = lambda c: F.coalesce(F.col(c) * share, F.lit(0.0))
-    return both.select("s.doc_id", (crc_bucket(F.col("s.doc_id"), holdout[0]) == holdout[1]).alias("held_out"), "n_tokens", (F.col("n_known") + F.round(more("known")).cast("long")).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + more("base")).alias("base_score"), (F.col("score") + more("part")).alias("score"))
+    slices = 1
+    while slices < max(values.count() / SLICE_VALUES, model.n / slice_keys):
+        slices *= 2
+    kind = docs.schema["doc_id"].dataType
+    ids = f"array<{kind.simpleString()}>"
+    sent = docs.mapInArrow(_score(shared, slices), f"slab long, ids {ids}, slice int, kind int, head binary, docs binary, size binary, hi binary, lo binary, k binary")
+    sliced = values.withColumn("slice", F.pmod("g", F.lit(slices)).cast("int"))
+    parts = sent.groupBy("slice").cogroup(sliced.groupBy("slice")).applyInArrow(_look_up(-math.log10(model.n + model.v + 1)), _PARTS.format(ids))
+    scored = parts.groupBy("slab").applyInArrow(_total, f"doc_id {kind.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (crc_bucket(F.col("doc_id"), holdout[0]) == holdout[1]).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
