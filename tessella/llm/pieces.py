@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-A text is split into words (a run of spaces and what follows it); no piece of the
-vocabularies used here crosses such a boundary, so a text's best segmentation is
-its words' best segmentations in a row.  A slab's distinct words of equal byte
+A text is split into words (a run of spaces and what follows it); a vocabulary with a
+piece that crosses such a boundary is refused, so a text's best segmentation is its
+words' best segmentations in a row.  Time is linear in a word's length.  A slab's distinct words of equal byte
 length advance together: all their substrings are hashed at once from prefix
 hashes and probed against the sorted piece keys, and for each end position a
 vectorised strict maximum keeps the score and the backpointer.
@@ -70,6 +70,8 @@ class Vocabulary:
                 off = sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)
                 pieces.append(b"" if off else sp.id_to_piece(i).encode().replace(META, b" "))
             scores.append(np.nan if sp.is_byte(i) or not pieces[-1] else sp.get_score(i))
+            if not sp.is_byte(i) and b" " in pieces[-1].lstrip(b" "):
+                raise ValueError(f"piece {i} crosses a word boundary; words can't be segmented one by one")
         return Vocabulary(pieces, np.array(scores, np.float64), byte_ids)
 
 
@@ -106,10 +108,11 @@ def viterbi(v: Vocabulary, data: np.ndarray, h: np.ndarray, start: np.ndarray, s
         name = np.zeros(key.shape, np.int32)
         name[at[0][hit], at[1][hit]] = v.ids[k[hit]]
         live = np.isfinite(worth).any(axis=0)
-        for q in ps:
+        at_q = np.searchsorted(p, np.append(ps, ps[-1] + 1))  # pairs stand in order of their start
+        for k, q in enumerate(ps):
             here = score[:, q]
             own = np.zeros(n, bool)
-            for c in np.flatnonzero((p == q) & live):
+            for c in at_q[k] + np.flatnonzero(live[at_q[k] : at_q[k + 1]]):
                 end = q + int(s[c])
                 cand = here + worth[:, c]
                 own |= np.isfinite(worth[:, c]) & (char[:, q] == s[c])

@@ -258,6 +258,31 @@ def test_components_of_many_near_copies(spark):
     assert Counter(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == slow_components(rows)
 
 
+def test_blocks_of_large_lists_and_rounds(spark, df, corpus, monkeypatch):
+    """Lists are dealt in small blocks and a component offers one pair a round: nothing is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", (1, None))
+    got = jaccard.near_duplicates(df, hot=2).toPandas()
+    assert Counter(got[["doc_id", "n_shingles", "component_id"]].itertuples(index=False, name=None)) == slow_components(corpus)
+
+
+def test_similar_pairs_and_null_ids(spark, corpus):
+    rows = [*corpus[:110], (None, corpus[4][1]), (None, "only here with no id at all"), (None, None)]
+    got = jaccard.similar_pairs(docs(spark, rows), hot=3).collect()
+    sets = {}
+    for d, t in rows:
+        w = (t or "").lower().split()
+        if w:
+            k = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            sets[k] = min(sets.get(k, 10**9), 10**9 if d is None else d)
+    keys = sorted(sets, key=sets.get)
+    want = {(sets[a], sets[b]) for i, a in enumerate(keys) for b in keys[i + 1 :] if 4 * len(a & b) >= 3 * len(a | b)}
+    assert len(got) == len(want) and {(r.set_a, r.set_b) for r in got} == want
+    near = jaccard.near_duplicates(docs(spark, rows)).where("doc_id is null").collect()
+    assert sorted(str(r.component_id) for r in near) == ["4", "None", "None"]
+
+
 def test_keep_first(spark, df, corpus):
     kept = jaccard.keep_first(df).toPandas()
     want = {c for _, n, c in slow_components(corpus) if n} | {300, 301, 302}
@@ -421,3 +446,19 @@ def test_lm_model_is_whole_whatever_is_broadcast(spark, df, corpus):
             w = [0, 0, *split(by[r["doc_id"]])]
             assert r["score"] == pytest.approx(sum(math.log10(p(*w[i - 2 : i + 1])) for i in range(2, len(w))))
             assert r["n_known"] == sum(one[x] > 0 for x in w[2:])
+
+
+def test_long_words_take_linear_time_and_vocabularies_are_checked():
+    import time
+
+    v = pieces.vocabulary(PIECES)
+    rng = random.Random(3)
+    took = []
+    for n in (10_000, 40_000):
+        raw = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)).encode()
+        began = time.process_time()
+        ids, count = pieces.encode(v, np.frombuffer(raw, np.uint8), np.array([0, n]))
+        took.append(time.process_time() - began)
+        assert pieces.decode(v, ids, count)[0] == raw
+    assert took[1] < 8 * max(took[0], 0.2)
+    assert not any(b" " in p.lstrip(b" ") for p in v.pieces if len(p) > 1)
