@@ -147,7 +147,7 @@ def neighbours(vectors: DataFrame, is_query, *, k: int = 10, tables: int = 8, pr
         ask = side.mapInArrow(_code(kind, tables, probes, seed), _CODED).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>"))).withColumn("is_query", F.lit(True))
         hits = data.unionByName(ask).groupBy("tab", "code", "slice").applyInArrow(_search(kind, keep), "qcid long, cid long, low long, score double")
         best = hits.dropDuplicates(["qcid", "cid"]).withColumn("_rn", F.row_number().over(Window.partitionBy("qcid").orderBy("score", "low"))).where(F.col("_rn") <= keep)
-        named = best.join(classes.select("cid", "ids"), "cid").select("qcid", F.expr("transform(ids, i -> struct(score AS score, i AS vec_id))").alias("near"))
+        named = best.join(classes.select("cid", "ids"), "cid").select("qcid", F.expr("transform(ids, i -> struct(score AS score, i AS vec_id, cid = qcid AS same))").alias("near"))
         return materialize(named.groupBy("qcid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near")), "ann-found")
 
     found = search(asked, probes, tables)
@@ -156,5 +156,5 @@ def neighbours(vectors: DataFrame, is_query, *, k: int = 10, tables: int = 8, pr
     if not few.isEmpty():
         again = search(few, 1 << 20, 1)
         found = found.join(few.withColumnRenamed("cid", "qcid"), "qcid", "left_anti").unionByName(again)
-    near = F.slice(F.expr("filter(near, x -> x.vec_id != query_id)"), 1, k)
+    near = F.slice(F.expr("filter(near, x -> NOT (x.same AND x.vec_id = query_id))"), 1, k)
     return queries.join(found, "qcid").select("query_id", F.posexplode(near).alias("_p", "_n")).select("query_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_n.vec_id").alias("vec_id"), F.col("_n.score").alias("score"))

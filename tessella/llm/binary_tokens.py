@@ -263,15 +263,18 @@ def write_file(folder: str, name: str, blob: bytes) -> str:
     return f"{folder}/{name}"
 
 
+MOST_PARTS = 50_000
+
+
 def write_tokens(documents: DataFrame, folder: str, encoder: Callable[[], ChunkEncoder], *, end_id: int = 0, shard_bytes: int = 8 << 20, shard_tokens: int = 1 << 22) -> DataFrame:
     """Writes shard files in ascending doc_id order; returns (part, seq, file, n_docs, n_tokens) rows.
 
-    Shards follow the range partitions, about shard_bytes of text each; a
+    Shards follow the range partitions, about shard_bytes of text each and at most MOST_PARTS; a
     partition that holds more than shard_tokens ids is cut into several files.
     """
     docs = documents.select("doc_id", "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // shard_bytes))
+    parts = max(1, min(-(-total // shard_bytes), MOST_PARTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -314,12 +317,16 @@ _FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.strin
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files.
 
-    `files` has one row a shard; the running sum over it is the only ordered step.
+    `files` has one row a shard; running sums over parts and over the shards of a part are the only ordered steps.
     """
     spark = files.sparkSession
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = files.select("file", (F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")).alias("before"))
+    # Offsets in two levels: one row a part meets in one task, at most MOST_PARTS.
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
+    own = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
+    before = files.join(F.broadcast(parts), "part").select("file", (F.col("_before") + own).alias("before"))
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "*.twm").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

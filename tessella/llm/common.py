@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ _MASK = (1 << 64) - 1
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir; a temporary one only where it is unset and the session is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

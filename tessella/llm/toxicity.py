@@ -134,7 +134,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for s in slabs(batch.column(1)):
             h, before = word_hashes(s, WORD)
             rows += [np.unique(h[before[i] : before[i + 1]]).tobytes() for i in range(s.hi - s.lo)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["positive", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["_id", "words"])
 
 
 def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 4000, max_unlabelled: int = 8000, holdout: tuple[int, int] = (4, 2)) -> ToxicModel:
@@ -142,7 +142,9 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 4000,
 
     The prior is the toxic share of all labelled rows of the fold.  Positives are
     at most max_positive labelled toxic rows, unlabelled rows at most
-    max_unlabelled texts of any kind, both chosen by a hash of the id.
+    max_unlabelled texts of any kind, both those with the lowest hashes of the id.
+    The model weighs at most 4096 words (max_words of fit_nnpu), the most telling
+    ones that at least min_positive positives hold.
     """
     narrow_batches(documents.sparkSession)
     mod, out = holdout
@@ -153,14 +155,19 @@ def train(documents: DataFrame, labels: DataFrame, *, max_positive: int = 4000,
     n_all = texts.count()
     draw = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)) / 1_000_000
 
-    # Ids of confirmed positives: at most max_positive longs, so the broadcast has a proven bound.
-    ids = known.where("_y = 1").where(draw < (max_positive / n_pos if n_pos else 0)).limit(max_positive).select("_id")
-    pos = texts.join(F.broadcast(ids), "_id").select(F.lit(True).alias("positive"), "_t")
-    unl = texts.where(draw < (max_unlabelled / n_all if n_all else 0)).limit(max_unlabelled).select(F.lit(False).alias("positive"), "_t")
-    rows = [r for part in (pos, unl) for r in part.mapInArrow(_distinct_words, "positive boolean, words binary").collect()]
+    def drawn(ids: DataFrame, most: int, n: int) -> DataFrame:
+        """The ids of the lowest draws, at most `most`: the same in every run, and a broadcast with a proven bound."""
+        return ids.where(draw < (2 * most / n if n else 0)).distinct().orderBy(draw, "_id").limit(most)
+
+    rows = []
+    for positive, ids in ((True, drawn(known.where("_y = 1").select("_id"), max_positive, n_pos)), (False, drawn(texts.select("_id"), max_unlabelled, n_all))):
+        part = texts.join(F.broadcast(ids), "_id").select("_id", "_t")
+        words = part.mapInArrow(_distinct_words, f"_id {texts.schema['_id'].dataType.simpleString()}, words binary")
+        # Of repeated ids one text stays, so rows are bounded too.
+        rows += [(positive, r["words"]) for r in words.groupBy("_id").agg(F.min(F.struct(F.xxhash64("words"), "words"))["words"].alias("words")).collect()]
     split = {True: [], False: []}
-    for r in rows:
-        split[r["positive"]].append(np.frombuffer(r["words"], U64))
+    for positive, words in sorted(rows):
+        split[positive].append(np.frombuffer(words, U64))
     return fit_nnpu(split[True], split[False], prior)
 
 

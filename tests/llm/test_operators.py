@@ -462,3 +462,21 @@ def test_long_words_take_linear_time_and_vocabularies_are_checked():
         assert pieces.decode(v, ids, count)[0] == raw
     assert took[1] < 8 * max(took[0], 0.2)
     assert not any(b" " in p.lstrip(b" ") for p in v.pieces if len(p) > 1)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Only the query's own row is left out: other vectors of its id are candidates."""
+    rng = np.random.default_rng(2)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(0, [1.0, 0.01 * i, 0.0, 0.0]) for i in range(1, 15)] + [(i, rng.normal(size=4).tolist()) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, F.col("vec_id") % 100 == 0).where("vec_id = 0").groupBy("query_id", "rank", "vec_id", "score").count().collect()
+    near = [r for r in got if r["vec_id"] == 0]
+    assert len({r["rank"] for r in near}) == 10 and all(r["score"] < 0.15 for r in near)
+
+
+def test_training_sample_is_the_same_in_every_run(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 20) + (" vile slur" if i % 3 == 0 else "")) for i in range(400)] + [(0, "again " + prose(rng, 5))] * 5
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    a, b = (toxicity.train(docs(spark, rows).repartition(k), labels, max_positive=30, max_unlabelled=60) for k in (1, 5))
+    assert np.array_equal(a.keys, b.keys) and np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
