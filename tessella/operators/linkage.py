@@ -1,16 +1,20 @@
 """Record linkage: blocked fuzzy pairs, and the order-exact merge.
 
-Pairs are made by an equi-join on the first letter and the last token's first
-letter is left free, as the score needs equal first initials only; the score runs
-on Arrow batches.  Merging is order-dependent (a survivor's filled fields can
-enable a later merge), so it is a fold, run per group of records that names alone
-can connect: names never change in a merge, so groups are independent.
+Only names of one first initial can match, so pairs meet by an equi-join on it, dealt
+over cells so that a frequent initial is many tasks.  A pair is scored in Python only
+if a bound computed on the JVM leaves room for the score: insertions and deletions are
+never fewer than Levenshtein's edits, so every part of the score is at most what the
+edit distance allows.
+
+Merging is order-dependent (a survivor's filled fields can enable a later merge), so
+it is a fold over the candidate pairs, run per group of records that names alone can
+connect: names never change in a merge, so groups are independent.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -19,50 +23,85 @@ from ..session import ship
 FIELDS = ["designation", "affiliation", "location", "specialty", "profile_url"]
 
 
+CELLS = 12
+
+
+def prepared(people: DataFrame, cells: str, *extra: str) -> DataFrame:
+    """Names of two tokens or more with the columns that the bound needs."""
+    t = F.split("name_key", " ")
+    p = people.where(F.size(t) >= 2)
+    return p.select(*extra, "name_key", F.substring("name_key", 1, 1).alias("block"), F.pmod(F.xxhash64("id"), F.lit(CELLS)).alias(cells), F.sort_array(F.array_distinct(F.filter(t, lambda x: x != ""))).alias("tokens"), F.element_at(t, 1).alias("first"), F.element_at(t, -1).alias("last"))
+
+
+def spread(df: DataFrame) -> int:
+    s = df.sparkSession
+    return max(4 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+
+
+def room(l: str, r: str, least: float) -> Column:
+    """False only for pairs whose identity score is surely below `least`."""
+    near = lambda a, b: F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+    part = lambda c: near(F.col(f"{l}.{c}"), F.col(f"{r}.{c}"))
+    rest = 20 * part("name_key") + 20 * part("first") + 15 * part("last")
+    x, y = F.col(f"{l}.tokens"), F.col(f"{r}.tokens")
+    both = F.array_join(F.array_intersect(x, y), " ")
+    # Tokens are sorted. The shared ones stand first in both joined forms, so their ratio to each is one of lengths alone.
+    joined = lambda a, b: F.concat_ws(" ", F.array_intersect(a, b), F.array_except(a, b))
+    p, q = joined(x, y), joined(y, x)
+    share = lambda w: 2 * F.length(both) / (F.length(both) + F.length(w))
+    whole = F.when((both != "") & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)), 1.0).otherwise(F.greatest(near(p, q), F.when(both != "", F.greatest(share(p), share(q))).otherwise(0.0)))
+    slack = 1e-6
+    return F.when(45 + rest < least - slack, False).otherwise(45 * whole + rest >= least - slack)
+
+
 def candidate_pairs(people: DataFrame, least: float = 88.0) -> DataFrame:
     """(a, b, score) with a < b of records (id, name_key) whose names score at least `least`.
 
-    Length bounds prune before the scoring: a ratio part below 0.2 of 100 can't be made up.
+    A pair meets in the one task of its two cells.
     """
     ship(people.sparkSession)
-    p = people.select("id", "name_key", F.substring("name_key", 1, 1).alias("block"), F.length("name_key").alias("n")).where(F.size(F.split("name_key", " ")) >= 2)
-    l, r = p.alias("l"), p.alias("r")
-    near = F.least("l.n", "r.n") * 5 >= F.greatest("l.n", "r.n")
-    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.id") < F.col("r.id")) & near)
+    p = prepared(people, "cell", "id")
+    dealt = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))).withColumn("task", F.struct("block", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi")))
+    # Few bytes are much work here: a fixed number of partitions, which adaptive execution leaves alone.
+    dealt = dealt.repartition(spread(people), "task")
+    l, r = dealt.alias("l"), dealt.hint("merge").alias("r")
+    own = (F.least("l.cell", "r.cell") == F.col("l.task.lo")) & (F.greatest("l.cell", "r.cell") == F.col("l.task.hi"))
+    both = l.join(r, (F.col("l.task") == F.col("r.task")) & (F.col("l.id") < F.col("r.id")) & own & room("l", "r", least))
     return both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), names.identity_udf("l.name_key", "r.name_key").alias("score")).where(F.col("score") >= least)
 
 
 def groups(pairs: DataFrame) -> DataFrame:
-    """(id, grp): connected records, grp the smallest id. Labels are passed until they rest."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    label = edges.select(F.col("a").alias("id")).distinct().withColumn("grp", F.col("id"))
+    """(id, grp): connected records, grp the smallest id.
+
+    Each round takes the least label of the neighbours and then that label's own label,
+    so rounds grow with the logarithm of the longest path; lineage is cut by checkpoints.
+    """
+    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
+    label = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("grp")).checkpoint()
     while True:
-        label = label.persist()
-        best = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("grp").alias("m"))
-        after = label.join(best.withColumnRenamed("a", "id"), "id").select("id", F.least("grp", "m").alias("grp")).persist()
-        moved = after.join(label.withColumnRenamed("grp", "old"), "id").where("grp != old").limit(1).count()
-        label.unpersist()
-        label = after
+        least = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("grp").alias("m"))
+        after = label.join(least.withColumnRenamed("a", "id"), "id").select("id", F.col("grp").alias("was"), F.least("grp", "m").alias("grp"))
+        jump = label.select(F.col("id").alias("grp"), F.col("grp").alias("up"))
+        after = after.join(jump, "grp", "left").select("id", "was", F.least("grp", F.coalesce("up", "grp")).alias("grp")).checkpoint()
+        moved = not after.where("grp != was").isEmpty()
+        label = after.select("id", "grp")
         if not moved:
             return label
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merges the records of a group in ascending id order; target is the survivor's id."""
+def _fold(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Merges the records of a group pair by pair in ascending order of ids; target is the survivor's id."""
     rows = rows.sort_values("id")
-    people = {r["id"]: {k: (None if pd.isna(r[k]) else r[k]) for k in ("name_key", *FIELDS)} for r in rows.to_dict("records")}
+    people = {r["id"]: {k: (None if pd.isna(r[k]) else r[k]) for k in FIELDS} for r in rows.to_dict("records")}
     target = {i: i for i in people}
+    for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
+        x, y = people[a], people[b]
+        if target[a] != a or target[b] != b or names.conflict(x, y) or names.signals(x, y) < 2:
+            continue
+        target[b] = a
+        for k in FIELDS:
+            x[k] = x[k] or y[k]
     ids = list(people)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if target[a] != a or target[b] != b:
-                continue
-            x, y = people[a], people[b]
-            if names.conflict(x, y) or names.signals(x, y) < 2 or names.identity(x["name_key"], y["name_key"]) < 88:
-                continue
-            target[b] = a
-            for k in FIELDS:
-                x[k] = x[k] or y[k]
     for i in ids:
         while target[target[i]] != target[i]:
             target[i] = target[target[i]]
@@ -71,8 +110,11 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
 
 def merge_close(people: DataFrame) -> DataFrame:
     """(id, target) of every record that takes part in a candidate pair."""
-    grp = groups(candidate_pairs(people))
-    return people.select("id", "name_key", *FIELDS).join(grp, "id").groupBy("grp").applyInPandas(_fold, "id long, target long")
+    pairs = candidate_pairs(people).checkpoint()
+    grp = groups(pairs)
+    members = people.select("id", *FIELDS).join(grp, "id")
+    linked = pairs.select("a", "b").join(grp.select(F.col("id").alias("a"), F.col("grp").alias("of")), "a")
+    return members.groupBy("grp").cogroup(linked.groupBy("of")).applyInPandas(_fold, "id long, target long")
 
 
 def rekey(rows: DataFrame, column: str, mapping: DataFrame, unique: list[str]) -> DataFrame:

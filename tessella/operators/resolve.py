@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..session import ship
+from . import linkage
 
 FIELDS = ["designation", "affiliation", "location", "specialty", "profile_url"]
 
@@ -56,9 +57,15 @@ def resolve(incoming: DataFrame) -> DataFrame:
 
 
 def best_match(unknown: DataFrame, stored: DataFrame, least: float = 88.0) -> DataFrame:
-    """(id, match, score): the best stored name of each unknown one, ties to the smaller id; blocks on the first letter."""
+    """(id, match, score): the best stored name of each unknown one, ties to the smaller id.
+
+    Names of one first initial meet, the stored ones dealt over cells; see linkage.room for what is scored.
+    """
     ship(unknown.sparkSession)
-    u = unknown.select("id", F.col("name_key").alias("uk"), F.substring("name_key", 1, 1).alias("block"))
-    s = stored.select(F.col("id").alias("match"), F.col("name_key").alias("sk"), F.substring("name_key", 1, 1).alias("block"))
-    both = u.join(s, "block").select("id", "match", names.identity_udf("uk", "sk").alias("score")).where(F.col("score") >= least)
-    return both.groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match"), F.col("b.score").alias("score"))
+    u = linkage.prepared(unknown, "own", "id").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(linkage.CELLS - 1))))
+    s = linkage.prepared(stored, "cell", "id")
+    n = linkage.spread(unknown)
+    l, r = u.repartition(n, "block", "cell").alias("l"), s.repartition(n, "block", "cell").hint("merge").alias("r")
+    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & linkage.room("l", "r", least))
+    scored = both.select(F.col("l.id").alias("id"), F.col("r.id").alias("match"), names.identity_udf("l.name_key", "r.name_key").alias("score")).where(F.col("score") >= least)
+    return scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match"), F.col("b.score").alias("score"))
