@@ -496,9 +496,10 @@ class _Candidates:
 
     def across(self, label: DataFrame | None, heads: DataFrame | None, most: int | None) -> DataFrame:
         """Close pairs of sets that share a list and have different labels (without labels: all), and heads of lists with more left."""
-        lists = self.lists if heads is None else self.lists.join(heads, "head", "left_semi")
+        lists = self.lists if heads is None else materialize(self.lists.join(heads, "head", "left_semi"), "jaccard-again", small=True)
         at = lists.unionByName(lists.select("head", F.col("head").alias("sh")).distinct())
-        at = at.withColumn("label", F.col("sh")) if label is None else at.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh"))
+        at = at.withColumn("label", F.col("sh")) if label is None else materialize(at.join(label.withColumnRenamed("node", "sh"), "sh", "left").withColumn("label", F.coalesce("label", "sh")), "jaccard-at", small=True)
+        at_written = at
         # A list's largest component and its other members are cut into blocks; each block of these meets every block.
         each = at.groupBy("head", "label").agg(F.count("*").alias("c"))
         whole = each.groupBy("head").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
@@ -517,7 +518,7 @@ class _Candidates:
         none = F.lit(None).cast("long")
         marks = rows.select("part", "sh").distinct().join(self.size, "sh").select("part", none.alias("key"), none.alias("head"), "sh", none.alias("label"), "n", "sketch")
         out = materialize(rows.unionByName(marks).groupBy("part").applyInArrow(_cross(most), _CLOSE), "jaccard-cross", small=True)
-        discard(whole, dealt)
+        discard(whole, dealt, *([] if label is None else [at_written]), *([] if heads is None else [lists]))
         return out
 
 
