@@ -41,5 +41,10 @@ NON_NAME = ["session", "program", "agenda", "abstract", "workshop", "symposium",
 NON_SESSION = ["join", "login", "log", "membership", "education", "research", "practice", "contact", "home", "search", "events", "event", "resources", "resource", "chat", "guidelines", "compensation", "commercial", "interest", "deadline", "submission", "upload", "instructions"]
 NAME_SHAPE = r"(?:[A-Z]\.\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
 SESSION_WORD = r"(?i)\b(session|keynote|plenary|symposium|workshop|lecture|panel|remarks|address)\b"
+# JSON nodes; names in lower case.
+PERSON_NAMES = [["name"], ["firstname", "lastname"]]
+PERSON_FIELDS = ["bio", "title", "designation", "credentials", "affiliation", "organization", "company", "role"]
+SESSION_NAMES = [["title"], ["sessiontitle"]]
+SESSION_FIELDS = ["abstract", "description", "speakers", "presenters", "faculty", "agenda", "time"]
 SIGNAL_KEYS = ["speakers", "presenters", "faculty", "sessions", "agenda", "bio", "abstract", "session", "speaker", "presenter"]
 PERSON_KEYS = ["name", "fullName", "full_name", "speaker", "presenter", "speakerName"]

@@ -38,7 +38,7 @@ def links(html: Column) -> Column:
     return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"(?is)href=[\"']([^\"']*)[\"']", 1).alias("href"), collapse(F.regexp_replace(a, r"(?s)<[^>]*>", " ")).alias("anchor")))
 
 
-def absolute(base: Column, href: Column) -> Column:
+def absolute(base: Column, href: Column, fragment: bool = False) -> Column:
     """http(s) URL of a link: absolute, scheme-relative, root-relative or relative to the base's folder; else null."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:[^?#]*/)?)", 1)
@@ -50,7 +50,7 @@ def absolute(base: Column, href: Column) -> Column:
         .when(h.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:") | (h == ""), F.lit(None))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), h))
     )
-    return F.regexp_replace(full, "#.*$", "")
+    return full if fragment else F.regexp_replace(full, "#.*$", "")
 
 
 def meta_site_name(html: Column) -> Column:

@@ -53,8 +53,9 @@ def canonical(url: Column) -> Column:
     """Run variant: one slash in a row, no trailing slash, tracking parameters dropped, the rest sorted."""
     u = F.trim(url)
     pairs = F.filter(F.split(query(u), "&"), lambda kv: F.regexp_extract(kv, "^[^=]*=(.*)$", 1) != "")
-    kept = F.array_sort(F.filter(pairs, lambda kv: ~(F.lower(kv).startswith(K.TRACKING_PREFIX) | F.lower(F.substring_index(kv, "=", 1)).isin(K.TRACKING_KEYS))))
-    q = F.array_join(kept, "&")
+    kept = F.filter(pairs, lambda kv: ~(F.lower(kv).startswith(K.TRACKING_PREFIX) | F.lower(F.substring_index(kv, "=", 1)).isin(K.TRACKING_KEYS)))
+    by_key = F.array_sort(F.transform(kept, lambda kv: F.struct(F.substring_index(kv, "=", 1).alias("k"), kv.alias("kv"))))
+    q = F.array_join(F.transform(by_key, lambda x: x["kv"]), "&")
     base = F.concat(F.when(scheme(u) == "", "https").otherwise(scheme(u)), F.lit("://"), host(u), _trimmed(F.regexp_replace(path(u), "/{2,}", "/")))
     return F.concat(base, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 

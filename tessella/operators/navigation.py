@@ -14,10 +14,10 @@ from .dedupe import first_by
 
 
 def internal_links(pages: DataFrame, most: int = 60) -> DataFrame:
-    """(page_id, pos, url, anchor): the first `most` distinct same-site links of each page."""
+    """(page_id, pos, url, anchor): the first `most` distinct same-site links of each page, fragments kept."""
     each = pages.select("page_id", F.col("url").alias("base"), F.posexplode(H.links(F.col("html"))).alias("pos", "l"))
-    full = each.withColumn("url", H.absolute(F.col("base"), F.col("l.href"))).where(F.col("url").isNotNull() & U.same_site(F.col("base"), F.col("url")))
-    return first_by(first_by(full, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], most).select("page_id", "pos", "url", F.col("l.anchor").alias("anchor"))
+    full = each.withColumn("url", H.absolute(F.col("base"), F.col("l.href"), fragment=True)).where(F.col("url").isNotNull() & U.same_site(F.col("base"), F.col("url")))
+    return first_by(first_by(full, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], most).select("page_id", "pos", "url", F.substring("l.anchor", 1, 200).alias("anchor"))
 
 
 def relevant(seed: Column, page: Column, candidate: Column, anchor: Column, focus: Column) -> Column:
@@ -53,8 +53,15 @@ def scored_links(pages: DataFrame, k: int) -> DataFrame:
     return best.select("page_id", "url", "score", F.round(scores.clamp(0.4 + F.col("score") / 20, 0.2, 0.95), 6).alias("priority"), F.round(scores.clamp(0.25 + F.col("score") / 18, 0.1, 1.0), 6).alias("expected_yield"))
 
 
-def diverse_top(df: DataFrame, key: str, template: str, order: list[Column], k: int) -> DataFrame:
-    """k rows a key: the best of each template first, then the rest in order."""
+def diverse_top(df: DataFrame, key: str, template: str, order: list[Column], k: int, score: str | None = None) -> DataFrame:
+    """k rows a key: the best of each template first, then the rest in order.
+
+    Rows with a score below max(2, a fifth of the key's best) go, where min(3, k) others are left.
+    """
+    if score:
+        of_key = Window.partitionBy(key)
+        marked = df.withColumn("_good", F.col(score) >= F.greatest(F.lit(2.0), F.max(score).over(of_key) * 0.2))
+        df = marked.withColumn("_left", F.count_if("_good").over(of_key)).where(F.col("_good") | (F.col("_left") < min(3, k))).drop("_good", "_left")
     first = F.row_number().over(Window.partitionBy(key, template).orderBy(*order))
     ranked = df.withColumn("_again", (first > 1).cast("int"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("_again", *order))
@@ -68,6 +75,9 @@ def heuristic_people(rows: DataFrame) -> DataFrame:
     hit = F.arrays_zip(both(1).alias("name"), both(2).alias("degree"))
     doctor = F.regexp_extract(text, K.DOCTOR_NAME, 1)
     alone = F.when(doctor != "", F.array(F.struct(doctor.alias("name"), F.lit(None).cast("string").alias("degree")))).otherwise(F.array().cast("array<struct<name:string,degree:string>>"))
-    people = rows.select("id", F.explode(F.when(F.size(hit) > 0, hit).otherwise(alone)).alias("p")).where(~F.lower("p.name").isin(K.NON_PERSON))
+    person = F.filter(hit, lambda p: ~F.lower(p["name"]).isin(K.NON_PERSON))
+    found = F.when(F.size(person) > 0, person).otherwise(F.filter(alone, lambda p: ~F.lower(p["name"]).isin(K.NON_PERSON)))
+    # One row a name in any case, the last of them.
+    people = first_by(rows.select("id", F.posexplode(found).alias("pos", "p")).withColumn("low", F.lower("p.name")), ["id", "low"], [F.desc("pos")])
     degree = F.regexp_replace(F.upper("p.degree"), r"\.", "")
-    return people.select("id", F.col("p.name").alias("full_name"), F.when(degree == "PHD", "PhD").otherwise(degree).alias("designation"), F.when(degree.isNull(), 0.45).otherwise(0.62).alias("confidence")).dropDuplicates(["id", "full_name"])
+    return people.select("id", F.col("p.name").alias("full_name"), F.when(degree == "PHD", "PhD").otherwise(degree).alias("designation"), F.when(degree.isNull(), 0.45).otherwise(0.62).alias("confidence"))

@@ -148,7 +148,8 @@ def session_pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def network_json(s: SparkSession, d: str) -> DataFrame:
-    text = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("speaker"), F.struct(F.col("c_mktsegment").alias("bio")).alias("more"))).alias("sessions")))
+    speaker = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("bio"))
+    text = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("title"), F.array(speaker).alias("speakers"))).alias("sessions"), F.struct(F.lit("Organization").alias("@type"), F.lit("Acme").alias("name")).alias("host")))
     return extract.nodes_table(read(s, d, "customer").select(F.col("c_custkey").alias("id"), text.alias("text")))
 
 
@@ -165,7 +166,7 @@ def name_canonical(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_intent(s: SparkSession, d: str) -> DataFrame:
-    return _intents(s, d, F.substring("text", 1, 400))
+    return _intents(s, d, F.col("text"))
 
 
 def page_intent_whole(s: SparkSession, d: str) -> DataFrame:
@@ -182,7 +183,7 @@ def link_keyword_score(s: SparkSession, d: str) -> DataFrame:
 
 def template_diverse_topk(s: SparkSession, d: str) -> DataFrame:
     p = _pages(s, d).select("page_id", U.registrable(F.col("url")).alias("site"), U.prefix(F.col("url"), 1).alias("template"), (F.length("html") % 97).cast("int").alias("score"))
-    return navigation.diverse_top(p, "site", "template", [F.desc("score"), F.col("page_id")], 5)
+    return navigation.diverse_top(p, "site", "template", [F.desc("score"), F.col("page_id")], 5, "score")
 
 
 def branch_yield(s: SparkSession, d: str) -> DataFrame:
@@ -316,7 +317,7 @@ QUERIES: dict[str, Query] = {
     "headings": lambda s, d: _pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
     "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
-    "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.substring("text", 1, 200)).alias("hit")),
+    "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
     "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
     **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

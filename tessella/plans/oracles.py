@@ -30,6 +30,8 @@ _CLAMP = lambda x, lo="0.0": f"greatest({lo}, least(1.0, {x}))"
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 _LOOSE = "list_filter(list_transform(regexp_split_to_array(translate(lower({x}), '/_-', '   '), {ws}), lambda t: regexp_replace(regexp_replace(t, '^[.,:;()\\[\\]{{}}!?\"''`]+', ''), '[.,:;()\\[\\]{{}}!?\"''`]+$', '')), lambda t: length(t) >= 2)"
 
+_YEAR_LIST = r"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({x}, '\b(19\d{{2}}|20\d{{2}}|21\d{{2}})\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1990 AND 2100)))"
+
 ORACLES: dict[str, str] = {
     "overview_by_grain": f"SELECT n_name, year, count(*) AS appearances, count(DISTINCT o_custkey) AS people, CAST(GROUPING(n_name, year) AS INTEGER) AS grain FROM {_APP} GROUP BY GROUPING SETS ((n_name, year), (n_name), ())",
     "overview_totals": f"SELECT count(DISTINCT n_name) AS conferences, count(DISTINCT (n_name, year)) AS years, count(DISTINCT o_custkey) AS people, count(*) AS appearances, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS good FROM {_APP}",
@@ -60,7 +62,7 @@ SELECT 'people' AS table_name, count(*) AS rows FROM people UNION ALL SELECT 'ap
     "kpi_sort": f"SELECT *, CAST(row_number() OVER (ORDER BY people DESC, appearances DESC, lower(n_name)) AS INTEGER) AS place FROM (SELECT n_name, count(DISTINCT o_custkey) AS people, count(*) AS appearances FROM {_APP} GROUP BY n_name)",
     "url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages",
     "url_canonical": f"""SELECT page_id, base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS base,
-array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: contains(kv, '=') AND regexp_extract(kv, '^[^=]*=(.*)$', 1) <> '' AND NOT starts_with(lower(kv), 'utm_') AND lower(string_split(kv, '=')[1]) NOT IN {_IN(K.TRACKING_KEYS)})), '&') AS q FROM pages)""",
+array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({_QUERY}, '&'), lambda kv: contains(kv, '=') AND regexp_extract(kv, '^[^=]*=(.*)$', 1) <> '' AND NOT starts_with(lower(kv), 'utm_') AND lower(string_split(kv, '=')[1]) NOT IN {_IN(K.TRACKING_KEYS)}), lambda kv: {{'k': string_split(kv, '=')[1], 'kv': kv}})), lambda x: x.kv), '&') AS q FROM pages)""",
     "url_canonical_interaction": f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS canonical FROM pages",
     "url_canonical_reasoner": f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_PATH)} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS canonical FROM pages",
     "url_registrable": f"SELECT page_id, {_SITE} AS domain FROM pages",
@@ -86,7 +88,7 @@ array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: co
     "person_like": f"SELECT doc_id, {_ANY('lower(substr(text, 1, 200))', K.PERSON_HINTS)} AS hit FROM documents",
     "person_like_whole": f"SELECT doc_id, {_ANY('lower(text)', K.PERSON_HINTS)} AS hit FROM documents",
     "link_keyword_score": "SELECT p_partkey, contains(lower(p_type), 'promo') OR contains(lower(p_type), 'standard') AS hit, CAST(" + " + ".join(f"CASE WHEN contains(lower(p_name || ' program speakers'), '{w}') THEN {v} ELSE 0 END" for w, v in K.LINK_WEIGHTS.items()) + " AS INTEGER) AS score FROM part",
-    "template_diverse_topk": f"WITH p AS (SELECT page_id, {_SITE} AS site, '/' || array_to_string(list_transform(({_SEGS})[1:1], lambda s: lower(s)), '/') AS template, CAST(length(html) % 97 AS INTEGER) AS score FROM pages), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site, template ORDER BY score DESC, page_id) > 1 THEN 1 ELSE 0 END AS again FROM p) SELECT page_id, site, template, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY again, score DESC, page_id) AS INTEGER) AS place FROM r) WHERE place <= 5",
+    "template_diverse_topk": f"WITH q AS (SELECT page_id, {_SITE} AS site, '/' || array_to_string(list_transform(({_SEGS})[1:1], lambda s: lower(s)), '/') AS template, CAST(length(html) % 97 AS INTEGER) AS score FROM pages), c AS (SELECT site, greatest(2.0, max(score) * 0.2) AS cut FROM q GROUP BY site), n AS (SELECT site, cut, count(*) FILTER (score >= cut) AS good FROM q JOIN c USING (site) GROUP BY site, cut), p AS (SELECT q.* FROM q JOIN n USING (site) WHERE good < 3 OR score >= cut), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site, template ORDER BY score DESC, page_id) > 1 THEN 1 ELSE 0 END AS again FROM p) SELECT page_id, site, template, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY again, score DESC, page_id) AS INTEGER) AS place FROM r) WHERE place <= 5",
     "branch_yield": "SELECT user_id, round(CASE WHEN v <= 0 THEN 0.0 ELSE " + _CLAMP("0.30 * least(1.0, c / greatest(v * 10, 1)::DOUBLE) + 0.25 * least(1.0, s / greatest(v * 3, 1)::DOUBLE) + 0.20 * least(1.0, p / greatest(v * 2, 1)::DOUBLE) + 0.15 * least(1.0, e / greatest(v * 8, 1)::DOUBLE) + 0.10 * least(1.0, p / greatest(v * 2, 1)::DOUBLE)") + " END, 9)::DOUBLE AS yield FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id)",
     "memory_score": "SELECT user_id, round(" + _CLAMP("(0.6 * sh / v::DOUBLE + 0.4 * ah / v::DOUBLE) * exp(-greatest(0.0, (20000 - last) / 100.0::DOUBLE) / 30) + CASE WHEN v >= 2 THEN least(0.15, (v - 2) * 0.01) ELSE 0.0 END - least(0.5, (v % 5) * 0.08)") + ", 9)::DOUBLE AS score FROM (SELECT user_id, count(*) AS v, count(*) FILTER (event_type = 'click') AS sh, count(*) FILTER (event_type = 'purchase') AS ah, max(event_id) AS last FROM events GROUP BY user_id)",
     "enqueue_priority": "WITH e AS (SELECT event_id, value % 1.0::DOUBLE AS llm, user_id % 10 / 10.0::DOUBLE AS mem, CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN event_id % 9 <= 1 THEN 0.95 WHEN event_id % 9 <= 4 THEN 0.75 ELSE 0.55 END AS nov, user_id % 4 / 4.0::DOUBLE AS yld, event_id % 5 AS depth, 2022 - (2010 + event_id % 5 * 4) AS d FROM events) SELECT event_id, round(" + _CLAMP(_CLAMP("0.45 * llm + 0.30 * mem + 0.15 * nov + 0.10 * yld - 0.05 * (depth + 1)", "0.01") + " + CASE WHEN d < 0 THEN -0.04 WHEN d <= 1 THEN 0.12 WHEN d <= 5 THEN 0.10 WHEN d <= 10 THEN 0.08 ELSE 0.06 END", "0.01") + ", 9)::DOUBLE AS priority FROM e",
@@ -104,4 +106,12 @@ array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda kv: co
     "llm_json_recovery": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "stream_heartbeat": "SELECT user_id, count(*) AS events, max(event_id) AS last_id, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id",
     "stream_template_memory": "WITH l AS (SELECT user_id, max(event_id) FILTER (event_type IN ('click', 'purchase')) AS last FROM events GROUP BY user_id) SELECT e.user_id, count(*) AS visits, count(*) FILTER (event_type = 'click') AS speaker_hits, count(*) FILTER (event_type = 'purchase') AS appearance_hits, count(*) FILTER (last IS NULL OR event_id > last) AS streak FROM events e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id",
+    "stem_tokens": f"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(list_filter(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> ''), lambda t: [t, CASE WHEN length(t) > 6 AND t LIKE '%ing' THEN regexp_replace(substr(t, 1, length(t) - 3), 'mm$', 'm') WHEN length(t) > 5 AND t LIKE '%ers' THEN substr(t, 1, length(t) - 3) WHEN length(t) > 4 AND t LIKE '%es' THEN substr(t, 1, length(t) - 2) WHEN length(t) > 4 AND t LIKE '%s' THEN substr(t, 1, length(t) - 1) WHEN length(t) > 5 AND t LIKE '%ed' THEN substr(t, 1, length(t) - 2) ELSE t END])), lambda t: length(t) >= 3 AND t NOT IN {_IN(K.STOPWORDS)} AND NOT regexp_full_match(t, '[0-9]+')))), ',') AS tokens FROM part""",
+    "keep_lines": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS sha FROM documents",
+    "headings": r"SELECT page_id, array_to_string(list_filter(list_transform(list_concat(regexp_extract_all(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</', 1), regexp_extract_all(html, '(?is)<h2(?:\s[^>]*)?>(.*?)</', 1), regexp_extract_all(html, '(?is)<h3(?:\s[^>]*)?>(.*?)</', 1)), lambda x: substr(trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 180)), lambda x: x <> '')[1:12], '|') AS headings FROM pages",
+    "unique_links_union": f"SELECT site, count(DISTINCT trim(h)) AS links FROM (SELECT {_SITE} AS site, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href=[\"'']([^\"'']*)[\"''][^>]*>.*?</a>', 1)) AS h FROM pages) GROUP BY site",
+    "attribution_year_ladder": r"SELECT page_id, coalesce(Y(url)[-1], Y(TITLE)[-1], CAST(page_id % 3 + 2020 AS INTEGER)) AS year, round(least(page_id % 10 / 10.0, 0.7), 6) AS confidence FROM pages".replace("Y(url)", _YEAR_LIST.format(x="url")).replace("Y(TITLE)", _YEAR_LIST.format(x=_TITLE)),
+    "url_event_name": f"SELECT page_id, array_to_string(list_transform(string_split(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS event FROM (SELECT page_id, list_filter({_SEGS}, lambda s: lower(s) NOT IN ('events', 'event', 'program', 'agenda', 'schedule', 'index', 'details') AND NOT regexp_matches(lower(s), '^[0-9]+$') AND NOT regexp_matches(lower(s), '^[0-9a-f-]{{8,}}$') AND regexp_matches(s, '[a-zA-Z0-9]'))[-1] AS s FROM pages)",
+    "network_json": """SELECT c_custkey AS id, p AS pos, CASE WHEN p = 0 THEN '{"speakers": [' || n || '], "title": "' || c_name || '"}' ELSE n END AS node FROM (SELECT *, '{"bio": "' || c_mktsegment || '", "name": "' || c_name || '"}' AS n FROM customer), (VALUES (0), (1)) v(p)""",
 }
+ORACLES |= {"page_intent": ORACLES["page_intent_whole"], "person_like": ORACLES["person_like_whole"], "artifact_unpivot": ORACLES["artifact_unpivot_whole"]}

@@ -126,6 +126,8 @@ def test_session_pairs():
     assert X.session_pairs(text) == [("Great advances in corneal care", "Bruno Kern"), ("Opening plenary session on eyes", "Anna Berg")]
     assert X.session_pairs("<li><a href='x'>A keynote lecture on light</a> Carla Dorn (Bonn)</li>") == [("A keynote lecture on light", "Carla Dorn")]
     assert X.session_pairs("Home Login Join\nMembership Policy") == []
-    assert len(X.json_nodes('{"a": [{"speaker": "A", "bio": "b"}, {"speaker": "A", "bio": "b"}], "x": {"name": "B"}}')) == 2
+    assert X.json_nodes('{"@type": "Organization", "name": "Acme"}') == [] and len(X.json_nodes('{"FirstName": "A", "lastName": "B", "company": "C"}')) == 1
+    twice = '{"a": [{"title": "T", "speakers": [{"name": "A", "bio": "b"}]}, {"name": "A", "bio": "b"}], "x": {"name": "B"}}'
+    assert X.json_nodes(twice) == ['{"speakers": [{"bio": "b", "name": "A"}], "title": "T"}', '{"bio": "b", "name": "A"}']
     assert X.json_nodes("{bad") == []
     assert X.context_spans("aa bb cc bb dd", "bb", 3, 5) == ["aa bb cc", "cc bb dd"]

@@ -59,9 +59,9 @@ def test_same_name_other_place_gets_a_variant():
 
 
 def test_heuristic_people(spark):
-    df = spark.createDataFrame([(1, "welcome Anna Berg, M.D. and Carl Dorn, PhD today"), (2, "Join Dr. Eva Falk in the hall"), (3, "nobody here")], "id long, text string")
+    df = spark.createDataFrame([(1, "welcome Anna Berg, M.D. and Carl Dorn, PhD today"), (2, "Join Dr. Eva Falk in the hall"), (3, "nobody here"), (4, "Anna Berg, MD and again Anna Berg, PhD"), (5, "Time Zone, MD and Dr. Eva Falk")], "id long, text string")
     got = sorted((r["id"], r["full_name"], r["designation"], r["confidence"]) for r in navigation.heuristic_people(df).collect())
-    assert got == [(1, "Anna Berg", "MD", 0.62), (1, "Carl Dorn", "PhD", 0.62), (2, "Eva Falk", None, 0.45)]
+    assert got == [(1, "Anna Berg", "MD", 0.62), (1, "Carl Dorn", "PhD", 0.62), (2, "Eva Falk", None, 0.45), (4, "Anna Berg", "PhD", 0.62), (5, "Eva Falk", None, 0.45)]
 
 
 def test_crawl_is_best_first(spark):
