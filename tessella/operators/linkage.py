@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..session import ship
+from ..session import checkpointed, ship
 
 FIELDS = ["designation", "affiliation", "location", "specialty", "profile_url"]
 
@@ -76,13 +76,13 @@ def groups(pairs: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then that label's own label,
     so rounds grow with the logarithm of the longest path; lineage is cut by checkpoints.
     """
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("grp")).checkpoint()
+    edges = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    label = checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("grp")))
     while True:
         least = edges.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("grp").alias("m"))
         after = label.join(least.withColumnRenamed("a", "id"), "id").select("id", F.col("grp").alias("was"), F.least("grp", "m").alias("grp"))
         jump = label.select(F.col("id").alias("grp"), F.col("grp").alias("up"))
-        after = after.join(jump, "grp", "left").select("id", "was", F.least("grp", F.coalesce("up", "grp")).alias("grp")).checkpoint()
+        after = checkpointed(after.join(jump, "grp", "left").select("id", "was", F.least("grp", F.coalesce("up", "grp")).alias("grp")))
         moved = not after.where("grp != was").isEmpty()
         label = after.select("id", "grp")
         if not moved:
@@ -110,7 +110,7 @@ def _fold(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
 
 def merge_close(people: DataFrame) -> DataFrame:
     """(id, target) of every record that takes part in a candidate pair."""
-    pairs = candidate_pairs(people).checkpoint()
+    pairs = checkpointed(candidate_pairs(people))
     grp = groups(pairs)
     members = people.select("id", *FIELDS).join(grp, "id")
     linked = pairs.select("a", "b").join(grp.select(F.col("id").alias("a"), F.col("grp").alias("of")), "a")

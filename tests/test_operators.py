@@ -109,3 +109,27 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("beat").collect())) == sorted(map(tuple, events.heartbeat_batch(e).collect()))
+
+
+def test_fuzzy_pairs_and_groups_equal_brute_force(spark):
+    import random
+
+    from tessella.functions import names
+
+    rng = random.Random(8)
+    word = lambda: rng.choice("abc") + "".join(rng.choice("aeinrst") for _ in range(rng.randrange(2, 7)))
+    people = []
+    for i in range(120):
+        n = [word() for _ in range(rng.randrange(1, 4))]
+        people.append((2 * i, " ".join(n)))
+        n[-1] = n[-1][: rng.randrange(1, len(n[-1]) + 1)] + rng.choice(["", "x", "en"])
+        people.append((2 * i + 1, " ".join(rng.sample(n, len(n)) if i % 3 == 0 else n)))
+    pairs = linkage.candidate_pairs(spark.createDataFrame(people, "id long, name_key string"))
+    got = {(r["a"], r["b"]): round(r["score"], 6) for r in pairs.collect()}
+    want = {(a, b): round(s, 6) for i, (a, x) in enumerate(people) for b, y in people[i + 1 :] if (s := names.identity(x, y)) >= 88}
+    assert got == want and want
+    low = {i: i for p in want for i in p}
+    for _ in low:
+        for a, b in want:
+            low[a] = low[b] = min(low[a], low[b])
+    assert {r["id"]: r["grp"] for r in linkage.groups(pairs).collect()} == low
