@@ -480,3 +480,18 @@ def test_training_sample_is_the_same_in_every_run(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
     a, b = (toxicity.train(docs(spark, rows).repartition(k), labels, max_positive=30, max_unlabelled=60) for k in (1, 5))
     assert np.array_equal(a.keys, b.keys) and np.allclose(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
+
+
+def test_recall_on_the_embeddings_table(spark):
+    """Queries: ids divisible by 50, against all rows; the share of the true ten nearest that is found."""
+    emb = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in emb.collect() if r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    found = ann.neighbours(emb, F.col("vec_id") % 50 == 0).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        near = [int(ids[k]) for k in np.lexsort((ids, d)) if k != q][:10]
+        hit, total = hit + len(found[ids[q]] & set(near)), total + len(near)
+    print("recall", hit / total)
+    assert hit >= 0.9 * total
