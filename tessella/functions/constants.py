@@ -40,6 +40,7 @@ CONTEXT_NOISE = ["privacy policy", "terms and conditions", "all rights reserved"
 NON_NAME = ["session", "program", "agenda", "abstract", "workshop", "symposium", "moderator", "panel", "prevention", "treatment", "care", "landscape", "services", "service", "delivery", "strategies", "options", "discussion", "join", "login", "log", "membership", "education", "research", "practice", "privacy", "policy", "contact", "home", "event", "events", "resource", "resources", "programming", "explore", "learn", "connect", "guidelines", "compensation", "commercial", "interest", "entity", "bureau", "safety", "time", "central"]
 NON_SESSION = ["join", "login", "log", "membership", "education", "research", "practice", "contact", "home", "search", "events", "event", "resources", "resource", "chat", "guidelines", "compensation", "commercial", "interest", "deadline", "submission", "upload", "instructions"]
 NAME_SHAPE = r"(?:[A-Z]\.\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
+COLON_NAME_SHAPE = r"(?:[A-Z]\.?\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
 SESSION_WORD = r"(?i)\b(session|keynote|plenary|symposium|workshop|lecture|panel|remarks|address)\b"
 # JSON nodes; names in lower case.
 PERSON_NAMES = [["name"], ["firstname", "lastname"]]
