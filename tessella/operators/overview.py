@@ -15,7 +15,7 @@ def named(name: Column) -> Column:
 
 def log_figures(logs: DataFrame) -> DataFrame:
     """Pages, pages with records and distinct links of each log (run_id, urls as tables.run_logs reads them)."""
-    links = F.filter(F.transform(F.flatten(F.transform("urls", lambda u: F.coalesce(u["nav_next_urls"], F.array().cast("array<string>")))), F.trim), lambda u: u != "")
+    links = F.filter(F.transform(F.flatten(F.transform("urls", lambda u: F.coalesce(u["nav_next_urls"], F.array().cast("array<string>")))), lambda u: F.trim(u)), lambda u: u != "")
     good = F.size(F.filter("urls", lambda u: u["normalized_records"] > 0))
     return logs.where("urls is not null").select("run_id", F.size("urls").alias("log_pages"), good.alias("log_good"), F.array_distinct(links).alias("links"))
 

@@ -297,7 +297,7 @@ def stream_template_memory(s: SparkSession, d: str) -> DataFrame:
 _TEXT_SHA = lambda f: lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(f(F.col("text")), 256).alias("sha"))
 
 QUERIES: dict[str, Query] = {
-    **{f.__name__: f for f in (marts.overview_by_grain, marts.overview_totals, marts.speaker_sums_json, marts.event_stage_counts, marts.link_events_by_year, marts.filtered_event_counts, marts.conference_totals, marts.year_group_cards, marts.person_cards, marts.nested_people_list, marts.people_filtered, marts.token_or_search, marts.run_list_newest, marts.event_cursor_page, marts.latest_snapshot, marts.run_summary, marts.run_status, marts.latest_artifact, marts.backfill_join, marts.backup_closure, marts.insert_if_absent, marts.completion_anti_join, marts.artifact_unpivot, marts.artifact_unpivot_whole, marts.kpi_sort)},
+    **{f.__name__: f for f in (marts.overview_by_grain, marts.overview_totals, marts.speaker_sums_json, marts.event_stage_counts, marts.link_events_by_year, marts.filtered_event_counts, marts.conference_totals, marts.year_group_cards, marts.person_cards, marts.nested_people_list, marts.people_filtered, marts.token_or_search, marts.run_list_newest, marts.event_cursor_page, marts.latest_snapshot, marts.run_summary, marts.run_status, marts.latest_artifact, marts.backfill_join, marts.backup_closure, marts.insert_if_absent, marts.completion_anti_join, marts.artifact_unpivot, marts.artifact_unpivot_whole, marts.kpi_sort, marts.overview_of_runs, marts.overview_run_totals)},
     "url_parts": url_parts,
     "url_canonical": _url(canonical=U.canonical),
     "url_canonical_interaction": _url(canonical=U.canonical_interaction),

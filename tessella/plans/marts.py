@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import dedupe
+from ..operators import dedupe, overview
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -175,3 +175,30 @@ def kpi_sort(spark: SparkSession, d: str) -> DataFrame:
     a = conference_totals(spark, d)
     w = Window.orderBy(F.desc("people"), F.desc("appearances"), F.lower("n_name"))  # one row a conference
     return a.withColumn("place", F.row_number().over(w))
+
+
+def run_model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Runs, run years, years, appearances, events and logs: users are runs, (nation, year) conference years.
+
+    Every fifth run is unfinished, every other one has a log; nation is a dimension of fixed size.
+    """
+    e, n, k = read(spark, d, "events"), read(spark, d, "nation"), scores.safe_int(F.col("props"), "$.k")
+    users, run = e.select("user_id").distinct(), F.col("user_id").cast("string").alias("run_id")
+    runs = users.join(n, F.col("user_id") % 25 == F.col("n_nationkey")).select(run, F.when(F.col("user_id") % 11 != 0, F.concat(F.lit(" "), "n_name")).alias("conference_name"), F.when(F.col("user_id") % 5 == 0, "running").otherwise("complete").alias("status"))
+    year_id = lambda nation, year: (F.col(nation) * 10000 + year).cast("long").alias("conference_year_id")
+    run_years = users.withColumn("n", F.col("user_id") % 25).select(run, year_id("n", 1992 + F.col("user_id") % 7))
+    a = appearances(spark, d)
+    years = a.select(year_id("c_nationkey", F.col("year")), F.col("n_name").alias("conference_name")).distinct()
+    stage = F.when(F.col("event_type") == "view", "fetch_route").when(F.col("event_type") == "click", "markdown_extract_end").otherwise("other")
+    events = e.select(run, stage.alias("stage"), k.alias("speakers"))
+    page = F.struct(k.alias("normalized_records"), F.array(F.concat(F.lit(" u"), (F.col("event_id") % 997).cast("string")), F.lit(" ")).alias("nav_next_urls"))
+    logs = e.where("user_id % 2 = 0 and event_type = 'signup'").groupBy(run).agg(F.collect_list(page).alias("urls"))
+    return {"runs": runs, "run_years": run_years, "years": years, "appearances": a.select(year_id("c_nationkey", F.col("year")), F.col("o_custkey").alias("physician_id")), "events": events, "logs": logs}
+
+
+def overview_of_runs(spark: SparkSession, d: str) -> DataFrame:
+    return overview.by_conference(**run_model(spark, d))
+
+
+def overview_run_totals(spark: SparkSession, d: str) -> DataFrame:
+    return overview.totals(**run_model(spark, d))

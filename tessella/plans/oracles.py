@@ -115,3 +115,13 @@ array_to_string(list_transform(list_sort(list_transform(list_filter(string_split
     "network_json": """SELECT c_custkey AS id, p AS pos, CASE WHEN p = 0 THEN '{"speakers": [' || n || '], "title": "' || c_name || '"}' ELSE n END AS node FROM (SELECT *, '{"bio": "' || c_mktsegment || '", "name": "' || c_name || '"}' AS n FROM customer), (VALUES (0), (1)) v(p)""",
 }
 ORACLES |= {"page_intent": ORACLES["page_intent_whole"], "person_like": ORACLES["person_like_whole"], "artifact_unpivot": ORACLES["artifact_unpivot_whole"]}
+
+_RUNS = f"""WITH r AS (SELECT u.user_id, CASE WHEN u.user_id % 11 = 0 THEN 'Unknown' ELSE n_name END AS conference FROM (SELECT DISTINCT user_id FROM events) u JOIN nation ON u.user_id % 25 = n_nationkey WHERE u.user_id % 5 <> 0),
+e AS (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN {_K} ELSE 0 END) AS speakers, count(*) FILTER (WHERE event_type = 'view') AS routes, count(*) FILTER (WHERE event_type = 'click' AND {_K} > 0) AS good, count(*) FILTER (WHERE event_type = 'signup') AS log_pages, count(*) FILTER (WHERE event_type = 'signup' AND {_K} > 0) AS log_good FROM events GROUP BY user_id HAVING bool_or(event_type = 'click')),
+f AS (SELECT user_id, conference, speakers, user_id % 2 = 0 AND log_pages > 0 AS logged, CASE WHEN speakers > 0 THEN CASE WHEN user_id % 2 = 0 AND log_pages > 0 THEN log_pages ELSE routes END ELSE 0 END AS pages, CASE WHEN speakers > 0 THEN CASE WHEN user_id % 2 = 0 AND log_pages > 0 THEN log_good ELSE good END ELSE 0 END AS good FROM r JOIN e USING (user_id)),
+l AS (SELECT DISTINCT conference, event_id % 997 AS link FROM f JOIN events USING (user_id) WHERE logged AND speakers > 0 AND event_type = 'signup'),
+a AS (SELECT c_nationkey, n_name AS conference, year(o_orderdate) AS y, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+y AS (SELECT DISTINCT c_nationkey, conference, y FROM a WHERE (c_nationkey, y) IN (SELECT (user_id % 25, 1992 + user_id % 7) FROM r)),
+p AS (SELECT a.* FROM a JOIN y ON a.c_nationkey = y.c_nationkey AND a.y = y.y) """
+ORACLES["overview_of_runs"] = _RUNS + """SELECT conference, CAST(sum(speakers) AS BIGINT) AS speakers, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(good) AS BIGINT) AS good, (SELECT count(*) FROM l WHERE l.conference = f.conference) AS links, (SELECT count(*) FROM y WHERE y.conference = f.conference) AS years, (SELECT count(*) FROM p WHERE p.conference = f.conference) AS appearances, (SELECT count(DISTINCT o_custkey) FROM p WHERE p.conference = f.conference) AS people FROM f GROUP BY conference"""
+ORACLES["overview_run_totals"] = _RUNS + """SELECT count(*) FILTER (WHERE speakers > 0) AS runs, count(DISTINCT conference) AS conferences, CAST(coalesce(sum(speakers), 0) AS BIGINT) AS speakers, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(good), 0) AS BIGINT) AS good, (SELECT count(DISTINCT link) FROM l) AS links, (SELECT count(*) FROM y) AS years, (SELECT count(*) FROM p) AS appearances, (SELECT count(DISTINCT o_custkey) FROM p) AS people FROM f"""

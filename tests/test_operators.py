@@ -133,3 +133,23 @@ def test_fuzzy_pairs_and_groups_equal_brute_force(spark):
         for a, b in want:
             low[a] = low[b] = min(low[a], low[b])
     assert {r["id"]: r["grp"] for r in linkage.groups(pairs).collect()} == low
+
+
+def test_overview_prefers_logs(spark):
+    from tessella.operators import overview
+
+    runs = spark.createDataFrame([("a", " Eyes ", "complete"), ("b", "Eyes", "partial"), ("c", None, "error"), ("d", "Ears", "running"), ("e", "Ears", "complete")], "run_id string, conference_name string, status string")
+    events = spark.createDataFrame([(r, s, n) for r, s, n in (("a", "markdown_extract_end", 3), ("a", "fetch_route", 0), ("b", "markdown_extract_end", 2), ("b", "fetch_route", 0), ("b", "fetch_route", 0), ("c", "markdown_extract_end", 0), ("c", "fetch_route", 0), ("d", "markdown_extract_end", 9), ("e", "fetch_route", 0))], "run_id string, stage string, speakers int")
+    logs = spark.createDataFrame([("a", [("u1", 2, [" x ", "y", ""]), ("u2", 0, None), ("u3", 1, ["x"])]), ("c", [("u1", 1, ["z"])])], "run_id string, urls array<struct<url string, normalized_records int, nav_next_urls array<string>>>")
+    years = spark.createDataFrame([(1, "Eyes"), (2, "Ears"), (3, "Eyes")], "conference_year_id long, conference_name string")
+    covered = spark.createDataFrame([("a", 1), ("b", 1), ("d", 2)], "run_id string, conference_year_id long")
+    seen = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7), (3, 9)], "conference_year_id long, physician_id long")
+    tables = {"runs": runs, "run_years": covered, "years": years, "appearances": seen, "events": events, "logs": logs}
+    got = {r["conference"]: r.asDict() for r in overview.by_conference(**tables).collect()}
+    # The log of a gives 3 pages, 2 good, 2 links; b falls back to 2 routes and 1 good extraction; c has no speakers; e has no extraction.
+    assert got["Eyes"] == {"conference": "Eyes", "speakers": 5, "pages": 5, "good": 3, "links": 2, "years": 1, "appearances": 3, "people": 2}
+    assert got["Unknown"] == {"conference": "Unknown", "speakers": 0, "pages": 0, "good": 0, "links": 0, "years": 0, "appearances": 0, "people": 0}
+    assert len(got) == 2
+    assert overview.totals(**tables).first().asDict() == {"runs": 2, "conferences": 2, "speakers": 5, "pages": 5, "good": 3, "links": 2, "years": 1, "appearances": 3, "people": 2}
+    nothing = {k: v.limit(0) for k, v in tables.items()}
+    assert overview.by_conference(**nothing).count() == 0 and overview.totals(**nothing).first()["speakers"] == 0
