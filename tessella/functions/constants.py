@@ -11,6 +11,9 @@ NAV_EXCLUDE = ["housing", "hotel", "travel", "venue", "sponsor", "sponsors", "sp
 GENERIC_ANCHORS = ["view archives", "view archive", "view details", "learn more", "read more", "details"]
 STOPWORDS = ["the", "and", "for", "with", "from", "this", "that", "your", "about", "home", "menu", "more", "page", "view", "read", "click", "here", "link", "site", "annual", "meeting", "conference", "conferences"]
 
+# Words of an event's name.
+EVENT_TERMS = ["annual meeting", "meeting", "summit", "conference", "congress", "forum", "symposium", "assembly", "expo", "workshop", "program"]
+
 # Page intents.
 GATEKEEPER = ["program", "agenda", "speaker", "speakers", "faculty", "presenter", "presenters", "session", "sessions", "cme", "abstract", "abstracts", "plenary", "scientific"]
 UTILITY = ["travel", "hotel", "housing", "sponsor", "sponsorship", "exhibits", "registration", "faq", "about", "contact", "policy", "privacy"]

@@ -1,8 +1,9 @@
-"""Get-or-create resolution of incoming people against each other and a stored set.
+"""Get-or-create resolution of incoming people against a stored set and each other.
 
-Same-name records resolve inside their name block; an unseen name goes to the
-best-scoring stored one of at least 88.  Order matters within a block only, so
-blocks run in parallel (``applyInPandas``).
+Records resolve inside their name block, beside the stored people of that name; a
+name without any goes to the best-scoring stored one of at least 88.  Order matters
+within a block only, so blocks run in parallel (``cogroup`` and ``applyInPandas``).
+New names are not compared fuzzily with each other here; linkage.merge_close does that.
 """
 
 from __future__ import annotations
@@ -25,12 +26,17 @@ def variant(base: str, row: dict) -> str:
     return f"{base}::{hashlib.sha1(mark.encode()).hexdigest()[:10]}"
 
 
-def resolve_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Final keys of one name's records in order of arrival."""
-    people: dict[str, dict] = {}
+def profile(r: dict) -> dict:
+    return {k: (None if pd.isna(r[k]) else r[k]) for k in FIELDS}
+
+
+def resolve_block(rows: pd.DataFrame, stored: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Final keys of one name's records in order of arrival; a stored person's gaps are filled as records come."""
+    known = [] if stored is None else stored.rename(columns=lambda c: c.removeprefix("stored_")).sort_values("id").to_dict("records")
+    people: dict[str, dict] = {r["name_key"]: profile(r) for r in known}
     out = []
     for r in rows.sort_values("id").to_dict("records"):
-        row = {k: (None if pd.isna(r[k]) else r[k]) for k in FIELDS}
+        row = profile(r)
         base = r["name_key"]
         own = people.get(base)
         if own is not None:
@@ -50,10 +56,31 @@ def resolve_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["id", "key"])
 
 
-def resolve(incoming: DataFrame) -> DataFrame:
-    """(id, key) of records (id, name_key, profile fields)."""
+def resolve(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(id, key) of records (id, name_key, profile fields); `stored` has the same columns, keys perhaps with a variant mark."""
     ship(incoming.sparkSession)
-    return incoming.select("id", "name_key", *FIELDS).groupBy("name_key").applyInPandas(resolve_block, "id long, key string")
+    rows = incoming.select("id", "name_key", *FIELDS)
+    if stored is None:
+        return rows.groupBy("name_key").applyInPandas(lambda r: resolve_block(r), "id long, key string")
+    # Under names of their own, as both sides may come from one table.
+    kept = stored.select(F.split_part("name_key", F.lit("::"), F.lit(1)).alias("base"), *[F.col(c).alias(f"stored_{c}") for c in ("id", "name_key", *FIELDS)])
+    found = rows.groupBy("name_key").cogroup(kept.groupBy("base")).applyInPandas(resolve_block, "id long, key string")
+    new = rows.select("name_key").distinct().join(kept.select(F.col("base").alias("name_key")), "name_key", "left_anti")
+    near = best_match(new.select(F.col("name_key").alias("id"), "name_key"), stored).select(F.col("id").alias("name_key"), "match")
+    near = near.join(stored.select(F.col("id").alias("match"), F.col("name_key").alias("stored_key")), "match").select("name_key", "stored_key")
+    named = rows.select("id", "name_key").join(near, "name_key")
+    return found.join(named.select("id", "stored_key"), "id", "left").select("id", F.coalesce("stored_key", "key").alias("key"))
+
+
+def new_aliases(resolved: DataFrame, stored: DataFrame) -> DataFrame:
+    """(key, alias, alias_key) to add: of resolved (id, key, full_name, aliases), each alias key once, the first id's.
+
+    Left out: empty aliases, a record's own name, and alias keys that `stored` (alias_key) has; for ASCII names.
+    """
+    each = resolved.select("id", "key", names.name_key_ascii(F.col("full_name")).alias("own"), F.posexplode("aliases").alias("pos", "alias"))
+    keyed = each.withColumn("alias", F.trim("alias")).withColumn("alias_key", names.name_key_ascii(F.col("alias"))).where("alias_key != '' and alias_key != own")
+    first = keyed.groupBy("alias_key").agg(F.min_by(F.struct("key", "alias"), F.struct("id", "pos")).alias("f"))
+    return first.join(stored.select("alias_key").distinct(), "alias_key", "left_anti").select("f.key", "f.alias", "alias_key")
 
 
 def best_match(unknown: DataFrame, stored: DataFrame, least: float = 88.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import extract, names, recover, scores
+from ..functions import extract, identity, names, recover, scores
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
@@ -123,6 +123,18 @@ def resolve_people(s: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(_people(s, d))
 
 
+def resolve_against_stored(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import resolve
+
+    p = _people(s, d)
+    return resolve.resolve(p.where("id % 2 = 1"), p.where("id % 2 = 0").groupBy("name_key").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in resolve.FIELDS]))
+
+
+def conference_identity(s: SparkSession, d: str) -> DataFrame:
+    i = identity.conference_identity(F.col("url"), H.title(F.col("html")), F.col("html"), T.years(F.col("url")))
+    return _pages(s, d).select("page_id", i.alias("i")).select("page_id", "i.*")
+
+
 def best_name_match(s: SparkSession, d: str) -> DataFrame:
     from ..operators import resolve
 
@@ -319,5 +331,5 @@ QUERIES: dict[str, Query] = {
     "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
     "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }

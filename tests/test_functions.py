@@ -137,3 +137,21 @@ def test_session_pairs():
     assert X.json_nodes(twice) == ['{"speakers": [{"bio": "b", "name": "A"}], "title": "T"}', '{"bio": "b", "name": "A"}']
     assert X.json_nodes("{bad") == []
     assert X.context_spans("aa bb cc bb dd", "bb", 3, 5) == ["aa bb cc", "cc bb dd"]
+
+
+def test_conference_identity(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import identity
+
+    cases = [
+        ("https://x.org/a", "Spring Summit 2024 | Eye Society", "", [2021, 2024], ("Eye Society", "Spring Summit 2024", "Eye Society - Spring Summit 2024")),
+        ("https://eye-club.org/events/retina-days", "", "", [2019, 2022], ("Eye Club", "Retina Days", "Eye Club - Retina Days 2022")),
+        ("https://x.org/", "Home", '<meta property="og:site_name" content="Eye Forum">', [], ("Eye Forum", "Conference Event", "Eye Forum - Conference Event")),
+        ("https://x.org/", "Welcome - Eye Congress", "", [1985], ("Eye Congress", "Eye Congress", "Eye Congress")),
+        (None, None, None, None, ("Conference Organizer", "Conference Event", "Conference Organizer - Conference Event")),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, url string, title string, html string, years array<int>")
+    got = df.select("i", identity.conference_identity(*map(F.col, ("url", "title", "html", "years"))).alias("x")).orderBy("i").select("x.*").collect()
+    assert [(r["organizer"], r["event"], r["display"]) for r in got] == [c[4] for c in cases]
+    assert all(r["canonical"] == r["display"].lower() and r["confidence"] == 0.62 for r in got)

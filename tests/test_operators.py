@@ -153,3 +153,18 @@ def test_overview_prefers_logs(spark):
     assert overview.totals(**tables).first().asDict() == {"runs": 2, "conferences": 2, "speakers": 5, "pages": 5, "good": 3, "links": 2, "years": 1, "appearances": 3, "people": 2}
     nothing = {k: v.limit(0) for k, v in tables.items()}
     assert overview.by_conference(**nothing).count() == 0 and overview.totals(**nothing).first()["speakers"] == 0
+
+
+def test_resolve_against_stored(spark):
+    cols = "id long, name_key string, designation string, affiliation string, location string, specialty string, profile_url string"
+    far = resolve.variant("anna berg", {"designation": None, "affiliation": "Quartz Institute", "location": "Oslo"})
+    stored = spark.createDataFrame([(1, "anna berg", "MD", "City Hospital", "Bonn", None, None), (2, "bruno castellan", None, None, None, None, None), (3, f"dora falk::{far[-10:]}", None, "City Hospital", "Bonn", None, None)], cols)
+    new = [(10, "anna berg", None, "City Hospital", None, None, None), (11, "anna berg", None, "Quartz Institute", "Oslo", None, None), (12, "anna berg", None, "Quartz Institute", "Oslo", None, None), (13, "bruno castelan", None, "X", "Y", None, None), (14, "carla dorn", None, None, None, None, None), (15, "dora falk", None, "City Hospital", "Bonn", None, None), (16, "dora falk", None, None, None, None, None)]
+    got = dict(resolve.resolve(spark.createDataFrame(new, cols), stored).collect())
+    # Same profile; another person of that name, twice; one letter off; new; a marked person with the same profile; nothing to compare.
+    assert got == {10: "anna berg", 11: far, 12: far, 13: "bruno castellan", 14: "carla dorn", 15: f"dora falk::{far[-10:]}", 16: "dora falk"}
+    assert resolve.resolve(spark.createDataFrame([], cols), stored).count() == 0
+    assert dict(resolve.resolve(spark.createDataFrame(new[:1], cols), stored.limit(0)).collect()) == {10: "anna berg"}
+    people = spark.createDataFrame([(1, "k1", "Anna Berg", ["Anna Berg, MD", " A. Berg ", ""]), (2, "k2", "Ann Berg", ["A Berg", "Annie Berg", "Old Name"])], "id long, key string, full_name string, aliases array<string>")
+    known = spark.createDataFrame([("old name",)], "alias_key string")
+    assert sorted(map(tuple, resolve.new_aliases(people, known).collect())) == [("k1", "A. Berg", "a berg"), ("k2", "Annie Berg", "annie berg")]
