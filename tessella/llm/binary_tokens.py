@@ -174,7 +174,7 @@ _ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]")
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
-def worker_encoder(path: str, cache: int = 200_000) -> "ChunkEncoder":
+def worker_encoder(path: str, cache: int = 800_000) -> "ChunkEncoder":
     """The encoder of this Python worker: its chunk cache outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = (path, cache)
@@ -194,7 +194,7 @@ class ChunkEncoder:
     batch.  Texts with added-token strings or unusual spaces are encoded whole.
     """
 
-    def __init__(self, path: str, cache: int = 200_000) -> None:
+    def __init__(self, path: str, cache: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.known = Tokenizer.from_file(path), cache, {}
