@@ -27,6 +27,10 @@ PLATFORM_HOSTS = ["cvent", "swapcard", "whova", "grip.events", "eventsair", "map
 LINK_WEIGHTS = {"speakers": 12, "speaker": 12, "faculty": 12, "presenters": 11, "presenter": 11, "agenda": 10, "program": 10, "schedule": 9, "sessions": 9, "session": 9, "abstract": 8, "symposium": 7, "workshop": 7, "scientific-program": 8, "brochure": 6, "pdf": 5}
 SEED_WEIGHTS = {"speakers": 10, "speaker": 10, "faculty": 10, "presenter": 8, "agenda": 8, "program": 8, "schedule": 8, "sessions": 8, "session": 7, "abstract": 7, "symposium": 6, "workshop": 6}
 
+# Searches and documents linked from a page.
+SEARCH_SUFFIXES = ["speakers", "faculty", "program agenda schedule", "filetype:pdf program OR agenda OR brochure", "keynote plenary speakers"]
+PDF_HINTS = ["pdf", "program", "agenda", "brochure", "abstract"]
+
 # People.
 PERSON_HINTS = ["md", "do", "od", "mbbs", "dr ", "dr.", "physician", "surgeon", "doctor", "ophthalm", "cardi", "neurolog", "hiv"]
 CREDENTIALS = ["md", "do", "od", "mbbs", "phd", "facs", "faao", "frcs", "mph", "ms", "dnp", "rn", "np", "pa", "pac", "pharmd", "fidsa", "aahivs", "faahivs", "msph"]

@@ -39,3 +39,25 @@ def fill_null(base: DataFrame, other: DataFrame, key: str, columns: list[str]) -
     o = other.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns])
     joined = base.join(o, key, "left")
     return joined.select(*[F.coalesce(c, f"_o_{c}").alias(c) if c in columns else c for c in base.columns])
+
+
+def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str, keep_max: list[str], fill: list[str]) -> DataFrame:
+    """One row a key of both tables: the greatest of each keep_max column, the first non-null of each fill column.
+
+    Stored rows come before incoming ones, each in the given order; one aggregate, no join.
+    """
+    cols = [key, order, *keep_max, *fill]
+    rows = stored.select(*cols, F.lit(0).alias("_from")).unionByName(incoming.select(*cols, F.lit(1).alias("_from")))
+    firsts = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_from", order))).alias(c) for c in fill]
+    return rows.groupBy(key).agg(*[F.max(c).alias(c) for c in keep_max], *firsts, (F.min("_from") == 0).alias("stored"))
+
+
+def ordered_union(sources: list[DataFrame], keys: list[str], position: str) -> DataFrame:
+    """Rows of all sources, the first of each key: earlier sources win, then the smaller position."""
+    out = None
+    for i, df in enumerate(sources):
+        part = df.withColumn("source", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    rest = [c for c in out.columns if c not in keys]
+    best = F.min_by(F.struct(*rest), F.struct("source", position))
+    return out.groupBy(*keys).agg(best.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])

@@ -52,3 +52,26 @@ def distinct_so_far(df: DataFrame, item: Column, key: list[str], order: str, out
     """Distinct items up to and with each row."""
     firsts = df.withColumn("_item", item).withColumn("_new", (F.row_number().over(Window.partitionBy(*key, "_item").orderBy(order)) == 1).cast("int"))
     return firsts.withColumn(out, F.sum("_new").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).drop("_item", "_new")
+
+
+def interactions(df: DataFrame, added: Column, delta: Column, key: list[str], order: str, least: int = 180, limit: int = 3) -> DataFrame:
+    """Actions up to the one that ends a run of `limit` without novelty (new links, or enough new text)."""
+    marked = streak(df.withColumn("novel", (added > 0) | (delta >= least)), F.col("novel"), key, order, "streak")
+    before = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return marked.withColumn("_ended", F.coalesce(F.max((F.col("streak") >= limit).cast("int")).over(before), F.lit(0))).where("_ended = 0").drop("_ended")
+
+
+def watchdog(df: DataFrame, key: list[str], ts: str, order: str, seconds: int = 240, most: int = 2) -> DataFrame:
+    """Adds stalled (more than `seconds` since the row before), how often so far, and whether that ends the run."""
+    w = Window.partitionBy(*key).orderBy(order)
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)
+    marked = df.withColumn("stalled", F.coalesce(gap > seconds * 1_000_000, F.lit(False)))
+    return marked.withColumn("stalls", F.sum(F.col("stalled").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("terminal", F.col("stalls") >= most)
+
+
+def unanimous(df: DataFrame, key: list[str], vote: Column, links: Column, reason: Column, order: str) -> DataFrame:
+    """stop: every segment votes for it and none has links; reason: the last non-empty one."""
+    return df.groupBy(*key).agg(
+        (F.coalesce(F.bool_and(F.coalesce(vote, F.lit(False))), F.lit(False)) & (F.coalesce(F.sum(links), F.lit(0)) == 0)).alias("stop"),
+        F.max_by(reason, F.when(F.coalesce(reason, F.lit("")) != "", F.col(order))).alias("reason"),
+    )

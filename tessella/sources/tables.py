@@ -49,3 +49,13 @@ def run_logs(spark: SparkSession, path: str) -> DataFrame:
     """Per-run JSON logs; malformed files give no rows and callers fall back to event counts."""
     schema = "run_id string, urls array<struct<url string, normalized_records int, nav_next_urls array<string>>>, years array<struct<conference_year_id bigint, conference_name string, year int, status string, linked int, duplicates int, notes string>>, _bad string"
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null and run_id is not null").drop("_bad")
+
+
+def append_events(df: DataFrame, folder: str) -> None:
+    """Adds rows to the events table; a task that fails leaves none of its rows."""
+    df.select(*[F.col(f.name).cast(f.dataType) for f in empty(df.sparkSession, "run_events").schema.fields]).write.mode("append").parquet(f"{folder}/run_events")
+
+
+def write_run_logs(df: DataFrame, path: str) -> None:
+    """Rows with a run_id as JSON, one file set a run, visible only when the whole job is committed; a run written again is replaced."""
+    df.withColumn("run", F.col("run_id")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
