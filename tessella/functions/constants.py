@@ -31,6 +31,14 @@ SEED_WEIGHTS = {"speakers": 10, "speaker": 10, "faculty": 10, "presenter": 8, "a
 SEARCH_SUFFIXES = ["speakers", "faculty", "program agenda schedule", "filetype:pdf program OR agenda OR brochure", "keynote plenary speakers"]
 PDF_HINTS = ["pdf", "program", "agenda", "brochure", "abstract"]
 
+# Blocks, roles and pages with folded parts.
+NAV_NOISE = ["terms and conditions", "cancellation policy", "become a supporter", "hotel information", "conference program", "register now", "privacy policy"]
+BLOCK_CREDENTIAL = r"\b([A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,3}),\s*(M\.?D\.?|D\.?O\.?|O\.?D\.?|Ph\.?D\.?|MBBS|MPH|MS|NP|PA-C|PA|RN|MSN|DNP|PharmD|FIDSA|FAAO|AAHIVS)\b"
+TIME_MARKER = r"(?i)\b\d{1,2}:\d{2}\s*(AM|PM)\b"
+SPEAKING_ROLES = ["speaker", "panelist", "moderator", "presenter", "chair", "cochair", "co-chair", "expert", "faculty"]
+EXPANDABLE_INTENTS = ["gatekeeper", "listing", "session_detail"]
+DYNAMIC_HINTS = ["aria-expanded", "aria-controls", 'role="tab"', "role='tab'", "accordion", "expand", "collapse", "toggle", "view session", "view faculty", "load more", "show more", "session-toggle", "speaker-toggle"]
+
 # People.
 PERSON_HINTS = ["md", "do", "od", "mbbs", "dr ", "dr.", "physician", "surgeon", "doctor", "ophthalm", "cardi", "neurolog", "hiv"]
 CREDENTIALS = ["md", "do", "od", "mbbs", "phd", "facs", "faao", "frcs", "mph", "ms", "dnp", "rn", "np", "pa", "pac", "pharmd", "fidsa", "aahivs", "faahivs", "msph"]

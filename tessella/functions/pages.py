@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .text import collapse
+from .text import collapse, person_like
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -131,3 +131,41 @@ def year_hints(known: Column, default_name: Column, years: Column, most: int = 8
     keys = F.transform(every, key)
     firsts = F.filter(every, lambda t, i: F.array_position(keys, key(t)) == i + 1)
     return F.slice(firsts, 1, most)
+
+
+def is_nav_noise(text: Column) -> Column:
+    """Site furniture, unless a name with credentials or a time of day is in it."""
+    x = F.coalesce(text, F.lit(""))
+    return _any(F.lower(x), K.NAV_NOISE) & ~x.rlike(K.BLOCK_CREDENTIAL) & ~x.rlike(K.TIME_MARKER)
+
+
+def is_linkable(candidate: Column, role: Column, session: Column, confidence: Column, *texts: Column) -> Column:
+    """Whether a record may be linked: a marked or person-like one, a speaker's role, or a sure session."""
+    speaks = _any(F.lower(F.coalesce(role, F.lit(""))), K.SPEAKING_ROLES)
+    sure = (stripped(session) != "") & (F.coalesce(confidence, F.lit(0.0)) >= 0.6)
+    return F.coalesce(candidate, F.lit(False)) | person_like(*texts, role, session) | speaks | sure
+
+
+def expand_decision(enabled: Column, attempted: Column, intent: Column, candidates: Column, normalized: Column, blob: Column, least: int = 3) -> Column:
+    """Whether a page's folded parts are worth opening, and the first reason that decides; `blob` is read whole."""
+    dynamic = _any(F.lower(F.coalesce(blob, F.lit(""))), K.DYNAMIC_HINTS)
+    aimed = F.coalesce(intent.isin(K.EXPANDABLE_INTENTS), F.lit(False))
+    reason = (
+        F.when(~enabled, "disabled")
+        .when(attempted, "already_attempted")
+        .when(~aimed, F.concat(F.lit("intent_"), F.coalesce(intent, F.lit("")), F.lit("_not_targeted")))
+        .when(~dynamic, "no_dynamic_signal")
+        .when((candidates >= max(1, least)) | (normalized > 0), "baseline_yield_sufficient")
+        .otherwise("low_yield_dynamic_page")
+    )
+    return F.struct((reason == "low_yield_dynamic_page").alias("attempt"), reason.alias("reason"))
+
+
+def block_priority(block: Column) -> Column:
+    low = F.lower(F.coalesce(block, F.lit("")))
+    return F.when(low.contains("[block person_span]"), 3).when(low.contains("[block session_span]"), 2).when(low.contains("[block dom_card]"), 1).otherwise(0)
+
+
+def block_limit(segments: Column, most: int = 20) -> Column:
+    """Blocks to keep beside a page's segments."""
+    return F.when(segments >= 6, min(most, 8)).when(segments >= 3, min(most, 12)).otherwise(most)

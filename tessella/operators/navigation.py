@@ -30,6 +30,19 @@ def relevant(seed: Column, page: Column, candidate: Column, anchor: Column, focu
     return U.same_site(seed, candidate) & ~(T.overlaps(tokens, K.NAV_EXCLUDE) & ~signal) & ~(generic & ~focused) & (focused | dated | signal)
 
 
+def filter_links(links: DataFrame, seed: str, page: str, focus: Column, allow_pdf: Column, within: list[str], order: str) -> DataFrame:
+    """Adds `kept` and `why` to (url, text) links: 'empty', 'repeated', 'pdf', 'out_of_scope' or 'kept'.
+
+    The first link of a canonical URL is judged; later ones are repeats whatever becomes of it.
+    """
+    url = F.coalesce(F.trim("url"), F.lit(""))
+    w = Window.partitionBy(*within, "_canonical").orderBy(order)
+    rows = links.withColumn("_canonical", F.when(url != "", U.canonical(url))).withColumn("_nth", F.row_number().over(w))
+    good = relevant(F.col(seed), F.col(page), url, F.coalesce("text", F.lit("")), focus)
+    why = F.when(url == "", "empty").when(F.col("_nth") > 1, "repeated").when(~allow_pdf & U.is_pdf_like(url), "pdf").when(~F.coalesce(good, F.lit(False)), "out_of_scope").otherwise("kept")
+    return rows.withColumn("why", why).withColumn("kept", F.col("why") == "kept").drop("_canonical", "_nth")
+
+
 def context_score(seed: Column, page: Column, candidate: Column, anchor: Column, focus: Column) -> Column:
     """Linear overlap score of a link with the page's focus tokens."""
     shared = lambda a, b: F.size(F.array_intersect(a, b)).cast("double")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import attribution as A
 from ..functions import constants as K
 from ..functions import html as H
 from ..functions import pages as P
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import dedupe, windows
+from ..operators import dedupe, navigation, windows
 from .marts import read
 from .oracles import _ANY, _PATH, _SITE, _TITLE, _YEAR_LIST
 
@@ -142,10 +143,55 @@ def key_with_variants(s: SparkSession, d: str) -> DataFrame:
     return stored.join(F.broadcast(wanted), F.substring_index("name_key", "::", 1) == F.col("key"), "left_semi").select("c_custkey", "name_key")
 
 
-QUERIES = {f.__name__: f for f in (thin_pages, fetch_choice, sitemap_urls, search_queries, title_parts, file_slugs, first_last_names, link_texts, pdf_links, triage_by_site, seed_page_types, newest_years, year_hints, record_targets, upsert_people, ordered_sources, interaction_novelty, watchdog_flags, unanimous_votes, events_by_url, key_with_variants)}
+def relaxed_targets(s: SparkSession, d: str) -> DataFrame:
+    """Targets of pages by URL, title and page years, under the page's site; a known target fills in."""
+    p = read(s, d, "pages").select("page_id", U.registrable(F.col("url")).alias("site"), T.years(F.col("url")).alias("u"), T.years(H.title(F.col("html"))).alias("t"), T.years(F.col("html")).alias("y"))
+    known = F.when(F.col("page_id") % 2 == 0, F.array(F.struct(F.lit("Known").alias("name"), F.lit(2021).alias("year")))).otherwise(F.array().cast("array<struct<name:string,year:int>>"))
+    year = A.relaxed_year(F.col("u"), F.col("t"), F.slice("y", 1, 0), F.col("y"), known)
+    target = A.relaxed_target(F.lit(None).cast("string"), F.when(F.col("page_id") % 3 == 0, F.col("site")), known, year, F.col("page_id") % 10 / 10.0)
+    none = F.array().cast("array<struct<name:string,year:int,confidence:double,reason:string>>")
+    return p.select("page_id", F.explode(A.resolve_targets(none, none, target)).alias("t")).select("page_id", "t.*")
+
+
+def linkable_records(s: SparkSession, d: str) -> DataFrame:
+    role = F.when(F.col("doc_id") % 7 == 0, "Session Chair")
+    docs = read(s, d, "documents")
+    return docs.select("doc_id", P.is_linkable(F.lit(None).cast("boolean"), role, F.col("source"), F.col("doc_id") % 10 / 10.0, F.col("text")).alias("linkable"))
+
+
+def nav_noise_blocks(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "pages").select("page_id", P.is_nav_noise(F.col("html")).alias("noise"))
+
+
+def expand_decisions(s: SparkSession, d: str) -> DataFrame:
+    intent = F.element_at(F.array(F.lit("listing"), F.lit("archive"), F.lit("gatekeeper")), (F.col("page_id") % 3 + 1).cast("int"))
+    x = P.expand_decision(F.lit(True), F.col("page_id") % 11 == 0, intent, (F.col("page_id") % 5).cast("int"), F.lit(0), F.concat_ws(" ", "url", "html"))
+    return read(s, d, "pages").select("page_id", x.alias("x")).select("page_id", "x.*")
+
+
+def prioritised_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Turns as blocks of a page: marked ones first, as many as the page's segments leave room for."""
+    mark = F.when(F.col("turn") % 3 == 2, "[BLOCK person_span] ").when(F.col("turn") % 3 == 1, "[BLOCK dom_card] ").otherwise("")
+    c = read(s, d, "conversations").select("conv_id", "turn", P.block_priority(F.concat(mark, "text")).alias("priority"))
+    top = dedupe.first_by(c, ["conv_id"], [F.desc("priority"), F.col("turn")], 20)
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("priority"), "turn"))
+    return top.withColumn("_at", place).where(F.col("_at") <= P.block_limit(F.col("conv_id") % 8)).drop("_at")
+
+
+def filtered_links(s: SparkSession, d: str) -> DataFrame:
+    """Links of each page by fate: kept, or why dropped."""
+    p = read(s, d, "pages").select("page_id", "url", "html")
+    base = p.select("page_id", F.col("url").alias("base"), H.title(F.col("html")).alias("title"))
+    rows = navigation.internal_links(p).withColumnRenamed("anchor", "text").join(base, "page_id")
+    focus = T.nav_tokens(F.concat_ws(" ", U.path(F.col("base")), F.col("title")))
+    return navigation.filter_links(rows, "base", "base", focus, F.lit(False), ["page_id"], "pos").select("page_id", "pos", "url", "why")
+
+
+QUERIES = {f.__name__: f for f in (relaxed_targets, linkable_records, nav_noise_blocks, expand_decisions, prioritised_blocks, filtered_links, thin_pages, fetch_choice, sitemap_urls, search_queries, title_parts, file_slugs, first_last_names, link_texts, pdf_links, triage_by_site, seed_page_types, newest_years, year_hints, record_targets, upsert_people, ordered_sources, interaction_novelty, watchdog_flags, unanimous_votes, events_by_url, key_with_variants)}
 
 _STRIP = lambda x: f"trim({x}, E' \\t\\n\\x0B\\f\\r\\x1c\\x1d\\x1e\\x1f')"
 _LINKS = "len(regexp_extract_all(text, 'https?://'))"
+_Q = lambda x: x.replace("'", "''")
 _COLLAPSED = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 ORACLES = {
@@ -175,4 +221,11 @@ SELECT event_id, novel, streak FROM s JOIN f USING (user_id) WHERE stop IS NULL
     "unanimous_votes": f"SELECT conv_id, bool_and(NOT contains(text, '?')) AND sum({_LINKS}) = 0 AS stop, arg_max(md5(text), turn) FILTER (role = 'assistant') AS reason FROM conversations GROUP BY conv_id",
     "events_by_url": "SELECT user_id, coalesce(json_extract_string(props, '$.url'), json_extract_string(props, '$.from_url'), 'general') AS url, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY ALL",
     "key_with_variants": "WITH s AS (SELECT c_custkey, lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '::' || c_nationkey END AS name_key FROM customer), k AS (SELECT DISTINCT lower(c_mktsegment) AS key FROM customer WHERE c_custkey < 3) SELECT DISTINCT c_custkey, name_key FROM s JOIN k ON name_key = key OR starts_with(name_key, key || '::')",
+    "relaxed_targets": f"""WITH p AS (SELECT page_id, {_SITE} AS site, {_YEAR_LIST.format(x='url')} AS u, {_YEAR_LIST.format(x=_TITLE)} AS t, {_YEAR_LIST.format(x='html')} AS y FROM pages),
+q AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN site WHEN page_id % 2 = 0 THEN 'Known' END AS name, coalesce(u[-1], t[-1], y[-1], CASE WHEN page_id % 2 = 0 THEN 2021 END) AS year, greatest(0.35, least(0.8, CASE WHEN page_id % 10 = 0 THEN 0.55 ELSE page_id % 10 / 10.0 END))::DOUBLE AS confidence FROM p)
+SELECT *, 'relaxed_context_fallback' AS reason FROM q WHERE name IS NOT NULL AND year IS NOT NULL""",
+    "linkable_records": f"SELECT doc_id, {_ANY("lower(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' session chair ' ELSE '  ' END || coalesce(source, ''))", K.PERSON_HINTS)} OR doc_id % 7 = 0 OR (trim(coalesce(source, '')) <> '' AND doc_id % 10 / 10.0 >= 0.6) AS linkable FROM documents",
+    "nav_noise_blocks": f"SELECT page_id, {_ANY('lower(html)', K.NAV_NOISE)} AND NOT regexp_matches(html, '{_Q(K.BLOCK_CREDENTIAL)}') AND NOT regexp_matches(html, '{K.TIME_MARKER}') AS noise FROM pages",
+    "expand_decisions": f"""SELECT page_id, reason = 'low_yield_dynamic_page' AS attempt, reason FROM (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'already_attempted' WHEN page_id % 3 = 1 THEN 'intent_archive_not_targeted' WHEN NOT {_ANY("lower(url || ' ' || html)", [_Q(x) for x in K.DYNAMIC_HINTS])} THEN 'no_dynamic_signal' WHEN page_id % 5 >= 3 THEN 'baseline_yield_sufficient' ELSE 'low_yield_dynamic_page' END AS reason FROM pages)""",
+    "prioritised_blocks": "SELECT conv_id, turn, CAST(p AS INTEGER) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY p DESC, turn) AS rn FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS p FROM conversations)) WHERE rn <= CASE WHEN conv_id % 8 >= 6 THEN 8 WHEN conv_id % 8 >= 3 THEN 12 ELSE 20 END",
 }

@@ -88,3 +88,44 @@ def test_writers(spark, tmp_path):
         tables.write_run_logs(logs.where("run_id = 'r1'"), f"{folder}/logs")
         tables.write_run_logs(logs.where("run_id = 'r2'"), f"{folder}/logs")
     assert sorted(r.run_id for r in tables.run_logs(spark, f"{folder}/logs/*").collect()) == ["r1", "r2"]
+
+
+def test_attribution(spark):
+    from tessella.functions import attribution as A
+
+    years = lambda *y: F.array(*[F.lit(v) for v in y]) if y else F.array().cast("array<int>")
+    known = F.array(F.struct(F.lit(" Eye Week ").alias("name"), F.lit(2019).alias("year")), F.struct(F.lit("").alias("name"), F.lit(2101).alias("year")))
+    cases = [((2020, 2022), (2030,), (), ()), ((), (2018, 2021), (), ()), ((), (), (2017,), (2001,)), ((), (), (2016, 2017), (2001, 2005)), ((), (), (), ())]
+    got = [one(spark, A.relaxed_year(*[years(*x) for x in c], known)) for c in cases]
+    assert got == [2022, 2021, 2017, 2005, 2019]
+    none = F.lit(None).cast("string")
+    target = lambda run, name, k, y, c: one(spark, A.relaxed_target(run, name, k, F.lit(y), F.lit(c)))
+    assert tuple(target(F.lit(" "), F.lit("Main"), known, 2020, 0.95)) == ("Main", 2020, 0.8, "relaxed_context_fallback")
+    assert tuple(target(none, none, known, 2020, 0.1)) == ("Eye Week", 2020, 0.35, "relaxed_context_fallback")
+    assert target(F.lit("Run"), none, known, 2020, 0.0)[2] == 0.55
+    assert target(none, none, F.slice(known, 1, 0), 2020, 0.5) is None and target(F.lit("Run"), none, known, 2101, 0.5) is None
+    t = lambda n, y: F.array(F.struct(F.lit(n).alias("name"), F.lit(y).alias("year"), F.lit(0.5).alias("confidence"), F.lit("r").alias("reason")))
+    pick = lambda a, b, c: [x.name for x in one(spark, A.resolve_targets(a, b, F.get(c, F.lit(0))))]
+    assert [pick(t("own", 2020), t("found", 2020), t("relaxed", 2020)), pick(t("own", 1900), t("found", 2020), t("relaxed", 2020)), pick(t("own", 1900), F.slice(t("", 1), 1, 0), t("relaxed", 2020))] == [["own"], ["found"], ["relaxed"]]
+
+
+def test_gates(spark):
+    noise = [one(spark, P.is_nav_noise(F.lit(x))) for x in ("Register now", "Register now: Rupa Patel, MD", "Register now 9:30 am", "Cornea talk", None)]
+    assert noise == [True, False, False, False, False]
+    d = lambda on, did, intent, n, m, blob: tuple(one(spark, P.expand_decision(F.lit(on), F.lit(did), F.lit(intent), F.lit(n), F.lit(m), F.lit(blob))))
+    assert d(False, True, "listing", 0, 0, "accordion") == (False, "disabled")
+    assert d(True, False, "pdf", 0, 0, "accordion") == (False, "intent_pdf_not_targeted")
+    assert d(True, False, "listing", 0, 0, None) == (False, "no_dynamic_signal")
+    assert d(True, False, "listing", 3, 0, "Load More") == (False, "baseline_yield_sufficient")
+    assert d(True, False, "listing", 2, 0, "x" * 90000 + "Load More") == (True, "low_yield_dynamic_page")
+    link = lambda cand, role, ses, conf, text: one(spark, P.is_linkable(F.lit(cand), F.lit(role), F.lit(ses), F.lit(conf), F.lit(text)))
+    assert [link(True, None, None, None, None), link(None, "Co-Chair", None, None, None), link(None, None, "Talk", 0.6, None), link(None, None, "Talk", 0.5, None), link(None, None, None, None, "a Surgeon")] == [True, True, True, False, True]
+
+
+def test_filter_links(spark):
+    from tessella.operators import navigation
+
+    s = "https://a.org/meet"
+    rows = spark.createDataFrame([(0, " ", "x"), (1, "https://a.org/meet/speakers", "Speakers"), (2, "https://a.org/meet/speakers/?utm_source=x", "Speakers"), (3, "https://a.org/p.pdf", "Program"), (4, "https://b.org/speakers", "Speakers"), (5, "https://a.org/hotel", "Hotel"), (6, None, None)], "pos int, url string, text string").withColumn("k", F.lit(1)).withColumn("seed", F.lit(s))
+    got = navigation.filter_links(rows, "seed", "seed", F.array(F.lit("cornea")), F.lit(False), ["k"], "pos").orderBy("pos").collect()
+    assert [r.why for r in got] == ["empty", "kept", "repeated", "pdf", "out_of_scope", "out_of_scope", "empty"]
