@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, lm, pieces, preference, sharding, suffix_dedup
+from . import ann, decontaminate, jaccard, lm, periodic, pieces, preference, sharding, suffix_dedup
 from . import binary_tokens as tokens_
 from . import toxicity as toxicity_
 from .common import table
@@ -60,5 +60,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output, op10_lm_scoring)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output, op10_lm_scoring, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}
