@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, lm, periodic, pieces, preference, sharding, suffix_dedup
+from . import ann, decontaminate, jaccard, lm, periodic, pieces, preference, repair, repair_sql, sharding, suffix_dedup
 from . import binary_tokens as tokens_
 from . import quality as quality_
 from . import toxicity as toxicity_
@@ -61,6 +61,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,5 +73,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output, op10_lm_scoring, op12_quality, op13_periodic_runs)}
-ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_cross_polytope, op4_sharding, op5_suffix_dedup, op6_jaccard_join, op7_preference, op8_decontamination, op9_token_output, op10_lm_scoring, op11_conversation_repair, op12_quality, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op7_preference": preference.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op11_conversation_repair": repair_sql.ORACLE}

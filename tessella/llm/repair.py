@@ -39,10 +39,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, narrow_batches, wide
@@ -88,7 +88,7 @@ UNIT = _one({(i, i): (0, "") for i in range(4)})
 
 def _closure() -> Matrix:
     """Any number of inserts: the star of one insert."""
-    star, more = UNIT, _one({(i, j): (2, "I") for i, j in ADD.items()} | {(i, i): (0, "") for i in range(4)})
+    more = _one({(i, j): (2, "I") for i, j in ADD.items()} | {(i, i): (0, "") for i in range(4)})
     star = more
     while (longer := tuple(tuple(min((e for e in (p, q) if e), default=None) for p, q in zip(r, s, strict=True)) for r, s in zip(star, product(star, more), strict=True))) != star:
         star = longer
@@ -98,7 +98,7 @@ def _closure() -> Matrix:
 INSERTS = _closure()
 
 
-@cache
+@lru_cache(1 << 14)
 def turn_matrix(initial: str, truncated: bool, gone: bool, copies: int) -> Matrix:
     """Inserts, then the edit of a turn; copies beyond the first are duplicates.  gone: it must be deleted."""
     steps: dict[tuple[int, int], tuple[int, str]] = {(i, i): (3, "D") for i in range(4)}
@@ -243,29 +243,129 @@ def _arrow(conv: pa.DataType, content: bool = True) -> pa.Schema:
     return pa.schema(fields)
 
 
-def _fold(table: pa.Table) -> pa.Table:
-    """One segment for the segments of a group, in order."""
-    rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["seq"]))
+def _fold(key: tuple, table: pa.Table) -> pa.Table:
+    """One segment for the neighbours of a group (conv_id, part, seq of the next level)."""
+    rows = sorted(table.drop_columns(["_p", "_s"]).to_pylist(), key=lambda r: (r["part"], r["seq"]))
     total = reduce(join_segments, [{**r, "matrix": _unpack(r["costs"], r["audits"])} for r in rows])
     costs, audits = _pack(total["matrix"])
-    return pa.Table.from_pylist([{**total, "conv_id": rows[0]["conv_id"], "costs": costs, "audits": audits}], schema=_arrow(table.schema.field("conv_id").type, False))
+    conv, part, seq = (k.as_py() for k in key)
+    return pa.Table.from_pylist([{**total, "conv_id": conv, "part": part, "seq": seq, "costs": costs, "audits": audits}], schema=_arrow(table.schema.field("conv_id").type, False))
 
 
 def multiply(parts: DataFrame) -> DataFrame:
     """One segment for each conversation, by a tree of products of at most FAN neighbours."""
-    segments = parts.drop("alone", "rows")
     schema = SEGMENT.format(conv=parts.schema["conv_id"].dataType.simpleString())
-    tree = segments.where(~parts["alone"])
     seqs, last = parts.where("not alone").agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
+    tree = parts.where("not alone").drop("alone", "rows")
     while seqs or last:
-        column = "seq" if seqs else "part"
-        tree = tree.withColumn(column, F.expr(f"{column} div {FAN}").cast(tree.schema[column].dataType))
-        keyed = tree.select("*", F.col("part").alias("_p"), F.col("seq").alias("_s"))
-        del keyed
-        tree = _level(parts if tree is None else tree, schema)
-        seqs, last = (seqs // FAN, last) if seqs else (seqs, last // FAN)
-    return segments.where(parts["alone"]).unionByName(tree)
+        if seqs:
+            part, seq, seqs = F.col("part"), F.expr(f"seq div {FAN}"), seqs // FAN
+        else:
+            part, seq, last = F.expr(f"cast(part div {FAN} AS int)"), F.col("seq"), last // FAN
+        tree = tree.withColumns({"_p": part, "_s": seq}).groupBy("conv_id", "_p", "_s").applyInArrow(_fold, schema)
+    return parts.where("alone").drop("alone", "rows").unionByName(tree)
 
 
-def _level(tree: DataFrame, schema: str) -> DataFrame:
-    return tree.groupBy("conv_id", "part", "seq").applyInArrow(_fold, schema)
+def repair_plan(parts: DataFrame) -> DataFrame:
+    """Counts, cost, audit and the pieces of the audit (block, state before it, letters) of every conversation."""
+    kind = parts.schema["conv_id"].dataType.simpleString()
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                cost, audit = cheapest(_unpack(r["costs"], r["audits"]))
+                cut = re.split("([0-3])", audit)
+                pieces = [{"block": b, "entry": int(e), "letters": p} for b, e, p in zip(r["blocks"], ["0", *cut[1::2]], cut[::2], strict=True)]
+                gaps = 0 if r["low"] is None else r["high"] - r["low"] + 1 - r["turns"]
+                out.append({**r, "gaps": gaps, "cost": cost, "audit": "".join(cut[::2]), "pieces": pieces})
+            long = pa.int64()
+            fields = [("conv_id", batch.schema.field("conv_id").type), *((c, long) for c in PLAN), ("audit", pa.string()), ("pieces", pa.list_(pa.struct([("block", long), ("entry", pa.int32()), ("letters", pa.string())])))]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
+
+    return multiply(parts).mapInArrow(finish, f"conv_id {kind}, {', '.join(f'{c} long' for c in PLAN)}, audit string, pieces array<struct<block: long, entry: int, letters: string>>")
+
+
+PLAN = ("n", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+
+
+def rewrite(rows: list[dict], state: int, letters: str) -> Iterator[tuple]:
+    """(turn, role, text, edit) of the turns that a block's piece of the audit leaves or makes."""
+    at, left, copy = -1, 0, False
+    for letter in letters:
+        if letter != "I":
+            if not left:
+                at += 1
+                left = rows[at]["copies"]
+            row, left = rows[at], left - 1
+            if letter == "D":
+                continue
+            copy = letter == "K"
+            state = KEEP[state, row["role"][:1]] if copy else ADD[state]
+            yield row["turn"], row["role"] if copy else NAME[state], row["text"], letter
+        else:
+            state = ADD[state]
+            yield None, NAME[state], "", letter
+
+
+def repaired_turns(parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """conv_id, block, pos, turn, role, text, edit of the repaired conversations; block, then pos give the order."""
+    pieces = plan.select(F.explode("pieces").alias("p")).select(F.col("p.block").alias("_block"), "p.entry", "p.letters")
+    rows = parts.where(F.size("rows") > 0).select("conv_id", F.get("blocks", F.lit(0)).alias("block"), "rows")
+    joined = rows.join(pieces, F.col("block") == F.col("_block")).select("conv_id", "block", "rows", "entry", "letters")
+    kind = parts.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                conv, block, rows, entry, letters = (c[i] for c in batch.columns)
+                made = list(rewrite(rows.as_py(), entry.as_py(), letters.as_py()))
+                if made:
+                    turn, role, text, edit = zip(*made, strict=True)
+                    n = len(made)
+                    yield pa.RecordBatch.from_arrays([pa.array([conv.as_py()] * n, batch.schema.field(0).type), pa.array([block.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(turn, pa.int64()), *(pa.array(x, pa.string()) for x in (role, text, edit))], ["conv_id", "block", "pos", "turn", "role", "text", "edit"])
+
+    return joined.mapInArrow(run, f"conv_id {kind}, block long, pos int, turn long, role string, text string, edit string")
+
+
+def line_digest(lines: DataFrame) -> DataFrame:
+    """conv_id and the SHA-256 of its lines (conv_id, block, pos, line), joined by newlines, streamed in order."""
+    kind = lines.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hasher, ready, arrow = None, None, [], None
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for conv, line in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if hasher is None or conv != now:
+                    if hasher is not None:
+                        ready.append((now, hasher.hexdigest()))
+                    now, hasher = conv, hashlib.sha256(line.encode())
+                else:
+                    hasher.update(b"\n" + line.encode())
+            if ready:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in ready], arrow), pa.array([r[1] for r in ready])], ["conv_id", "sha256"])
+                ready = []
+        if hasher is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], arrow), pa.array([hasher.hexdigest()])], ["conv_id", "sha256"])
+
+    dealt = lines.select("conv_id", "block", "pos", "line").repartition("conv_id").sortWithinPartitions("conv_id", "block", "pos")
+    return dealt.mapInArrow(run, f"conv_id {kind}, sha256 string")
+
+
+def damage(turns: DataFrame) -> tuple[DataFrame, Column]:
+    """The query's turns: by crc32(conv_id:turn) % 20, 0 drops a row, 1 empties, 2 takes its sentence marks, 3 doubles, 4 makes it the user's."""
+    id_, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text"))
+    kind = F.crc32(F.concat(id_, F.lit(":"), turn).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("_copies"))
+    return rows, F.col("_copies")
+
+
+def repair_digest(turns: DataFrame) -> DataFrame:
+    """The query's columns for every conversation of the damaged turns."""
+    parts = blocks(*damage(turns))
+    plan = materialize(repair_plan(parts), "repair-plan", small=True)
+    fixed = repaired_turns(parts, plan).withColumn("line", F.concat("role", F.lit(":"), "text"))
+    digest = line_digest(fixed).select(F.col("conv_id").alias("_c"), "sha256")
+    empty = hashlib.sha256(b"").hexdigest()
+    return plan.join(digest, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select("conv_id", *PLAN[1:], "audit", F.coalesce("sha256", F.lit(empty)).alias("repaired_sha256"))
