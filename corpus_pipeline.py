@@ -22,13 +22,21 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below TOXIC."""
+    """Documents with a toxicity score below TOXIC; all of them where no word tells toxic texts apart.
+
+    Repeated rows share a fate; null and empty texts have the score of no known word.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    if not len(model.keys):
+        return docs.select(*COLUMNS)
     return toxicity.score(docs.select(*COLUMNS), model, "_score").where(F.col("_score") < TOXIC).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates; of rows with that id, one.
+
+    Null and empty texts are linked with nothing and stay.
+    """
     return jaccard.keep_first(docs.select(*COLUMNS))
 
 
