@@ -56,6 +56,7 @@ NON_NAME = ["session", "program", "agenda", "abstract", "workshop", "symposium",
 NON_SESSION = ["join", "login", "log", "membership", "education", "research", "practice", "contact", "home", "search", "events", "event", "resources", "resource", "chat", "guidelines", "compensation", "commercial", "interest", "deadline", "submission", "upload", "instructions"]
 NAME_SHAPE = r"(?:[A-Z]\.\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
 COLON_NAME_SHAPE = r"(?:[A-Z]\.?\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+)"
+PERSON_NAME = r"^(?:[A-Z]\.\s+)?[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,4}$"
 SESSION_WORD = r"(?i)\b(session|keynote|plenary|symposium|workshop|lecture|panel|remarks|address)\b"
 # JSON nodes; names in lower case.
 PERSON_NAMES = [["name"], ["firstname", "lastname"]]
@@ -63,4 +64,31 @@ PERSON_FIELDS = ["bio", "title", "designation", "credentials", "affiliation", "o
 SESSION_NAMES = [["title"], ["sessiontitle"]]
 SESSION_FIELDS = ["abstract", "description", "speakers", "presenters", "faculty", "agenda", "time"]
 SIGNAL_KEYS = ["speakers", "presenters", "faculty", "sessions", "agenda", "bio", "abstract", "session", "speaker", "presenter"]
-PERSON_KEYS = ["name", "fullName", "full_name", "speaker", "presenter", "speakerName"]
+
+# HTML. (start tags, open tags that they end, tags that hide open ones from them).
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+RAW_TAGS = ["script", "style", "title", "textarea"]
+BLOCK_TAGS = ["address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
+IMPLIED_ENDS = [
+    (["address", "article", "aside", "blockquote", "center", "details", "dialog", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul"], ["p"], ["button", "table", "td", "th", "caption"]),
+    (["li"], ["li"], ["ul", "ol", "menu"]),
+    (["dt", "dd"], ["dt", "dd"], ["dl"]),
+    (["option"], ["option"], ["select", "datalist"]),
+    (["optgroup"], ["optgroup", "option"], ["select"]),
+    (["tr"], ["tr"], ["table"]),
+    (["td", "th"], ["td", "th"], ["tr", "table"]),
+    (["thead", "tbody", "tfoot"], ["thead", "tbody", "tfoot"], ["table"]),
+]
+
+# Main content and text blocks of a page.
+MAIN_TAGS = ["main", "article"]
+MAIN_IDS = ["content", "main"]
+MAIN_CLASSES = ["content", "main-content", "event-content", "program-content"]
+BLOCK_SELECTORS = ["*speaker", "*faculty", "*presenter", "*profile", "*bio", "*agenda", "*session", "article", "li"]
+SPEAKER_HINTS = ["speaker", "faculty", "presenter", "moderator", "chair", "keynote", "physician", "doctor"]
+SESSION_HINTS = ["session", "agenda", "program", "abstract", "workshop", "symposium", "panel", "lecture"]
+ASSET_YEAR_URL = r"(?i)https?://[^\s)]*(?:wp-content|uploads|static|assets)[^\s)]*/(?:19\d{2}|20\d{2})/"
+URL_TOKEN = r"(?i)https?://[^\s)]+"
+
+# JSON in scripts; marker and source.
+ASSIGNMENTS = [("__NUXT__", "nuxt"), ("__APOLLO_STATE__", "apollo_state"), ("drupalSettings", "drupal_settings"), ("dataLayer", "data_layer")]

@@ -25,13 +25,6 @@ def visible_text(html: Column) -> Column:
     return strip_markdown(F.regexp_replace(x, r"(?s)<[^>]*>", " "))
 
 
-def main_text(html: Column, least: int = 300) -> Column:
-    """Text of the longest main or article element if it has at least `least` characters, else of the page."""
-    nodes = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<(?:main|article)\b[^>]*>(.*?)</(?:main|article)>"), F.lit(1)), visible_text)
-    best = F.array_max(F.transform(nodes, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    return F.when(best["n"] >= least, best["t"]).otherwise(visible_text(html))
-
-
 def links(html: Column) -> Column:
     """(href, anchor) of every a element, in order."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>.*?</a>"), F.lit(0))
@@ -60,12 +53,6 @@ def meta_site_name(html: Column) -> Column:
     return F.coalesce(meta("property", "og:site_name"), meta("name", "application-name"), meta("name", "apple-mobile-web-app-title"))
 
 
-def block_texts(html: Column, least: int = 30) -> Column:
-    """Distinct texts of p, li, section and card-like elements."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<(?:p|li|section)\b[^>]*>(.*?)</(?:p|li|section)>"), F.lit(1))
-    return F.array_distinct(F.filter(F.transform(found, visible_text), lambda t: F.length(t) >= least))
-
-
 def embedded_json(html: Column) -> Column:
     """Bodies of ld+json and application/json script elements that parse."""
     found = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>"), F.lit(1))

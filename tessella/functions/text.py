@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html import unescape as unescape_entities
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import constants as K
 
@@ -94,11 +98,74 @@ def person_like(*xs: Column) -> Column:
     return out
 
 
-def sanitize_lines(x: Column) -> Column:
-    """Lines without boilerplate, on one line."""
-    noise = lambda s: F.exists(_set(K.CONTEXT_NOISE), lambda h: F.lower(s).contains(h))
-    kept = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), "\n"), collapse), lambda s: (s != "") & ~noise(s) & ~s.rlike(r"^https?://\S+$"))
-    return F.array_join(kept, " ")
+@F.pandas_udf(StringType())
+def _unescape(x: pd.Series) -> pd.Series:
+    return x.map(unescape_entities, na_action="ignore")
+
+
+def unescape(x: Column) -> Column:
+    """HTML entities to characters; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescape(F.when(x.contains("&"), x)), x)
+
+
+def _bare(parts: Column, ends: str) -> Column:
+    """Words in lower case without the given characters at their ends."""
+    return F.transform(parts, lambda p: F.regexp_replace(F.lower(p), f"^[{ends}]+|[{ends}]+$", ""))
+
+
+def _many(parts: Column, words: list[str]) -> Column:
+    return F.size(F.filter(parts, lambda p: p.isin(words)))
+
+
+def name_part(x: Column) -> Column:
+    """The words of a name without capital-letter words before it, two words at least where there are more."""
+    def cut(parts: Column) -> Column:
+        shouted = F.transform(parts, lambda p: (F.upper(p) == p) & (F.lower(p) != p))
+        calm = F.array_position(shouted, F.lit(False)).cast("int")
+        lead = F.least(F.when(calm == 0, F.size(parts)).otherwise(calm - 1), F.greatest(F.size(parts) - 2, F.lit(0)))
+        return F.slice(parts, lead + 1, F.size(parts))
+
+    return F.array_join(F.get(F.transform(F.array(F.split(collapse(x), " ")), cut), F.lit(0)), " ")
+
+
+def is_person_name(x: Column) -> Column:
+    """Two to five capitalised words, an initial before them at most, not all the same, without too many words of pages."""
+    def shape(name: Column) -> Column:
+        low = _bare(F.split(name, " "), ".")
+        n = F.size(low)
+        return name.rlike(K.PERSON_NAME) & n.between(2, 5) & (F.size(F.array_distinct(low)) > 1) & (_many(low, K.NON_NAME) < F.when(n == 2, 1).otherwise(2))
+
+    return F.get(F.transform(F.array(name_part(x)), shape), F.lit(0))
+
+
+def is_session_title(x: Column) -> Column:
+    """16 characters and three words or more, not all the same, with a session word or a fourth word, and not of a menu."""
+    def shape(title: Column) -> Column:
+        low = _bare(F.split(title, " "), ".:")
+        return (F.length(title) >= 16) & (F.size(low) >= 3) & (F.size(F.array_distinct(low)) > 1) & (_many(low, K.NON_SESSION) < 2) & (title.rlike(K.SESSION_WORD) | (F.size(low) >= 4))
+
+    return F.get(F.transform(F.array(collapse(x)), shape), F.lit(0))
+
+
+def _has_any(x: Column, words: list[str]) -> Column:
+    return F.lower(x).rlike("|".join(words))
+
+
+def sanitize_lines(x: Column, most: int | None = None) -> Column:
+    """Lines without boilerplate and web addresses, on one line, cut to `most` characters if given.
+
+    A line goes if it is a copyright line, an address alone or holds the address of a
+    dated asset; a line with a word of site furniture goes unless it has a session
+    word, credentials or the shape of a person's name.
+    """
+    def kept(line: Column) -> Column:
+        rights = F.lower(line).startswith("copyright") | F.lower(line).contains("all rights reserved")
+        rescued = line.rlike(K.SESSION_WORD) | line.rlike(K.BLOCK_CREDENTIAL) | is_person_name(line)
+        return (line != "") & ~rights & ~line.rlike(K.ASSET_YEAR_URL) & ~line.rlike(f"^{K.URL_TOKEN}$") & (~_has_any(line, K.CONTEXT_NOISE) | rescued)
+
+    lines = F.transform(F.split(F.regexp_replace(unescape(F.coalesce(x, F.lit(""))), "\r", "\n"), "\n+"), collapse)
+    out = collapse(F.regexp_replace(F.array_join(F.filter(lines, kept), " "), K.URL_TOKEN, " "))
+    return F.substring(out, 1, most) if most else out
 
 
 def windows(x: Column, size: int = 2400, overlap: int = 250, most: int = 60) -> Column:

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import dedupe, linkage, navigation, windows
 from ..session import ship
-from . import marts, oracles, page_rules
+from . import marts, oracles, page_rules, page_trees
 from .marts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,10 +180,6 @@ def page_intent(s: SparkSession, d: str) -> DataFrame:
     return _intents(s, d, F.col("text"))
 
 
-def page_intent_whole(s: SparkSession, d: str) -> DataFrame:
-    return _intents(s, d, F.col("text"))
-
-
 def _intents(s: SparkSession, d: str, summary: Column) -> DataFrame:
     return read(s, d, "documents").select("doc_id", T.page_intent(F.concat(F.lit("https://x.org/"), "source"), F.lit(""), summary, F.when(F.col("doc_id") % 50 == 0, "pdf").otherwise("html")).alias("intent"))
 
@@ -308,7 +304,7 @@ def stream_template_memory(s: SparkSession, d: str) -> DataFrame:
 _TEXT_SHA = lambda f: lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(f(F.col("text")), 256).alias("sha"))
 
 QUERIES: dict[str, Query] = {
-    **{f.__name__: f for f in (marts.overview_by_grain, marts.overview_totals, marts.speaker_sums_json, marts.event_stage_counts, marts.link_events_by_year, marts.filtered_event_counts, marts.conference_totals, marts.year_group_cards, marts.person_cards, marts.nested_people_list, marts.people_filtered, marts.token_or_search, marts.run_list_newest, marts.event_cursor_page, marts.latest_snapshot, marts.run_summary, marts.run_status, marts.latest_artifact, marts.backfill_join, marts.backup_closure, marts.insert_if_absent, marts.completion_anti_join, marts.artifact_unpivot, marts.artifact_unpivot_whole, marts.kpi_sort, marts.overview_of_runs, marts.overview_run_totals)},
+    **{f.__name__: f for f in (marts.overview_by_grain, marts.overview_totals, marts.speaker_sums_json, marts.event_stage_counts, marts.link_events_by_year, marts.filtered_event_counts, marts.conference_totals, marts.year_group_cards, marts.person_cards, marts.nested_people_list, marts.people_filtered, marts.token_or_search, marts.run_list_newest, marts.event_cursor_page, marts.latest_snapshot, marts.run_summary, marts.run_status, marts.latest_artifact, marts.backfill_join, marts.backup_closure, marts.insert_if_absent, marts.completion_anti_join, marts.artifact_unpivot, marts.kpi_sort, marts.overview_of_runs, marts.overview_run_totals)},
     "url_parts": url_parts,
     "url_canonical": _url(canonical=U.canonical),
     "url_canonical_interaction": _url(canonical=U.canonical_interaction),
@@ -323,15 +319,12 @@ QUERIES: dict[str, Query] = {
     "stem_tokens": _joined(T.stem_tokens, "part", "p_partkey", "p_name"),
     "clean_text": _TEXT_SHA(lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
     "keep_lines": _TEXT_SHA(T.keep_lines),
-    "sanitize_lines": _TEXT_SHA(T.sanitize_lines),
     "page_title": lambda s, d: _pages(s, d).select("page_id", H.title(F.col("html")).alias("title")),
     "headings": lambda s, d: _pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
-    "visible_text": lambda s, d: _pages(s, d).select("page_id", F.length(H.visible_text(F.col("html"))).alias("n"), F.length(H.main_text(F.col("html"))).alias("main")),
-    "text_blocks": lambda s, d: _pages(s, d).select("page_id", F.size(H.block_texts(F.col("html"))).alias("blocks"), F.size(H.embedded_json(F.col("html"))).alias("json_blocks"), H.meta_site_name(F.col("html")).alias("site_name")),
+    "site_names": lambda s, d: _pages(s, d).select("page_id", H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    "person_like_whole": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, page_intent_whole, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
 }
 
-QUERIES |= page_rules.QUERIES
-ORACLES = oracles.ORACLES | page_rules.ORACLES
+QUERIES |= page_rules.QUERIES | page_trees.QUERIES
+ORACLES = oracles.ORACLES | page_rules.ORACLES | page_trees.ORACLES

@@ -157,18 +157,14 @@ def completion_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return o.where("o_orderstatus = 'P'").join(o.where("o_orderstatus = 'F'"), ["o_custkey", "session"], "left_anti").groupBy("session").agg(F.count("*").alias("missing"))
 
 
-def artifact_unpivot(spark: SparkSession, d: str) -> DataFrame:
-    return _artifacts(spark, d, "clean_text", F.col("text"))
-
-
-def artifact_unpivot_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _artifacts(spark, d, "clean_text", F.col("text"))
+def artifacts(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFrame:
+    """(key, artifact, data): one row for each kind that isn't empty; of equal keys, one."""
+    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("artifact"), v.alias("data")) for k, v in kinds.items()])).alias("a"))
+    return each.select(key, "a.artifact", "a.data").where("data != ''").dropDuplicates([key, "artifact"])
 
 
-def _artifacts(spark: SparkSession, d: str, name: str, text: Column) -> DataFrame:
-    docs = read(spark, d, "documents")
-    rows = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("artifact"), v.alias("data")) for k, v in ((name, text), ("lang", F.col("lang")), ("source", F.col("source")))])).alias("a"))
-    return rows.select("doc_id", "a.artifact", "a.data").where("data != ''").dropDuplicates(["doc_id", "artifact"])
+def artifact_unpivot(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts(read(spark, d, "documents"), "doc_id", {"clean_text": F.col("text"), "lang": F.col("lang"), "source": F.col("source")})
 
 
 def kpi_sort(spark: SparkSession, d: str) -> DataFrame:

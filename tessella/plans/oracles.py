@@ -57,8 +57,7 @@ apps AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM people))
 SELECT 'people' AS table_name, count(*) AS rows FROM people UNION ALL SELECT 'appearances', count(*) FROM apps UNION ALL SELECT 'items', count(*) FROM items UNION ALL SELECT 'conferences', count(*) FROM conf""",
     "insert_if_absent": "WITH o AS (SELECT o_custkey, nullif(o_orderpriority, '4-NOT SPECIFIED') AS session, year(o_orderdate) AS year FROM orders) SELECT DISTINCT i.o_custkey, i.session FROM o i WHERE i.year >= 1996 AND NOT EXISTS (SELECT 1 FROM o e WHERE e.year < 1996 AND e.o_custkey IS NOT DISTINCT FROM i.o_custkey AND e.session IS NOT DISTINCT FROM i.session)",
     "completion_anti_join": "WITH o AS (SELECT o_custkey, lower(o_orderpriority) AS session, o_orderstatus FROM orders) SELECT session, count(*) AS missing FROM o WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM o f WHERE f.o_orderstatus = 'F' AND f.o_custkey = o.o_custkey AND f.session = o.session) GROUP BY session",
-    "artifact_unpivot": "SELECT doc_id, 'text_head' AS artifact, substr(text, 1, 20) AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
-    "artifact_unpivot_whole": "SELECT doc_id, 'clean_text' AS artifact, text AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
+    "artifact_unpivot": "SELECT doc_id, 'clean_text' AS artifact, text AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
     "kpi_sort": f"SELECT *, CAST(row_number() OVER (ORDER BY people DESC, appearances DESC, lower(n_name)) AS INTEGER) AS place FROM (SELECT n_name, count(DISTINCT o_custkey) AS people, count(*) AS appearances FROM {_APP} GROUP BY n_name)",
     "url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages",
     "url_canonical": f"""SELECT page_id, base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS base,
@@ -85,8 +84,7 @@ array_to_string(list_transform(list_sort(list_transform(list_filter(string_split
     "name_keys": "SELECT c_custkey, k AS name_key, k || '::' || substr(sha1('md | ' || lower(c_mktsegment) || ' |'), 1, 10) AS variant FROM (SELECT *, 'customer ' || substr(c_name, 10) AS k FROM customer)",
     "clean_text": rf"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS sha FROM documents",
     "page_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
-    "person_like": f"SELECT doc_id, {_ANY('lower(substr(text, 1, 200))', K.PERSON_HINTS)} AS hit FROM documents",
-    "person_like_whole": f"SELECT doc_id, {_ANY('lower(text)', K.PERSON_HINTS)} AS hit FROM documents",
+    "person_like": f"SELECT doc_id, {_ANY('lower(text)', K.PERSON_HINTS)} AS hit FROM documents",
     "link_keyword_score": "SELECT p_partkey, contains(lower(p_type), 'promo') OR contains(lower(p_type), 'standard') AS hit, CAST(" + " + ".join(f"CASE WHEN contains(lower(p_name || ' program speakers'), '{w}') THEN {v} ELSE 0 END" for w, v in K.LINK_WEIGHTS.items()) + " AS INTEGER) AS score FROM part",
     "template_diverse_topk": f"WITH q AS (SELECT page_id, {_SITE} AS site, '/' || array_to_string(list_transform(({_SEGS})[1:1], lambda s: lower(s)), '/') AS template, CAST(length(html) % 97 AS INTEGER) AS score FROM pages), c AS (SELECT site, greatest(2.0, max(score) * 0.2) AS cut FROM q GROUP BY site), n AS (SELECT site, cut, count(*) FILTER (score >= cut) AS good FROM q JOIN c USING (site) GROUP BY site, cut), p AS (SELECT q.* FROM q JOIN n USING (site) WHERE good < 3 OR score >= cut), r AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site, template ORDER BY score DESC, page_id) > 1 THEN 1 ELSE 0 END AS again FROM p) SELECT page_id, site, template, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY site ORDER BY again, score DESC, page_id) AS INTEGER) AS place FROM r) WHERE place <= 5",
     "branch_yield": "SELECT user_id, round(CASE WHEN v <= 0 THEN 0.0 ELSE " + _CLAMP("0.30 * least(1.0, c / greatest(v * 10, 1)::DOUBLE) + 0.25 * least(1.0, s / greatest(v * 3, 1)::DOUBLE) + 0.20 * least(1.0, p / greatest(v * 2, 1)::DOUBLE) + 0.15 * least(1.0, e / greatest(v * 8, 1)::DOUBLE) + 0.10 * least(1.0, p / greatest(v * 2, 1)::DOUBLE)") + " END, 9)::DOUBLE AS yield FROM (SELECT user_id, count(*) FILTER (event_type = 'view') AS v, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id)",
@@ -101,8 +99,7 @@ array_to_string(list_transform(list_sort(list_transform(list_filter(string_split
     "branch_running_totals": "SELECT event_id, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS clicks FROM events",
     "heading_carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations",
     "domain_guard": "SELECT event_id, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 2 AS held_back FROM events",
-    "page_intent": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'pdf' WHEN list_has_any(t, {a}) THEN 'archive' WHEN list_has_any(t, {g}) THEN CASE WHEN list_has_any(t, ['session', 'plenary']) THEN 'session_detail' ELSE 'gatekeeper' END WHEN list_has_any(t, {u}) THEN 'non_content' ELSE 'listing' END AS intent FROM (SELECT doc_id, {t} AS t FROM documents)".format(a=_LIST(K.ARCHIVE), g=_LIST(K.GATEKEEPER), u=_LIST(K.UTILITY), t=_LOOSE.format(x="'https://x.org/' || source || ' ' || substr(text, 1, 400)", ws=_WS)),
-    "page_intent_whole": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'pdf' WHEN list_has_any(t, {a}) THEN 'archive' WHEN list_has_any(t, {g}) THEN CASE WHEN list_has_any(t, ['session', 'plenary']) THEN 'session_detail' ELSE 'gatekeeper' END WHEN list_has_any(t, {u}) THEN 'non_content' ELSE 'listing' END AS intent FROM (SELECT doc_id, {t} AS t FROM documents)".format(a=_LIST(K.ARCHIVE), g=_LIST(K.GATEKEEPER), u=_LIST(K.UTILITY), t=_LOOSE.format(x="'https://x.org/' || source || ' ' || text", ws=_WS)),
+    "page_intent": "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'pdf' WHEN list_has_any(t, {a}) THEN 'archive' WHEN list_has_any(t, {g}) THEN CASE WHEN list_has_any(t, ['session', 'plenary']) THEN 'session_detail' ELSE 'gatekeeper' END WHEN list_has_any(t, {u}) THEN 'non_content' ELSE 'listing' END AS intent FROM (SELECT doc_id, {t} AS t FROM documents)".format(a=_LIST(K.ARCHIVE), g=_LIST(K.GATEKEEPER), u=_LIST(K.UTILITY), t=_LOOSE.format(x="'https://x.org/' || source || ' ' || text", ws=_WS)),
     "llm_json_recovery": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "stream_heartbeat": "SELECT user_id, count(*) AS events, max(event_id) AS last_id, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY user_id",
     "stream_template_memory": "WITH l AS (SELECT user_id, max(event_id) FILTER (event_type IN ('click', 'purchase')) AS last FROM events GROUP BY user_id) SELECT e.user_id, count(*) AS visits, count(*) FILTER (event_type = 'click') AS speaker_hits, count(*) FILTER (event_type = 'purchase') AS appearance_hits, count(*) FILTER (last IS NULL OR event_id > last) AS streak FROM events e JOIN l ON e.user_id = l.user_id GROUP BY e.user_id",
@@ -114,7 +111,6 @@ array_to_string(list_transform(list_sort(list_transform(list_filter(string_split
     "url_event_name": f"SELECT page_id, array_to_string(list_transform(string_split(trim(regexp_replace(s, '[^a-zA-Z0-9]+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS event FROM (SELECT page_id, list_filter({_SEGS}, lambda s: lower(s) NOT IN ('events', 'event', 'program', 'agenda', 'schedule', 'index', 'details') AND NOT regexp_matches(lower(s), '^[0-9]+$') AND NOT regexp_matches(lower(s), '^[0-9a-f-]{{8,}}$') AND regexp_matches(s, '[a-zA-Z0-9]'))[-1] AS s FROM pages)",
     "network_json": """SELECT c_custkey AS id, p AS pos, CASE WHEN p = 0 THEN '{"speakers": [' || n || '], "title": "' || c_name || '"}' ELSE n END AS node FROM (SELECT *, '{"bio": "' || c_mktsegment || '", "name": "' || c_name || '"}' AS n FROM customer), (VALUES (0), (1)) v(p)""",
 }
-ORACLES |= {"page_intent": ORACLES["page_intent_whole"], "person_like": ORACLES["person_like_whole"], "artifact_unpivot": ORACLES["artifact_unpivot_whole"]}
 
 _RUNS = f"""WITH r AS (SELECT u.user_id, CASE WHEN u.user_id % 11 = 0 THEN 'Unknown' ELSE n_name END AS conference FROM (SELECT DISTINCT user_id FROM events) u JOIN nation ON u.user_id % 25 = n_nationkey WHERE u.user_id % 5 <> 0),
 e AS (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN {_K} ELSE 0 END) AS speakers, count(*) FILTER (WHERE event_type = 'view') AS routes, count(*) FILTER (WHERE event_type = 'click' AND {_K} > 0) AS good, count(*) FILTER (WHERE event_type = 'signup') AS log_pages, count(*) FILTER (WHERE event_type = 'signup' AND {_K} > 0) AS log_good FROM events GROUP BY user_id HAVING bool_or(event_type = 'click')),
