@@ -92,3 +92,7 @@ URL_TOKEN = r"(?i)https?://[^\s)]+"
 
 # JSON in scripts; marker and source.
 ASSIGNMENTS = [("__NUXT__", "nuxt"), ("__APOLLO_STATE__", "apollo_state"), ("drupalSettings", "drupal_settings"), ("dataLayer", "data_layer")]
+
+# Speaker records.
+NON_PERSON_PHRASES = ["conference program", "program committee", "eastern standard", "session objectives", "terms and conditions", "hotel information", "register now"]
+CREDENTIAL_WORD = r"(?i)\b(MD|M\.D\.?|DO|D\.O\.?|OD|O\.D\.?|PhD|Ph\.D\.?|MBBS|NP|PA-C|PA|RN|DNP|PharmD|MPH)\b"
