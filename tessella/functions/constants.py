@@ -4,6 +4,9 @@
 TRACKING_PREFIX = "utm_"
 TRACKING_KEYS = ["fbclid", "gclid", "ref", "ref_src", "mc_cid", "mc_eid"]
 
+# Ids in paths.
+UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
 # Navigation vocabulary.
 NAV_IGNORE = ["www", "com", "org", "net", "home", "about", "contact", "press", "blog", "news", "post", "article", "resource", "resources", "privacy", "policy", "terms", "code", "ethics", "staff", "membership", "partnerships", "education", "advocacy", "conference", "conferences", "event", "events"]
 NAV_SIGNAL = ["program", "agenda", "session", "sessions", "speaker", "speakers", "faculty", "presenter", "presenters", "abstract", "abstracts", "plenary", "poster", "posters", "oral", "schedule", "workshop", "workshops", "symposium", "symposia"]
@@ -96,3 +99,10 @@ ASSIGNMENTS = [("__NUXT__", "nuxt"), ("__APOLLO_STATE__", "apollo_state"), ("dru
 # Speaker records.
 NON_PERSON_PHRASES = ["conference program", "program committee", "eastern standard", "session objectives", "terms and conditions", "hotel information", "register now"]
 CREDENTIAL_WORD = r"(?i)\b(MD|M\.D\.?|DO|D\.O\.?|OD|O\.D\.?|PhD|Ph\.D\.?|MBBS|NP|PA-C|PA|RN|DNP|PharmD|MPH)\b"
+
+# Run metrics; counters and the metric that each one is shown as; stages of a run's state.
+RUN_METRICS = ["pages_visited", "pages_enqueued", "unique_url_states", "frontier_size", "branch_count", "adaptive_budget_current", "adaptive_budget_max", "interaction_actions_total", "high_yield_branches", "pages_skipped_budget", "template_clusters_discovered", "speaker_candidates_found", "speaker_candidates_new", "normalized_speakers", "physicians_linked", "appearances_linked", "unresolved_attributions", "llm_calls", "llm_failures", "llm_calls_saved", "llm_batches_started", "llm_batches_completed", "llm_batches_timed_out", "stalls_recovered", "stalls_terminal", "repeated_state_skips", "gatekeeper_links_found", "modal_breaker_attempts", "modal_breaker_successes", "dynamic_pages_detected", "pathfinder_llm_calls", "pathfinder_llm_failures", "novelty_windows_without_progress", "markdown_pages_processed", "markdown_chars_processed", "markdown_segments_used", "memory_templates_hit", "memory_templates_promoted", "legacy_fallback_pages", "attribution_resolved_count", "attribution_reconcile_resolved_count", "attribution_final_unresolved_count", "pages_with_zero_speakers_nonzero_links", "branches_closed_no_links", "nav_reask_attempts", "nav_reask_successes"]
+COUNTED_METRICS = {"linked_appearances": "appearances_linked", "unresolved_attributions": "unresolved_attributions", "llm_attempts": "llm_calls", "llm_failures": "llm_failures", "llm_calls_saved": "llm_calls_saved", "llm_batches_started": "llm_batches_started", "llm_batches_completed": "llm_batches_completed", "llm_batches_timed_out": "llm_batches_timed_out", "stalls_recovered": "stalls_recovered", "stalls_terminal": "stalls_terminal", "pathfinder_llm_attempts": "pathfinder_llm_calls", "pathfinder_llm_failures": "pathfinder_llm_failures", "attribution_resolved_count": "attribution_resolved_count", "attribution_reconcile_resolved_count": "attribution_reconcile_resolved_count", "attribution_final_unresolved_count": "attribution_final_unresolved_count"}
+RUNNING_STAGES = ["run_start", "fetch_route", "crawl_fetch_start"]
+TERMINAL_STAGES = ["complete", "partial", "error", "cancelled"]
+CONTENT_SIGNALS = ["program", "agenda", "session", "speaker", "faculty", "presenter", "plenary", "abstract", "schedule", "workshop", "symposium"]

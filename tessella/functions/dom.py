@@ -37,8 +37,8 @@ _CHROME = {"header", "nav", "footer", "aside"}
 _FRAME = {"header", "nav", "footer"}
 _ENDS = {started: (set(closed), set(walls)) for group, closed, walls in K.IMPLIED_ENDS for started in group}
 
-ELEMENT = pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("name", pa.string()), ("role", pa.string()), ("kind", pa.string()), ("chrome", pa.bool_()), ("framed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("main_start", pa.int32()), ("main_end", pa.int32()), ("body", pa.string())])
-ELEMENT_SQL = "struct<id: int, parent: int, last: int, tag: string, cls: string, name: string, role: string, kind: string, chrome: boolean, framed: boolean, start: int, end: int, main_start: int, main_end: int, body: string>"
+ELEMENT = pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("cls", pa.string()), ("name", pa.string()), ("role", pa.string()), ("kind", pa.string()), ("href", pa.string()), ("chrome", pa.bool_()), ("framed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("main_start", pa.int32()), ("main_end", pa.int32()), ("body", pa.string())])
+ELEMENT_SQL = "struct<id: int, parent: int, last: int, tag: string, cls: string, name: string, role: string, kind: string, href: string, chrome: boolean, framed: boolean, start: int, end: int, main_start: int, main_end: int, body: string>"
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -95,7 +95,7 @@ def tree(html: str) -> tuple[str, str, list[dict]]:
                 break
         up = stack[-1] if stack else None
         a = attributes(source)
-        row = {"id": len(rows), "parent": up["id"] if up else -1, "tag": tag, "cls": a.get("class"), "name": a.get("id"), "role": a.get("role"), "kind": a.get("type"), "from": (len(whole.pieces), len(main.pieces))}
+        row = {"id": len(rows), "parent": up["id"] if up else -1, "tag": tag, "cls": a.get("class"), "name": a.get("id"), "role": a.get("role"), "kind": a.get("type"), "href": a.get("href") if tag in ("a", "area") else None, "from": (len(whole.pieces), len(main.pieces))}
         row["silent"] = bool(up and up["silent"]) or tag in _SILENT
         row["chrome"] = bool(up and up["chrome"]) or tag in _CHROME
         row["framed"] = bool(up and (up["framed"] or up["tag"] in _FRAME))
@@ -204,6 +204,12 @@ def block(label: str, text: Column) -> Column:
     return F.concat(F.lit(f"[BLOCK {label}]\n"), text)
 
 
+def links() -> Column:
+    """(href, anchor) of every a element with a target, in order."""
+    found = F.filter("elements", lambda e: (e["tag"] == "a") & (F.trim(e["href"]) != ""))
+    return F.transform(found, lambda e: F.struct(e["href"].alias("href"), node_text(e).alias("anchor")))
+
+
 def has_signal(text: Column) -> Column:
     """A speaker or session word, a credential or a time of day."""
     words = "|".join(re.escape(w) for w in (*K.SPEAKER_HINTS, *K.SESSION_HINTS, ", md", ", do", ", od"))

@@ -31,29 +31,8 @@ def links(html: Column) -> Column:
     return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"(?is)href=[\"']([^\"']*)[\"']", 1).alias("href"), collapse(F.regexp_replace(a, r"(?s)<[^>]*>", " ")).alias("anchor")))
 
 
-def absolute(base: Column, href: Column, fragment: bool = False) -> Column:
-    """http(s) URL of a link: absolute, scheme-relative, root-relative or relative to the base's folder; else null."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(?:[^?#]*/)?)", 1)
-    h = F.trim(href)
-    full = (
-        F.when(h.rlike("^(?i)https?://"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(root, h))
-        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:") | (h == ""), F.lit(None))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), h))
-    )
-    return full if fragment else F.regexp_replace(full, "#.*$", "")
-
-
 def meta_site_name(html: Column) -> Column:
     def meta(attribute: str, name: str) -> Column:
         return F.nullif(collapse(F.regexp_extract(html, rf"(?is)<meta[^>]*{attribute}=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)), F.lit(""))
 
     return F.coalesce(meta("property", "og:site_name"), meta("name", "application-name"), meta("name", "apple-mobile-web-app-title"))
-
-
-def embedded_json(html: Column) -> Column:
-    """Bodies of ld+json and application/json script elements that parse."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    return F.filter(found, lambda x: F.try_parse_json(x).isNotNull())

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
-UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*)://", 1))
 
@@ -49,17 +46,70 @@ def _trimmed(p: Column) -> Column:
     return F.when(p == "", "/").when((p != "/") & p.endswith("/"), F.regexp_replace(p, "/$", "")).otherwise(p)
 
 
+def decode(x: Column) -> Column:
+    """Form-decoded text: + is a blank, %XX a byte of UTF-8; a % without two digits stays, broken bytes become U+FFFD."""
+    return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def encode(x: Column) -> Column:
+    """Form-encoded text: letters, digits and -._~ stay, blanks become +, all else the bytes of its UTF-8."""
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def parameters(query: Column) -> Column:
+    """Decoded (key, value) pairs of a query, in order; those without a value are left out."""
+    pairs = F.filter(F.split(query, "&"), lambda kv: F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1) != "")
+    return F.transform(pairs, lambda kv: F.struct(decode(F.substring_index(kv, "=", 1)).alias("key"), decode(F.regexp_extract(kv, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+
+
 def canonical(url: Column) -> Column:
-    """Run variant: one slash in a row, no trailing slash, tracking parameters dropped, the rest sorted."""
+    """Run variant: one slash in a row, no trailing slash nor parameters of the last segment; the query's
+    pairs decoded, without tracking ones, sorted and encoded again."""
     u = F.trim(url)
-    pairs = F.filter(F.split(query(u), "&"), lambda kv: F.regexp_extract(kv, "^[^=]*=(.*)$", 1) != "")
-    kept = F.filter(pairs, lambda kv: ~(F.lower(kv).startswith(K.TRACKING_PREFIX) | F.lower(F.substring_index(kv, "=", 1)).isin(K.TRACKING_KEYS)))
-    by_key = F.array_sort(F.transform(kept, lambda kv: F.struct(F.substring_index(kv, "=", 1).alias("k"), kv.alias("kv"))))
-    q = F.array_join(F.transform(by_key, lambda x: x["kv"]), "&")
-    base = F.concat(F.when(scheme(u) == "", "https").otherwise(scheme(u)), F.lit("://"), host(u), _trimmed(F.regexp_replace(path(u), "/{2,}", "/")))
+    kept = F.filter(parameters(query(u)), lambda kv: ~(F.lower(kv["key"]).startswith(K.TRACKING_PREFIX) | F.lower(kv["key"]).isin(K.TRACKING_KEYS)))
+    q = F.array_join(F.transform(F.array_sort(kept), lambda kv: F.concat(encode(kv["key"]), F.lit("="), encode(kv["value"]))), "&")
+    plain = F.regexp_replace(path(u), ";[^/]*$", "")
+    base = F.concat(F.when(scheme(u) == "", "https").otherwise(scheme(u)), F.lit("://"), host(u), _trimmed(F.regexp_replace(plain, "/{2,}", "/")))
     return F.concat(base, F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
 
 
+def without_dots(path: Column, squeeze: Column) -> Column:
+    """A path with . and .. segments resolved, in one pass over a stack of segments; empty inner ones go where `squeeze` holds."""
+    def fold(parts: Column) -> Column:
+        inner = F.filter(parts, lambda s, i: ~squeeze | (s != "") | (i == 0) | (i == F.size(parts) - 1))
+        stack = F.aggregate(
+            inner,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)),
+        )
+        return F.array_join(F.when(F.element_at(inner, -1).isin(".", ".."), F.array_append(stack, F.lit(""))).otherwise(stack), "/")
+
+    out = F.get(F.transform(F.array(F.split(path, "/")), fold), F.lit(0))
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
+
+
+def resolve(base: Column, href: Column, fragment: bool = True) -> Column:
+    """http(s) URL that a link on the page `base` means; null for other schemes and empty links."""
+    h = F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    mark = F.regexp_extract(h, "(?s)(#.+)$", 1) if fragment else F.lit("")
+    h = F.regexp_replace(h, "(?s)#.*$", "")
+    own, asked = F.regexp_extract(h, r"(?s)^([^?]*)", 1), F.regexp_extract(h, r"(?s)^[^?]*(\?.*)$", 1)
+    root = F.concat(scheme(base), F.lit("://"), F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    asked = F.when(asked == "?", "").otherwise(asked)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    same_page = F.concat(root, path(base), F.when(asked != "", asked).when(query(base) != "", F.concat(F.lit("?"), query(base))).otherwise(""))
+    full = (
+        F.when(F.regexp_replace(href, r"[\x00-\x20]+", "") == "", F.lit(None))
+        .when(h.rlike("^(?i)https?://"), h)
+        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), F.lit(None))
+        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), F.regexp_replace(h, r"\?$", "")))
+        .when(own == "", same_page)
+        .otherwise(F.concat(root, without_dots(joined, ~own.startswith("/")), asked))
+    )
+    return F.when(full.rlike("^(?i)https?://"), F.concat(full, mark))
+
+
 def canonical_interaction(url: Column) -> Column:
     """Interaction variant: the query goes altogether."""
     u = F.trim(url)
@@ -78,7 +128,7 @@ def template_full(url: Column) -> Column:
 
     def one(s: Column) -> Column:
         v = F.lower(F.trim(s))
-        return F.when(v.rlike(r"^\d+$"), "{num}").when(v.rlike(UUID), "{uuid}").when(v.rlike("^[0-9a-f]{10,}$"), "{id}").otherwise(v)
+        return F.when(v.rlike(r"^\d+$"), "{num}").when(v.rlike(K.UUID), "{uuid}").when(v.rlike("^[0-9a-f]{10,}$"), "{id}").otherwise(v)
 
     return F.concat(F.lit("/"), F.array_join(F.transform(segments(url), one), "/"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions import dom
 from ..functions import html as H
 from ..functions import scores
 from ..functions import text as T
@@ -15,9 +16,12 @@ from .dedupe import first_by
 
 def internal_links(pages: DataFrame, most: int = 60) -> DataFrame:
     """(page_id, pos, url, anchor): the first `most` distinct same-site links of each page, fragments kept."""
-    each = pages.select("page_id", F.col("url").alias("base"), F.posexplode(H.links(F.col("html"))).alias("pos", "l"))
-    full = each.withColumn("url", H.absolute(F.col("base"), F.col("l.href"), fragment=True)).where(F.col("url").isNotNull() & U.same_site(F.col("base"), F.col("url")))
-    return first_by(first_by(full, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], most).select("page_id", "pos", "url", F.substring("l.anchor", 1, 200).alias("anchor"))
+    parsed = dom.parsed(pages.select("page_id", F.col("url").alias("base"), "html"))
+    # Resolved inside the array: a filter on what a generator gives doesn't repeat the expression.
+    found = F.transform(dom.links(), lambda l: F.struct(U.resolve(F.col("base"), l["href"]).alias("url"), F.substring(l["anchor"], 1, 200).alias("anchor")))
+    each = parsed.select("page_id", "base", F.posexplode(found).alias("pos", "l")).select("page_id", "base", "pos", "l.url", "l.anchor")
+    full = each.where(F.col("url").isNotNull() & U.same_site(F.col("base"), F.col("url")))
+    return first_by(first_by(full, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], most).select("page_id", "pos", "url", "anchor")
 
 
 def relevant(seed: Column, page: Column, candidate: Column, anchor: Column, focus: Column) -> Column:
@@ -81,6 +85,78 @@ def diverse_top(df: DataFrame, key: str, template: str, order: list[Column], k:
     return ranked.withColumn("place", place).where(F.col("place") <= k).drop("_again")
 
 
+def judge_candidates(rows: DataFrame, seed: str, page: str, focus: Column, allow_pdf: Column, within: list[str], order: str) -> DataFrame:
+    """Adds `kept` and `why` to candidates (url, page_type, reason, branch_hint).
+
+    As filter_links, and before the scope is judged: pages without content go, and
+    unknown ones whose address, reason and type hold neither a focus nor a signal word.
+    """
+    text = F.trim(F.concat(F.coalesce("reason", F.lit("")), F.lit(" "), F.coalesce("branch_hint", F.lit(""))))
+    kind = F.lower(F.trim(F.coalesce(F.nullif("page_type", F.lit("")), F.lit("unknown"))))
+    words = T.nav_tokens(F.concat_ws(" ", "url", text, kind))
+    judged = filter_links(rows.withColumn("text", text), seed, page, focus, allow_pdf, within, order)
+    open_ = ~F.col("why").isin("empty", "repeated", "pdf")
+    idle = (kind == "unknown") & ~(T.overlaps(words, K.NAV_SIGNAL) | F.arrays_overlap(words, focus))
+    why = F.when(open_ & (kind == "non_content"), "no_content").when(open_ & idle, "no_signal").otherwise(F.col("why"))
+    return judged.withColumn("why", why).withColumn("kept", F.col("why") == "kept").drop("text")
+
+
+def reserve_cross(pool: DataFrame, key: str, order: str, score: str, core: Column, depth: Column, signal: Column, k: int) -> DataFrame:
+    """A selection (place 1 to k, else null) of each key with seats kept for other branches.
+
+    pool: scored rows of a key, `order` their rank by score; core tells rows of the
+    seed's or the page's own branch.  Where more than max(3, k // 2) rows are chosen,
+    up to two seats go to the best of the other branches, one of them with a content
+    signal if there is any; they push the last chosen rows of the own branches out and
+    stand at the end.  Ranks are counted within a key: of core rows from the tail, of
+    the newcomers from their head.
+    """
+    of_key = Window.partitionBy(key)
+    boosted = F.col(score) + 0.2 * depth + F.when(signal, 1.2).otherwise(0.0)
+    best = of_key.orderBy("_core", F.desc("_boost"), order)
+    t = pool.withColumns({"_core": core.cast("int"), "_sig": signal, "_boost": boosted})
+    t = t.withColumns({"_chosen": F.coalesce(F.col("place") <= k, F.lit(False)), "_cross": F.when(F.col("_core") == 0, F.row_number().over(best))})
+    t = t.withColumns({"_n": F.count_if("_chosen").over(of_key), "_others": F.count_if(F.col("_core") == 0).over(of_key), "_first_sig": F.min(F.when((F.col("_core") == 0) & F.col("_sig"), F.col("_cross"))).over(of_key)})
+    seats = F.least(F.lit(min(2, max(1, k // 6))), "_others")
+    # Without a signal row among the first seats, the best signal row takes the last one.
+    late = F.col("_first_sig") > seats
+    wanted = (F.col("_cross") <= F.when(late, seats - 1).otherwise(seats)) | (late & (F.col("_cross") == F.col("_first_sig")))
+    t = t.withColumn("_new", F.coalesce(wanted, F.lit(False)) & ~F.col("_chosen") & (F.col("_n") > max(3, k // 2)))
+    ranks = {
+        "_news": F.count_if("_new").over(of_key),
+        "_nth_new": F.when(F.col("_new"), F.row_number().over(of_key.orderBy(F.desc("_new"), "_cross"))),
+        "_cores": F.count_if(F.col("_chosen") & (F.col("_core") == 1)).over(of_key),
+        "_tail": F.when(F.col("_chosen") & (F.col("_core") == 1), F.row_number().over(of_key.orderBy(F.desc(F.col("_chosen") & (F.col("_core") == 1)), F.desc("place")))),
+    }
+    t = t.withColumns(ranks)
+    free = k - F.col("_n")
+    stays = F.col("_chosen") & ~F.coalesce(F.col("_tail") <= F.col("_news"), F.lit(False))
+    comes = F.col("_new") & (F.col("_nth_new") <= F.col("_cores") + free)
+    t = t.withColumn("_in", stays | comes)
+    place = F.row_number().over(of_key.orderBy(F.desc("_in"), F.col("_new").cast("int"), F.when(F.col("_new"), F.col("_nth_new")).otherwise(F.col("place"))))
+    return t.select(*[c for c in pool.columns if c != "place"], F.when(F.col("_in"), place).alias("place"))
+
+
+def link_targets(pages: DataFrame) -> DataFrame:
+    """Distinct (page_id, url): the links on each page, canonical."""
+    return internal_links(pages, 1 << 30).select("page_id", U.canonical(F.col("url")).alias("url")).distinct()
+
+
+def reachable(links: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
+    """(seed, page_id, depth) of the pages that seeds (seed, page_id) reach by links that pages share, in `depth` steps at most.
+
+    A step goes from pages to their distinct links and from those to the pages that
+    have them, so its work is that of the links; the steps are one plan.
+    """
+    level = seeds.select("seed", "page_id").distinct()
+    found = level.withColumn("depth", F.lit(0))
+    for step in range(1, depth + 1):
+        over = level.join(links, "page_id").select("seed", "url").distinct()
+        level = over.join(links, "url").select("seed", "page_id").distinct()
+        found = found.unionByName(level.withColumn("depth", F.lit(step)))
+    return found.groupBy("seed", "page_id").agg(F.min("depth").alias("depth"))
+
+
 def heuristic_people(rows: DataFrame) -> DataFrame:
     """(id, full_name, designation, confidence) found by credentials, else by the title of doctor."""
     text = T.collapse(F.col("text"))

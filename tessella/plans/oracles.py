@@ -60,8 +60,9 @@ SELECT 'people' AS table_name, count(*) AS rows FROM people UNION ALL SELECT 'ap
     "artifact_unpivot": "SELECT doc_id, 'clean_text' AS artifact, text AS data FROM documents WHERE text <> '' UNION ALL SELECT doc_id, 'lang', lang FROM documents WHERE lang <> '' UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source <> ''",
     "kpi_sort": f"SELECT *, CAST(row_number() OVER (ORDER BY people DESC, appearances DESC, lower(n_name)) AS INTEGER) AS place FROM (SELECT n_name, count(DISTINCT o_custkey) AS people, count(*) AS appearances FROM {_APP} GROUP BY n_name)",
     "url_parts": f"SELECT page_id, {_SCHEME} AS scheme, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages",
-    "url_canonical": f"""SELECT page_id, base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical FROM (SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS base,
-array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({_QUERY}, '&'), lambda kv: contains(kv, '=') AND regexp_extract(kv, '^[^=]*=(.*)$', 1) <> '' AND NOT starts_with(lower(kv), 'utm_') AND lower(string_split(kv, '=')[1]) NOT IN {_IN(K.TRACKING_KEYS)}), lambda kv: {{'k': string_split(kv, '=')[1], 'kv': kv}})), lambda x: x.kv), '&') AS q FROM pages)""",
+    "url_canonical": f"""WITH kv AS (SELECT page_id, url_decode(replace(split_part(x, '=', 1), '+', ' ')) AS k, url_decode(replace(substr(x, strpos(x, '=') + 1), '+', ' ')) AS v FROM (SELECT page_id, unnest(string_split({_QUERY}, '&')) AS x FROM pages) WHERE contains(x, '=')),
+q AS (SELECT page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' ORDER BY k, v) AS q FROM kv WHERE v <> '' AND NOT starts_with(lower(k), 'utm_') AND lower(k) NOT IN {_IN(K.TRACKING_KEYS)} GROUP BY page_id)
+SELECT p.page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(f"regexp_replace(regexp_replace({_PATH}, ';[^/]*$', ''), '/{{2,}}', '/', 'g')")} || coalesce('?' || q, '') AS canonical FROM pages p LEFT JOIN q ON p.page_id = q.page_id""",
     "url_canonical_interaction": f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_NOSLASH)} AS canonical FROM pages",
     "url_canonical_reasoner": f"SELECT page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(_PATH)} || CASE WHEN {_QUERY} = '' THEN '' ELSE '?' || {_QUERY} END AS canonical FROM pages",
     "url_registrable": f"SELECT page_id, {_SITE} AS domain FROM pages",
@@ -121,3 +122,7 @@ y AS (SELECT DISTINCT c_nationkey, conference, y FROM a WHERE (c_nationkey, y) I
 p AS (SELECT a.* FROM a JOIN y ON a.c_nationkey = y.c_nationkey AND a.y = y.y) """
 ORACLES["overview_of_runs"] = _RUNS + """SELECT conference, CAST(sum(speakers) AS BIGINT) AS speakers, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(good) AS BIGINT) AS good, (SELECT count(*) FROM l WHERE l.conference = f.conference) AS links, (SELECT count(*) FROM y WHERE y.conference = f.conference) AS years, (SELECT count(*) FROM p WHERE p.conference = f.conference) AS appearances, (SELECT count(DISTINCT o_custkey) FROM p WHERE p.conference = f.conference) AS people FROM f GROUP BY conference"""
 ORACLES["overview_run_totals"] = _RUNS + """SELECT count(*) FILTER (WHERE speakers > 0) AS runs, count(DISTINCT conference) AS conferences, CAST(coalesce(sum(speakers), 0) AS BIGINT) AS speakers, CAST(coalesce(sum(pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(good), 0) AS BIGINT) AS good, (SELECT count(DISTINCT link) FROM l) AS links, (SELECT count(*) FROM y) AS years, (SELECT count(*) FROM p) AS appearances, (SELECT count(DISTINCT o_custkey) FROM p) AS people FROM f"""
+ORACLES["internal_links"] = rf"""WITH l AS (SELECT page_id, unnest(x) AS a, generate_subscripts(x, 1) - 1 AS pos, {_SCHEME} || '://' || regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS root FROM (SELECT page_id, url, regexp_extract_all(html, '(?s)<a href="[^"]*">.*?</a>') AS x FROM pages)),
+u AS (SELECT page_id, pos, root || replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS url, left(trim(regexp_replace(replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')), 200) AS anchor FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS nth FROM u)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url, anchor FROM f WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 60"""
