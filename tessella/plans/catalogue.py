@@ -290,15 +290,27 @@ def frontier_crawl(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_heartbeat(s: SparkSession, d: str) -> DataFrame:
+    """Counters of each run, from the stream of events."""
     from ..streaming import events
 
-    return events.heartbeat_batch(read(s, d, "events"))
+    return events.settled(events.heartbeat(events.events_stream(s, f"{d}/events.parquet")), ["user_id"])
 
 
 def stream_template_memory(s: SparkSession, d: str) -> DataFrame:
+    """Hits and streaks of each run, from the stream of events with state."""
     from ..streaming import events
 
-    return events.template_memory_batch(read(s, d, "events"))
+    ship(s)
+    return events.settled(events.template_memory_stream(events.events_stream(s, f"{d}/events.parquet")), ["user_id"])
+
+
+def stream_stalls(s: SparkSession, d: str) -> DataFrame:
+    """Where a watcher of each run's stream gives up: six events in a row without a click or purchase."""
+    from ..streaming import events
+
+    progress = F.col("event_type").isin("click", "purchase")
+    with events.state_in_files(s):
+        return events.settled(events.stalls_stream(events.events_stream(s, f"{d}/events.parquet"), progress), ["user_id"])
 
 
 _TEXT_SHA = lambda f: lambda s, d: read(s, d, "documents").select("doc_id", F.sha2(f(F.col("text")), 256).alias("sha"))
@@ -323,7 +335,7 @@ QUERIES: dict[str, Query] = {
     "headings": lambda s, d: _pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
     "site_names": lambda s, d: _pages(s, d).select("page_id", H.meta_site_name(F.col("html")).alias("site_name")),
     "person_like": lambda s, d: read(s, d, "documents").select("doc_id", T.person_like(F.col("text")).alias("hit")),
-    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory)},
+    **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory, stream_stalls)},
 }
 
 QUERIES |= page_rules.QUERIES | page_trees.QUERIES | json_rules.QUERIES | run_rules.QUERIES

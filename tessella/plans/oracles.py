@@ -126,3 +126,6 @@ ORACLES["internal_links"] = rf"""WITH l AS (SELECT page_id, unnest(x) AS a, gene
 u AS (SELECT page_id, pos, root || replace(regexp_extract(a, 'href="([^"]*)"', 1), '&amp;', '&') AS url, left(trim(regexp_replace(replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')), 200) AS anchor FROM l),
 f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS nth FROM u)
 SELECT page_id, CAST(pos AS INTEGER) AS pos, url, anchor FROM f WHERE nth = 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 60"""
+ORACLES["stream_stalls"] = """WITH e AS (SELECT *, event_type IN ('click', 'purchase') AS p, sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events),
+t AS (SELECT *, sum(CASE WHEN p THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY event_id) AS ticks FROM e)
+SELECT user_id, CAST(CASE WHEN min(event_id) FILTER (ticks >= 6) IS NULL THEN arg_max(ticks, event_id) ELSE 6 END AS BIGINT) AS ticks, min(event_id) FILTER (ticks >= 6) AS stopped_at FROM t GROUP BY user_id"""
