@@ -14,18 +14,24 @@ if its count reaches ``min_count`` and all its words have a count of at least
 ``word_count``; both floors are the same at every size.  No word is dropped: the
 others back off to the unigram state.
 
-The automaton is kept as tables, partitioned by n-gram, not as one object, so its size
-is not bounded by an executor.  A path's log-probability is a sum of one value for
-each word, kept bigram and kept trigram of a text:
+Its frequent part is one object: states and arcs of all words, bigrams and trigrams
+whose counts reach three floors that rise with the order, so that every suffix and
+prefix of a frequent n-gram is frequent.  At most ``hot_words`` words and ``hot_ngrams``
+n-grams of either order are in it, with the probabilities and backoff weights of the
+whole model.  It is broadcast, and every text is traversed by it once from left to
+right: a token takes its arc, or fails to shorter histories until one has it.
+
+Where a traversal fails on an n-gram that the rest of the model has, the true path
+would have gone on there.  What that changes is one value for each such n-gram:
     word w         unigram(w) + bow(w)
     bigram ab      p(b | a) over what its backoff gives, + bow(ab)
     trigram abc    p(c | ab) over what its backoff gives
-which is what `traverse` adds up arc by arc (see the tests).  Scoring looks up the
-n-grams of a text in a broadcast part that holds the values of frequent ones, at most
-``hot_words`` and ``hot_ngrams``; all the rest travel to the tables in packed blocks of
-a slice of the keys, and sums by document travel back to the slab they came from.  A
-bitmap of fixed size spares n-grams that are surely not kept the way.  Neither it nor
-the broadcast part has a say in results.
+since a path's log-probability is the sum of these over its words, bigrams and
+trigrams (telescoped).  The rest is kept as tables partitioned by n-gram, whose size is
+not bounded by an executor; failed n-grams travel to them in packed blocks of a slice of
+the keys, and sums by document travel back to the slab they came from.  A bitmap of fixed
+size spares n-grams that are surely not kept the way.  How much of the model is broadcast
+changes no result (see the tests).
 
 Defined results: null text is the empty text and has the end token only; null
 doc_id counts as the empty id for the folds; repeated rows count and score each;
@@ -138,102 +144,76 @@ class Table:
 
 @dataclass
 class Automaton:
-    """States 0 (root), then one a history; arcs are keyed by state and word number."""
+    """State 0 is the root, then one a word, then one a bigram; arcs are keyed by state and word number.
+
+    The first arcs are bigrams (from a word's state), the others trigrams.
+    """
 
     words: Table
-    word_logp: np.ndarray
+    base: np.ndarray  # log10 of the unigram model
     fail: np.ndarray  # state -> next shorter history
     weight: np.ndarray  # log10 of the failure arc
     arcs: Table
     arc_logp: np.ndarray
     arc_next: np.ndarray
-    after: np.ndarray  # word -> state after it from the root
+    bigrams: int
 
     @staticmethod
     def arc_key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
         return mix(state.astype(U64) << U64(32) | word.astype(U64))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Next states, log10 probabilities, and whether the token was left to the root (without its unigram part)."""
+        """Next states, log10 gains, and the length of the history whose arc was taken: 2, 1, or 0 at the root,
+        where the unigram part is still to be added."""
         state = state.copy()
         gain = np.zeros(len(state))
-        nxt = np.zeros(len(state), np.int32)
-        todo = np.flatnonzero(state > 0)
-        rest = np.flatnonzero(state == 0)
+        nxt = np.where(word >= 0, word + 1, 0).astype(np.int32)
+        order = np.zeros(len(state), np.int8)
+        todo = np.flatnonzero(state)
         while len(todo):
             known = word[todo] >= 0
             arc = np.full(len(todo), -1, np.int32)
             arc[known] = self.arcs.find(self.arc_key(state[todo[known]], word[todo[known]]))
             hit = arc >= 0
-            gain[todo[hit]] += self.arc_logp[arc[hit]]
-            nxt[todo[hit]] = self.arc_next[arc[hit]]
+            taken, at = arc[hit], todo[hit]
+            gain[at] += self.arc_logp[taken]
+            nxt[at] = self.arc_next[taken]
+            order[at] = 1 + (taken >= self.bigrams)
             todo = todo[~hit]
             gain[todo] += self.weight[state[todo]]
             state[todo] = self.fail[state[todo]]
-            out = state[todo] == 0
-            rest = np.concatenate([rest, todo[out]])
-            todo = todo[~out]
-        root = np.zeros(len(state), bool)
-        root[rest] = True
-        ok = rest[word[rest] >= 0]
-        nxt[ok] = self.after[word[ok]]
-        return nxt, gain, root
+            todo = todo[state[todo] > 0]
+        return nxt, gain, order
 
 
-def build(word: np.ndarray, count: np.ndarray, bigrams: tuple[np.ndarray, ...], trigrams: tuple[np.ndarray, ...], n: int, v: int, discount: float) -> Automaton:
-    """From hashes and counts of known words, and (a, b, count), (a, b, c, count) of kept n-grams as word numbers.
+def assemble(words: tuple[np.ndarray, ...], bigrams: tuple[np.ndarray, ...], trigrams: tuple[np.ndarray, ...]) -> Automaton:
+    """From (hash, base, bow) of words, (hash, first, second, log p, bow) of bigrams and (hash of its bigram, second, third, log p) of trigrams.
 
-    An arc leads to the longest history that ends with its word and is a state.
+    The words of a bigram and the bigrams of a trigram are given too.  An arc leads to
+    the longest history that ends with its word.
     """
-    words = Table.of(word)
-    unigram = np.log10((count + 1) / (n + v + 1))
-    a, b, c2 = bigrams
-    x, y, z, c3 = trigrams
-    heads = np.unique(a)
-    state1 = np.zeros(len(word), np.int32)
-    state1[heads] = 1 + np.arange(len(heads))
-    big = Table.of(pair_hash(a.astype(U64), b.astype(U64)))
-    two = big.find(pair_hash(x.astype(U64), y.astype(U64)))
-    ok = two >= 0  # a kept trigram's history is a kept bigram: it has a larger count
-    x, y, z, c3, two = x[ok], y[ok], z[ok], c3[ok], two[ok]
-    pairs, at = np.unique(two, return_inverse=True)
-    state2 = np.zeros(len(a), np.int32)
-    state2[pairs] = 1 + len(heads) + np.arange(len(pairs))
-    total = 1 + len(heads) + len(pairs)
-    weight, fail = np.zeros(total), np.zeros(total, np.int32)
-
-    def leftover(kept: np.ndarray, owner: np.ndarray, size: int, whole: np.ndarray) -> np.ndarray:
-        return np.maximum(whole - np.bincount(owner, kept - discount, size), 1e-9) / whole
-
-    owner = np.searchsorted(heads, a)
-    bow1 = leftover(c2, owner, len(heads), count[heads].astype(float))
-    weight[1 : 1 + len(heads)] = np.log10(bow1)
-    p2 = (c2 - discount) / count[a] + bow1[owner] * 10.0 ** unigram[b]
-    bow2 = leftover(c3, at, len(pairs), c2[pairs].astype(float))
-    weight[1 + len(heads) :] = np.log10(bow2)
-    fail[1 + len(heads) :] = state1[b[pairs]]
-    # The shorter history's probability of z: its bigram, or its backoff.
-    low = big.find(pair_hash(y.astype(U64), z.astype(U64)))
-    h1 = np.searchsorted(heads, y)
-    h1 = np.minimum(h1, max(len(heads) - 1, 0))
-    back = np.where(len(heads) and heads[h1] == y, bow1[h1], 1.0) if len(heads) else np.ones(len(y))
-    p_low = np.where(low >= 0, p2[low], back * 10.0 ** unigram[z]) if len(y) else np.zeros(0)
-    p3 = (c3 - discount) / c2[two] + bow2[at] * p_low
-    nxt2 = np.where(state2 > 0, state2, state1[b])
-    nxt3 = np.where(low >= 0, np.where(state2[low] > 0, state2[low], state1[z]), state1[z]) if len(y) else np.zeros(0, np.int32)
-    keys = np.concatenate([Automaton.arc_key(state1[a], b), Automaton.arc_key(state2[two], z)])
-    logp = np.log10(np.concatenate([p2, p3]))
-    return Automaton(words, unigram, fail, weight, Table.of(keys), logp, np.concatenate([nxt2, nxt3]).astype(np.int32), state1)
+    word, base, word_bow = words
+    two, x, y, p2, two_bow = bigrams
+    xy, yz_first, z, p3 = trigrams
+    number, place = Table.of(word), Table.of(two)
+    n, m = len(word), len(two)
+    first, second, third = number.find(x), number.find(y), number.find(z)
+    head, tail = place.find(xy), place.find(pair_hash(yz_first, z))
+    fail = np.concatenate([np.zeros(n + 1, np.int32), second + 1]).astype(np.int32)
+    weight = np.concatenate([[0.0], word_bow, two_bow])
+    keys = np.concatenate([Automaton.arc_key(first + 1, second), Automaton.arc_key(head + n + 1, third)])
+    nxt = np.concatenate([np.arange(m) + n + 1, tail + n + 1]).astype(np.int32)
+    return Automaton(number, base, fail, weight, Table.of(keys), np.concatenate([p2, p3]), nxt, m)
 
 
 def traverse(auto: Automaton, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 gain of each token, and whether its unigram part is still to be added.
+    """Log10 gain of each token, and the length of the history whose arc it took.
 
     Each text is cut into pieces of PIECE tokens; a piece first reads the two
     tokens before it, which is all that a state remembers.
     """
     n = len(word)
-    gain, root = np.zeros(n), np.zeros(n, bool)
+    gain, order = np.zeros(n), np.zeros(n, np.int8)
     start, stop = before[:-1], before[1:]
     number = -(-(stop - start) // PIECE)
     text = np.repeat(np.arange(len(start)), number)
@@ -244,14 +224,14 @@ def traverse(auto: Automaton, word: np.ndarray, before: np.ndarray) -> tuple[np.
     for back in (2, 1):
         some = np.flatnonzero(lo - back >= start[text])
         state[some] = auto.step(state[some], word[lo[some] - back])[0]
-    order = np.argsort(lo - hi, kind="stable")
-    lo, hi, state = lo[order], hi[order], state[order]
+    longest = np.argsort(lo - hi, kind="stable")
+    lo, hi, state = lo[longest], hi[longest], state[longest]
     size = hi - lo
     for t in range(int(size.max()) if len(size) else 0):
         m = int(np.searchsorted(-size, -t, side="left"))  # pieces longer than t come first
         at = lo[:m] + t
-        state[:m], gain[at], root[at] = auto.step(state[:m], word[at])
-    return gain, root
+        state[:m], gain[at], order[at] = auto.step(state[:m], word[at])
+    return gain, order
 
 
 def triple_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -336,16 +316,19 @@ def _with_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def _kept(counts: DataFrame, least: int, most: int) -> DataFrame:
-    """The most frequent rows: those with a count of at least `least`, raised by doubling until at most `most` are left."""
+def _floor(counts: DataFrame, least: int, most: int) -> int:
+    """A count that at most `most` rows reach: `least`, raised by doubling."""
     while counts.where(F.col("c") >= least).count() > most:
         least *= 2
-    return counts.where(F.col("c") >= least)
+    return least
 
 
 @dataclass
 class Model:
-    """n, v and the value tables: words (g, c, base, v), and n-grams (g, c, v) of both orders."""
+    """n, v and the value tables: words (g, c, base, v), bigrams (g, x, y, c, p, bow, v) and trigrams (xy, y, z, g, c, p, v).
+
+    p: log10 of the probability; bow: log10 of the backoff weight; v: the value of an n-gram on a path.
+    """
 
     n: int
     v: int
@@ -383,7 +366,7 @@ def train(documents: DataFrame, in_fold, *, word_count: int = 5, min_count: int
     heads = materialize(heads, "lm-heads", small=True)
     p2 = (F.col("c") - discount) / F.col("cx") + F.col("bow") * unigram("cy")
     joined = pairs
-    pairs = pairs.join(heads, "x").select("g", "c", p2.alias("p"), (F.log10(p2) - F.log10(F.col("bow") * unigram("cy"))).alias("v"))
+    pairs = pairs.join(heads, "x").select("g", "x", "y", "c", p2.alias("p"), (F.log10(p2) - F.log10(F.col("bow") * unigram("cy"))).alias("v"))
     pairs = materialize(pairs, "lm-bigrams")
     discard(joined)
     words = counts.join(heads.withColumnRenamed("x", "w"), "w", "left").select(F.col("w").alias("g"), "c", F.log10(unigram("c")).alias("base"), (F.log10(unigram("c")) + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v"))
@@ -392,39 +375,35 @@ def train(documents: DataFrame, in_fold, *, word_count: int = 5, min_count: int
 
     found = counted(3, _bitmap(pairs))
     triples = found.join(pairs.select(F.col("g").alias("xy"), F.col("c").alias("cxy")), "xy").join(pairs.select(F.col("g").alias("yz"), F.col("p").alias("low")), "yz")
-    triples = materialize(triples.select("g", "xy", "c", "cxy", "low"), "lm-triples")
+    triples = materialize(triples.select("g", "xy", "y", "z", "c", "cxy", "low"), "lm-triples")
     discard(found)
     heads = materialize(triples.groupBy("xy").agg(taken, F.first("cxy").alias("cxy")).select("xy", left("cxy").alias("bow")), "lm-heads", small=True)
     p3 = (F.col("c") - discount) / F.col("cxy") + F.col("bow") * F.col("low")
-    joined, bigrams = triples, pairs
-    triples = materialize(triples.join(heads, "xy").select("g", "c", (F.log10(p3) - F.log10(F.col("bow") * F.col("low"))).alias("v")), "lm-values-3")
-    pairs = materialize(pairs.join(heads.withColumnRenamed("xy", "g"), "g", "left").select("g", "c", (F.col("v") + F.coalesce(F.log10("bow"), F.lit(0.0))).alias("v")), "lm-values-2")
+    joined, bigrams, bow2 = triples, pairs, F.coalesce(F.log10("bow"), F.lit(0.0))
+    triples = materialize(triples.join(heads, "xy").select("g", "xy", "y", "z", "c", F.log10(p3).alias("p"), (F.log10(p3) - F.log10(F.col("bow") * F.col("low"))).alias("v")), "lm-values-3")
+    pairs = materialize(pairs.join(heads.withColumnRenamed("xy", "g"), "g", "left").select("g", "x", "y", "c", F.log10("p").alias("p"), bow2.alias("bow"), (F.col("v") + bow2).alias("v")), "lm-values-2")
     discard(joined, bigrams, heads)
     return Model(int(n), int(v), words, [pairs, triples])
 
 
 @dataclass
 class Hot:
-    """Values of frequent words and n-grams, and a bitmap of all n-grams of each order."""
+    """The automaton of the frequent part, and a bitmap of all n-grams of each order."""
 
-    words: Table
-    base: np.ndarray
-    value: np.ndarray
-    ngrams: list[tuple[Table, np.ndarray, np.ndarray]]
+    auto: Automaton
+    bits: list[np.ndarray]
 
 
 def _hot(model: Model, hot_words: int, hot_ngrams: int) -> Hot:
-    def pull(df: DataFrame, most: int, *cols: str) -> list[np.ndarray]:
-        """Columns of the most frequent rows, at most `most`."""
-        rows = _kept(df, 1, most).select("g", *cols).toArrow()
-        return [rows["g"].to_numpy().astype(np.int64).view(U64), *[rows[c].to_numpy().astype(np.float64) for c in cols]]
-
-    g, base, value = pull(model.words, hot_words, "base", "v")
-    ngrams = []
-    for df in model.ngrams:
-        k, v = pull(df, hot_ngrams, "v")
-        ngrams.append((Table.of(k), v, _bitmap(df)))
-    return Hot(Table.of(g), base, value, ngrams)
+    floor = 1
+    parts = []
+    for df, most, keys, values in ((model.words, hot_words, ["g"], ["base", "v"]), (model.ngrams[0], hot_ngrams, ["g", "x", "y"], ["p", "bow"]), (model.ngrams[1], hot_ngrams, ["xy", "y", "z"], ["p"])):
+        # Floors rise with the order: what a frequent n-gram is made of is frequent too.
+        floor = _floor(df, floor, most)
+        rows = df.where(F.col("c") >= floor).select(*keys, *values).toArrow()
+        parts.append([*(rows[k].to_numpy().astype(np.int64).view(U64) for k in keys), *(rows[v].to_numpy().astype(np.float64) for v in values)])
+    word, base, v = parts[0]
+    return Hot(assemble((word, base, v - base), tuple(parts[1]), tuple(parts[2])), [_bitmap(df) for df in model.ngrams])
 
 
 SLICE_KEYS = 3_000_000  # n-grams looked up in one group
@@ -432,7 +411,7 @@ SLICE_VALUES = 500_000  # rows of the value tables in one group
 
 
 def _score(shared, slices: int):
-    """Each slab's scores by the broadcast values, and blocks of the words and n-grams that need the tables.
+    """Each slab's scores by traversing its texts, and blocks of the words and n-grams that the traversal failed on.
 
     A slab is named by its task and place in it, both fixed by the scan. A block (slab, slice) keeps
     its keys document by document, 48 bits each; the slice holds the lowest bits.
@@ -446,29 +425,25 @@ def _score(shared, slices: int):
                 h, before = tokens(slab)
                 n = slab.hi - slab.lo
                 doc = np.repeat(np.arange(n), np.diff(before))
-                w = hot.words.find(h)
+                w = hot.auto.words.find(h)
                 in_hot = w >= 0
-                base, score = np.zeros(n), np.zeros(n)
-                if in_hot.any():
-                    base = np.bincount(doc[in_hot], hot.base[w[in_hot]], n)
-                    score = np.bincount(doc[in_hot], hot.value[w[in_hot]], n)
+                own = hot.auto.base[w] if len(hot.auto.base) else np.zeros(len(w))
+                base = np.bincount(doc[in_hot], own[in_hot], n)
                 known = np.bincount(doc[in_hot], minlength=n)
+                gain, order = traverse(hot.auto, w, before)
+                rooted = in_hot & (order == 0)
+                score = np.bincount(doc, gain, n) + np.bincount(doc[rooted], own[rooted], n)
                 sent = [(doc[~in_hot], h[~in_hot])]
                 same = doc[:-1] == doc[1:]
                 two = pair_hash(h[:-1], h[1:])
-                for order, (table, value, bits) in zip((2, 3), hot.ngrams, strict=True):
-                    if order == 2:
-                        i = np.flatnonzero(same)
-                        g = two[i]
-                    else:
-                        i = np.flatnonzero(same[:-1] & same[1:])
-                        g = pair_hash(two[i], h[i + 2])
-                    may = _maybe(bits, g)
-                    i, g = i[may], g[may]
-                    at = table.find(g)
-                    hit = at >= 0
-                    score = score + np.bincount(doc[i[hit]], value[at[hit]], n)
-                    sent.append((doc[i[~hit]], g[~hit]))
+                # Where no arc of that length was taken, the rest of the model may have one.
+                i = np.flatnonzero(same & (order[1:] == 0))
+                i = i[_maybe(hot.bits[0], two[i])]
+                sent.append((doc[i], two[i]))
+                i = np.flatnonzero(same[:-1] & same[1:] & (order[2:] < 2))
+                g = pair_hash(two[i], h[i + 2])
+                may = _maybe(hot.bits[1], g)
+                sent.append((doc[i[may]], g[may]))
                 name = (task << 32) + number
                 number += 1
                 rows = [(number % slices, 0, _bytes(np.diff(before).astype(np.int64), known.astype(np.int64), base, score), *[b""] * 5)]

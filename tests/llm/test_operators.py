@@ -387,30 +387,35 @@ def test_lm(spark, df, corpus):
     assert train.score.sum() > train.base_score.sum()
 
 
-def test_automaton_states_sum_to_one_and_pieces_do_not_matter(monkeypatch):
+def test_automaton_states_sum_to_one_and_pieces_do_not_matter(spark, df, monkeypatch):
     rng = np.random.default_rng(0)
-    word = np.sort(rng.integers(1, 1 << 60, 12).astype(np.uint64))
-    count = rng.integers(20, 40, 12)
-    a, b = np.repeat(np.arange(12), 3), rng.integers(0, 12, 36)
-    keep = np.unique(np.stack([a, b], 1), axis=0)
-    c2 = rng.integers(2, 6, len(keep))
-    i = rng.integers(0, len(keep), 20)
-    tri = np.unique(np.stack([keep[i, 0], keep[i, 1], rng.integers(0, 12, 20)], 1), axis=0)
-    n, v = int(count.sum()), 12
-    auto = lm.build(word, count, (keep[:, 0], keep[:, 1], c2), (tri[:, 0], tri[:, 1], tri[:, 2], np.ones(len(tri))), n, v, 0.75)
-    uni = 10.0 ** auto.word_logp
-    for s in range(len(auto.fail)):
-        _, gain, root = auto.step(np.full(12, s, np.int32), np.arange(12))
-        p = 10.0**gain * np.where(root, uni, 1)
+    model = lm.train(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.lit(True), word_count=2, min_count=2)
+    auto = lm._hot(model, 10**6, 10**6).auto
+    words, states = len(auto.base), len(auto.fail)
+    assert words == model.v and states > words + 100 and len(auto.arc_logp) > auto.bigrams > 0
+    uni = 10.0**auto.base
+    for s in [0, *rng.integers(1, words + 1, 40), *rng.integers(words + 1, states, 80)]:
+        _, gain, order = auto.step(np.full(words, s, np.int32), np.arange(words))
+        p = 10.0**gain * np.where(order == 0, uni, 1)
         left = 10.0 ** auto.step(np.array([s], np.int32), np.array([-1]))[1][0] * (1 - uni.sum())
         assert p.sum() + left == pytest.approx(1)
-    w = rng.integers(-1, 12, 1000)
+    w = rng.integers(-1, words, 1000)
     whole = lm.traverse(auto, w, np.array([0, 400, 400, 1000]))
     monkeypatch.setattr(lm, "PIECE", 10**6)
     again = lm.traverse(auto, w, np.array([0, 400, 400, 1000]))
     assert np.allclose(whole[0], again[0]) and np.array_equal(whole[1], again[1])
 
 
+def test_frequent_part_of_the_automaton_is_closed(spark, df):
+    """Whatever is broadcast, arcs lead to states that are there, and every suffix of a frequent n-gram is frequent."""
+    model = lm.train(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.lit(True), word_count=2, min_count=2)
+    for most in ((10**6, 10**6), (60, 40), (10, 1000), (1000, 3), (0, 50)):
+        auto = lm._hot(model, *most).auto
+        n, m = len(auto.base), auto.bigrams
+        assert n <= most[0] and m <= most[1] and len(auto.arc_logp) - m <= most[1] and len(auto.fail) == 1 + n + m
+        assert (auto.arc_next > n).all() and (auto.arc_next < 1 + n + m).all() and (auto.fail[1 + n :] > 0).all() and (auto.fail[1 + n :] <= n).all()
+
+
 def test_lm_of_nothing(spark):
     assert lm.lm_scores(none(spark)).count() == 0
     assert lm.lm_scores(docs(spark, [(1, None), (2, "a b")])).count() == 2
@@ -441,7 +446,7 @@ def test_lm_model_is_whole_whatever_is_broadcast(spark, df, corpus):
         return ((three[x, y, z] - disc) / two[x, y] if (x, y, z) in three else 0) + bow2.get((x, y), 1) * low
 
     by = dict(corpus)
-    for hot in ({}, {"hot_words": 20, "hot_ngrams": 10}, {"hot_words": 0, "hot_ngrams": 0}):
+    for hot in ({}, {"hot_words": 20, "hot_ngrams": 10}, {"hot_words": 200, "hot_ngrams": 30}, {"hot_words": 0, "hot_ngrams": 0}):
         for r in lm.lm_scores(df, word_count=2, min_count=2, **hot).collect():
             w = [0, 0, *split(by[r["doc_id"]])]
             assert r["score"] == pytest.approx(sum(math.log10(p(*w[i - 2 : i + 1])) for i in range(2, len(w))))
