@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import dedupe, linkage, navigation, windows
 from ..session import ship
-from . import json_rules, marts, oracles, page_rules, page_trees, run_rules
+from . import json_rules, marts, oracles, page_rules, page_trees, run_rules, store_rules
 from .marts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +69,11 @@ def segments_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def paragraph_blocks(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n{2,}"), lambda p: F.length(p) >= 30)).alias("blocks"))
+    return read(s, d, "documents").select("doc_id", F.size(T.paragraphs(F.col("text"))).alias("blocks"))
 
 
 def page_fingerprint_seen(s: SparkSession, d: str) -> DataFrame:
-    x = read(s, d, "documents").select("doc_id", "source", F.sha2(F.substring("text", 1, 12000), 256).alias("fp"))
+    x = read(s, d, "documents").select("doc_id", "source", T.fingerprint(F.col("text")).alias("fp"))
     return dedupe.seen_before(x, F.col("fp"), [F.col("doc_id")]).select("doc_id", "fp", "seen")
 
 
@@ -329,7 +329,7 @@ QUERIES: dict[str, Query] = {
     "content_type": lambda s, d: _pages(s, d).select("page_id", U.content_type(F.when(F.col("page_id") % 4 == 0, "Application/PDF").when(F.col("page_id") % 4 == 1, "text/json").when(F.col("page_id") % 4 == 2, "image/png"), F.col("url")).alias("kind")),
     "nav_tokens": _joined(T.nav_tokens, "pages", "page_id", "url"),
     "stem_tokens": _joined(T.stem_tokens, "part", "p_partkey", "p_name"),
-    "clean_text": _TEXT_SHA(lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
+    "clean_text": _TEXT_SHA(T.collapse),
     "keep_lines": _TEXT_SHA(T.keep_lines),
     "page_title": lambda s, d: _pages(s, d).select("page_id", H.title(F.col("html")).alias("title")),
     "headings": lambda s, d: _pages(s, d).select("page_id", F.array_join(H.headings(F.col("html")), "|").alias("headings")),
@@ -338,5 +338,5 @@ QUERIES: dict[str, Query] = {
     **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory, stream_stalls)},
 }
 
-QUERIES |= page_rules.QUERIES | page_trees.QUERIES | json_rules.QUERIES | run_rules.QUERIES
-ORACLES = oracles.ORACLES | page_rules.ORACLES | page_trees.ORACLES | json_rules.ORACLES | run_rules.ORACLES
+QUERIES |= page_rules.QUERIES | page_trees.QUERIES | json_rules.QUERIES | run_rules.QUERIES | store_rules.QUERIES
+ORACLES = oracles.ORACLES | page_rules.ORACLES | page_trees.ORACLES | json_rules.ORACLES | run_rules.ORACLES | store_rules.ORACLES

@@ -76,8 +76,8 @@ SELECT p.page_id, {_SCHEME} || '://' || {_HOST} || {_TRIM(f"regexp_replace(regex
     "years_in_documents": r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b(19\d{2}|20\d{2}|21\d{2})\b', 1), lambda y: CAST(y AS INTEGER)), lambda y: y BETWEEN 1990 AND 2100))), ',') AS years FROM documents",
     "top_focus_tokens": f"SELECT lang, token, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rn FROM (SELECT lang, token, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS token FROM documents) WHERE length(token) >= 3 AND token NOT IN {_IN(K.STOPWORDS)} GROUP BY ALL)) WHERE rn <= 50",
     "segments_overlap": "WITH d AS (SELECT doc_id, text, least(60, CASE WHEN length(text) <= 2400 THEN 1 ELSE CAST(ceil((length(text) - 2400) / 2150.0) AS BIGINT) + 1 END) AS c FROM documents) SELECT doc_id, CAST(i * 2150 AS INTEGER) AS start, CAST(length(substr(text, i * 2150 + 1, 2400)) AS INTEGER) AS n, md5(substr(text, i * 2150 + 1, 2400)) AS md5 FROM d, unnest(range(0, c)) u(i)",
-    "paragraph_blocks": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\n{2,}'), lambda p: length(p) >= 30)) AS INTEGER) AS blocks FROM documents",
-    "page_fingerprint_seen": "SELECT doc_id, fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id) > 1 AS seen FROM (SELECT doc_id, sha256(substr(text, 1, 12000)) AS fp FROM documents)",
+    "paragraph_blocks": r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\n{2,}'), lambda p: length(trim(regexp_replace(p, '\s+', ' ', 'g'))) >= 30)) AS INTEGER) AS blocks FROM documents",
+    "page_fingerprint_seen": r"SELECT doc_id, fp, row_number() OVER (PARTITION BY fp ORDER BY doc_id) > 1 AS seen FROM (SELECT doc_id, sha256(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 12000)) AS fp FROM documents)",
     "candidate_first_seen": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
     "best_score_dedupe": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1",
     "longest_text_dedupe": "SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1",

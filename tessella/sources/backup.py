@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import integrity
 from .tables import BACKUP_TABLES, SCHEMAS, empty
 
 Tables = dict[str, DataFrame]
@@ -78,9 +79,16 @@ def restore(spark: SparkSession, folder: str) -> Tables:
     return out
 
 
+def reload(spark: SparkSession, folder: str) -> tuple[Tables, DataFrame, DataFrame]:
+    """A backup as it is loaded: tables in the order of their foreign keys without orphans, the sequences after it, and counts."""
+    given = restore(spark, folder)
+    loaded = integrity.ordered(given)
+    return loaded, integrity.sequences(loaded), integrity.orphans(given)
+
+
 def next_ids(tables: Tables) -> dict[str, int]:
     """The id that follows each table's largest."""
-    return {n: (df.agg(F.max("id")).first()[0] or 0) + 1 for n, df in tables.items() if dict(df.dtypes)["id"] == "bigint"}
+    return {r["table_name"]: r["next_id"] for r in integrity.sequences(tables).collect()}
 
 
 def wipe(spark: SparkSession) -> Tables:
