@@ -181,6 +181,41 @@ def test_shards(spark, df, corpus):
     assert sharding.shard_documents(none(spark)).count() == 0
 
 
+def test_groups_larger_than_a_shard_take_few_shards(spark):
+    """1,000 of 3,000 rows have one text, 16 shards: six hold them, seven are allowed."""
+    rows = [(i, "same text" if i < 1000 else f"pair {i // 2}" if i < 1600 else f"alone {i}") for i in range(3000)]
+    got = sharding.shard_documents(docs(spark, rows), shards=16).toPandas()
+    assert got.groupby("shard").size().max() - got.groupby("shard").size().min() <= 1
+    assert got[got.doc_id < 1000].shard.nunique() <= 7
+    pairs = got[(got.doc_id >= 1000) & (got.doc_id < 1600)]
+    assert (pairs.groupby(pairs.doc_id // 2).shard.nunique() == 1).mean() > 0.95
+
+
+def test_cut_links_by_brute_force_and_rounds_cut_less(spark):
+    rng = random.Random(4)
+    rows = [(g, s, rng.randrange(4), 1) for g in range(60) for s in range(rng.choice([2, 3, 9]))] + [(99, s, rng.randrange(4), 1) for s in range(70)]
+    state = sharding.materialize(spark.createDataFrame(rows, "grp long, sub int, shard int, n long"), "test-state")
+
+    def cut(rs):
+        by = {}
+        for g, _, shard, n in rs:
+            by.setdefault(g, Counter())[shard] += n
+        return sum(sum(c.values()) - 1 for c in by.values()), sum(sum(c.values()) - max(c.values()) for c in by.values())
+
+    assert tuple(sharding.cut_links(state).first()) == cut(rows)
+    quota = -(-len(rows) // 4) + 8
+    after = [tuple(r) for r in sharding.propagate(state, 4, quota).select("grp", "sub", "shard", "n").collect()]
+    assert max(Counter(r[2] for r in after).values()) <= max(quota, *Counter(r[2] for r in rows).values())
+    assert cut(after)[1] < cut(rows)[1] / 3 and len(after) == len(rows)
+
+
+def test_shards_of_ties_and_null_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, None), (1, None), (1, "b"), (1, "b"), (2, "")]
+    got = sharding.shard_documents(docs(spark, rows), shards=2).toPandas()
+    assert sorted(got.slot[got.shard == 0]) == list(range((got.shard == 0).sum())) and len(got) == 7
+    assert abs((got.shard == 0).sum() - (got.shard == 1).sum()) == 1
+
+
 # Suffix arrays
 
 
