@@ -75,6 +75,58 @@ def test_toxicity_learns_and_is_bounded(spark):
     assert (got[got.doc_id < 900].held_out == [zlib.crc32(str(int(i)).encode()) % 4 == 2 for i in got[got.doc_id < 900].doc_id]).all()
 
 
+def slow_risk(w, b, pos, unl, keys, prior):
+    """The non-negative PU risk of a logistic model, document by document: value, corrected negative part, and its gradient."""
+    def score(row):
+        return b + sum(w[j] for j, k in enumerate(keys) if k in row)
+
+    def sigma(x):
+        return 1 / (1 + math.exp(-x))
+
+    grad_pos, grad_neg = [0.0] * (len(keys) + 1), [0.0] * (len(keys) + 1)
+    risk_pos = sum(-math.log(sigma(score(r))) for r in pos) / len(pos)
+    negative = sum(-math.log(1 - sigma(score(r))) for r in unl) / len(unl) - prior * sum(-math.log(1 - sigma(score(r))) for r in pos) / len(pos)
+    for rows, weight, out, label in ((pos, prior / len(pos), grad_pos, 1), (unl, 1 / len(unl), grad_neg, 0), (pos, -prior / len(pos), grad_neg, 0)):
+        for r in rows:
+            for j, k in enumerate([*keys, None]):
+                if k is None or k in r:
+                    out[j] += weight * (sigma(score(r)) - label)
+    return prior * risk_pos + max(0.0, negative), negative, grad_pos, grad_neg
+
+
+def test_toxicity_fit_by_a_slow_risk():
+    """fit_nnpu against the same descent over risks and gradients that are worked out document by document; gradients against differences."""
+    rng = random.Random(6)
+    keys = [11, 22, 33, 44]
+    pos = [{k for k in keys if rng.random() < 0.7} | {1} for _ in range(12)]
+    unl = [{k for k in keys if rng.random() < 0.15} | {2} for _ in range(60)]
+    as_rows = lambda rows: [np.array(sorted(r), np.uint64) for r in rows]
+    prior = 0.2
+    w, b = [0.3, -0.2, 0.1, 0.5], -0.7
+    value, negative, gp, gn = slow_risk(w, b, pos, unl, keys, prior)
+    assert negative > 0
+    for j in range(5):
+        up, down = list(w) + [b], list(w) + [b]
+        up[j] += 1e-6
+        down[j] -= 1e-6
+        diff = (slow_risk(up[:4], up[4], pos, unl, keys, prior)[0] - slow_risk(down[:4], down[4], pos, unl, keys, prior)[0]) / 2e-6
+        assert gp[j] + gn[j] == pytest.approx(diff, abs=1e-6)
+    for epochs in (1, 5, 60):
+        got = toxicity.fit_nnpu(as_rows(pos), as_rows(unl), prior, min_positive=2, epochs=epochs)
+        chosen = got.keys.tolist()
+        assert chosen and set(chosen) <= {*keys, 1}
+        w, b, m, v = [0.0] * len(chosen), math.log(prior / (1 - prior)), [0.0] * (len(chosen) + 1), [0.0] * (len(chosen) + 1)
+        for t in range(1, epochs + 1):
+            _, negative, gp, gn = slow_risk(w, b, pos, unl, chosen, prior)
+            g = [x + y for x, y in zip(gp, gn)] if negative >= 0 else [-y for y in gn]
+            g = [x + 1e-3 * prior * (w[j] if j < len(w) else 0) for j, x in enumerate(g)]
+            m = [0.9 * x + 0.1 * y for x, y in zip(m, g)]
+            v = [0.999 * x + 0.001 * y * y for x, y in zip(v, g)]
+            step = [0.1 * (x / (1 - 0.9**t)) / (math.sqrt(y / (1 - 0.999**t)) + 1e-8) for x, y in zip(m, v)]
+            w, b = [max(x - s, 0) for x, s in zip(w, step)], b - step[-1]
+        assert np.allclose(got.weights, w, atol=1e-6) and got.bias == pytest.approx(b, abs=1e-6)
+
+
 def test_toxicity_without_positives_or_rows(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(none(spark), lab).count() == 0
