@@ -106,3 +106,6 @@ COUNTED_METRICS = {"linked_appearances": "appearances_linked", "unresolved_attri
 RUNNING_STAGES = ["run_start", "fetch_route", "crawl_fetch_start"]
 TERMINAL_STAGES = ["complete", "partial", "error", "cancelled"]
 CONTENT_SIGNALS = ["program", "agenda", "session", "speaker", "faculty", "presenter", "plenary", "abstract", "schedule", "workshop", "symposium"]
+
+# Stages that may have a model of their own.
+MODEL_STAGES = ["preflight", "identity", "triage", "extraction", "talk_brief", "navigation", "attribution", "enrichment"]

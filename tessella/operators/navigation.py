@@ -24,6 +24,23 @@ def internal_links(pages: DataFrame, most: int = 60) -> DataFrame:
     return first_by(first_by(full, ["page_id", "url"], [F.col("pos")]), ["page_id"], [F.col("pos")], most).select("page_id", "pos", "url", "anchor")
 
 
+def nav_rows(links: DataFrame) -> DataFrame:
+    """Links (url, text) as navigation reads them: a text (else the last part of the path) and where they stand."""
+    last = F.substring(F.coalesce(F.element_at(F.split(F.regexp_replace(U.path(F.col("url")), "^/+|/+$", ""), "/"), -1), F.lit("")), 1, 120)
+    text = F.coalesce(F.nullif(F.trim(F.coalesce("text", F.lit(""))), F.lit("")), last)
+    context = F.substring(F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("link")), 1, 120) if "context" in links.columns else F.lit("link")
+    return links.withColumn("text", text).withColumn("context", context)
+
+
+def seed_packets(pages: DataFrame, most: int = 30, width: int = 2000) -> DataFrame:
+    """What is told of a first page: domain, title, the head of its text, its first internal links and the years in both."""
+    parsed = dom.parsed(pages.select("page_id", "url", "html", H.title(F.col("html")).alias("title")))
+    head = F.substring("text", 1, width)
+    own = internal_links(pages, most).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "anchor"))).alias("links"))
+    told = parsed.select("page_id", "url", U.host(F.col("url")).alias("domain"), "title", head.alias("visible_text"), F.slice(T.years(F.concat_ws(" ", "title", head)), 1, 12).alias("year_hints"))
+    return told.join(own, "page_id", "left").withColumn("links", F.coalesce(F.transform("links", lambda l: F.struct(l["url"].alias("url"), l["anchor"].alias("anchor"))), F.array().cast("array<struct<url: string, anchor: string>>")))
+
+
 def relevant(seed: Column, page: Column, candidate: Column, anchor: Column, focus: Column) -> Column:
     """Whether a link is in scope: same site, no utility page, and a focus, year or signal hit."""
     tokens = T.nav_tokens(F.concat_ws(" ", U.path(candidate), anchor))

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import dedupe, linkage, navigation, windows
 from ..session import ship
-from . import json_rules, marts, oracles, page_rules, page_trees, run_rules, store_rules
+from . import json_rules, marts, oracles, page_digests, page_rules, page_trees, run_rules, store_rules
 from .marts import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,5 +338,5 @@ QUERIES: dict[str, Query] = {
     **{f.__name__: f for f in (same_site_pairs, years_in_text, years_in_documents, years_in_pages, top_focus_tokens, segments_overlap, paragraph_blocks, page_fingerprint_seen, candidate_first_seen, best_score_dedupe, longest_text_dedupe, last_value_dedupe, name_keys, fuzzy_pairs, merge_people, resolve_people, resolve_against_stored, conference_identity, best_name_match, gatekeeper_split, session_pairs, network_json, domain_guard, name_canonical, page_intent, link_keyword_score, template_diverse_topk, branch_yield, memory_score, enqueue_priority, rolling_yield_budget, novelty_zero_windows, zero_streaks, minute_rate, template_cluster_growth, branch_running_totals, heading_carry_forward, stall_ticks, attribution_year_ladder, unique_links_union, internal_links, nav_scores, heuristic_speakers, llm_json_recovery, frontier_crawl, stream_heartbeat, stream_template_memory, stream_stalls)},
 }
 
-QUERIES |= page_rules.QUERIES | page_trees.QUERIES | json_rules.QUERIES | run_rules.QUERIES | store_rules.QUERIES
-ORACLES = oracles.ORACLES | page_rules.ORACLES | page_trees.ORACLES | json_rules.ORACLES | run_rules.ORACLES | store_rules.ORACLES
+QUERIES |= page_rules.QUERIES | page_trees.QUERIES | json_rules.QUERIES | run_rules.QUERIES | store_rules.QUERIES | page_digests.QUERIES
+ORACLES = oracles.ORACLES | page_rules.ORACLES | page_trees.ORACLES | json_rules.ORACLES | run_rules.ORACLES | store_rules.ORACLES | page_digests.ORACLES
