@@ -48,6 +48,9 @@ CREDENTIALS = ["md", "do", "od", "mbbs", "phd", "facs", "faao", "frcs", "mph", "
 DESIGNATIONS = {"MD": "MD", "M.D": "MD", "M.D.": "MD", "DO": "DO", "D.O": "DO", "D.O.": "DO", "OD": "OD", "O.D": "OD", "O.D.": "OD", "PHD": "PhD", "PH.D": "PhD", "PH.D.": "PhD", "MBBS": "MBBS", "MPH": "MPH", "MS": "MS", "MSC": "MSc", "RN": "RN", "DNP": "DNP", "NP": "NP", "PA": "PA", "PA-C": "PA-C", "PAC": "PA-C", "PHARMD": "PharmD", "FIDSA": "FIDSA", "AAHIVS": "AAHIVS", "FAAHIVS": "FAAHIVS", "FAAO": "FAAO", "FACS": "FACS", "FRCS": "FRCS", "MSPH": "MSPH"}
 NAME_NOISE = ["hiv", "treatment", "session", "track", "workshop", "panel", "agenda", "program", "course", "lecture"]
 NAME_NOISE_PAIRS = [("hiv", "treatment"), ("hiv", "the"), ("welcome", "from"), ("session", "overview")]
+NAME_TOKEN = r"[A-Za-z][A-Za-z'\-\.]*"
+CAPITAL_WORD = r"^[A-Z][A-Z0-9\-\.]{1,10}$"
+NAME_WORD = r"^[A-Z][a-zA-Z'\-]+$"
 NAME_STOPWORDS = ["conference", "program", "session", "agenda", "workshop", "panel", "track", "time", "zone"]
 NON_PERSON = ["conference program", "general guidelines", "eastern standard", "central daylight", "time zone", "abstract submission", "conference registration", "program schedule"]
 CREDENTIAL_NAME = r"\b([A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){1,3}),\s*(MD|M\.D\.?|DO|D\.O\.?|OD|O\.D\.?|PhD|Ph\.D\.?|MBBS|NP|PA-C|PA|RN|DNP|PharmD|MPH)\b"
