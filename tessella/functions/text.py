@@ -65,10 +65,14 @@ def stem_tokens(x: Column) -> Column:
     return F.filter(both, lambda t: (F.length(t) >= 3) & ~t.isin(K.STOPWORDS) & ~t.rlike(r"^\d+$"))
 
 
+#: Punctuation at the ends of words, of a whole text at once.
+_ENDS = r"(?<!\S)[.,:;()\[\]{}!?\"'`]+|[.,:;()\[\]{}!?\"'`]+(?!\S)"
+
+
 def loose_tokens(*xs: Column) -> Column:
     """Distinct white-space tokens of two characters or more; slashes, dashes and underscores part words."""
     blob = F.translate(F.lower(F.concat_ws(" ", *xs)), "/_-", "   ")
-    return F.array_distinct(F.filter(F.transform(F.split(blob, r"\s+"), lambda t: F.regexp_replace(t, "^[.,:;()\\[\\]{}!?\"'`]+|[.,:;()\\[\\]{}!?\"'`]+$", "")), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(blob, _ENDS, ""), r"\s+"), lambda t: F.length(t) >= 2))
 
 
 def overlaps(tokens: Column, words: list[str]) -> Column:
@@ -76,14 +80,17 @@ def overlaps(tokens: Column, words: list[str]) -> Column:
 
 
 def page_intent(url: Column, title: Column, summary: Column, content_type: Column) -> Column:
-    t = loose_tokens(url, title, summary)
-    return (
-        F.when((F.lower(F.coalesce(content_type, F.lit(""))) == "pdf") | F.lower(url).endswith(".pdf"), "pdf")
-        .when(overlaps(t, K.ARCHIVE), "archive")
-        .when(overlaps(t, K.GATEKEEPER), F.when(overlaps(t, ["session", "plenary"]), "session_detail").otherwise("gatekeeper"))
-        .when(overlaps(t, K.UTILITY), "non_content")
-        .otherwise("listing")
-    )
+    def judge(t: Column) -> Column:
+        return (
+            F.when(overlaps(t, K.ARCHIVE), "archive")
+            .when(overlaps(t, K.GATEKEEPER), F.when(overlaps(t, ["session", "plenary"]), "session_detail").otherwise("gatekeeper"))
+            .when(overlaps(t, K.UTILITY), "non_content")
+            .otherwise("listing")
+        )
+
+    # Bound to a lambda's variable, so that a text is cut into words once.
+    judged = F.get(F.transform(F.array(loose_tokens(url, title, summary)), judge), F.lit(0))
+    return F.when((F.lower(F.coalesce(content_type, F.lit(""))) == "pdf") | F.lower(url).endswith(".pdf"), "pdf").otherwise(judged)
 
 
 def is_gatekeeper(tokens: Column, confidence: Column, least: float = 0.6) -> Column:
