@@ -10,7 +10,7 @@ from ..functions import dom, fetch
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
-from ..operators import dedupe, navigation
+from ..operators import dedupe, fallback, navigation
 from .marts import read
 from .oracles import _HOST, _LIST, _SITE, _TITLE, _YEAR_LIST, ORACLES as _CORE
 from .page_trees import _plain
@@ -104,7 +104,18 @@ def event_ages(s: SparkSession, d: str) -> DataFrame:
     return e.join(newest, "user_id").select("event_id", F.round(fetch.age_days(F.col("ts"), F.col("now")), 6).alias("days"))
 
 
-QUERIES = {f.__name__: f for f in (nav_links, seed_packets, fetch_outcomes, interaction_gate, model_routing, work_saved, client_sessions, last_events, allowed_links, batch_results, branch_ends, event_ages)}
+def nav_fallback(s: SparkSession, d: str) -> DataFrame:
+    """The eight next addresses of each page without a model: its links and documents, scored by its own words; the root of its site is the seed."""
+    p = read(s, d, "pages").select("page_id", F.col("url").alias("page"), "html")
+    told = dom.parsed(p.withColumns({"title": H.title(F.col("html")), "heads": H.headings(F.col("html"))}))
+    seed = F.concat(U.scheme(F.col("page")), F.lit("://"), U.host(F.col("page")), F.lit("/"))
+    focus = told.select("page_id", "page", seed.alias("seed"), fallback.focus_tokens(seed, F.col("page"), F.col("title"), F.col("heads"), dom.main_content()).alias("focus"))
+    links = navigation.internal_links(p.withColumnRenamed("page", "url")).select("page_id", "pos", "url", F.col("anchor").alias("text"), F.when(F.col("pos") % 3 == 0, "link").otherwise("html_anchor").alias("context"), U.is_pdf_like(F.col("url")).alias("pdf"))
+    visited = links.where("pos % 7 = 6").select("page_id", "url")
+    return fallback.select(fallback.pool(links.join(focus, "page_id"), visited), 8)
+
+
+QUERIES = {f.__name__: f for f in (nav_fallback, nav_links, seed_packets, fetch_outcomes, interaction_gate, model_routing, work_saved, client_sessions, last_events, allowed_links, batch_results, branch_ends, event_ages)}
 
 _LINKS = _CORE["internal_links"]
 _ALL_LINKS = _LINKS.replace("<= 60", "<= 1000000000")

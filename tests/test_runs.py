@@ -8,10 +8,13 @@ from tessella.functions import fetch
 from tessella.operators import navigation, runs
 
 
-def seats(pool, k):
-    """Seats of one key, step by step: pool of (id, nth, score, core, depth, signal), chosen are the first k."""
+def seats(pool, k, rank=None):
+    """Seats of one key, step by step: pool of (id, nth, score, core, depth, signal), chosen are the first k.
+
+    rank: id -> rank by score, where it isn't nth.
+    """
     chosen = [p for p in pool if p[1] <= k]
-    others = sorted((p for p in pool if not p[3]), key=lambda p: (-(p[2] + 0.2 * p[4] + (1.2 if p[5] else 0)), p[1]))
+    others = sorted((p for p in pool if not p[3]), key=lambda p: (-(p[2] + 0.2 * p[4] + (1.2 if p[5] else 0)), rank[p[0]] if rank else p[1]))
     if len(chosen) <= max(3, k // 2) or not others:
         return [p[0] for p in chosen]
     wanted = others[: min(2, max(1, k // 6), len(others))]
