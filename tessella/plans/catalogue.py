@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions import extract, identity, names, recover, scores
+from ..functions import dom, extract, identity, names, recover, scores
 from ..functions import html as H
 from ..functions import text as T
 from ..functions import url as U
@@ -49,8 +49,8 @@ def years_in_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 def years_in_pages(s: SparkSession, d: str) -> DataFrame:
-    y = T.years(F.concat_ws(" ", "url", H.visible_text(F.col("html"))))
-    return _pages(s, d).select("page_id", F.array_join(y.cast("array<string>"), ",").alias("years"))
+    p = dom.parsed(_pages(s, d).select("page_id", "url", "html"))
+    return p.select("page_id", F.array_join(T.years(F.concat_ws(" ", "url", "text")).cast("array<string>"), ",").alias("years"))
 
 
 def _joined(f, table: str, key: str, col: str) -> Query:

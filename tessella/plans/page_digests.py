@@ -12,8 +12,9 @@ from ..functions import text as T
 from ..functions import url as U
 from ..operators import dedupe, fallback, navigation
 from .marts import read
-from .oracles import _HOST, _LIST, _SITE, _TITLE, _YEAR_LIST, ORACLES as _CORE
-from .page_trees import _plain
+from .oracles import _HOST, _LIST, _LOOSE, _PATH, _SITE, _TITLE, _WS, _YEAR_LIST
+from .oracles import ORACLES as _CORE
+from .page_trees import _BLOCKS, _plain
 
 
 def nav_links(s: SparkSession, d: str) -> DataFrame:
@@ -118,9 +119,42 @@ def nav_fallback(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (nav_fallback, nav_links, seed_packets, fetch_outcomes, interaction_gate, model_routing, work_saved, client_sessions, last_events, allowed_links, batch_results, branch_ends, event_ages)}
 
 _LINKS = _CORE["internal_links"]
+
+
+def _words(x: str) -> str:
+    """Navigation words of a text, singulars beside them."""
+    good = f"list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '[0-9]+') AND NOT list_contains({_LIST(K.NAV_IGNORE)}, t))"
+    return f"list_concat({good}, list_transform(list_filter({good}, lambda t: ends_with(t, 's') AND length(t) > 4), lambda t: left(t, length(t) - 1)))"
+
+
+def _first_part(url: str) -> str:
+    return f"coalesce(lower(list_filter(string_split({_PATH.replace('(url,', f'({url},')}, '/'), lambda s: s <> '')[1]), '')"
+
+
+def _in_scope(words: str, text: str, focus: str) -> str:
+    """Whether (url, seed, page) is in scope, on one site."""
+    signal, focused = f"list_has_any({words}, {_LIST(K.NAV_SIGNAL)})", f"list_has_any({words}, {focus})"
+    dated = f"len({_YEAR_LIST.format(x=f'(url || {chr(39)} {chr(39)} || {text})')}) > 0 AND {_first_part('seed')} <> '' AND {_first_part('seed')} = {_first_part('url')}"
+    return f"NOT (list_has_any({words}, {_LIST(K.NAV_EXCLUDE)}) AND NOT {signal}) AND NOT (lower(trim({text})) IN ({', '.join(repr(g) for g in K.GENERIC_ANCHORS)}) AND NOT {focused}) AND ({focused} OR {dated} OR {signal})"
+
+
 _ALL_LINKS = _LINKS.replace("<= 60", "<= 1000000000")
 
+_GATE = _LOOSE.format(x="url || CASE WHEN page_id % 9 = 0 THEN ' program' ELSE '' END", ws=_WS)
+_META = lambda attribute, name: f"nullif(trim(regexp_replace(regexp_extract(html, '(?is)<meta[^>]*{attribute}=[\"'']{name}[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1), '\\s+', ' ', 'g')), '')"
+_CANDIDATES = f"""
+p AS (SELECT page_id, url, {_SITE} AS site, canonical, first_value(url) OVER (PARTITION BY {_SITE} ORDER BY page_id) AS seed,
+      CASE page_id % 4 WHEN 0 THEN 'non_content' WHEN 1 THEN 'listing' ELSE 'unknown' END AS kind, trim(CASE page_id % 3 WHEN 0 THEN 'speakers of the day' WHEN 1 THEN 'plain words' ELSE '' END || ' /hint') AS text FROM pages JOIN ({_CORE['url_canonical']}) USING (page_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY site, canonical ORDER BY page_id) AS nth, {_words("url || ' ' || text || ' ' || kind")} AS every, {_words(_PATH + " || ' ' || text")} AS own FROM p)"""
+
 ORACLES = {
+    "gatekeeper_split": f"WITH m AS (SELECT page_id, {_SITE} AS site, page_id % 10 >= 6 AND list_has_any({_GATE}, {_LIST(K.GATEKEEPER)}) AS g FROM pages) SELECT page_id, g OR (NOT bool_or(g) OVER (PARTITION BY site) AND row_number() OVER (PARTITION BY site ORDER BY page_id) = 1) AS gatekeeper FROM m",
+    "years_in_pages": f"SELECT page_id, array_to_string({_YEAR_LIST.format(x='t')}, ',') AS years FROM (SELECT page_id, url || ' ' || {_plain('html')} AS t FROM pages)",
+    "site_names": f"SELECT page_id, coalesce({_META('property', 'og:site_name')}, {_META('name', 'application-name')}, {_META('name', 'apple-mobile-web-app-title')}) AS site_name FROM pages",
+    "interaction_gate": f"{_BLOCKS}, c AS (SELECT page_id, count(*) AS n FROM blocks GROUP BY page_id) SELECT p.page_id, p.page_id % 8 <> 7 AND p.page_id % 6 < 4 AND NOT ends_with(lower(url), '.pdf') AND (len(regexp_extract_all(html, '<a href=\"[^\"]+\"')) < 6 OR coalesce(n, 0) = 0 OR p.page_id % 5 >= 3) AS explore FROM pages p LEFT JOIN c ON c.page_id = p.page_id",
+    "candidate_links": f"""WITH {_CANDIDATES}, w AS (SELECT page_id, CASE WHEN nth > 1 THEN 'repeated' WHEN page_id % 2 = 1 AND (contains(lower(url), 'pdf') OR contains(lower(url), 'brochure')) THEN 'pdf' WHEN kind = 'non_content' THEN 'no_content'
+WHEN kind = 'unknown' AND NOT list_has_any(every, {_LIST([*K.NAV_SIGNAL, 'plain'])}) THEN 'no_signal' WHEN {_in_scope('own', 'text', "['plain']")} THEN 'kept' ELSE 'out_of_scope' END AS why FROM n)
+SELECT page_id, why = 'kept' AS kept, why FROM w""",
     "nav_links": f"SELECT page_id, pos, url, left(CASE WHEN length(url) % 3 = 0 OR anchor = '' THEN left(string_split(trim(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/'), '/')[-1], 120) ELSE anchor END, 220) AS text, 'link' AS context FROM ({_LINKS})",
     "seed_packets": f"SELECT p.page_id, {_HOST} AS domain, {_TITLE.replace('regexp_extract', 'regexp_extract')} AS title, md5(left({_plain('html')}, 2000)) AS visible, CAST(least(30, (SELECT count(*) FROM ({_LINKS}) l WHERE l.page_id = p.page_id)) AS INTEGER) AS links, array_to_string({_YEAR_LIST.format(x=_TITLE + " || ' ' || left(" + _plain('html') + ', 2000)')}[1:12], ',') AS years FROM pages p",
     "fetch_outcomes": """WITH p AS (SELECT page_id, left(text, 900) AS t, html, page_id % 5 <> 1 AS f, page_id % 7 <> 2 AS g FROM pages LEFT JOIN documents ON doc_id = page_id),
