@@ -155,6 +155,13 @@ ORACLES = {
     "candidate_links": f"""WITH {_CANDIDATES}, w AS (SELECT page_id, CASE WHEN nth > 1 THEN 'repeated' WHEN page_id % 2 = 1 AND (contains(lower(url), 'pdf') OR contains(lower(url), 'brochure')) THEN 'pdf' WHEN kind = 'non_content' THEN 'no_content'
 WHEN kind = 'unknown' AND NOT list_has_any(every, {_LIST([*K.NAV_SIGNAL, 'plain'])}) THEN 'no_signal' WHEN {_in_scope('own', 'text', "['plain']")} THEN 'kept' ELSE 'out_of_scope' END AS why FROM n)
 SELECT page_id, why = 'kept' AS kept, why FROM w""",
+    "branch_ends": f"""WITH l AS (SELECT l.page_id, l.url, l.anchor AS text, p.url AS seed, row_number() OVER (PARTITION BY l.page_id, CASE WHEN ends_with(l.url, '/') THEN l.url[:-2] ELSE l.url END ORDER BY pos) AS nth FROM ({_LINKS}) l JOIN pages p ON l.page_id = p.page_id),
+w AS (SELECT *, {_words(_PATH + " || ' ' || text")} AS own FROM l),
+n AS (SELECT page_id, count(*) FILTER (nth = 1 AND {_in_scope('own', 'text', "['the']")}) AS first, count(*) FILTER (nth = 1 AND {_in_scope('own', 'text', "['the', 'and', 'les', 'und']")}) AS again FROM w GROUP BY page_id)
+SELECT page_id, first, again, CASE WHEN first > 0 THEN 'pathfinder' WHEN again > 0 THEN 'nav_reask' ELSE 'branch_closed_no_links' END AS nav_source FROM n""",
+    "filtered_links": f"""WITH l AS (SELECT l.page_id, pos, l.url, l.anchor AS text, p.url AS seed, {_words(_PATH.replace('(url,', '(p.url,') + " || ' ' || " + _TITLE)} AS focus, row_number() OVER (PARTITION BY l.page_id, CASE WHEN ends_with(l.url, '/') THEN l.url[:-2] ELSE l.url END ORDER BY pos) AS nth FROM ({_LINKS}) l JOIN pages p ON l.page_id = p.page_id),
+w AS (SELECT *, {_words(_PATH + " || ' ' || text")} AS own FROM l)
+SELECT page_id, pos, url, CASE WHEN nth > 1 THEN 'repeated' WHEN contains(lower(url), 'pdf') OR contains(lower(url), 'brochure') THEN 'pdf' WHEN {_in_scope('own', 'text', 'focus')} THEN 'kept' ELSE 'out_of_scope' END AS why FROM w""",
     "nav_links": f"SELECT page_id, pos, url, left(CASE WHEN length(url) % 3 = 0 OR anchor = '' THEN left(string_split(trim(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/'), '/')[-1], 120) ELSE anchor END, 220) AS text, 'link' AS context FROM ({_LINKS})",
     "seed_packets": f"SELECT p.page_id, {_HOST} AS domain, {_TITLE.replace('regexp_extract', 'regexp_extract')} AS title, md5(left({_plain('html')}, 2000)) AS visible, CAST(least(30, (SELECT count(*) FROM ({_LINKS}) l WHERE l.page_id = p.page_id)) AS INTEGER) AS links, array_to_string({_YEAR_LIST.format(x=_TITLE + " || ' ' || left(" + _plain('html') + ', 2000)')}[1:12], ',') AS years FROM pages p",
     "fetch_outcomes": """WITH p AS (SELECT page_id, left(text, 900) AS t, html, page_id % 5 <> 1 AS f, page_id % 7 <> 2 AS g FROM pages LEFT JOIN documents ON doc_id = page_id),

@@ -72,7 +72,7 @@ def _assigned(s: SparkSession, d: str) -> DataFrame:
     return out.select("o_orderkey", "o_custkey", "session", "rung", "conference", "year", "target_confidence")
 
 
-def record_targets(s: SparkSession, d: str) -> DataFrame:
+def assigned_targets(s: SparkSession, d: str) -> DataFrame:
     return _assigned(s, d).select("o_orderkey", "rung", "conference", "year", "target_confidence")
 
 
@@ -126,7 +126,7 @@ def candidate_links(s: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "kept", "why")
 
 
-QUERIES = {f.__name__: f for f in (run_counters, run_status_ladder, year_states, run_transitions, record_targets, link_outcomes, event_pages, reserved_seats, reachable_pages, candidate_links)}
+QUERIES = {f.__name__: f for f in (run_counters, run_status_ladder, year_states, run_transitions, assigned_targets, link_outcomes, event_pages, reserved_seats, reachable_pages, candidate_links)}
 
 _PREFIX = f"'/' || lower(array_to_string(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[1:2], '/'))"
 _METRICS = {
@@ -167,7 +167,7 @@ CASE WHEN cancelled THEN 'Cancelled by user' WHEN stalled THEN 'Run terminated a
 FROM r LEFT JOIN f ON r.user_id = f.user_id""",
     "year_states": "SELECT user_id, y, CASE WHEN l > 0 THEN 'complete' ELSE 'partial' END AS status, CASE WHEN l > 0 THEN 'Linked ' || l || ' physician appearance(s)' WHEN d > 0 THEN 'Only duplicate appearance records found' ELSE 'Conference-year discovered but no attributable physician links' END AS notes FROM (SELECT user_id, event_id // 500 AS y, count(*) FILTER (event_type = 'purchase') AS l, count(*) FILTER (event_type = 'error') AS d FROM events GROUP BY ALL)",
     "run_transitions": "WITH f AS (SELECT user_id, min(event_id) FILTER (event_type = 'view') AS b, min(event_id) FILTER (event_type = 'purchase' AND value > 30) AS c, min(event_id) FILTER (event_type = 'error' AND value > 20) AS x FROM events GROUP BY user_id) SELECT event_id, CASE WHEN event_id >= least(c, x) THEN CASE WHEN c IS NOT NULL AND (x IS NULL OR c < x) THEN 'complete' ELSE 'error' END WHEN event_id >= b THEN 'running' ELSE 'pending' END AS state FROM events JOIN f USING (user_id)",
-    "record_targets": f"WITH {_TARGETS} SELECT o_orderkey, rung, conference, CAST(year AS INTEGER) AS year, target_confidence FROM t",
+    "assigned_targets": f"WITH {_TARGETS} SELECT o_orderkey, rung, conference, CAST(year AS INTEGER) AS year, target_confidence FROM t",
     "link_outcomes": f"""WITH {_TARGETS}, s AS (SELECT DISTINCT o_custkey, n_name AS conference, y AS year, session FROM o WHERE y < 1993),
 m AS (SELECT t.*, row_number() OVER (PARTITION BY o_custkey, conference, year, session ORDER BY o_orderkey, rung) AS nth, EXISTS (SELECT 1 FROM s WHERE s.o_custkey = t.o_custkey AND s.conference IS NOT DISTINCT FROM t.conference AND s.year IS NOT DISTINCT FROM t.year AND s.session IS NOT DISTINCT FROM t.session) AS there FROM t)
 SELECT rung, CASE WHEN rung = 'unresolved' THEN 'unresolved' WHEN there OR nth > 1 THEN 'duplicate' ELSE 'linked' END AS outcome, count(*) AS n FROM m GROUP BY ALL""",
