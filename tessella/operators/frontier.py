@@ -1,42 +1,70 @@
-"""Best-first crawl over a static link graph: a driver loop of DataFrame steps, one per batch."""
+"""Best-first crawl over a static link graph: the driver holds the pages in view, Spark looks up their links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import url as U
+from .dedupe import first_by
 from .navigation import internal_links
 
+NEAR = 12
+
 
-def link_graph(pages: DataFrame) -> DataFrame:
-    """(src, dst, priority) between pages of a site: next pages by id, and links that lead to known pages."""
-    site = pages.select("page_id", U.registrable(F.col("url")).alias("site"), "url")
-    a, b = site.alias("a"), site.alias("b")
-    near = a.join(b, (F.col("a.site") == F.col("b.site")) & (F.col("b.page_id") > F.col("a.page_id")) & (F.col("b.page_id") <= F.col("a.page_id") + 12))
-    hop = near.select(F.col("a.page_id").alias("src"), F.col("b.page_id").alias("dst"))
-    known = internal_links(pages).select(F.col("page_id").alias("src"), "url").join(site.select(F.col("page_id").alias("dst"), "url"), "url").select("src", "dst")
+def link_graph(pages: DataFrame, sources: list[int] | None = None) -> DataFrame:
+    """(src, dst, priority) between pages of a site: next pages by id, and links that lead to known pages.
+
+    Next pages meet by their ids, so a large site's work is that of its pages.  With
+    `sources`, only these pages' edges, and no other page is parsed.
+    """
+    sited = lambda p: p.select("page_id", U.registrable(F.col("url")).alias("site"), "url")
+    own = pages if sources is None else pages.where(F.col("page_id").isin(sources))
+    site = sited(pages)
+    after = sited(own).select(F.col("page_id").alias("src"), "site", F.explode(F.sequence(F.col("page_id") + 1, F.col("page_id") + NEAR)).alias("dst"))
+    hop = after.join(site.select(F.col("page_id").alias("dst"), "site"), ["dst", "site"]).select("src", "dst")
+    known = internal_links(own).select(F.col("page_id").alias("src"), "url").join(site.select(F.col("page_id").alias("dst"), "url"), "url").select("src", "dst")
     return hop.union(known).distinct().withColumn("priority", F.round(1 / (1 + F.pmod(F.xxhash64("dst"), F.lit(97))), 6))
 
 
-def crawl(graph: DataFrame, *, start: int = 0, depth: int = 4, pages: int = 500, batch: int = 1) -> DataFrame:
+def crawl(spark: SparkSession, graph: Callable[[list[int]], DataFrame], *, start: int = 0, depth: int = 4, pages: int = 500, batch: int = 1, ahead: int = 32) -> DataFrame:
     """(page_id, depth, visit): pages in the order of their batches, best priority first.
 
-    batch=1 is exact best-first order; larger batches visit that many at once.
+    batch=1 is exact best-first order; larger batches visit that many at once.  `graph`
+    gives the edges (src, dst, priority) of some pages, so it is never built whole.  A
+    priority belongs to the page that an edge leads to, so no edge of a page but its
+    first `pages` can decide anything: the driver holds that many for each visited page
+    and for the `ahead` best ones in view, whose edges are looked up with those of the
+    page that is due.
     """
-    spark = graph.sparkSession
-    graph = graph.persist()
-    todo = spark.createDataFrame([(start, 0, 1.0)], "page_id long, depth int, priority double")
-    done: list[tuple[int, int, int]] = []
-    while len(done) < pages:
-        # At most `batch` rows reach the driver in a step, `pages` in all.
-        rows = todo.orderBy(F.desc("priority"), "depth", "page_id").limit(min(batch, pages - len(done))).collect()
-        if not rows:
-            break
-        done += [(r["page_id"], r["depth"], len(done) + i) for i, r in enumerate(rows)]
-        seen = spark.createDataFrame([(p,) for p, _, _ in done], "page_id long")
-        now = spark.createDataFrame([(r["page_id"], r["depth"]) for r in rows], "src long, depth int").where(F.col("depth") < depth)
-        more = graph.join(now, "src").select(F.col("dst").alias("page_id"), (F.col("depth") + 1).alias("depth"), "priority")
-        todo = todo.unionByName(more).join(seen, "page_id", "left_anti").groupBy("page_id").agg(F.min("depth").alias("depth"), F.max("priority").alias("priority")).persist()
-        todo.count()
-    return spark.createDataFrame(done, "page_id long, depth int, visit int")
+    todo: dict[int, tuple[int, float]] = {start: (0, 1.0)}
+    done: dict[int, int] = {}
+    ready: dict[int, list] = {}
+
+    def order(page: int) -> tuple:
+        return -todo[page][1], todo[page][0], page
+
+    def edges(sources: list[int]) -> dict[int, list]:
+        found: dict[int, list] = {p: [] for p in sources}
+        best = first_by(graph(sources), ["src"], [F.desc("priority"), F.col("dst")], pages)
+        for r in best.collect():
+            found[r["src"]].append((r["dst"], r["priority"]))
+        return found
+
+    while todo and len(done) < pages:
+        now = heapq.nsmallest(min(batch, pages - len(done)), todo, key=order)
+        done |= {p: todo.pop(p)[0] for p in now}
+        due = [p for p in now if done[p] < depth]
+        if missing := [p for p in due if p not in ready]:
+            view = heapq.nsmallest(ahead, (p for p, (d, _) in todo.items() if d < depth), key=order)
+            ready = {p: ready[p] for p in (*due, *view) if p in ready}
+            ready |= edges(missing + [p for p in view if p not in ready])
+        for p in due:
+            for dst, priority in ready.pop(p):
+                if dst not in done:
+                    d, q = todo.get(dst, (done[p] + 1, priority))
+                    todo[dst] = (min(d, done[p] + 1), max(q, priority))
+    return spark.createDataFrame([(p, d, i) for i, (p, d) in enumerate(done.items())], "page_id long, depth int, visit int")
