@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import url as U
@@ -30,16 +30,17 @@ def link_graph(pages: DataFrame, sources: list[int] | None = None) -> DataFrame:
     return hop.union(known).distinct().withColumn("priority", F.round(1 / (1 + F.pmod(F.xxhash64("dst"), F.lit(97))), 6))
 
 
-def crawl(spark: SparkSession, graph: Callable[[list[int]], DataFrame], *, start: int = 0, depth: int = 4, pages: int = 500, batch: int = 1, ahead: int = 32) -> DataFrame:
+def crawl(graph: DataFrame | Callable[[list[int]], DataFrame], *, start: int = 0, depth: int = 4, pages: int = 500, batch: int = 1, ahead: int = 32) -> DataFrame:
     """(page_id, depth, visit): pages in the order of their batches, best priority first.
 
     batch=1 is exact best-first order; larger batches visit that many at once.  `graph`
-    gives the edges (src, dst, priority) of some pages, so it is never built whole.  A
-    priority belongs to the page that an edge leads to, so no edge of a page but its
-    first `pages` can decide anything: the driver holds that many for each visited page
-    and for the `ahead` best ones in view, whose edges are looked up with those of the
-    page that is due.
+    holds edges (src, dst, priority), or gives those of some pages and is never built
+    whole.  A priority belongs to the page that an edge leads to, so no edge of a page
+    but its first `pages` can decide anything: the driver holds that many for each
+    visited page and for the `ahead` best ones in view, whose edges are looked up with
+    those of the page that is due.
     """
+    of = graph if callable(graph) else lambda sources: graph.where(F.col("src").isin(sources))
     todo: dict[int, tuple[int, float]] = {start: (0, 1.0)}
     done: dict[int, int] = {}
     ready: dict[int, list] = {}
@@ -49,7 +50,7 @@ def crawl(spark: SparkSession, graph: Callable[[list[int]], DataFrame], *, start
 
     def edges(sources: list[int]) -> dict[int, list]:
         found: dict[int, list] = {p: [] for p in sources}
-        best = first_by(graph(sources), ["src"], [F.desc("priority"), F.col("dst")], pages)
+        best = first_by(of(sources), ["src"], [F.desc("priority"), F.col("dst")], pages)
         for r in best.collect():
             found[r["src"]].append((r["dst"], r["priority"]))
         return found
@@ -67,4 +68,4 @@ def crawl(spark: SparkSession, graph: Callable[[list[int]], DataFrame], *, start
                 if dst not in done:
                     d, q = todo.get(dst, (done[p] + 1, priority))
                     todo[dst] = (min(d, done[p] + 1), max(q, priority))
-    return spark.createDataFrame([(p, d, i) for i, (p, d) in enumerate(done.items())], "page_id long, depth int, visit int")
+    return of([]).sparkSession.createDataFrame([(p, d, i) for i, (p, d) in enumerate(done.items())], "page_id long, depth int, visit int")
