@@ -1,10 +1,11 @@
 """Record linkage: blocked fuzzy pairs, and the order-exact merge.
 
 Only names of one first initial can match, so pairs meet by an equi-join on it, dealt
-over cells so that a frequent initial is many tasks.  A pair is scored in Python only
-if a bound computed on the JVM leaves room for the score: insertions and deletions are
-never fewer than Levenshtein's edits, so every part of the score is at most what the
-edit distance allows.
+over cells so that a frequent initial is many tasks.  Records of one name are compared
+with other names once, by the smallest id.  A pair is scored in Python only if two
+bounds computed on the JVM leave room for the score: insertions and deletions are never
+fewer than the letters that one text has alone, nor than Levenshtein's edits, so every
+part of the score is at most what these allow.
 
 Merging is order-dependent (a survivor's filled fields can enable a later merge), so
 it is a fold over the candidate pairs, run per group of records that names alone can
@@ -27,10 +28,30 @@ CELLS = 12
 
 
 def prepared(people: DataFrame, cells: str, *extra: str) -> DataFrame:
-    """Names of two tokens or more with the columns that the bound needs."""
+    """Names of two tokens or more with the columns that the bounds need."""
     t = F.split("name_key", " ")
     p = people.where(F.size(t) >= 2)
-    return p.select(*extra, "name_key", F.substring("name_key", 1, 1).alias("block"), F.pmod(F.xxhash64("id"), F.lit(CELLS)).alias(cells), F.sort_array(F.array_distinct(F.filter(t, lambda x: x != ""))).alias("tokens"), F.element_at(t, 1).alias("first"), F.element_at(t, -1).alias("last"))
+    columns = [F.substring("name_key", 1, 1).alias("block"), F.pmod(F.xxhash64("id"), F.lit(CELLS)).alias(cells), F.sort_array(F.array_distinct(F.filter(t, lambda x: x != ""))).alias("tokens"), F.element_at(t, 1).alias("first"), F.element_at(t, -1).alias("last")]
+    p = p.select(*extra, "name_key", *columns)
+    return p.withColumns({f"{c}_bits": letters(F.col(c)) for c in ("name_key", "first", "last")})
+
+
+def letters(text: Column) -> Column:
+    """The distinct printable ASCII characters of a text but blanks as a set of 64 bits; characters of equal code modulo 64 share one."""
+    bit = lambda c: F.when(F.ascii(c).between(33, 126), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(bit(c)))
+
+
+def likely(l: str, r: str, least: float) -> Column:
+    """False only for pairs whose score is surely below `least`, by lengths and letters alone.
+
+    A character that only one text has is an insertion or a deletion; the part on tokens counts in full.
+    """
+    def near(c: str) -> Column:
+        x, y = F.col(f"{l}.{c}"), F.col(f"{r}.{c}")
+        return F.lit(1.0) - F.bit_count(F.col(f"{l}.{c}_bits").bitwiseXOR(F.col(f"{r}.{c}_bits"))) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+
+    return 45 + 20 * near("name_key") + 20 * near("first") + 15 * near("last") >= least - 1e-6
 
 
 def spread(df: DataFrame) -> int:
@@ -54,22 +75,55 @@ def room(l: str, r: str, least: float) -> Column:
     return F.when(45 + rest < least - slack, False).otherwise(45 * whole + rest >= least - slack)
 
 
-def candidate_pairs(people: DataFrame, least: float = 88.0) -> DataFrame:
-    """(a, b, score) with a < b of records (id, name_key) whose names score at least `least`.
+def representatives(people: DataFrame) -> DataFrame:
+    """(id, name_key, n): each name that can match (two tokens or more), its smallest id and its number of records."""
+    ship(people.sparkSession)
+    named = people.where(F.size(F.split("name_key", " ")) >= 2).groupBy("name_key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return named.where(names.identity_udf("name_key", "name_key") > 0)
+
+
+def name_pairs(names_: DataFrame, least: float = 88.0) -> DataFrame:
+    """(a, b, score) with a < b of different names (id, name_key) that score at least `least`.
 
     A pair meets in the one task of its two cells.
     """
-    ship(people.sparkSession)
-    p = prepared(people, "cell", "id")
+    ship(names_.sparkSession)
+    p = prepared(names_, "cell", "id")
     dealt = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))).withColumn("task", F.struct("block", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi")))
     # Few bytes are much work here: a fixed number of partitions, which adaptive execution leaves alone.
-    dealt = dealt.repartition(spread(people), "task")
+    dealt = dealt.repartition(spread(names_), "task")
     l, r = dealt.alias("l"), dealt.hint("merge").alias("r")
     own = (F.least("l.cell", "r.cell") == F.col("l.task.lo")) & (F.greatest("l.cell", "r.cell") == F.col("l.task.hi"))
-    both = l.join(r, (F.col("l.task") == F.col("r.task")) & (F.col("l.id") < F.col("r.id")) & own & room("l", "r", least))
+    both = l.join(r, (F.col("l.task") == F.col("r.task")) & (F.col("l.id") < F.col("r.id")) & own & likely("l", "r", least) & room("l", "r", least))
     return both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), names.identity_udf("l.name_key", "r.name_key").alias("score")).where(F.col("score") >= least)
 
 
+def class_pairs(people: DataFrame, least: float = 88.0) -> DataFrame:
+    """(a, b, score, copy): similar names as pairs of their smallest ids, and for every other record its name's smallest id (copy, 100).
+
+    Records of one name are compared with others once, so the rows are those of the
+    records and of the pairs of different names; candidate_pairs has them expanded.
+    """
+    reps = representatives(people)
+    own = people.select("id", "name_key").join(reps.select("name_key", F.col("id").alias("a")), "name_key").where("id != a")
+    copies = own.select("a", F.col("id").alias("b"), F.lit(100.0).alias("score"), F.lit(True).alias("copy"))
+    return name_pairs(reps, least).withColumn("copy", F.lit(False)).unionByName(copies)
+
+
+def candidate_pairs(people: DataFrame, least: float = 88.0) -> DataFrame:
+    """(a, b, score) with a < b of records (id, name_key) whose names score at least `least`.
+
+    Names are compared once; the result has every pair of records, the square of a name's copies.
+    """
+    reps = representatives(people)
+    member = people.select("id", "name_key").join(reps.select("name_key", F.col("id").alias("rep")), "name_key").select("rep", "id")
+    l, r = member.select(F.col("rep").alias("x"), F.col("id").alias("a")), member.select(F.col("rep").alias("y"), F.col("id").alias("b"))
+    near = name_pairs(reps, least).select(F.col("a").alias("x"), F.col("b").alias("y"), "score")
+    apart = near.join(l, "x").join(r, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    same = l.join(r, F.col("x") == F.col("y")).where("a < b").select("a", "b", F.lit(100.0).alias("score")).where(F.lit(least <= 100))
+    return apart.unionByName(same)
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """(id, grp): connected records, grp the smallest id.
 

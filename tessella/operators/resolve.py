@@ -86,13 +86,16 @@ def new_aliases(resolved: DataFrame, stored: DataFrame) -> DataFrame:
 def best_match(unknown: DataFrame, stored: DataFrame, least: float = 88.0) -> DataFrame:
     """(id, match, score): the best stored name of each unknown one, ties to the smaller id.
 
-    Names of one first initial meet, the stored ones dealt over cells; see linkage.room for what is scored.
+    Each name is looked up once and stored names by their smallest id.  Names of one
+    first initial meet, the stored ones dealt over cells; see linkage.likely and
+    linkage.room for what is scored.
     """
-    ship(unknown.sparkSession)
-    u = linkage.prepared(unknown, "own", "id").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(linkage.CELLS - 1))))
-    s = linkage.prepared(stored, "cell", "id")
+    wanted, kept = linkage.representatives(unknown), linkage.representatives(stored)
+    u = linkage.prepared(wanted, "own", "id").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(linkage.CELLS - 1))))
+    s = linkage.prepared(kept, "cell", "id")
     n = linkage.spread(unknown)
     l, r = u.repartition(n, "block", "cell").alias("l"), s.repartition(n, "block", "cell").hint("merge").alias("r")
-    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & linkage.room("l", "r", least))
-    scored = both.select(F.col("l.id").alias("id"), F.col("r.id").alias("match"), names.identity_udf("l.name_key", "r.name_key").alias("score")).where(F.col("score") >= least)
-    return scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("b")).select("id", (-F.col("b.m")).alias("match"), F.col("b.score").alias("score"))
+    both = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & linkage.likely("l", "r", least) & linkage.room("l", "r", least))
+    scored = both.select(F.col("l.name_key").alias("name_key"), F.col("r.id").alias("match"), names.identity_udf("l.name_key", "r.name_key").alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("name_key").agg(F.max(F.struct("score", (-F.col("match")).alias("m"))).alias("b"))
+    return unknown.select("id", "name_key").join(best, "name_key").select("id", (-F.col("b.m")).alias("match"), F.col("b.score").alias("score"))

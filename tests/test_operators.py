@@ -135,6 +135,47 @@ def test_fuzzy_pairs_and_groups_equal_brute_force(spark):
     assert {r["id"]: r["grp"] for r in linkage.groups(pairs).collect()} == low
 
 
+def _copied_people(n: int) -> list[tuple]:
+    """Records of few similar names and of profiles with gaps, so that order decides merges."""
+    import random
+
+    rng = random.Random(3)
+    some = lambda *x: rng.choice([None, *x])
+    last = ["berg", "bergx", "bergh", "berghof", "kern", "kerns", "kernst"]
+    return [(i, f"{rng.choice(['anna', 'anne', 'bruno'])} {rng.choice(last)}" if i % 23 else "anna", some("MD"), some("City Hospital", "Quartz Institute", "City Hospitals"), some("Bonn", "Oslo"), some("eyes", "ears"), some("https://x.org/a", "https://y.org/b")) for i in range(n)]
+
+
+_PERSON = "id long, name_key string, designation string, affiliation string, location string, specialty string, profile_url string"
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    from tessella.functions import names
+
+    rows = _copied_people(600)
+    people = spark.createDataFrame(rows, _PERSON)
+    low: dict = {}
+    for r in rows:
+        low.setdefault(r[1], r[0])
+    want = {(low[r[1]], r[0], 100.0, True) for r in rows if low[r[1]] != r[0] and " " in r[1]}
+    want |= {(min(a, b), max(a, b), round(s, 6), False) for x, a in low.items() for y, b in low.items() if a < b and (s := names.identity(x, y)) >= 88}
+    got = [(r["a"], r["b"], round(r["score"], 6), r["copy"]) for r in linkage.class_pairs(people).collect()]
+    assert len(got) == len(want) and set(got) == want and len(got) < 600 + 21 * 20
+    # Expanded, they are all pairs of records.
+    assert {(r["a"], r["b"]) for r in linkage.candidate_pairs(people).collect()} == {(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if names.identity(x[1], y[1]) >= 88}
+    # The matcher gets every distinct name of both sides once.
+    seen = []
+    plain = linkage.prepared
+    monkeypatch.setattr(linkage, "prepared", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    odd, even = people.where("id % 2 = 1"), people.where("id % 2 = 0")
+    found = {r["id"]: (r["match"], r["score"]) for r in resolve.best_match(odd, even).collect()}
+    best = {}
+    for x in rows[1::2]:
+        scores = [(names.identity(x[1], y[1]), -y[0]) for y in rows[::2]]
+        if max(scores)[0] >= 88:
+            best[x[0]] = (-max(scores)[1], max(scores)[0])
+    assert found == best and max(seen) <= 21
+
+
 def test_overview_prefers_logs(spark):
     from tessella.operators import overview
 
