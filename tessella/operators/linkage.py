@@ -14,6 +14,9 @@ connect: names never change in a merge, so groups are independent.
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,31 +147,73 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def _fold(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Merges the records of a group pair by pair in ascending order of ids; target is the survivor's id."""
-    rows = rows.sort_values("id")
-    people = {r["id"]: {k: (None if pd.isna(r[k]) else r[k]) for k in FIELDS} for r in rows.to_dict("records")}
-    target = {i: i for i in people}
-    for a, b in pairs[["a", "b"]].sort_values(["a", "b"]).itertuples(index=False):
-        x, y = people[a], people[b]
-        if target[a] != a or target[b] != b or names.conflict(x, y) or names.signals(x, y) < 2:
+    """Merges the records of a group pair by pair in ascending order of ids; target is the survivor's id.
+
+    rows: the records of one name and profile as one row with their ascending ids;
+    pairs: similar names.  A survivor changes only where a gap is filled, and a record
+    that was not a survivor yet is as it came, so whole rows merge at once up to the
+    next record that fills a gap.
+    """
+    rows = rows.reset_index(drop=True)
+    profiles = [tuple(None if pd.isna(v) else v for v in p) for p in rows[FIELDS].itertuples(index=False)]
+    ids = [np.asarray(x, dtype=np.int64) for x in rows["ids"]]
+    alive = [np.ones(len(x), dtype=bool) for x in ids]
+    target = [x.copy() for x in ids]
+    of_name: dict[int, list[int]] = {}
+    for c, name in enumerate(rows["name"]):
+        of_name.setdefault(name, []).append(c)
+    near = {name: [name] for name in of_name}
+    for a, b in pairs[["a", "b"]].itertuples(index=False):
+        near[a].append(b)
+        near[b].append(a)
+
+    @functools.cache
+    def merges(x: tuple, y: tuple) -> bool:
+        p, q = dict(zip(FIELDS, x, strict=True)), dict(zip(FIELDS, y, strict=True))
+        return not names.conflict(p, q) and names.signals(p, q) >= 2
+
+    def after(c: int, place: int) -> np.ndarray:
+        """Places of a row's living records with an id above `place`."""
+        start = np.searchsorted(ids[c], place, side="right")
+        return start + np.flatnonzero(alive[c][start:])
+
+    # A row whose first survivor kept its profile has taken all that equal records could take.
+    settled: set[int] = set()
+    every = sorted((i, c, n) for c, x in enumerate(ids) for n, i in enumerate(x.tolist()))
+    for i, c, n in every:
+        if c in settled or not alive[c][n]:
             continue
-        target[b] = a
-        for k in FIELDS:
-            x[k] = x[k] or y[k]
-    ids = list(people)
-    for i in ids:
-        while target[target[i]] != target[i]:
-            target[i] = target[target[i]]
-    return pd.DataFrame({"id": ids, "target": [target[i] for i in ids]})
+        state, place = profiles[c], i
+        while True:
+            fits = [o for name in near[rows["name"][c]] for o in of_name[name] if merges(state, profiles[o])]
+            left = [(o, k) for o in fits if len(k := after(o, place))]
+            gaps = [f for f, v in enumerate(state) if not v]
+            fills = [ids[o][k[0]] for o, k in left if any(profiles[o][f] for f in gaps)]
+            upto = min(fills, default=None)
+            for o, k in left:
+                k = k if upto is None else k[ids[o][k] <= upto]
+                target[o][k], alive[o][k] = i, False
+                if upto is not None and len(k) and ids[o][k[-1]] == upto:
+                    filler = profiles[o]
+            if upto is None:
+                break
+            state, place = tuple(v or w for v, w in zip(state, filler, strict=True)), upto
+        if state == profiles[c]:
+            settled.add(c)
+    return pd.DataFrame({"id": np.concatenate(ids), "target": np.concatenate(target)})
 
 
 def merge_close(people: DataFrame) -> DataFrame:
-    """(id, target) of every record that takes part in a candidate pair."""
-    pairs = checkpointed(candidate_pairs(people))
-    grp = groups(pairs)
-    members = people.select("id", *FIELDS).join(grp, "id")
-    linked = pairs.select("a", "b").join(grp.select(F.col("id").alias("a"), F.col("grp").alias("of")), "a")
-    return members.groupBy("grp").cogroup(linked.groupBy("of")).applyInPandas(_fold, "id long, target long")
+    """(id, target) of every record that takes part in a candidate pair.
+
+    Equal names with equal profiles travel and merge as one row, and only different names are compared.
+    """
+    reps = checkpointed(representatives(people))
+    pairs = checkpointed(name_pairs(reps))
+    grp = reps.join(groups(pairs), "id", "left").where("grp IS NOT NULL OR n > 1").select("name_key", F.col("id").alias("name"), F.coalesce("grp", "id").alias("grp"))
+    rows = people.select("id", "name_key", *FIELDS).join(grp, "name_key").groupBy("grp", "name", *FIELDS).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    linked = pairs.select("a", "b").join(grp.select(F.col("name").alias("a"), F.col("grp").alias("of")), "a")
+    return rows.groupBy("grp").cogroup(linked.groupBy("of")).applyInPandas(_fold, "id long, target long")
 
 
 def rekey(rows: DataFrame, column: str, mapping: DataFrame, unique: list[str]) -> DataFrame:

@@ -148,6 +148,23 @@ def _copied_people(n: int) -> list[tuple]:
 _PERSON = "id long, name_key string, designation string, affiliation string, location string, specialty string, profile_url string"
 
 
+def test_merge_of_copies_equals_the_plain_fold(spark):
+    from tessella.functions import names
+
+    rows = _copied_people(400)
+    people = spark.createDataFrame(rows, _PERSON)
+    linked = [(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if names.identity(x[1], y[1]) >= 88]
+    state = {r[0]: dict(zip(linkage.FIELDS, r[2:], strict=True)) for r in rows}
+    target = {r[0]: r[0] for r in rows}
+    for a, b in linked:
+        if target[a] == a and target[b] == b and not names.conflict(state[a], state[b]) and names.signals(state[a], state[b]) >= 2:
+            target[b] = a
+            state[a] = {k: v or state[b][k] for k, v in state[a].items()}
+    got = {r["id"]: r["target"] for r in linkage.merge_close(people).collect()}
+    assert got == {i: target[i] for p in linked for i in p}
+    assert 50 < sum(a != b for a, b in got.items()) < 390 and any(state[r[0]] != dict(zip(linkage.FIELDS, r[2:], strict=True)) for r in rows)
+
+
 def test_copies_are_compared_once(spark, monkeypatch):
     from tessella.functions import names
 
