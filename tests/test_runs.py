@@ -107,6 +107,21 @@ def test_reachable_pages_by_a_plain_walk(spark):
     assert {(r["seed"], r["page_id"]): r["depth"] for r in out} == want
 
 
+def test_reachable_pages_read_links_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(part):
+        for p in part:
+            read.add(1)
+            yield p, f"u{p}"
+            yield p, f"u{p + 1}"
+
+    links = spark.sparkContext.parallelize(range(40), 4).mapPartitions(rows).toDF("page_id int, url string")
+    got = navigation.reachable(links, spark.createDataFrame([(0, 0), (1, 39)], "seed int, page_id int")).collect()
+    assert {(r["seed"], r["page_id"], r["depth"]) for r in got} == {(0, n, n) for n in range(5)} | {(1, 39 - n, n) for n in range(5)}
+    assert read.value == 40
+
+
 def test_fetch_outcomes_and_gates(spark):
     page = "struct<kind: string, text: string, links: int, pdf_links: int>"
     good, thin = ("html", "x" * 400, 0, 0), ("html", "x", 0, 0)
