@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import constants as K
 from tessella.operators import fallback
 
+from .conftest import DATA
 from .test_runs import seats
 
 
@@ -106,3 +107,15 @@ def test_fallback_equals_a_plain_version(spark, k):
         got[r["page_id"]].append(r["url"])
         assert 0.2 <= r["priority"] <= 0.95 and 0.1 <= r["expected_yield"] <= 1.0 and r["page_type"] == ("pdf" if r["url"].endswith(".pdf") else "unknown")
     assert got == want
+
+
+def test_nav_fallback_parses_each_page_once(spark, monkeypatch):
+    from tessella.functions import dom
+    from tessella.plans import catalogue
+
+    calls, plain = [], dom.parsed
+    monkeypatch.setattr(dom, "parsed", lambda *a: calls.append(a) or plain(*a))
+    out = catalogue.QUERIES["nav_fallback"](spark, f"{DATA}/sf0.001")
+    assert out.count() > 0 and len(calls) == 1
+    # What is left to run reads what was kept, no page.
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
