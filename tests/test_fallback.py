@@ -119,3 +119,28 @@ def test_nav_fallback_parses_each_page_once(spark, monkeypatch):
     assert out.count() > 0 and len(calls) == 1
     # What is left to run reads what was kept, no page.
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nav_fallback_takes_every_link_of_a_page(spark, tmp_path):
+    from tessella.plans import catalogue
+
+    rng = random.Random(7)
+    vocabulary = ["speakers", "program", "agenda", "eyes", "hotel", "news", "talks"]
+    pages, want = [], {}
+    for page_id, n in enumerate((20, 61, 90, 400)):
+        page, title, said = f"https://x.org/eyes/{page_id}", "Speakers of eyes", "the program and its talks " * 20
+        # The words of the page come late: among the first sixty links there is none of the best.
+        found = [(f"/{rng.choice(['news', 'hotel'])}/{i}", "more") for i in range(n * 3 // 4)]
+        found += [(f"/{rng.choice(vocabulary)}/{rng.choice(vocabulary)}{rng.choice(['', '', '.pdf', '?a=1'])}", rng.choice(vocabulary)) for _ in range(n - len(found))]
+        pages.append((page_id, page, f"<title>{title}</title><nav>{''.join(f'<a href={chr(34)}{u}{chr(34)}>{t}</a>' for u, t in found)}</nav><article><h1>{title}</h1><p>{said}</p></article>"))
+        first = {u: (i, t) for i, (u, t) in reversed(list(enumerate(found)))}
+        links = sorted((not u.endswith(".pdf"), i, urljoin(page, u), t) for u, (i, t) in first.items())
+        focus = plain_focus("https://x.org/", page, title, [title], f"{title} {said}")
+        want[page_id] = plain_select("https://x.org/", page, focus, [(u, t, "link" if i % 3 == 0 else "html_anchor", not other) for other, i, u, t in links], {u for _, i, u, _ in links if i % 7 == 6}, 8)
+        late = {u for _, i, u, _ in links if i >= 60}
+        assert n < 90 or late & set(want[page_id])
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {i: [] for i in want}
+    for r in catalogue.QUERIES["nav_fallback"](spark, str(tmp_path)).orderBy("page_id", "place").collect():
+        got[r["page_id"]].append(r["url"])
+    assert got == want
